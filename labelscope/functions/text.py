@@ -45,14 +45,14 @@ def parent_dir(c: Column | str) -> Column:
 def stem(c: Column | str) -> Column:
     """File name without its last suffix (``Path.stem``)."""
     name = basename(c)
-    return F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]*$")),
-                  F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
+    return F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]+$")),
+                  F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)).otherwise(name)
 
 
 def extension(c: Column | str) -> Column:
     """Last suffix with its dot (``Path.suffix``), '' when there is none."""
     name = basename(c)
-    return F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    return F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
 
 
 def decode_source_bytes(c: Column | str) -> Column:

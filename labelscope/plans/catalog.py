@@ -12,9 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelscope.functions.text import decode_source_bytes
+from labelscope.operators import corpus as C
 from labelscope.operators import metrics as M
+from labelscope.operators import report as R
+from labelscope.operators import runs as RU
+from labelscope.operators.requests import build_requests, prompt_chars, prompt_text
+from labelscope.operators.responses import explode_detections, extract_responses
 from labelscope.operators.verdicts import file_verdicts, normalize_detections
 from labelscope.plans import derived as D
+from labelscope.session import scratch_path
+from labelscope.sources import csv_io
+from labelscope.sources.corpus import scan_files
+from labelscope.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,7 +128,184 @@ def q_baseline_compare(spark, sf_dir):
     return M.baseline_compare(M.micro_scores(v, D.DET_TARGETS))
 
 
+# -- corpus ------------------------------------------------------------------
+
+def q_corpus_scan(spark, sf_dir):
+    return scan_files(spark, sf_dir, extensions=(".parquet",))
+
+
+def q_path_label(spark, sf_dir):
+    return (C.path_labels(D.corpus_paths(spark, sf_dir))
+            .select("doc_id", "path", "filename", "stem", "ext", "gold_label"))
+
+
+def q_text_decode(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents")
+    dec = decode_source_bytes(F.encode("text", "UTF-8"))
+    return docs.select("doc_id", dec.alias("t")).select(
+        "doc_id", F.length("t").alias("decoded_chars"),
+        F.size(F.split("t", "\n")).alias("decoded_lines"), F.md5("t").alias("decoded_md5"))
+
+
+def q_label_map_join(spark, sf_dir):
+    ev = load_table(spark, sf_dir, "events")
+    index = ev.select("event_id", F.expr(D.INDEX_LABEL).alias("raw_label"),
+                      F.expr(D.INDEX_PROJECT).alias("Project"),
+                      F.expr(D.INDEX_CLASS).alias("Class"))
+    out = C.label_map_join(index, D.INDEX_LABEL_MAP, "raw_label")
+    return out.select("event_id", "raw_label", "label", F.concat_ws(
+        "-", F.lit("DPD"), "Project", F.concat("Class", F.lit(".java"))).alias("item_name"))
+
+
+def _java_paths(spark, sf_dir):
+    return C.path_labels(D.corpus_paths(spark, sf_dir), extensions=(".java",))
+
+
+def q_keyword_label(spark, sf_dir):
+    return C.keyword_labels(_java_paths(spark, sf_dir)).select("doc_id", "stem", "label")
+
+
+def q_project_prefix(spark, sf_dir):
+    return (C.project_names(_java_paths(spark, sf_dir), root="/data")
+            .select("doc_id", "project", "item_name"))
+
+
+def q_stratified_sample(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return C.stratified_sample(docs, "lang", "doc_id", n=10)
+
+
+def q_sample_then_exists(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = load_table(spark, sf_dir, "labels")
+    return C.sample_then_exists(docs, labels, "lang", "doc_id", n=25)
+
+
+def q_dedup_keep_first(spark, sf_dir):
+    part = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    existing = part.where(F.col("p_size") <= 2).select("p_type", "p_name")
+    return (C.dedup_keep_first(part.drop("p_size"), "p_type", "p_name", "p_partkey", n=10,
+                               existing=existing)
+            .select("p_type", "p_name", "p_partkey", "sample_rank"))
+
+
+def q_corpus_summary(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("gold_label"), F.expr(D.DOC_ORIGIN).alias("origin"))
+    parts = [C.stratified_sample(docs.where(F.col("origin") == o), "gold_label", "doc_id", n=50)
+             for o in ("DPD", "PMART")]
+    return C.corpus_summary(parts[0].unionByName(parts[1]))
+
+
+# -- requests and responses ---------------------------------------------------------
+
+def q_request_build(spark, sf_dir):
+    docs = load_table(spark, sf_dir, "documents")
+    items = docs.select(F.expr(D.DET_FILENAME).alias("filename"),
+                        F.col("lang").alias("gold_label"), F.col("text").alias("content"))
+    req = build_requests(items, D.REQUEST_MODELS, D.REQUEST_INSTRUCTION)
+    return req.select("request_id", "filename", "model_name", "provider",
+                      F.size("messages").alias("n_messages"),
+                      prompt_chars("messages").alias("prompt_chars"),
+                      F.md5(prompt_text("messages")).alias("prompt_md5"),
+                      "temperature", "max_tokens")
+
+
+def _extracted(spark, sf_dir):
+    return extract_responses(D.responses(spark, sf_dir))
+
+
+def q_response_extract(spark, sf_dir):
+    ex = _extracted(spark, sf_dir)
+    arr = F.try_variant_get("payload", "$['design_patterns']", "array<variant>")
+    return ex.select("request_id", "model_name", "response_status", "parse_step", "parse_status",
+                     F.when(arr.isNotNull(), F.size(arr)).alias("n_elements"))
+
+
+def q_detection_explode(spark, sf_dir):
+    return explode_detections(_extracted(spark, sf_dir))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    ex = _extracted(spark, sf_dir)
+    det = explode_detections(ex, keep=("request_id", "raw_response")).drop("is_fallback")
+    path = scratch_path(spark, "csv_roundtrip")
+    csv_io.write_csv(det, path)
+    schema = ("request_id string, raw_response string, pos int, detected_pattern string, "
+              "confidence string, adherence string, reasoning string")
+    return csv_io.read_csv(spark, path, schema)
+
+
+def q_detection_stream(spark, sf_dir):
+    from labelscope.streaming.responses import stream_detections
+    src = scratch_path(spark, "responses_in")
+    D.responses(spark, sf_dir).write.mode("overwrite").parquet(src)
+    out, ckpt = scratch_path(spark, "detections_out"), scratch_path(spark, "detections_ckpt")
+    schema = spark.read.parquet(src).schema
+    stream_detections(spark, src, schema, out, ckpt).awaitTermination()
+    return spark.read.parquet(out)
+
+
+# -- runs --------------------------------------------------------------------
+
+def q_source_split(spark, sf_dir):
+    return RU.split_by_origin(D.detections(spark, sf_dir)).select(
+        "filename", "model_name", "row_no", "origin")
+
+
+def q_run_metadata(spark, sf_dir):
+    return RU.run_metadata(D.detections(spark, sf_dir), "documents")
+
+
+def q_run_summary(spark, sf_dir):
+    return RU.run_summary(D.detections(spark, sf_dir))
+
+
+def q_latest_run(spark, sf_dir):
+    ev = load_table(spark, sf_dir, "events")
+    runs = RU.runs_table(ev.select(F.expr(D.EVENT_RUN_ID).alias("run_id")))
+    return RU.latest_run(runs)
+
+
+# -- summaries ---------------------------------------------------------------
+
+def _summary(spark, sf_dir):
+    det = D.detections(spark, sf_dir)
+    normed = normalize_detections(det, D.DET_SYNONYMS, D.DET_TARGETS)
+    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS)
+    return R.summary_table(det, normed, v, D.DET_TARGETS)
+
+
+def q_summary_json(spark, sf_dir):
+    return R.summary_json(_summary(spark, sf_dir))
+
+
+def q_report_lines(spark, sf_dir):
+    return R.report_lines(_summary(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "corpus_scan": q_corpus_scan,
+    "path_label": q_path_label,
+    "text_decode": q_text_decode,
+    "label_map_join": q_label_map_join,
+    "keyword_label": q_keyword_label,
+    "project_prefix": q_project_prefix,
+    "stratified_sample": q_stratified_sample,
+    "sample_then_exists": q_sample_then_exists,
+    "dedup_keep_first": q_dedup_keep_first,
+    "corpus_summary": q_corpus_summary,
+    "request_build": q_request_build,
+    "response_extract": q_response_extract,
+    "detection_explode": q_detection_explode,
+    "detection_stream": q_detection_stream,
+    "csv_roundtrip": q_csv_roundtrip,
+    "source_split": q_source_split,
+    "run_metadata": q_run_metadata,
+    "run_summary": q_run_summary,
+    "latest_run": q_latest_run,
+    "summary_json": q_summary_json,
+    "report_lines": q_report_lines,
     "normalize_label": q_normalize_label,
     "file_verdict": q_file_verdict,
     "confusion_counts": q_confusion_counts,

@@ -110,6 +110,28 @@ PATH_EXPR = ("'/data/' || (" + PATH_PROJECT + ") || '/' || lang || '/' || (" + P
              + ") || (" + PATH_EXT + ")")
 
 
+# corpus-side expressions
+DOC_ORIGIN = "CASE WHEN doc_id % 2 = 0 THEN 'DPD' ELSE 'PMART' END"
+INDEX_LABEL = "upper(substr(event_type, 1, 1)) || substr(event_type, 2)"
+INDEX_PROJECT = "'proj' || CAST(user_id % 17 AS STRING)"
+INDEX_CLASS = "'C' || CAST(event_id AS STRING)"
+INDEX_LABEL_MAP = {"Click": "navigation", "View": "navigation", "Purchase": "commerce",
+                   "Signup": "account"}
+EVENT_RUN_ID = "date_format(ts, 'yyyy-MM-dd_HH') || '-00-00'"
+
+# request-side configuration for ``request_build``
+REQUEST_MODELS = (
+    {"name": "gpt-5", "provider": "openai", "model_id": "gpt-5"},
+    {"name": "gemini-3.0-pro", "provider": "google", "model_id": "gemini-3-pro-preview"},
+    {"name": "llama-3.3-70b-groq", "provider": "groq", "model_id": "llama-3.3-70b-versatile"},
+    {"name": "in-house", "provider": "acme", "model_id": "x-1"},
+)
+REQUEST_INSTRUCTION = (
+    "Name the languages used in the given text. Answer with JSON: "
+    '{"design_patterns": [{"pattern": "<language>", "confidence": <0-100>, '
+    '"adherence": <0-100>, "reason": "<why>"}]}')
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``det``: detection rows of two marker-word detectors over documents.
 

@@ -233,3 +233,208 @@ UNION ALL
 SELECT model_name, CAST(p AS DOUBLE), CAST(r AS DOUBLE), CAST(f AS DOUBLE), 'published'
 FROM (VALUES {pub}) AS t(model_name, p, r, f)""")
     return out
+
+
+# -- corpus, requests, responses, runs -----------------------------------------
+
+from labelscope.functions.fixed_values import (  # noqa: E402
+    CSV_NA_TOKENS, DEFAULT_PROJECT, JOINED_PROMPT_SEPARATOR, LABEL_KEYWORDS, PROJECT_PREFIXES,
+    SOURCE_EXTENSIONS,
+)
+from labelscope.functions.jsonx import BRACE_RE, FENCE_RE  # noqa: E402
+from labelscope.operators.requests import split_models  # noqa: E402
+
+PATHS_CTE = f"paths AS (SELECT doc_id, {D.PATH_EXPR} AS path FROM documents)"
+FN = "regexp_extract(path, '([^/]*)$', 1)"
+
+
+def _path_cols(exts) -> str:
+    kept = " OR ".join(f"ends_with(filename, {q(e)})" for e in exts)
+    return f"""
+p1 AS (SELECT doc_id, path, {FN} AS filename FROM paths),
+p2 AS (SELECT doc_id, path, filename,
+         CASE WHEN regexp_matches(filename, '^.+\\.[^.]+$')
+              THEN regexp_extract(filename, '^(.+)\\.[^.]+$', 1) ELSE filename END AS stem,
+         regexp_extract(filename, '^.+(\\.[^.]+)$', 1) AS ext,
+         regexp_extract(path, '([^/]*)/[^/]*$', 1) AS gold_label
+       FROM p1 WHERE {kept})"""
+
+
+def _resp_ctes() -> str:
+    cols = ", ".join(f"{e} AS {n}" for n, e in D.RESP_COLUMNS)
+    falsy = r'^(null|false|""|\{\}|-?0(\.0*)?([eE][-+]?[0-9]+)?)$'
+    return f"""
+resp AS (SELECT {cols} FROM events),
+rx AS (SELECT *, regexp_extract(raw_response, {q(FENCE_RE)}, 1) AS fence_txt,
+              regexp_extract(raw_response, {q(BRACE_RE)}, 1) AS brace_txt FROM resp),
+ry AS (SELECT *, CASE WHEN raw_response IS NULL THEN NULL
+                      WHEN json_valid(raw_response) THEN 'whole'
+                      WHEN fence_txt <> '' AND json_valid(fence_txt) THEN 'fence'
+                      WHEN brace_txt <> '' AND json_valid(brace_txt) THEN 'braces' END AS parse_step
+       FROM rx),
+rz AS (SELECT *, CASE parse_step WHEN 'whole' THEN raw_response WHEN 'fence' THEN fence_txt
+                      WHEN 'braces' THEN brace_txt END AS ptxt FROM ry),
+rs AS (SELECT *, CASE WHEN raw_response IS NULL THEN 'null'
+                      WHEN starts_with(raw_response, 'Error:') THEN 'error' ELSE 'ok' END AS response_status,
+              CASE WHEN json_type(ptxt) = 'OBJECT' THEN json_extract(ptxt, '$.design_patterns') END AS kv
+       FROM rz),
+rt AS (SELECT *, CASE WHEN raw_response IS NULL THEN 'null'
+                      WHEN parse_step IS NULL THEN 'no_json'
+                      WHEN json_type(ptxt) <> 'OBJECT' THEN 'not_object'
+                      WHEN kv IS NULL THEN 'no_key'
+                      WHEN json_type(kv) = 'ARRAY' AND json_array_length(kv) > 0 THEN 'ok'
+                      WHEN json_type(kv) = 'ARRAY' OR regexp_matches(CAST(kv AS VARCHAR), {q(falsy)}) THEN 'empty'
+                      ELSE 'not_list' END AS parse_status FROM rs),
+el AS (SELECT request_id, raw_response, CAST(i AS INTEGER) AS pos,
+              json_extract(kv, '$[' || CAST(i AS VARCHAR) || ']') AS e
+       FROM (SELECT request_id, raw_response, kv, unnest(range(CAST(json_array_length(kv) AS BIGINT))) AS i
+             FROM rt WHERE parse_status = 'ok')),
+valid AS (SELECT * FROM el WHERE json_type(e) = 'OBJECT'),
+dets AS (
+  SELECT request_id, raw_response, pos,
+    CASE WHEN json_extract(e, '$.pattern') IS NULL THEN 'Unknown' ELSE json_extract_string(e, '$.pattern') END AS detected_pattern,
+    CASE WHEN json_extract(e, '$.confidence') IS NULL THEN '0' ELSE json_extract_string(e, '$.confidence') END AS confidence,
+    CASE WHEN json_extract(e, '$.adherence') IS NULL THEN '0' ELSE json_extract_string(e, '$.adherence') END AS adherence,
+    CASE WHEN json_extract(e, '$.reason') IS NULL THEN '' ELSE json_extract_string(e, '$.reason') END AS reasoning,
+    false AS is_fallback
+  FROM valid
+  UNION ALL
+  SELECT request_id, raw_response, -1, 'None', '0', '0', {q(FALLBACK_REASON)}, true
+  FROM rt WHERE request_id NOT IN (SELECT request_id FROM valid))"""
+
+
+def more_oracle_queries() -> dict[str, str]:
+    out: dict[str, str] = {}
+    out["path_label"] = "WITH " + PATHS_CTE + "," + _path_cols(SOURCE_EXTENSIONS) + """
+SELECT doc_id, path, filename, stem, ext, gold_label FROM p2"""
+    out["text_decode"] = """
+WITH t AS (SELECT doc_id, regexp_replace(replace(text, chr(65533), ''), '\\r\\n?', chr(10), 'g') AS t
+           FROM documents)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS decoded_chars,
+       CAST(len(string_split(t, chr(10))) AS INTEGER) AS decoded_lines, md5(t) AS decoded_md5
+FROM t"""
+    lm = ", ".join(f"({q(k)}, {q(v)})" for k, v in D.INDEX_LABEL_MAP.items())
+    out["label_map_join"] = f"""
+WITH idx AS (SELECT event_id, {D.INDEX_LABEL} AS raw_label, {D.INDEX_PROJECT} AS project,
+                    {D.INDEX_CLASS} AS class_name FROM events),
+m(raw, label) AS (VALUES {lm})
+SELECT event_id, raw_label, label, 'DPD-' || project || '-' || class_name || '.java' AS item_name
+FROM idx JOIN m ON idx.raw_label = m.raw"""
+    kw_case = "CASE " + " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(stem), {q(k)})" for k in kws)
+        + f" THEN {q(label)}" for label, kws in LABEL_KEYWORDS) + " END"
+    out["keyword_label"] = "WITH " + PATHS_CTE + "," + _path_cols((".java",)) + f"""
+SELECT doc_id, stem, label FROM (SELECT doc_id, stem, {kw_case} AS label FROM p2)
+WHERE label IS NOT NULL"""
+    pref = " OR ".join(f"starts_with(x, {q(p)})" for p in PROJECT_PREFIXES)
+    out["project_prefix"] = "WITH " + PATHS_CTE + "," + _path_cols((".java",)) + f""",
+pp AS (SELECT doc_id, stem, string_split(substr(path, 7), '/') AS parts FROM p2),
+pd AS (SELECT doc_id, stem,
+              list_filter(list_slice(parts, 1, len(parts) - 1), lambda x: {pref})[1] AS first_dir
+       FROM pp),
+pj AS (SELECT doc_id, stem,
+              coalesce(replace(regexp_extract(first_dir, '^\\s*(\\S+)', 1), ' ', '-'),
+                       {q(DEFAULT_PROJECT)}) AS project FROM pd)
+SELECT doc_id, project, 'PMART-' || project || '-' || stem || '.java' AS item_name FROM pj"""
+    order = "md5('42' || '-' || CAST(doc_id AS VARCHAR)), doc_id"
+    out["stratified_sample"] = f"""
+SELECT doc_id, lang, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {order}) AS sample_rank
+  FROM documents) WHERE sample_rank <= 10"""
+    out["sample_then_exists"] = f"""
+SELECT doc_id, lang, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {order}) AS sample_rank
+  FROM documents) s
+WHERE sample_rank <= 25 AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id)"""
+    porder = "md5('42' || '-' || CAST(p_partkey AS VARCHAR)), p_partkey"
+    out["dedup_keep_first"] = f"""
+WITH firsts AS (
+  SELECT * FROM (SELECT p_partkey, p_name, p_type,
+                        row_number() OVER (PARTITION BY p_type, p_name ORDER BY {porder}) AS r1
+                 FROM part) WHERE r1 = 1),
+kept AS (SELECT f.* FROM firsts f WHERE NOT EXISTS (
+  SELECT 1 FROM part e WHERE e.p_size <= 2 AND e.p_type = f.p_type AND e.p_name = f.p_name))
+SELECT p_type, p_name, p_partkey, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY {porder}) AS sample_rank FROM kept)
+WHERE sample_rank <= 10"""
+    out["corpus_summary"] = f"""
+WITH d AS (SELECT doc_id, lang AS gold_label, {D.DOC_ORIGIN} AS origin FROM documents),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin, gold_label ORDER BY {order}) AS r
+                     FROM d) WHERE r <= 50)
+SELECT coalesce(gold_label, 'TOTAL') AS gold_label,
+       CAST(count(*) FILTER (WHERE origin = 'DPD') AS BIGINT) AS dpd,
+       CAST(count(*) FILTER (WHERE origin = 'PMART') AS BIGINT) AS pmart,
+       CAST(count(*) AS BIGINT) AS total
+FROM s GROUP BY ROLLUP (gold_label)"""
+    ok, _ = split_models(D.REQUEST_MODELS)
+    from labelscope.functions.fixed_values import PROVIDERS, FIXED_TEMPERATURE, FIXED_TEMPERATURE_MODEL
+    rows = []
+    for m in ok:
+        style, temp, mt = PROVIDERS[m["provider"]]
+        if m["provider"] == "openai" and FIXED_TEMPERATURE_MODEL in m["model_id"].lower():
+            temp = FIXED_TEMPERATURE
+        rows.append(f"({q(m['name'])}, {q(m['provider'])}, {q(style)}, "
+                    f"{'NULL' if temp is None else repr(float(temp))}, {'NULL' if mt is None else mt})")
+    instr = q(D.REQUEST_INSTRUCTION)
+    sep = " || ".join(f"chr({ord(c)})" if c == "\n" else q(c) for c in _chunks(JOINED_PROMPT_SEPARATOR))
+    out["request_build"] = f"""
+WITH items AS (SELECT {D.DET_FILENAME} AS filename, text FROM documents),
+models(model_name, provider, style, temperature, max_tokens) AS (VALUES {', '.join(rows)})
+SELECT model_name || '/' || filename AS request_id, filename, model_name, provider,
+  CAST(CASE WHEN style = 'joined' THEN 1 ELSE 2 END AS INTEGER) AS n_messages,
+  CAST(CASE WHEN style = 'joined' THEN length({instr} || {sep} || text)
+            ELSE length({instr}) + length(text) END AS INTEGER) AS prompt_chars,
+  md5(CASE WHEN style = 'joined' THEN 'user:' || {instr} || {sep} || text
+           ELSE 'system:' || {instr} || chr(10) || 'user:' || text END) AS prompt_md5,
+  CAST(temperature AS DOUBLE) AS temperature, CAST(max_tokens AS INTEGER) AS max_tokens
+FROM items CROSS JOIN models"""
+    out["response_extract"] = "WITH " + _resp_ctes() + """
+SELECT request_id, model_name, response_status, parse_step, parse_status,
+       CAST(CASE WHEN json_type(kv) = 'ARRAY' THEN json_array_length(kv) END AS INTEGER) AS n_elements
+FROM rt"""
+    out["detection_explode"] = "WITH " + _resp_ctes() + """
+SELECT request_id, pos, detected_pattern, confidence, adherence, reasoning, is_fallback FROM dets"""
+    out["detection_stream"] = out["detection_explode"]
+    na = ", ".join(q(t) for t in CSV_NA_TOKENS)
+    nn = lambda c: f"CASE WHEN {c} IN ({na}) THEN NULL ELSE {c} END AS {c}"
+    out["csv_roundtrip"] = "WITH " + _resp_ctes() + f"""
+SELECT {nn('request_id')}, {nn('raw_response')}, pos, {nn('detected_pattern')},
+       {nn('confidence')}, {nn('adherence')}, {nn('reasoning')} FROM dets"""
+    out["source_split"] = det_sql(f"""
+SELECT filename, model_name, row_no, {sql_origin('filename')} AS origin FROM det
+WHERE {sql_origin('filename')} IS NOT NULL""")
+    models_first = """(SELECT string_agg(model_name, ',' ORDER BY first_row, model_name)
+        FROM (SELECT model_name, min(row_no) AS first_row FROM det GROUP BY model_name))"""
+    out["run_metadata"] = det_sql(f"""
+SELECT 'documents' AS source_dir, CAST(count(DISTINCT filename) AS BIGINT) AS files_processed,
+       {models_first} AS models_used, CAST(count(*) AS BIGINT) AS total_results,
+       CAST(count(DISTINCT filename) FILTER (WHERE starts_with(filename, 'DPD-')) AS BIGINT) AS dpd_files,
+       CAST(count(DISTINCT filename) FILTER (WHERE starts_with(filename, 'PMART-')) AS BIGINT) AS pmart_files
+FROM det""")
+    out["run_summary"] = det_sql(f"""
+SELECT CAST(count(*) AS BIGINT) AS rows_loaded,
+       CAST((SELECT count(*) FROM (SELECT DISTINCT filename, model_name FROM det)) AS BIGINT) AS file_model_groups,
+       CAST(count(DISTINCT filename) AS BIGINT) AS unique_files, {models_first} AS models
+FROM det""")
+    out["latest_run"] = """
+WITH runs AS (SELECT strftime(ts, '%Y-%m-%d_%H') || '-00-00' AS run_id, count(*) AS n
+              FROM events GROUP BY 1)
+SELECT max(run_id) AS run_id, strptime(max(run_id), '%Y-%m-%d_%H-%M-%S') AS run_started,
+       CAST(arg_max(n, run_id) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_runs
+FROM runs WHERE n > 0"""
+    return out
+
+
+def _chunks(s: str):
+    """Split text into newline characters and runs of other characters."""
+    buf = ""
+    for ch in s:
+        if ch == "\n":
+            if buf:
+                yield buf
+                buf = ""
+            yield ch
+        else:
+            buf += ch
+    if buf:
+        yield buf
