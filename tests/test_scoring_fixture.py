@@ -1,0 +1,150 @@
+"""Hand-made scoring fixture (FIXTURES.md section 3)."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelscope.operators import metrics as M
+from labelscope.operators.verdicts import DETECTION_SCHEMA, file_verdicts, normalize_detections
+
+ROWS = [
+    (1, "DPD-a.java", "singleton", "m1", "Singleton", "90", "80", 2.0),
+    (2, "DPD-a.java", "singleton", "m1", "Factory Method", "40", "30", 2.0),
+    (3, "DPD-b.java", "factory", "m1", "None", "0", "0", 1.5),
+    (4, "DPD-c.java", "observer", "m1", "Pub-Sub", "95%", "70", 3.0),
+    (5, "DPD-c.java", "observer", "m1", " OBSERVER ", "85", "75", 3.0),
+    (6, "PMART-d.java", "decorator", "m1", "Observer", "60", "50", 1.0),
+    (7, "PMART-d.java", "decorator", "m1", "Wrapper", "80", "80", 1.0),
+    (8, "PMART-e.java", "singleton", "m1", "Strategy", "55", "45", 2.5),
+    (9, "PMART-e.java", "singleton", "m1", "strategy", "50", "40", 2.5),
+    (10, "PMART-e.java", "singleton", "m1", "Observer", "30", "20", 2.5),
+    (11, "DPD-a.java", "singleton", "m2", "Singleton", "70", "70", 1.0),
+    (12, "DPD-b.java", "factory", "m2", "Abstract Factory", "60", "60", 1.0),
+    (13, "OTHER-f.java", "observer", "m2", "Observer Design Pattern", "50", "50", 1.0),
+]
+
+
+def make_det(spark, partitions=None, reverse=False):
+    rows = list(reversed(ROWS)) if reverse else ROWS
+    data = [(fn, gold, m, d, c, a, "r", None, dur, rn) for rn, fn, gold, m, d, c, a, dur in rows]
+    df = spark.createDataFrame(data, DETECTION_SCHEMA)
+    if partitions:
+        df = df.repartition(partitions)
+    return df
+
+
+def by_key(df, *keys):
+    return {tuple(r[k] for k in keys): r.asDict() for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def det(spark):
+    return make_det(spark)
+
+
+@pytest.fixture(scope="module")
+def verdicts(det):
+    return file_verdicts(det).cache()
+
+
+def test_files_processed_and_micro(verdicts):
+    micro = by_key(M.micro_scores(verdicts), "model_name")
+    assert micro[("m1",)]["files_processed"] == 5
+    assert micro[("m2",)]["files_processed"] == 3
+    m1, m2 = micro[("m1",)], micro[("m2",)]
+    assert (m1["total_tp"], m1["total_fp"], m1["total_fn"]) == (2, 2, 2)
+    assert (m1["precision"], m1["recall"], m1["f1"]) == (0.5, 0.5, 0.5)
+    assert (m2["total_tp"], m2["total_fp"], m2["total_fn"]) == (2, 0, 1)
+    assert m2["precision"] == 1.0
+    assert m2["recall"] == pytest.approx(2 / 3)
+    assert m2["f1"] == pytest.approx(0.8)
+    assert (m1["correct_count"], m1["missed_count"], m1["fp_count"]) == (2, 2, 2)
+
+
+def test_confusion_counts(verdicts):
+    c = by_key(M.confusion_counts(verdicts), "model_name", "label")
+    got = {k: (v["tp"], v["fp"], v["fn"]) for k, v in c.items()}
+    assert got == {
+        ("m1", "singleton"): (1, 0, 1), ("m1", "factory"): (0, 1, 1),
+        ("m1", "observer"): (1, 1, 0), ("m2", "singleton"): (1, 0, 0),
+        ("m2", "factory"): (1, 0, 0), ("m2", "observer"): (0, 0, 1),
+    }
+
+
+def test_ignored(det, verdicts):
+    normed = normalize_detections(det)
+    h = by_key(M.ignored_histogram(normed, verdicts), "model_name", "raw_label")
+    assert {k: v["n"] for k, v in h.items()} == {
+        ("m1", "Strategy"): 1, ("m1", "strategy"): 1, ("m2", "Observer Design Pattern"): 1}
+    top = M.top_ignored(M.ignored_histogram(normed, verdicts)).where("model_name = 'm1'")
+    assert [r["raw_label"] for r in top.orderBy("rank").collect()] == ["Strategy", "strategy"]
+
+
+def test_source_accuracy(verdicts):
+    a = by_key(M.source_accuracy(verdicts), "model_name", "origin")
+    assert {k: (v["correct"], v["total"]) for k, v in a.items()} == {
+        ("m1", "DPD"): (2, 3), ("m1", "PMART"): (0, 2), ("m2", "DPD"): (2, 2)}
+
+
+def test_score_and_duration_stats(det, verdicts):
+    s = by_key(M.score_stats(det), "model_name")
+    assert s[("m1",)]["confidence_mean"] == pytest.approx(490 / 9)
+    assert s[("m1",)]["confidence_n"] == 9
+    assert s[("m1",)]["adherence_mean"] == pytest.approx(49.0)
+    assert s[("m2",)]["confidence_mean"] == pytest.approx(60.0)
+    d = by_key(M.duration_stats(det, verdicts), "model_name")
+    assert d[("m1",)]["duration_mean_by_row"] == pytest.approx(2.1)
+    assert d[("m1",)]["duration_total_by_row"] == pytest.approx(21.0)
+    assert d[("m1",)]["duration_mean_by_call"] == pytest.approx(2.0)
+    assert d[("m1",)]["duration_total_by_call"] == pytest.approx(10.0)
+    assert d[("m2",)]["duration_total_by_call"] == pytest.approx(3.0)
+
+
+def test_samples(verdicts):
+    missed = M.missed_sample(verdicts).where("model_name = 'm1'").orderBy("rank").collect()
+    assert [(r["filename"], r["expected"], r["detected"]) for r in missed] == [
+        ("DPD-b.java", "factory", "none"), ("PMART-e.java", "singleton", "observer")]
+    fps = M.fp_sample(verdicts).where("model_name = 'm1'").orderBy("rank").collect()
+    assert [(r["filename"], r["wrong_detection"]) for r in fps] == [
+        ("DPD-a.java", "factory"), ("PMART-e.java", "observer")]
+
+
+def test_leaderboard_is_stable_under_shuffles(spark):
+    for parts, rev in ((None, False), (3, False), (5, True)):
+        v = file_verdicts(make_det(spark, parts, rev))
+        micro = M.micro_scores(v)
+        board = [r["model_name"] for r in M.leaderboard(micro).orderBy("rank").collect()]
+        assert board == ["m2", "m1"]
+        assert M.best_model(micro).collect()[0]["model_name"] == "m2"
+
+
+def test_scopes(verdicts):
+    s = M.scores_by_scope(verdicts)
+    micro = by_key(s.where("level = 'micro'"), "scope", "model_name")
+    assert (micro[("ALL", "m1")]["tp"], micro[("ALL", "m1")]["fp"]) == (2, 2)
+    assert (micro[("DPD", "m1")]["tp"], micro[("DPD", "m1")]["fn"]) == (2, 1)
+    assert (micro[("PMART", "m1")]["tp"], micro[("PMART", "m1")]["fn"]) == (0, 1)
+    assert ("PMART", "m2") not in micro   # no PMART rows for m2
+    # different target sets per scope: decorator scored in the origin scopes
+    v4 = file_verdicts(make_det(verdicts.sparkSession),
+                       targets=("singleton", "factory", "observer", "decorator"))
+    s4 = M.scores_by_scope(v4, {"ALL": ("singleton", "factory", "observer"),
+                                "PMART": ("singleton", "factory", "observer", "decorator")})
+    lab = by_key(s4.where("level = 'label'"), "scope", "model_name", "label")
+    assert ("ALL", "m1", "decorator") not in lab
+    d = lab[("PMART", "m1", "decorator")]
+    assert (d["tp"], d["fp"], d["fn"]) == (1, 0, 0)     # 'Wrapper' maps to decorator
+
+
+def test_summary_and_report(det, verdicts):
+    from labelscope.operators.report import report_lines, summary_json, summary_table
+    normed = normalize_detections(det)
+    summ = summary_table(det, normed, verdicts)
+    row = summ.where("model = 'm1'").collect()[0]
+    assert [p["pattern"] for p in row["pattern_scores"]] == ["singleton", "factory", "observer"]
+    assert row["breakdown_by_source"]["DPD"]["correct"] == 2
+    assert row["debug_info"]["files_processed"] == 5
+    js = summary_json(summ).collect()
+    assert len(js) == 2 and all(r["summary_json"].startswith("{") for r in js)
+    lines = report_lines(summ).where("model = 'm1'").orderBy("line_no").collect()
+    assert lines[0]["line"] == "ANALYSIS: M1"
+    assert any(l["line"].startswith("OVERALL") for l in lines)
