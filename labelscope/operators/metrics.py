@@ -29,18 +29,22 @@ def _target_array(targets: Sequence[str]):
 def _label_contributions(verdicts: DataFrame, targets: Sequence[str],
                          extra_keys: Sequence[str] = (),
                          count_fp_out_of_scope: bool = False) -> DataFrame:
-    """(keys, label, tp, fp, fn) contributions: one row per verdict x target."""
+    """(keys, label, tp, fp, fn, file_one, first_row): one row per verdict x
+    target. ``file_one`` is 1 on the first target row of each verdict, so
+    item counts come out of the same aggregation."""
     gold = F.col("gold_label")
     lab = F.col("label")
     hit = F.array_contains("detected", lab)
     counted = gold.isNotNull() if not count_fp_out_of_scope else F.lit(True)
     return (verdicts
-            .select("model_name", *extra_keys, "gold_label", "detected",
-                    F.explode(_target_array(targets)).alias("label"))
+            .select("model_name", *extra_keys, "gold_label", "detected", "first_row",
+                    F.posexplode(_target_array(targets)).alias("__ti", "label"))
             .select("model_name", *extra_keys, "label",
                     F.when(gold.isNotNull() & (lab == gold) & hit, 1).otherwise(0).alias("tp"),
                     F.when(counted & ((lab != gold) | gold.isNull()) & hit, 1).otherwise(0).alias("fp"),
-                    F.when(gold.isNotNull() & (lab == gold) & ~hit, 1).otherwise(0).alias("fn")))
+                    F.when(gold.isNotNull() & (lab == gold) & ~hit, 1).otherwise(0).alias("fn"),
+                    F.when(F.col("__ti") == 0, 1).otherwise(0).alias("file_one"),
+                    "first_row"))
 
 
 def confusion_counts(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
@@ -65,18 +69,17 @@ def label_scores(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
 
 def micro_scores(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
                  count_fp_out_of_scope: bool = False) -> DataFrame:
-    """Micro-averaged scores per model.
+    """Micro-averaged scores per model, in one aggregation over the verdicts.
 
     files_processed counts every item of the model, including the ones whose
-    gold is out of scope; correct/missed/fp counts equal the totals.
+    gold is out of scope; correct/missed/fp counts equal the totals;
+    first_row is the model's first detection row (tie order).
     """
-    counts = confusion_counts(verdicts, targets, count_fp_out_of_scope)
-    totals = counts.groupBy("model_name").agg(
-        F.sum("tp").alias("total_tp"), F.sum("fp").alias("total_fp"),
-        F.sum("fn").alias("total_fn"))
-    files = verdicts.groupBy("model_name").agg(
-        F.count(F.lit(1)).alias("files_processed"), F.min("first_row").alias("first_row"))
-    out = totals.join(files, "model_name")
+    out = (_label_contributions(verdicts, targets, (), count_fp_out_of_scope)
+           .groupBy("model_name")
+           .agg(F.sum("tp").alias("total_tp"), F.sum("fp").alias("total_fp"),
+                F.sum("fn").alias("total_fn"), F.sum("file_one").alias("files_processed"),
+                F.min("first_row").alias("first_row")))
     out = with_prf(out, "total_tp", "total_fp", "total_fn")
     return out.select(
         "model_name", "files_processed", "total_tp", "total_fp", "total_fn",
@@ -155,19 +158,17 @@ def score_stats(det: DataFrame) -> DataFrame:
         F.max(adh).alias("adherence_max"), F.count(adh).alias("adherence_n"))
 
 
-def duration_stats(det: DataFrame, verdicts: DataFrame) -> DataFrame:
+def duration_stats(verdicts: DataFrame) -> DataFrame:
     """Response time per model: per row (a call with k detections counts k
-    times, as reported by the reference) and per call."""
-    d = F.col("duration_seconds").cast("double")
-    d = F.when(~F.isnan(d), d)
-    by_row = det.groupBy("model_name").agg(
-        F.avg(d).alias("duration_mean_by_row"), F.sum(d).alias("duration_total_by_row"),
-        F.count(d).alias("n_rows"))
-    by_call = verdicts.groupBy("model_name").agg(
+    times, as reported by the reference) and per call, from the per-item
+    sums carried by the verdicts (one aggregation)."""
+    return verdicts.groupBy("model_name").agg(
+        (F.sum("dur_sum") / F.sum("dur_n")).alias("duration_mean_by_row"),
+        F.sum("dur_sum").alias("duration_total_by_row"),
+        F.sum("dur_n").alias("n_rows"),
         F.avg("call_duration").alias("duration_mean_by_call"),
         F.sum("call_duration").alias("duration_total_by_call"),
         F.count("call_duration").alias("n_calls"))
-    return by_row.join(by_call, "model_name", "full")
 
 
 def source_accuracy(verdicts: DataFrame) -> DataFrame:
@@ -202,7 +203,7 @@ def scores_by_scope(verdicts: DataFrame,
     union = sorted({t for ts in scoped.values() for t in ts} | set(default or []))
     scope = F.explode(F.filter(F.array(F.lit(all_scope), F.col("origin")),
                                lambda s: s.isNotNull())).alias("scope")
-    v = verdicts.select("model_name", "gold_label", "detected", scope)
+    v = verdicts.select("model_name", "gold_label", "detected", "first_row", scope)
     if scoped:
         def tset(s):
             cases = None

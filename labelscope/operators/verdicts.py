@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.functions.fixed_values import DEFAULT_TARGETS, ORIGINS
-from labelscope.functions.labels import clean_label, normalize_label, origin_of
+from labelscope.functions.labels import clean_label, normalize_label, origin_of  # noqa: F401
 
 DETECTION_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()),
@@ -34,6 +34,11 @@ DETECTION_SCHEMA = T.StructType([
 SynonymsArg = Mapping[str, str] | DataFrame | None
 
 
+def _duration():
+    d = F.col("duration_seconds").cast("double")
+    return F.when(~F.isnan(d), d)
+
+
 def normalize_column(df: DataFrame, raw_col: str, out_col: str,
                      synonyms: SynonymsArg = None,
                      targets: Sequence[str] | None = DEFAULT_TARGETS) -> DataFrame:
@@ -54,7 +59,14 @@ def normalize_column(df: DataFrame, raw_col: str, out_col: str,
             mapped = F.when(mapped.isin(*targets), mapped)
         return (out.withColumn(out_col, mapped.cast("string"))
                    .drop("__clean", "__syn_raw", "__syn_label", "__mapped"))
-    return df.withColumn(out_col, normalize_label(raw_col, synonyms, targets))
+    # Two projections: the cleaned text is computed once (Catalyst does not
+    # collapse a projection that would repeat the regular expression).
+    from labelscope.functions.labels import synonym_lookup
+    mapped = synonym_lookup(F.col("__clean"), synonyms)
+    if targets is not None:
+        mapped = F.when(mapped.isin(*targets), mapped).otherwise(F.lit(None).cast("string"))
+    return (df.withColumn("__clean", clean_label(raw_col))
+              .withColumn(out_col, mapped).drop("__clean"))
 
 
 def normalize_detections(det: DataFrame, synonyms: SynonymsArg = None,
@@ -81,6 +93,8 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
         F.array_sort(F.collect_set("norm_label")).alias("detected"),
         F.count(F.lit(1)).alias("n_rows"),
         F.max("duration_seconds").alias("call_duration"),
+        F.sum(_duration()).alias("dur_sum"),
+        F.count(_duration()).alias("dur_n"),
         F.min("row_no").alias("first_row"),
     ))
     gold = normalize_label("gold_raw", synonyms, targets)

@@ -97,8 +97,8 @@ def q_score_stats(spark, sf_dir):
 
 
 def q_duration_stats(spark, sf_dir):
-    det, v = _verdicts(spark, sf_dir)
-    out = M.duration_stats(det, v)
+    _, v = _verdicts(spark, sf_dir)
+    out = M.duration_stats(v)
     return _round6(out, {"duration_mean_by_row", "duration_total_by_row",
                          "duration_mean_by_call", "duration_total_by_call"})
 

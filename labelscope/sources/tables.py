@@ -18,3 +18,18 @@ def table_path(sf_dir: str, name: str) -> str:
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when its scan yields fewer
+    partitions than the cluster runs tasks at once (e.g. one large parquet
+    row group), so row-wise heavy work (regex, JSON) is not done by one task.
+
+    A no-op for large inputs, whose scans already have many splits; call it
+    after projecting the needed columns so only those move. With ``key`` the
+    rows are hash-distributed on it (deterministic, no local sort).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key) if key else df.repartition(target)
+    return df

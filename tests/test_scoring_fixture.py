@@ -91,7 +91,7 @@ def test_score_and_duration_stats(det, verdicts):
     assert s[("m1",)]["confidence_n"] == 9
     assert s[("m1",)]["adherence_mean"] == pytest.approx(49.0)
     assert s[("m2",)]["confidence_mean"] == pytest.approx(60.0)
-    d = by_key(M.duration_stats(det, verdicts), "model_name")
+    d = by_key(M.duration_stats(verdicts), "model_name")
     assert d[("m1",)]["duration_mean_by_row"] == pytest.approx(2.1)
     assert d[("m1",)]["duration_total_by_row"] == pytest.approx(21.0)
     assert d[("m1",)]["duration_mean_by_call"] == pytest.approx(2.0)
