@@ -18,7 +18,7 @@ from labelscope.functions.fixed_values import (
     ERROR_PREFIX, FALLBACK_LABEL, FALLBACK_REASON, FALLBACK_SCORE, MISSING_LABEL,
     MISSING_REASON, MISSING_SCORE, PAYLOAD_KEY, PY_WHITESPACE_CLASS,
 )
-from labelscope.functions.jsonx import extract_json_columns, strict_json
+from labelscope.functions.jsonx import BRACE_RE, FENCE_RE, is_json_object_text, strict_json
 
 # (output column, payload field, default when the field is missing)
 ELEMENT_FIELDS = (
@@ -49,37 +49,51 @@ def extract_responses(resp: DataFrame, text_col: str = "raw_response",
     parse_status: 'null' | 'no_json' | 'not_object' | 'no_key' | 'empty'
     (falsy value) | 'not_list' (truthy non-list value) | 'ok' (non-empty list).
     ``repair_unwrapped`` also reads a bare ``"<key>": [...]`` answer.
+
+    Each step is its own projection and runs only when the previous ones
+    failed, so every candidate is parsed at most once per response.
     """
-    t = F.col(text_col)
-    x = extract_json_columns(t)
     path = _path(payload_key)
-    step, value, is_obj = x["step"], x["value"], x["is_object"]
-    has_key = is_obj & F.try_variant_get(value, path, "variant").isNotNull()
+    t = F.col(text_col)
+    df = resp.withColumn("__whole", strict_json(t))
+    fence_txt = F.regexp_extract(t, FENCE_RE, 1)
+    df = df.withColumn("__fence", F.when(F.col("__whole").isNull() & (fence_txt != ""),
+                                         strict_json(fence_txt)))
+    brace_txt = F.regexp_extract(t, BRACE_RE, 1)
+    df = df.withColumn("__brace", F.when(F.col("__whole").isNull() & F.col("__fence").isNull()
+                                         & (brace_txt != ""), strict_json(brace_txt)))
+    step = (F.when(F.col("__whole").isNotNull(), F.lit("whole"))
+             .when(F.col("__fence").isNotNull(), F.lit("fence"))
+             .when(F.col("__brace").isNotNull(), F.lit("braces")))
+    is_obj = (F.when(F.col("__whole").isNotNull(), is_json_object_text(t))
+               .otherwise(F.col("__fence").isNotNull() | F.col("__brace").isNotNull()))
+    df = df.select("*", step.alias("parse_step"),
+                   F.coalesce("__whole", "__fence", "__brace").alias("payload"),
+                   is_obj.alias("__is_obj")).drop("__whole", "__fence", "__brace")
     if repair_unwrapped:
         ws = PY_WHITESPACE_CLASS
         key_re = '"' + payload_key.replace("\\", "\\\\") + '"'
         bare = F.regexp_extract(t, r"(?s)(" + _escape_re(key_re) + ws + r"*:" + ws + r"*\[.*\])", 1)
-        fixed = F.when(bare != "", strict_json(F.concat(F.lit("{"), bare, F.lit("}"))))
-        use_fix = ~has_key & fixed.isNotNull()
-        step = F.when(use_fix, F.lit("repaired")).otherwise(step)
-        value = F.when(use_fix, fixed).otherwise(value)
-        is_obj = is_obj | use_fix
-    out = resp.withColumn("response_status", response_status(t)) \
-              .withColumn("parse_step", step) \
-              .withColumn("payload", value) \
-              .withColumn("__is_obj", is_obj)
-    kv = F.try_variant_get("payload", path, "variant")
-    arr = F.try_variant_get("payload", path, "array<variant>")
-    falsy = (F.is_variant_null(kv) | F.to_json(kv).isin("false", '""', "{}")
-             | (F.try_variant_get(kv, "$", "double") == 0))
+        has_key = F.col("__is_obj") & F.try_variant_get("payload", path, "variant").isNotNull()
+        df = df.withColumn("__fixed", F.when(~has_key & (bare != ""),
+                                             strict_json(F.concat(F.lit("{"), bare, F.lit("}")))))
+        use_fix = F.col("__fixed").isNotNull()
+        df = (df.withColumn("parse_step", F.when(use_fix, F.lit("repaired")).otherwise(F.col("parse_step")))
+                .withColumn("payload", F.when(use_fix, F.col("__fixed")).otherwise(F.col("payload")))
+                .withColumn("__is_obj", F.col("__is_obj") | use_fix).drop("__fixed"))
+    df = df.withColumn("__kv", F.when(F.col("__is_obj"), F.try_variant_get("payload", path, "variant")))
+    kv = F.col("__kv")
+    arr_size = F.size(F.try_variant_get(kv, "$", "array<variant>"))
+    falsy = F.to_json(kv).rlike(r'^(null|false|""|\{\}|-?0(\.0*)?([eE][-+]?[0-9]+)?)$')
     status = (F.when(t.isNull(), F.lit("null"))
                .when(F.col("parse_step").isNull(), F.lit("no_json"))
                .when(~F.col("__is_obj"), F.lit("not_object"))
                .when(kv.isNull(), F.lit("no_key"))
-               .when(arr.isNotNull() & (F.size(arr) > 0), F.lit("ok"))
-               .when(arr.isNotNull() | falsy, F.lit("empty"))
+               .when(arr_size > 0, F.lit("ok"))
+               .when((arr_size == 0) | falsy, F.lit("empty"))
                .otherwise(F.lit("not_list")))
-    return out.withColumn("parse_status", status).drop("__is_obj")
+    return (df.withColumn("response_status", response_status(t))
+              .withColumn("parse_status", status).drop("__is_obj", "__kv"))
 
 
 def _escape_re(s: str) -> str:

@@ -95,3 +95,50 @@ def test_runs(spark):
     parts = spark.read.parquet(base)
     assert {r["origin"] for r in parts.select("origin").distinct().collect()} == \
         {"DPD", "PMART", None}
+
+
+def test_detector_hook_end_to_end(spark, tmp_path):
+    from labelscope.operators.detector import run_detector
+    from labelscope.operators.metrics import micro_scores
+    from labelscope.operators.verdicts import file_verdicts
+    from labelscope.sources.config import load_instruction, models_from_table
+
+    (tmp_path / "prompt.txt").write_text("  detect patterns \n")
+    instr = load_instruction(spark, str(tmp_path / "prompt.txt"))
+    assert instr == "detect patterns"
+    models = models_from_table(spark.createDataFrame(
+        [("m1", "ollama", "x"), ("m2", "groq", "y")], "name string, provider string, model_id string"))
+    items = spark.createDataFrame(
+        [("DPD-a.java", "singleton", "class Singleton {}"), ("PMART-b.java", "observer", "x")],
+        "filename string, gold_label string, content string")
+    items = dense_index(items, ["filename"], "item_no")
+    req = build_requests(items, models, instr, keep=("filename", "gold_label", "item_no"))
+
+    def detector(pdf):
+        import pandas as pd
+        now = pd.Timestamp("2025-01-01")
+        text = pdf["messages"].map(lambda ms: ms[-1]["content"])
+        resp = text.map(lambda c: '{"design_patterns":[{"pattern":"Singleton"}]}'
+                        if "Singleton" in c else "Error: no answer")
+        return pd.DataFrame({"request_id": pdf["request_id"], "raw_response": resp,
+                             "started_at": now, "ended_at": now + pd.Timedelta(seconds=1)})
+
+    resp = run_detector(req, detector)
+    det = detection_rows(req, resp)
+    micro = {r["model_name"]: r for r in micro_scores(file_verdicts(det)).collect()}
+    assert micro["m1"]["total_tp"] == 1 and micro["m1"]["total_fn"] == 1
+    assert micro["m2"]["files_processed"] == 2
+
+
+def test_run_table_pruning(spark):
+    det = spark.createDataFrame([
+        ("DPD-a.java", "m1", 1), ("PMART-b.java", "m2", 3)],
+        "filename string, model_name string, row_no long")
+    base = scratch_path(spark, "runs_pruning")
+    RU.write_run(det, base, "2025-01-01_00-00-00")
+    q = spark.read.parquet(base).where("origin = 'DPD' AND model_name = 'm1'").select("filename")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(origin" in plan
+    assert "PushedFilters: [IsNotNull(model_name), EqualTo(model_name,m1)]" in plan
+    assert "ReadSchema: struct<filename:string,model_name:string>" in plan
+    assert [r["filename"] for r in q.collect()] == ["DPD-a.java"]
