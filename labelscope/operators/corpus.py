@@ -74,13 +74,30 @@ def keyword_labels(paths: DataFrame, stem_col: str = "stem",
 
 def keyword_labels_join(paths: DataFrame, keywords: DataFrame, stem_col: str = "stem",
                         key_col: str = "path") -> DataFrame:
-    """Same as ``keyword_labels`` for a keyword table (label, keyword,
-    priority): a substring theta join against the keyword table, then the
-    best-priority label per item (partial aggregation)."""
+    """``keyword_labels`` for a keyword table (label, keyword, priority) of
+    any size, as an equi-join.
+
+    Substring containment is turned into equality: every stem emits its
+    substrings of each keyword length present in the table (file stems are
+    short), which are joined to the keywords on the text; the best priority
+    per item wins (partial aggregation). No nested-loop or cartesian join.
+    """
     kw = keywords.select(F.col("label").alias("__label"), F.lower("keyword").alias("__kw"),
                          F.col("priority").alias("__prio"))
-    hits = paths.join(kw, F.lower(F.col(stem_col)).contains(F.col("__kw")))
-    best = hits.groupBy(key_col).agg(F.min_by("__label", "__prio").alias("label"))
+    # The distinct keyword lengths are few (bounded by the longest keyword).
+    lengths = sorted(r[0] for r in kw.select(F.length("__kw")).distinct().collect() if r[0])
+    if not lengths:
+        return paths.withColumn("label", F.lit(None).cast("string")).limit(0)
+    s = F.lower(F.col(stem_col))
+
+    def grams_of(length: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - length + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(s, i, length))
+
+    subs = F.flatten(F.array(*[grams_of(L) for L in lengths]))
+    grams = paths.select(key_col, F.explode(F.array_distinct(subs)).alias("__kw"))
+    best = (grams.join(kw, "__kw")
+            .groupBy(key_col).agg(F.min_by("__label", "__prio").alias("label")))
     return paths.join(best, key_col)
 
 
@@ -126,11 +143,13 @@ def label_map_join(index: DataFrame, label_map: Mapping[str, str] | DataFrame =
 
 # -- sampling ----------------------------------------------------------------
 
-def stratified_sample(df: DataFrame, label_col: str, key_col: str,
+def stratified_sample(df: DataFrame, label_col: str | Sequence[str], key_col: str,
                       n: int = SAMPLES_PER_LABEL, seed: int = SEED,
                       rank_col: str = "sample_rank") -> DataFrame:
-    """min(n, group size) rows per label without replacement, fixed order."""
-    w = Window.partitionBy(label_col).orderBy(sample_order(key_col, seed), F.col(key_col))
+    """min(n, group size) rows per label (or per combination of columns,
+    e.g. origin and label) without replacement, in a fixed order."""
+    groups = [label_col] if isinstance(label_col, str) else list(label_col)
+    w = Window.partitionBy(*groups).orderBy(sample_order(key_col, seed), F.col(key_col))
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 

@@ -222,13 +222,12 @@ def scores_by_scope(verdicts: DataFrame,
         contrib = _contrib_from_exploded(contrib, ["scope"])
     else:
         contrib = _label_contributions(v, default, ["scope"])
-    per_label = (contrib.groupBy("scope", "model_name", "label")
-                 .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
-    micro = (per_label.groupBy("scope", "model_name")
-             .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-             .withColumn("label", F.lit(None).cast("string")))
-    out = (per_label.withColumn("level", F.lit("label"))
-           .unionByName(micro.withColumn("level", F.lit("micro"))))
+    # Per-label and micro rows in one aggregation (grouping sets).
+    sums = [F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")]
+    out = (contrib.groupingSets([["scope", "model_name", "label"], ["scope", "model_name"]],
+                                "scope", "model_name", "label")
+           .agg(*sums, F.grouping("label").alias("__gl"))
+           .withColumn("level", F.when(F.col("__gl") == 1, F.lit("micro")).otherwise(F.lit("label"))))
     return with_prf(out).select("scope", "model_name", "level", "label", "tp", "fp", "fn",
                                 "precision", "recall", "f1")
 

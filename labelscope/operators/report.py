@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import DEFAULT_TARGETS
+from labelscope.functions.scores import with_prf
 from labelscope.operators import metrics as M
 
 
@@ -15,18 +16,54 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
                   targets: Sequence[str] = DEFAULT_TARGETS) -> DataFrame:
     """One row per model with the nested summary: model, precision, recall,
     f1, total_tp/fp/fn, pattern_scores (target order), ignored_detections
-    (raw label -> rows, most frequent first), breakdown_by_source
-    (origin -> correct/total/accuracy), debug_info. All inputs are reduced
-    to per-model tables before they meet (equi-joins on model_name)."""
-    micro = M.micro_scores(verdicts, targets)
-    order = F.create_map(*[x for i, t in enumerate(targets) for x in (F.lit(t), F.lit(i))])
-    labels = (M.label_scores(verdicts, targets)
-              .withColumn("__i", F.element_at(order, F.col("label")))
-              .groupBy("model_name")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct(
-                  "__i", F.col("label").alias("pattern"), "tp", "fp", "fn",
-                  "precision", "recall", "f1"))), lambda s: s.dropFields("__i"))
-                   .alias("pattern_scores")))
+    (raw label -> rows), breakdown_by_source (origin -> correct/total/
+    accuracy), debug_info.
+
+    Label, origin and micro figures come from one grouping-sets aggregation
+    over the verdicts; only the out-of-scope histogram reads detection rows.
+    ``det`` is accepted for symmetry with the other report inputs.
+    """
+    del det
+    gold, lab = F.col("gold_label"), F.col("label")
+    hit = F.array_contains("detected", lab)
+    first = F.col("__ti") == 0
+    contrib = (verdicts
+               .select("model_name", "origin", "gold_label", "detected", "first_row", "correct",
+                       F.posexplode(F.array(*[F.lit(t) for t in targets])).alias("__ti", "label"))
+               .select("model_name", "origin", "label", "__ti", "first_row",
+                       F.when(gold.isNotNull() & (lab == gold) & hit, 1).otherwise(0).alias("tp"),
+                       F.when(gold.isNotNull() & (lab != gold) & hit, 1).otherwise(0).alias("fp"),
+                       F.when(gold.isNotNull() & (lab == gold) & ~hit, 1).otherwise(0).alias("fn"),
+                       F.when(first, 1).otherwise(0).alias("file_one"),
+                       F.when(first & F.col("correct"), 1).otherwise(0).alias("correct_one")))
+    g = (contrib.groupingSets([["model_name", "__ti", "label"], ["model_name", "origin"],
+                               ["model_name"]], "model_name", "__ti", "label", "origin")
+         .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+              F.sum("file_one").alias("files"), F.sum("correct_one").alias("correct"),
+              F.min("first_row").alias("first_row"),
+              F.grouping("label").alias("__gl"), F.grouping("origin").alias("__go")))
+    g = with_prf(g)
+    is_label = F.col("__gl") == 0
+    is_origin = (F.col("__go") == 0) & F.col("origin").isNotNull()
+    is_micro = (F.col("__gl") == 1) & (F.col("__go") == 1)
+
+    def micro(c):
+        return F.max(F.when(is_micro, F.col(c)))
+
+    per_model = g.groupBy("model_name").agg(
+        micro("precision").alias("precision"), micro("recall").alias("recall"),
+        micro("f1").alias("f1"), micro("tp").alias("total_tp"), micro("fp").alias("total_fp"),
+        micro("fn").alias("total_fn"), micro("files").alias("files_processed"),
+        micro("first_row").alias("first_row"),
+        F.transform(F.array_sort(F.collect_list(F.when(is_label, F.struct(
+            "__ti", F.col("label").alias("pattern"), "tp", "fp", "fn",
+            "precision", "recall", "f1")))), lambda x: x.dropFields("__ti"))
+         .alias("pattern_scores"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(is_origin, F.struct(
+            "origin", F.struct("correct", F.col("files").alias("total"),
+                               F.when(F.col("files") > 0, F.col("correct") / F.col("files"))
+                                .otherwise(0.0).alias("accuracy")))))))
+         .alias("breakdown_by_source"))
     hist = (M.ignored_histogram(normed, verdicts)
             .groupBy("model_name")
             .agg(F.map_from_entries(F.transform(
@@ -34,20 +71,15 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
                     (-F.col("n")).alias("k"), F.col("first_seen").alias("f"),
                     F.col("raw_label").alias("raw"), F.col("n").alias("n")))),
                 lambda s: F.struct(s["raw"], s["n"]))).alias("ignored_detections")))
-    src = (M.source_accuracy(verdicts).groupBy("model_name")
-           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-               "origin", F.struct("correct", "total", "accuracy"))))).alias("breakdown_by_source")))
-    out = (micro.join(labels, "model_name", "left").join(hist, "model_name", "left")
-           .join(src, "model_name", "left"))
+    out = per_model.join(hist, "model_name", "left")
     empty_map = F.create_map().cast("map<string,bigint>")
     return out.select(
         F.col("model_name").alias("model"), "precision", "recall", "f1",
         "total_tp", "total_fp", "total_fn", "pattern_scores",
         F.coalesce("ignored_detections", empty_map).alias("ignored_detections"),
-        F.coalesce("breakdown_by_source", F.create_map().cast(
-            "map<string,struct<correct:bigint,total:bigint,accuracy:double>>"))
-         .alias("breakdown_by_source"),
-        F.struct("files_processed", "correct_count", "missed_count", "fp_count")
+        "breakdown_by_source",
+        F.struct("files_processed", F.col("total_tp").alias("correct_count"),
+                 F.col("total_fn").alias("missed_count"), F.col("total_fp").alias("fp_count"))
          .alias("debug_info"),
         "first_row")
 

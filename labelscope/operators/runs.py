@@ -46,43 +46,46 @@ def _per_file(det: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("__n"), F.min("row_no").alias("__first"))
 
 
-def _models_in_first_seen_order(per_file: DataFrame) -> DataFrame:
-    per_model = per_file.groupBy("model_name").agg(F.min("__first").alias("__first"))
-    return per_model.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("__first", "model_name"))),
-        lambda s: s["model_name"]), ",").alias("models"))
+def _files_and_models(det: DataFrame) -> DataFrame:
+    """Per-file rows and per-model rows of the (model, file) groups in one
+    aggregation (grouping sets), so the detections are read once."""
+    return (_per_file(det)
+            .groupingSets([["filename"], ["model_name"]], "filename", "model_name")
+            .agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__groups"),
+                 F.min("__first").alias("__first"),
+                 F.grouping("filename").alias("__by_model")))
 
 
-def _one_row(*parts: DataFrame) -> DataFrame:
-    """Combine one-row aggregates side by side without a join."""
-    cols = [c for p in parts for c in p.columns]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    return u.agg(*[F.max(c).alias(c) for c in cols])
+def _models_in_order(rows: DataFrame):
+    model_rows = F.col("__by_model") == 1
+    return F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.when(model_rows, F.struct("__first", "model_name")))),
+        lambda s: s["model_name"]), ",")
 
 
 def run_metadata(det: DataFrame, source_dir: str, origins: Sequence[str] = ORIGINS) -> DataFrame:
     """One row: source_dir, files_processed, models_used (first-seen order),
     total_results, and distinct files per origin (``<origin>_files``)."""
-    pf = with_origin(_per_file(det), origins)
-    counts = pf.agg(F.count_distinct("filename").alias("files_processed"),
-                    F.sum("__n").alias("total_results"),
-                    *[F.count_distinct(F.when(F.col("origin") == o, F.col("filename")))
-                       .alias(f"{o.lower()}_files") for o in origins])
-    models = _models_in_first_seen_order(pf).withColumnRenamed("models", "models_used")
-    out = _one_row(counts, models)
-    return out.select(F.lit(source_dir).alias("source_dir"), "files_processed", "models_used",
-                      "total_results", *[f"{o.lower()}_files" for o in origins])
+    fm = _files_and_models(det).withColumn("origin", origin_of("filename", origins))
+    file_rows = F.col("__by_model") == 0
+    out = fm.agg(
+        F.count_if(file_rows).alias("files_processed"),
+        _models_in_order(fm).alias("models_used"),
+        F.sum(F.when(file_rows, F.col("__n"))).alias("total_results"),
+        *[F.count_if(file_rows & (F.col("origin") == o)).alias(f"{o.lower()}_files")
+          for o in origins])
+    return out.select(F.lit(source_dir).alias("source_dir"), "*")
 
 
 def run_summary(det: DataFrame) -> DataFrame:
     """One row: rows_loaded, file_model_groups, unique_files, models."""
-    pf = _per_file(det)
-    counts = pf.agg(F.sum("__n").alias("rows_loaded"),
-                    F.count(F.lit(1)).alias("file_model_groups"),
-                    F.count_distinct("filename").alias("unique_files"))
-    return _one_row(counts, _models_in_first_seen_order(pf))
+    fm = _files_and_models(det)
+    file_rows = F.col("__by_model") == 0
+    return fm.agg(
+        F.sum(F.when(file_rows, F.col("__n"))).alias("rows_loaded"),
+        F.sum(F.when(file_rows, F.col("__groups"))).alias("file_model_groups"),
+        F.count_if(file_rows).alias("unique_files"),
+        _models_in_order(fm).alias("models"))
 
 
 def runs_table(rows: DataFrame, run_col: str = "run_id") -> DataFrame:

@@ -192,9 +192,8 @@ def q_dedup_keep_first(spark, sf_dir):
 def q_corpus_summary(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("lang").alias("gold_label"), F.expr(D.DOC_ORIGIN).alias("origin"))
-    parts = [C.stratified_sample(docs.where(F.col("origin") == o), "gold_label", "doc_id", n=50)
-             for o in ("DPD", "PMART")]
-    return C.corpus_summary(parts[0].unionByName(parts[1]))
+    # both origins sampled in one pass: per (origin, label) groups
+    return C.corpus_summary(C.stratified_sample(docs, ["origin", "gold_label"], "doc_id", n=50))
 
 
 # -- requests and responses ---------------------------------------------------------
