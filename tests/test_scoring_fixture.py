@@ -148,3 +148,24 @@ def test_summary_and_report(det, verdicts):
     lines = report_lines(summ).where("model = 'm1'").orderBy("line_no").collect()
     assert lines[0]["line"] == "ANALYSIS: M1"
     assert any(l["line"].startswith("OVERALL") for l in lines)
+
+
+def test_evaluate_writes_all_tables(spark, det):
+    from labelscope.operators.evaluate import evaluate
+    from labelscope.session import scratch_path
+    out = evaluate(det, scratch_path(spark, "evaluate"))
+    micro = {r["model_name"]: r for r in out["micro_scores"].collect()}
+    assert micro["m1"]["f1"] == 0.5 and micro["m2"]["files_processed"] == 3
+    assert [r["model_name"] for r in out["leaderboard"].orderBy("rank").collect()] == ["m2", "m1"]
+    assert out["summary"].count() == 2
+    assert out["scopes"].where("level = 'micro'").count() == 5
+    # per-scope target sets: 4 labels for origins, 3 combined
+    four = ("singleton", "factory", "observer", "decorator")
+    out4 = evaluate(det, scratch_path(spark, "evaluate4"),
+                    scopes={"ALL": ("singleton", "factory", "observer"), "DPD": four, "PMART": four})
+    lab = {(r["scope"], r["model_name"], r["label"]): r for r in
+           out4["scopes"].where("level = 'label'").collect()}
+    assert lab[("PMART", "m1", "decorator")]["tp"] == 1
+    assert ("ALL", "m1", "decorator") not in lab
+    m1 = {r["model_name"]: r for r in out4["micro_scores"].collect()}["m1"]
+    assert (m1["total_tp"], m1["total_fp"], m1["total_fn"]) == (2, 2, 2)
