@@ -12,8 +12,12 @@ from labelscope.functions.scores import with_prf
 from labelscope.operators import metrics as M
 
 
+SUMMARY_IGNORED = 100
+
+
 def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
-                  targets: Sequence[str] = DEFAULT_TARGETS) -> DataFrame:
+                  targets: Sequence[str] = DEFAULT_TARGETS,
+                  ignored_top: int = SUMMARY_IGNORED) -> DataFrame:
     """One row per model with the nested summary: model, precision, recall,
     f1, total_tp/fp/fn, pattern_scores (target order), ignored_detections
     (raw label -> rows), breakdown_by_source (origin -> correct/total/
@@ -21,6 +25,10 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
 
     Label, origin and micro figures come from one grouping-sets aggregation
     over the verdicts; only the out-of-scope histogram reads detection rows.
+    A model's distinct out-of-scope spellings are not bounded, so the summary
+    holds its ``ignored_top`` most frequent ones plus ``ignored_distinct`` and
+    ``ignored_rows`` totals; the whole histogram is its own table
+    (``metrics.ignored_histogram``).
     ``det`` is accepted for symmetry with the other report inputs.
     """
     del det
@@ -64,19 +72,23 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
                                F.when(F.col("files") > 0, F.col("correct") / F.col("files"))
                                 .otherwise(0.0).alias("accuracy")))))))
          .alias("breakdown_by_source"))
-    hist = (M.ignored_histogram(normed, verdicts)
-            .groupBy("model_name")
-            .agg(F.map_from_entries(F.transform(
-                F.array_sort(F.collect_list(F.struct(
-                    (-F.col("n")).alias("k"), F.col("first_seen").alias("f"),
-                    F.col("raw_label").alias("raw"), F.col("n").alias("n")))),
-                lambda s: F.struct(s["raw"], s["n"]))).alias("ignored_detections")))
+    full = M.ignored_histogram(normed, verdicts)
+    totals = full.groupBy("model_name").agg(F.count(F.lit(1)).alias("ignored_distinct"),
+                                             F.sum("n").alias("ignored_rows"))
+    top = (M.top_ignored(full, ignored_top)
+           .groupBy("model_name")
+           .agg(F.map_from_entries(F.transform(
+               F.array_sort(F.collect_list(F.struct("rank", "raw_label", "n"))),
+               lambda s: F.struct(s["raw_label"], s["n"]))).alias("ignored_detections")))
+    hist = totals.join(top, "model_name", "left")
     out = per_model.join(hist, "model_name", "left")
     empty_map = F.create_map().cast("map<string,bigint>")
     return out.select(
         F.col("model_name").alias("model"), "precision", "recall", "f1",
         "total_tp", "total_fp", "total_fn", "pattern_scores",
         F.coalesce("ignored_detections", empty_map).alias("ignored_detections"),
+        F.coalesce("ignored_distinct", F.lit(0)).alias("ignored_distinct"),
+        F.coalesce("ignored_rows", F.lit(0)).alias("ignored_rows"),
         "breakdown_by_source",
         F.struct("files_processed", F.col("total_tp").alias("correct_count"),
                  F.col("total_fn").alias("missed_count"), F.col("total_fp").alias("fp_count"))

@@ -46,6 +46,15 @@ def _per_file(det: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("__n"), F.min("row_no").alias("__first"))
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Combine one-row aggregates side by side without a join."""
+    cols = [c for p in parts for c in p.columns]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def _files_and_models(det: DataFrame) -> DataFrame:
     """Per-file rows and per-model rows of the (model, file) groups in one
     aggregation (grouping sets), so the detections are read once."""
@@ -63,9 +72,14 @@ def _models_in_order(rows: DataFrame):
         lambda s: s["model_name"]), ",")
 
 
-def run_metadata(det: DataFrame, source_dir: str, origins: Sequence[str] = ORIGINS) -> DataFrame:
+def run_metadata(det: DataFrame, source_dir: str, origins: Sequence[str] = ORIGINS,
+                 items: DataFrame | None = None) -> DataFrame:
     """One row: source_dir, files_processed, models_used (first-seen order),
-    total_results, and distinct files per origin (``<origin>_files``)."""
+    total_results, and distinct files per origin (``<origin>_files``).
+
+    With ``items`` (the listed corpus, ``content`` NULL when unreadable),
+    files_processed counts every listed item and files_read the readable
+    ones; otherwise both count the items present in the detections."""
     fm = _files_and_models(det).withColumn("origin", origin_of("filename", origins))
     file_rows = F.col("__by_model") == 0
     out = fm.agg(
@@ -74,7 +88,15 @@ def run_metadata(det: DataFrame, source_dir: str, origins: Sequence[str] = ORIGI
         F.sum(F.when(file_rows, F.col("__n"))).alias("total_results"),
         *[F.count_if(file_rows & (F.col("origin") == o)).alias(f"{o.lower()}_files")
           for o in origins])
-    return out.select(F.lit(source_dir).alias("source_dir"), "*")
+    if items is not None:
+        listed = items.agg(F.count(F.lit(1)).alias("__listed"),
+                           F.count("content").alias("files_read"))
+        out = _one_row(out, listed)
+        out = out.withColumn("files_processed", F.col("__listed")).drop("__listed")
+    else:
+        out = out.withColumn("files_read", F.col("files_processed"))
+    return out.select(F.lit(source_dir).alias("source_dir"), "files_processed", "models_used",
+                      "total_results", *[f"{o.lower()}_files" for o in origins], "files_read")
 
 
 def run_summary(det: DataFrame) -> DataFrame:
@@ -88,6 +110,12 @@ def run_summary(det: DataFrame) -> DataFrame:
         _models_in_order(fm).alias("models"))
 
 
+def latest_run_in(spark, base: str) -> DataFrame:
+    """Latest run of a table written by ``write_run`` (only the partition
+    column is read)."""
+    return latest_run(runs_table(spark.read.parquet(base).select("run_id")))
+
+
 def runs_table(rows: DataFrame, run_col: str = "run_id") -> DataFrame:
     """(run_id, n_rows) for every run that holds rows."""
     return rows.groupBy(run_col).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -75,17 +75,29 @@ def normalize_detections(det: DataFrame, synonyms: SynonymsArg = None,
     return normalize_column(det, "detected_pattern", "norm_label", synonyms, targets)
 
 
+def drop_error_rows(det: DataFrame) -> DataFrame:
+    """Detection rows of failed calls (response text 'Error: ...') removed."""
+    from labelscope.functions.fixed_values import ERROR_PREFIX
+    if "raw_response" not in det.columns:
+        return det
+    return det.where(~F.coalesce(F.col("raw_response").startswith(ERROR_PREFIX), F.lit(False)))
+
+
 def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
                   targets: Sequence[str] = DEFAULT_TARGETS,
                   key_cols: Sequence[str] = ("filename",),
-                  origins: Sequence[str] = ORIGINS) -> DataFrame:
+                  origins: Sequence[str] = ORIGINS,
+                  exclude_errors: bool = False) -> DataFrame:
     """One row per (model_name, item) with the gold label and detected set.
 
     Columns: model_name, <key_cols>, gold_raw (gold of the item's first row),
     gold_label (normalised gold, NULL when out of scope), detected (sorted
     distinct normalised labels), n_rows, call_duration, first_row, origin,
-    in_scope, correct.
+    in_scope, correct. ``exclude_errors`` leaves failed calls out instead
+    of counting them as misses.
     """
+    if exclude_errors:
+        det = drop_error_rows(det)
     keys = ["model_name", *key_cols]
     normed = normalize_detections(det, synonyms, targets)
     agg = (normed.groupBy(*keys).agg(

@@ -409,7 +409,8 @@ WHERE {sql_origin('filename')} IS NOT NULL""")
 SELECT 'documents' AS source_dir, CAST(count(DISTINCT filename) AS BIGINT) AS files_processed,
        {models_first} AS models_used, CAST(count(*) AS BIGINT) AS total_results,
        CAST(count(DISTINCT filename) FILTER (WHERE starts_with(filename, 'DPD-')) AS BIGINT) AS dpd_files,
-       CAST(count(DISTINCT filename) FILTER (WHERE starts_with(filename, 'PMART-')) AS BIGINT) AS pmart_files
+       CAST(count(DISTINCT filename) FILTER (WHERE starts_with(filename, 'PMART-')) AS BIGINT) AS pmart_files,
+       CAST(count(DISTINCT filename) AS BIGINT) AS files_read
 FROM det""")
     out["run_summary"] = det_sql(f"""
 SELECT CAST(count(*) AS BIGINT) AS rows_loaded,

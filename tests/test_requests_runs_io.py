@@ -142,3 +142,53 @@ def test_run_table_pruning(spark):
     assert "PushedFilters: [IsNotNull(model_name), EqualTo(model_name,m1)]" in plan
     assert "ReadSchema: struct<filename:string,model_name:string>" in plan
     assert [r["filename"] for r in q.collect()] == ["DPD-a.java"]
+
+
+def test_run_metadata_with_items_and_latest_in_folder(spark):
+    det = spark.createDataFrame([("DPD-a.java", "m1", 1), ("PMART-b.java", "m1", 2)],
+                                "filename string, model_name string, row_no long")
+    items = spark.createDataFrame([("DPD-a.java", "x"), ("PMART-b.java", "y"), ("DPD-c.java", None)],
+                                  "filename string, content string")
+    md = RU.run_metadata(det, "src", items=items).collect()[0]
+    assert (md["files_processed"], md["files_read"], md["total_results"]) == (3, 2, 2)
+    base = scratch_path(spark, "runs_latest")
+    RU.write_run(det, base, "2025-12-09_08-56-29")
+    RU.write_run(det.limit(1), base, "2025-12-11_20-22-44")
+    lr = RU.latest_run_in(spark, base).collect()[0]
+    assert (lr["run_id"], lr["n_rows"], lr["n_runs"]) == ("2025-12-11_20-22-44", 1, 2)
+
+
+def test_exclude_errors(spark):
+    from labelscope.operators.metrics import micro_scores
+    from labelscope.operators.verdicts import DETECTION_SCHEMA, file_verdicts
+    det = spark.createDataFrame([
+        ("DPD-a.java", "singleton", "m", "Singleton", "1", "1", "", "{}", 1.0, 1),
+        ("DPD-b.java", "singleton", "m", "None", "0", "0", "", "Error: quota", 1.0, 2)],
+        DETECTION_SCHEMA)
+    kept = micro_scores(file_verdicts(det)).collect()[0]
+    assert (kept["total_tp"], kept["total_fn"]) == (1, 1)
+    ex = micro_scores(file_verdicts(det, exclude_errors=True)).collect()[0]
+    assert (ex["total_tp"], ex["total_fn"], ex["files_processed"]) == (1, 0, 1)
+
+
+def test_hot_item_is_pre_aggregated_before_the_shuffle(spark):
+    """One item holding a third of all rows: the verdict aggregation is
+    partial (map-side) below the exchange, and results stay exact."""
+    from labelscope.operators.metrics import confusion_counts
+    from labelscope.operators.verdicts import file_verdicts
+    n = 30000
+    base = spark.range(0, n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("DPD-hot.java"))
+         .otherwise(F.concat(F.lit("DPD-"), F.col("id").cast("string"), F.lit(".java")))
+         .alias("filename"),
+        F.lit("singleton").alias("ground_truth_label"), F.lit("m").alias("model_name"),
+        F.when(F.col("id") % 2 == 0, F.lit("Singleton")).otherwise(F.lit("Observer"))
+         .alias("detected_pattern"),
+        F.lit(1.0).alias("duration_seconds"), F.col("id").alias("row_no"))
+    v = file_verdicts(base)
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_collect_set") > plan.index("Exchange hashpartitioning")
+    hot = v.where("filename = 'DPD-hot.java'").collect()[0]
+    assert hot["n_rows"] == n // 3 and hot["detected"] == ["observer", "singleton"]
+    counts = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in confusion_counts(v).collect()}
+    assert counts["singleton"][0] + counts["singleton"][2] == 1 + (n - n // 3)
