@@ -39,25 +39,3 @@ def strict_json(c: Column | str) -> Column:
 def is_json_object_text(c: Column | str) -> Column:
     """The (already valid) JSON text denotes an object."""
     return F.regexp_like(_col(c), F.lit(_JSON_OBJECT_START))
-
-
-def extract_json_columns(text: Column | str) -> dict[str, Column]:
-    """Columns describing the extraction of one response text.
-
-    Returns ``step`` ('whole' | 'fence' | 'braces' | NULL), ``value``
-    (VARIANT of the accepted candidate) and ``is_object``.
-    """
-    t = _col(text)
-    whole = strict_json(t)
-    fence_txt = F.regexp_extract(t, FENCE_RE, 1)
-    fence = F.when(fence_txt != "", strict_json(fence_txt))
-    brace_txt = F.regexp_extract(t, BRACE_RE, 1)
-    brace = F.when(brace_txt != "", strict_json(brace_txt))
-    step = (F.when(whole.isNotNull(), F.lit("whole"))
-             .when(fence.isNotNull(), F.lit("fence"))
-             .when(brace.isNotNull(), F.lit("braces")))
-    value = F.coalesce(whole, fence, brace)
-    is_object = (F.when(whole.isNotNull(), is_json_object_text(t))
-                  .when(fence.isNotNull() | brace.isNotNull(), F.lit(True))
-                  .otherwise(F.lit(False)))
-    return {"step": step, "value": value, "is_object": is_object}

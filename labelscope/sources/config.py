@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelscope.functions.text import py_strip
 from labelscope.operators.requests import MAX_MODELS, MODEL_FIELDS

@@ -23,10 +23,17 @@ def _glob(extensions: Sequence[str]) -> str:
 
 
 def _exists(spark: SparkSession, root: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    """Whether the root exists (file-system metadata only)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(root)
+        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    except Exception:  # noqa: BLE001 - no JVM access (Spark Connect): probe with a listing
+        try:
+            spark.read.format("binaryFile").load(root).select("path").limit(1).collect()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 def scan_files(spark: SparkSession, root: str,

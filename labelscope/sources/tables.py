@@ -29,7 +29,11 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     after projecting the needed columns so only those move. With ``key`` the
     rows are hash-distributed on it (deterministic, no local sort).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave as is
+        return df
+    if current < target:
         return df.repartition(target, key) if key else df.repartition(target)
     return df
