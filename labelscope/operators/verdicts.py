@@ -99,8 +99,13 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     if exclude_errors:
         det = drop_error_rows(det)
     keys = ["model_name", *key_cols]
+    # The origin prefix is read from the file name even when items are keyed
+    # by something longer (e.g. the full path).
+    origin_src = "filename" if "filename" in det.columns else key_cols[0]
+    extra = [F.min(origin_src).alias("__origin_src")] if origin_src not in keys else []
     normed = normalize_detections(det, synonyms, targets)
     agg = (normed.groupBy(*keys).agg(
+        *extra,
         F.min_by("ground_truth_label", "row_no").alias("gold_raw"),
         F.array_sort(F.collect_set("norm_label")).alias("detected"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -111,7 +116,9 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     ))
     gold = normalize_label("gold_raw", synonyms, targets)
     return (agg.withColumn("gold_label", gold)
-               .withColumn("origin", origin_of(key_cols[0], origins))
+               .withColumn("origin", origin_of(origin_src if not extra else "__origin_src",
+                                               origins))
+               .drop("__origin_src")
                .withColumn("in_scope", F.col("gold_label").isNotNull())
                .withColumn("correct", F.coalesce(
                    F.array_contains("detected", F.col("gold_label")), F.lit(False))))

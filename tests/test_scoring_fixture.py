@@ -169,3 +169,17 @@ def test_evaluate_writes_all_tables(spark, det):
     assert ("ALL", "m1", "decorator") not in lab
     m1 = {r["model_name"]: r for r in out4["micro_scores"].collect()}["m1"]
     assert (m1["total_tp"], m1["total_fp"], m1["total_fn"]) == (2, 2, 2)
+
+
+def test_key_cols_keep_same_names_apart(spark):
+    """Q12: with key_cols=('path',) equal file names under two labels stay
+    two items; with the default they merge and the first gold wins."""
+    from labelscope.operators.verdicts import DETECTION_SCHEMA
+    rows = [("DPD-x.java", "singleton", "m", "Singleton", 1), ("DPD-x.java", "observer", "m", "Observer", 2)]
+    data = [(fn, g, m, d, "1", "1", "", None, 1.0, rn) for fn, g, m, d, rn in rows]
+    df = spark.createDataFrame(data, DETECTION_SCHEMA)
+    merged = file_verdicts(df).collect()
+    assert len(merged) == 1 and merged[0]["gold_label"] == "singleton"
+    paths = df.withColumn("path", F.concat(F.col("ground_truth_label"), F.lit("/"), F.col("filename")))
+    apart = file_verdicts(paths, key_cols=("path",)).collect()
+    assert len(apart) == 2 and all(r["correct"] and r["origin"] == "DPD" for r in apart)
