@@ -140,18 +140,25 @@ def explode_detections(extracted: DataFrame, keep: Sequence[str] = ("request_id"
 def rejected_elements(extracted: DataFrame, keep: Sequence[str] = ("request_id",),
                       payload_key: str = PAYLOAD_KEY) -> DataFrame:
     """Reject table: list elements that are not objects, and truthy payload
-    values that are not lists (pos -1)."""
-    bad = F.filter(_elements(payload_key), lambda s: ~s["is_object"])
-    elems = (extracted.select(*keep, F.explode(bad).alias("r"))
-             .select(*keep, F.col("r.pos").alias("pos"),
-                     F.to_json(F.col("r.element")).alias("element"),
-                     F.lit("element_not_object").alias("reason")))
-    not_list = (extracted.where(F.col("parse_status") == "not_list")
-                .select(*keep, F.lit(-1).alias("pos"),
-                        F.to_json(F.try_variant_get("payload", _path(payload_key), "variant"))
-                         .alias("element"),
-                        F.lit("value_not_list").alias("reason")))
-    return elems.unionByName(not_list)
+    values that are not lists (pos -1).
+
+    Built with one ``explode`` per response, not with a filter on the status
+    columns: a filter on them would be pushed below the projections that
+    compute them and re-evaluate the whole extraction chain inside it.
+    """
+    reject = "struct<pos:int,element:string,reason:string>"
+    bad = F.transform(F.filter(_elements(payload_key), lambda s: ~s["is_object"]),
+                      lambda s: F.struct(s["pos"].alias("pos"),
+                                         F.to_json(s["element"]).alias("element"),
+                                         F.lit("element_not_object").alias("reason")))
+    not_list = F.when(F.col("parse_status") == "not_list", F.array(F.struct(
+        F.lit(-1).alias("pos"),
+        F.to_json(F.try_variant_get("payload", _path(payload_key), "variant")).alias("element"),
+        F.lit("value_not_list").alias("reason"))))
+    empty = F.array().cast(f"array<{reject}>")
+    rows = F.concat(F.coalesce(bad, empty), F.coalesce(not_list, empty))
+    return (extracted.select(*keep, F.explode(rows).alias("r"))
+            .select(*keep, "r.pos", "r.element", "r.reason"))
 
 
 def attach_durations(responses: DataFrame, start_col: str = "started_at",

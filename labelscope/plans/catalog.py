@@ -245,6 +245,47 @@ def q_detection_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _response_detections(spark, sf_dir):
+    from labelscope.operators.responses import detection_rows
+    return detection_rows(D.response_requests(spark, sf_dir),
+                          D.responses(spark, sf_dir).drop("model_name", "filename"))
+
+
+def q_response_scores(spark, sf_dir):
+    v = file_verdicts(_response_detections(spark, sf_dir))
+    return M.micro_scores(v).drop("first_row")
+
+
+def q_response_label_scores(spark, sf_dir):
+    return M.label_scores(file_verdicts(_response_detections(spark, sf_dir)))
+
+
+def q_response_durations(spark, sf_dir):
+    out = M.duration_stats(file_verdicts(_response_detections(spark, sf_dir)))
+    return _round6(out, {"duration_mean_by_row", "duration_total_by_row",
+                         "duration_mean_by_call", "duration_total_by_call"})
+
+
+def q_response_rejects(spark, sf_dir):
+    from labelscope.operators.responses import rejected_elements
+    return rejected_elements(_extracted(spark, sf_dir))
+
+
+def q_keyword_label_join(spark, sf_dir):
+    from labelscope.functions.fixed_values import LABEL_KEYWORDS
+    kw = spark.createDataFrame(
+        [(label, k, i) for i, (label, ks) in enumerate(LABEL_KEYWORDS) for k in ks],
+        "label string, keyword string, priority int")
+    return (C.keyword_labels_join(_java_paths(spark, sf_dir), kw, key_col="doc_id")
+            .select("doc_id", "stem", "label"))
+
+
+def q_item_index(spark, sf_dir):
+    from labelscope.operators.ordering import dense_index
+    docs = load_table(spark, sf_dir, "documents").select(F.expr(D.DET_FILENAME).alias("filename"))
+    return dense_index(docs, ["filename"], "item_no")
+
+
 # -- runs --------------------------------------------------------------------
 
 def q_source_split(spark, sf_dir):
@@ -298,6 +339,12 @@ QUERIES: dict[str, Query] = {
     "response_extract": q_response_extract,
     "detection_explode": q_detection_explode,
     "detection_stream": q_detection_stream,
+    "response_rejects": q_response_rejects,
+    "response_scores": q_response_scores,
+    "response_label_scores": q_response_label_scores,
+    "response_durations": q_response_durations,
+    "keyword_label_join": q_keyword_label_join,
+    "item_index": q_item_index,
     "csv_roundtrip": q_csv_roundtrip,
     "source_split": q_source_split,
     "run_metadata": q_run_metadata,

@@ -98,12 +98,22 @@ RESP_TEXT = (
     "WHEN 5 THEN 'Error: timeout after ' || CAST(event_id % 120 AS STRING) || 's' "
     "WHEN 6 THEN '{\"design_patterns\": []}' "
     "ELSE '[' || " + RESP_DOC + " || ']' END END")
+RESP_REQUEST_ID = "'req-' || CAST(event_id AS STRING)"
+RESP_MODEL = "CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END"
+RESP_MODEL_NO = "user_id % 3"
+RESP_FILENAME = ("CASE WHEN event_id % 2 = 0 THEN 'DPD-' ELSE 'PMART-' END || 'ev' || "
+                 "CAST(event_id AS STRING) || '.java'")
+# Gold label of the item behind each response (labels of the evaluated
+# workflow; 'decorator' and 'strategy' are out of its default scope).
+RESP_GOLD = ("CASE WHEN user_id % 7 = 0 THEN 'singleton' ELSE CASE event_type "
+             "WHEN 'view' THEN 'observer' WHEN 'click' THEN 'factory' "
+             "WHEN 'purchase' THEN 'singleton' WHEN 'signup' THEN 'decorator' "
+             "ELSE 'strategy' END END")
 RESP_COLUMNS = (
-    ("request_id", "'req-' || CAST(event_id AS STRING)"),
+    ("request_id", RESP_REQUEST_ID),
     ("event_id", "event_id"),
-    ("model_name", "CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END"),
-    ("filename", "CASE WHEN event_id % 2 = 0 THEN 'DPD-' ELSE 'PMART-' END || 'ev' || "
-                 "CAST(event_id AS STRING) || '.java'"),
+    ("model_name", RESP_MODEL),
+    ("filename", RESP_FILENAME),
     ("raw_response", RESP_TEXT),
     ("started_at", "ts"),
 )
@@ -194,7 +204,20 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``resp``: one free-text response per event."""
     ev = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
                                                     "value")
-    return spread(ev, "event_id").select(*[F.expr(e).alias(n) for n, e in RESP_COLUMNS])
+    out = spread(ev, "event_id").select(*[F.expr(e).alias(n) for n, e in RESP_COLUMNS])
+    # the call took (event_id % 60) seconds
+    return out.withColumn("ended_at", F.col("started_at") + F.make_interval(
+        secs=(F.col("event_id") % 60).cast("decimal(18,6)")))
+
+
+def response_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request behind each ``resp`` row: request_id, filename,
+    gold_label, model_name, item_no, model_no."""
+    ev = load_table(spark, sf_dir, "events")
+    return ev.select(F.expr(RESP_REQUEST_ID).alias("request_id"),
+                     F.expr(RESP_FILENAME).alias("filename"), F.expr(RESP_GOLD).alias("gold_label"),
+                     F.expr(RESP_MODEL).alias("model_name"), F.col("event_id").alias("item_no"),
+                     F.expr(RESP_MODEL_NO).cast("int").alias("model_no"))
 
 
 def corpus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

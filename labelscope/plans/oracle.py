@@ -78,11 +78,14 @@ det AS (
 )"""
 
 
-def _scoring_ctes() -> str:
-    norm = sql_norm("detected_pattern", D.DET_SYNONYMS, D.DET_TARGETS)
-    gold = sql_norm("gold_raw", D.DET_SYNONYMS, D.DET_TARGETS)
-    tl = ", ".join(f"({q(t)})" for t in D.DET_TARGETS)
-    return _det_cte() + f""",
+def _scoring_ctes(det_block: str | None = None, synonyms: dict | None = None,
+                  targets=None) -> str:
+    synonyms = D.DET_SYNONYMS if synonyms is None else synonyms
+    targets = D.DET_TARGETS if targets is None else targets
+    norm = sql_norm("detected_pattern", synonyms, targets)
+    gold = sql_norm("gold_raw", synonyms, targets)
+    tl = ", ".join(f"({q(t)})" for t in targets)
+    return (det_block or _det_cte()) + f""",
 det_n AS (SELECT *, {norm} AS norm_label FROM det),
 verdict0 AS (
   SELECT model_name, filename, arg_min(ground_truth_label, row_no) AS gold_raw,
@@ -439,3 +442,50 @@ def _chunks(s: str):
             buf += ch
     if buf:
         yield buf
+
+
+def _resp_det_block() -> str:
+    """``det`` built from the response relation joined back to its requests."""
+    return _resp_ctes() + f""",
+rq AS (SELECT {D.RESP_REQUEST_ID} AS request_id, {D.RESP_FILENAME} AS filename,
+              {D.RESP_GOLD} AS gold_label, {D.RESP_MODEL} AS model_name,
+              event_id AS item_no, {D.RESP_MODEL_NO} AS model_no, event_id FROM events),
+det AS (
+  SELECT r.filename, r.gold_label AS ground_truth_label, r.model_name, d.detected_pattern,
+         d.confidence, d.adherence, d.reasoning, d.raw_response,
+         CAST(r.event_id % 60 AS DOUBLE) AS duration_seconds,
+         CAST(r.item_no * 268435456 + r.model_no * 65536 + d.pos + 1 AS BIGINT) AS row_no
+  FROM dets d JOIN rq r USING (request_id))"""
+
+
+def response_oracle_queries() -> dict[str, str]:
+    from labelscope.functions.fixed_values import DEFAULT_SYNONYMS, DEFAULT_TARGETS
+    ctes = "WITH " + _scoring_ctes(_resp_det_block(), DEFAULT_SYNONYMS, DEFAULT_TARGETS)
+    out = {
+        "response_scores": ctes + """
+SELECT model_name, CAST(files_processed AS BIGINT) AS files_processed, total_tp, total_fp,
+       total_fn, precision, recall, f1, total_tp AS correct_count, total_fn AS missed_count,
+       total_fp AS fp_count
+FROM micro_s""",
+        "response_label_scores": ctes + f"""
+SELECT model_name, label, tp, fp, fn, {sql_prf('tp', 'fp', 'fn')} FROM counts""",
+        "response_durations": ctes + """
+SELECT model_name, round(sum(duration_seconds) / count(duration_seconds), 6) AS duration_mean_by_row,
+       round(sum(duration_seconds), 6) AS duration_total_by_row,
+       CAST(count(duration_seconds) AS BIGINT) AS n_rows,
+       round((SELECT avg(call_duration) FROM verdict_x v WHERE v.model_name = det.model_name), 6)
+         AS duration_mean_by_call,
+       round((SELECT sum(call_duration) FROM verdict_x v WHERE v.model_name = det.model_name), 6)
+         AS duration_total_by_call,
+       (SELECT CAST(count(call_duration) AS BIGINT) FROM verdict_x v
+         WHERE v.model_name = det.model_name) AS n_calls
+FROM det GROUP BY model_name""",
+        "response_rejects": "WITH " + _resp_ctes() + """
+SELECT request_id, pos, CAST(e AS VARCHAR) AS element, 'element_not_object' AS reason
+FROM el WHERE json_type(e) <> 'OBJECT'""",
+        "item_index": f"""
+SELECT {D.DET_FILENAME} AS filename,
+       CAST(row_number() OVER (ORDER BY {D.DET_FILENAME}) - 1 AS BIGINT) AS item_no
+FROM documents""",
+    }
+    return out
