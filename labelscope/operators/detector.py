@@ -21,19 +21,33 @@ Detector = Callable[["pandas.DataFrame"], "pandas.DataFrame"]  # noqa: F821
 
 def run_detector(requests: DataFrame, detector: Detector,
                  columns: tuple[str, ...] = ("request_id", "model_name", "messages",
-                                             "temperature", "max_tokens")) -> DataFrame:
-    """Responses of ``detector`` for every request (one output row each)."""
-    cols = [c for c in columns if c in requests.columns]
+                                             "temperature", "max_tokens"),
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """Responses of ``detector`` for every request (one output row each).
+
+    ``carry`` names request columns (e.g. filename, gold_label, model_name,
+    item_no, model_no) copied onto each response inside the task that made
+    it, so the responses need no join back to the requests (see
+    ``responses.detection_rows`` with ``requests=None``).
+    """
+    cols = list(dict.fromkeys([c for c in (*columns, *carry) if c in requests.columns]))
+    carried = [c for c in carry if c != "request_id"]
+    schema = requests.select(*carried).schema if carried else None
+    out_schema = RESPONSE_SCHEMA + "".join(
+        f", {f.name} {f.dataType.simpleString()}" for f in (schema.fields if schema else []))
 
     def apply(batches: Iterator) -> Iterator:
         import pandas as pd
         for pdf in batches:
             out = detector(pdf)
-            yield pd.DataFrame({
+            res = pd.DataFrame({
                 "request_id": out["request_id"].astype(str),
                 "raw_response": out["raw_response"],
                 "started_at": pd.to_datetime(out["started_at"]),
                 "ended_at": pd.to_datetime(out["ended_at"]),
             })
+            if carried:
+                res = res.merge(pdf[["request_id", *carried]], on="request_id", how="left")
+            yield res
 
-    return requests.select(*cols).mapInPandas(apply, RESPONSE_SCHEMA)
+    return requests.select(*cols).mapInPandas(apply, out_schema)

@@ -168,24 +168,29 @@ def attach_durations(responses: DataFrame, start_col: str = "started_at",
     return responses.withColumn(out_col, micros.cast("double") / F.lit(1_000_000.0))
 
 
-def detection_rows(requests: DataFrame, responses: DataFrame,
+def detection_rows(requests: DataFrame | None, responses: DataFrame,
                    payload_key: str = PAYLOAD_KEY,
                    repair_unwrapped: bool = False) -> DataFrame:
     """Join responses back to their requests and emit the detection table
     (filename, ground_truth_label, model_name, detected_pattern, confidence,
     adherence, reasoning, raw_response, duration_seconds, row_no).
 
-    ``requests`` needs ``item_no`` (see ``operators.ordering.dense_index``)
+    ``requests=None`` reads those columns from the responses themselves
+    (no join). ``requests`` needs ``item_no`` (see ``operators.ordering.dense_index``)
     and ``model_no``. ``row_no`` orders rows by (item, model, element) so
     "first row" rules do not depend on partitioning (limits: 2^35 items,
     4,096 models, 65,535 elements per response).
     """
-    req = requests.select("request_id", "filename", "gold_label", "model_name", "item_no",
-                          "model_no")
     resp = responses
     if "duration_seconds" not in resp.columns:
         resp = attach_durations(resp)
-    joined = resp.join(req, "request_id")
+    if requests is None:
+        # responses already carry the request columns (run_detector carry=...)
+        joined = resp
+    else:
+        req = requests.select("request_id", "filename", "gold_label", "model_name", "item_no",
+                              "model_no")
+        joined = resp.join(req, "request_id")
     ex = extract_responses(joined, payload_key=payload_key, repair_unwrapped=repair_unwrapped)
     keep = ("request_id", "filename", "gold_label", "model_name", "raw_response",
             "duration_seconds", "item_no", "model_no")

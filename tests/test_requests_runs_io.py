@@ -192,3 +192,27 @@ def test_hot_item_is_pre_aggregated_before_the_shuffle(spark):
     assert hot["n_rows"] == n // 3 and hot["detected"] == ["observer", "singleton"]
     counts = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in confusion_counts(v).collect()}
     assert counts["singleton"][0] + counts["singleton"][2] == 1 + (n - n // 3)
+
+
+def test_detector_carry_needs_no_join(spark):
+    from labelscope.operators.detector import run_detector
+    items = spark.createDataFrame([("DPD-a.java", "singleton", "class Singleton {}")],
+                                  "filename string, gold_label string, content string")
+    items = dense_index(items, ["filename"], "item_no")
+    req = build_requests(items, MODELS[:1], "i", keep=("filename", "gold_label", "item_no"))
+
+    def detector(pdf):
+        import pandas as pd
+        t = pd.Timestamp("2025-01-01")
+        return pd.DataFrame({"request_id": pdf["request_id"],
+                             "raw_response": '{"design_patterns":[{"pattern":"Singleton"}]}',
+                             "started_at": t, "ended_at": t + pd.Timedelta(seconds=3)})
+
+    resp = run_detector(req, detector, carry=("filename", "gold_label", "model_name",
+                                              "item_no", "model_no"))
+    det = detection_rows(None, resp)
+    plan = det._jdf.queryExecution().executedPlan().toString()
+    assert not any("Join" in line and "request_id" in line for line in plan.splitlines())
+    r = det.collect()[0]
+    assert (r["filename"], r["ground_truth_label"], r["detected_pattern"], r["duration_seconds"]) == \
+        ("DPD-a.java", "singleton", "Singleton", 3.0)
