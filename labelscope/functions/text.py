@@ -42,17 +42,33 @@ def parent_dir(c: Column | str) -> Column:
     return F.regexp_extract(_col(c), r"([^/]*)/[^/]*$", 1)
 
 
+def bind(expr: Column, fn) -> Column:
+    """``fn(x)`` with ``x`` bound once to ``expr``.
+
+    When ``fn`` refers to its argument several times, every reference would
+    otherwise carry a copy of ``expr`` (and Catalyst substitutes those copies
+    again when it pushes a filter down), so generated code grows with each
+    layer. A lambda variable is evaluated once.
+    """
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def stem(c: Column | str) -> Column:
-    """File name without its last suffix (``Path.stem``)."""
-    name = basename(c)
-    return F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]+$")),
-                  F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)).otherwise(name)
+    """File name without its last suffix (``Path.stem``): one regular
+    expression, so the name is referenced once."""
+    return F.regexp_extract(basename(c), r"^(.+?)(\.[^.]+)?$", 1)
 
 
 def extension(c: Column | str) -> Column:
     """Last suffix with its dot (``Path.suffix``), '' when there is none."""
-    name = basename(c)
-    return F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    return F.regexp_extract(basename(c), r"^.+(\.[^.]+)$", 1)
+
+
+def ends_with_any(c: Column | str, suffixes) -> Column:
+    """``str.endswith(tuple)`` as one anchored regular expression."""
+    alts = "|".join("".join("\\" + ch if not ch.isalnum() else ch for ch in sfx)
+                    for sfx in suffixes)
+    return F.regexp_like(_col(c), F.lit(f"({alts})\\z"))
 
 
 def decode_source_bytes(c: Column | str) -> Column:

@@ -18,7 +18,9 @@ from labelscope.functions.fixed_values import (
     DEFAULT_PROJECT, LABEL_KEYWORDS, ORIGINS, PROJECT_PREFIXES, RAW_LABEL_MAP,
     SAMPLES_PER_LABEL, SEED, SOURCE_EXTENSIONS,
 )
-from labelscope.functions.text import basename, extension, parent_dir, py_split_first, stem
+from labelscope.functions.text import (
+    basename, bind, ends_with_any, extension, parent_dir, py_split_first, stem,
+)
 
 MAX_INLINE_KEYWORDS = 1024
 
@@ -36,14 +38,11 @@ def path_labels(paths: DataFrame, path_col: str = "path",
                 keep_all: bool = False) -> DataFrame:
     """Add filename, stem, ext, gold_label (immediate parent folder) and
     ``kept`` (file name ends with a kept extension, case-sensitive)."""
-    fn = basename(path_col)
-    kept = None
-    for e in extensions:
-        c = fn.endswith(e)
-        kept = c if kept is None else (kept | c)
-    out = paths.select("*", fn.alias("filename"), stem(path_col).alias("stem"),
-                       extension(path_col).alias("ext"),
-                       parent_dir(path_col).alias("gold_label"), kept.alias("kept"))
+    out = (paths.withColumn("filename", basename(path_col))
+                .withColumn("stem", stem("filename"))
+                .withColumn("ext", extension("filename"))
+                .withColumn("gold_label", parent_dir(path_col))
+                .withColumn("kept", ends_with_any("filename", extensions)))
     return out if keep_all else out.where("kept").drop("kept")
 
 
@@ -51,18 +50,21 @@ def keyword_label_expr(stem_col: Column | str,
                        keywords: Sequence[tuple[str, Sequence[str]]] = LABEL_KEYWORDS) -> Column:
     """First label (in the given order) whose keyword occurs in the
     lower-cased stem; NULL when none does."""
-    s = F.lower(F.col(stem_col) if isinstance(stem_col, str) else stem_col)
     n = sum(len(k) for _, k in keywords)
     if n > MAX_INLINE_KEYWORDS:
         raise ValueError(f"{n} keywords: use keyword_labels_join for large keyword tables")
-    out = None
-    for label, kws in keywords:
-        cond = None
-        for kw in kws:
-            c = s.contains(kw.lower())
-            cond = c if cond is None else (cond | c)
-        out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
-    return out
+
+    def first_label(s):
+        out = None
+        for label, kws in keywords:
+            cond = None
+            for kw in kws:
+                c = s.contains(kw.lower())
+                cond = c if cond is None else (cond | c)
+            out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
+        return out
+
+    return bind(F.lower(F.col(stem_col) if isinstance(stem_col, str) else stem_col), first_label)
 
 
 def keyword_labels(paths: DataFrame, stem_col: str = "stem",
