@@ -145,9 +145,24 @@ def test_summary_and_report(det, verdicts):
     assert row["debug_info"]["files_processed"] == 5
     js = summary_json(summ).collect()
     assert len(js) == 2 and all(r["summary_json"].startswith("{") for r in js)
-    lines = report_lines(summ).where("model = 'm1'").orderBy("line_no").collect()
-    assert lines[0]["line"] == "ANALYSIS: M1"
-    assert any(l["line"].startswith("OVERALL") for l in lines)
+    lines = [r["line"] for r in report_lines(
+        summ, stats=M.score_stats(det), durations=M.duration_stats(verdicts),
+        missed=M.missed_sample(verdicts), fps=M.fp_sample(verdicts),
+        top_ignored=M.top_ignored(M.ignored_histogram(normed, verdicts)))
+        .where("model = 'm1'").orderBy("section", "line_no").collect()]
+    assert lines[1] == "ANALYSIS: M1"
+    assert any(l.startswith("OVERALL") for l in lines)
+    assert "   - Strategy: 1x" in lines
+    assert "   - DPD-b.java: expected 'factory', got ['none']" in lines
+    assert "   - PMART-e.java: expected 'singleton', wrongly detected 'observer'" in lines
+    assert "  Avg Adherence:  49.0 (min: 0, max: 80)" in lines
+    assert "  Avg Response Time: 2.10s (total: 21.0s)" in lines
+    assert "   DPD     : 2/3 correct (66.7%)" in lines
+    from labelscope.operators.report import comparison_lines
+    board = [r["line"] for r in comparison_lines(M.micro_scores(verdicts))
+             .orderBy("section", "line_no").collect()]
+    assert board[3].startswith("m2") and board[4].startswith("m1")
+    assert "[1st] Best Model: m2 (F1 = 0.800)" in board
 
 
 def test_evaluate_writes_all_tables(spark, det):
