@@ -33,10 +33,13 @@ def split_by_origin(det: DataFrame, origins: Sequence[str] = ORIGINS) -> DataFra
 
 
 def write_run(det: DataFrame, base: str, run_id: str, origins: Sequence[str] = ORIGINS) -> str:
-    """Append a run's detection rows partitioned by (run_id, origin); an
-    origin without rows gets no folder. Returns the table path."""
+    """Write a run's detection rows partitioned by (run_id, origin); an
+    origin without rows gets no folder. Only this run's partitions are
+    replaced (dynamic partition overwrite), so a retried or repeated job is
+    idempotent and other runs are kept. Returns the table path."""
     (with_origin(det, origins).withColumn("run_id", F.lit(run_id))
-        .write.mode("append").partitionBy("run_id", "origin").parquet(base))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id", "origin").parquet(base))
     return base
 
 

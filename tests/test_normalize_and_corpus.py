@@ -110,3 +110,12 @@ def test_corpus_summary_total_row(spark):
     got = {r["gold_label"]: (r["dpd"], r["pmart"], r["total"])
            for r in C.corpus_summary(df).collect()}
     assert got == {"a": (1, 1, 2), "b": (1, 0, 1), "TOTAL": (2, 1, 3)}
+
+
+def test_py_strip_matches_python(spark):
+    from labelscope.functions.text import py_strip
+    chars = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["​", "﻿", "᠎", "x"]
+    df = spark.createDataFrame([(c + "a b" + c + c,) for c in chars], "s string")
+    got = [r["t"] for r in df.select(py_strip("s").alias("t")).collect()]
+    want = [(c + "a b" + c + c).strip() for c in chars]
+    assert got == want

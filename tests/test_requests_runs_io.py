@@ -216,3 +216,14 @@ def test_detector_carry_needs_no_join(spark):
     r = det.collect()[0]
     assert (r["filename"], r["ground_truth_label"], r["detected_pattern"], r["duration_seconds"]) == \
         ("DPD-a.java", "singleton", "Singleton", 3.0)
+
+
+def test_write_run_is_idempotent(spark):
+    det = spark.createDataFrame([("DPD-a.java", "m1", 1), ("PMART-b.java", "m1", 2)],
+                                "filename string, model_name string, row_no long")
+    base = scratch_path(spark, "runs_idem")
+    RU.write_run(det, base, "r1")
+    RU.write_run(det, base, "r2")
+    RU.write_run(det, base, "r1")   # retried run replaces only its own partitions
+    counts = {r["run_id"]: r["count"] for r in spark.read.parquet(base).groupBy("run_id").count().collect()}
+    assert counts == {"r1": 2, "r2": 2}
