@@ -72,6 +72,10 @@ SEED = 42
 SAMPLES_PER_LABEL = 10
 
 # Response handling.
+# Extraction patterns, tried in this order after the whole text ("\s" is
+# Python white space; "." also matches new lines).
+FENCE_PATTERN = r"```json\s*(\{.*?\})\s*```"
+BRACE_PATTERN = r"(\{.*\})"
 PAYLOAD_KEY = "design_patterns"
 FALLBACK_LABEL = "None"
 FALLBACK_SCORE = "0"
@@ -94,6 +98,12 @@ PROVIDERS = {
 FIXED_TEMPERATURE_MODEL = "gpt-5"
 FIXED_TEMPERATURE = 1.0
 
+# Labels that mean "nothing detected" (compared lower-cased).
+NONE_MARKERS = ("none", "")
+
+# Run id format (date and time, sorts by time).
+RUN_ID_FORMAT = "yyyy-MM-dd_HH-mm-ss"
+
 # Sample sizes of the report.
 TOP_IGNORED = 5
 EVIDENCE_SAMPLE = 5
@@ -111,3 +121,32 @@ PY_WHITESPACE_CLASS = (
     r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+
+# Report texts, in the order they are printed.
+REPORT_RULE = "=" * 70
+REPORT_TITLE = "ANALYSIS: "
+REPORT_FILES = "Files processed: %d"
+REPORT_IGNORED_HEAD = "[!] OUT-OF-SCOPE PATTERNS DETECTED (ignored in metrics):"
+REPORT_IGNORED_LINE = "   - %s: %dx"
+REPORT_TABLE_HEAD = ("Pattern", "TP", "FP", "FN", "Prec", "Recall", "F1")
+REPORT_TABLE_HEAD_FORMAT = "%-20s %-6s %-6s %-6s %-8s %-8s %-8s"
+REPORT_TABLE_ROW_FORMAT = "%-20s %-6d %-6d %-6d %-8.3f %-8.3f %-8.3f"
+REPORT_TABLE_RULE = "-" * 70
+REPORT_OVERALL = "OVERALL"
+REPORT_MISSED_HEAD = "[X] MISSED DETECTIONS (sample of 5):"
+REPORT_MISSED_LINE = "   - %s: expected '%s', got ['%s']"
+REPORT_FP_HEAD = "[!] FALSE POSITIVES (sample of 5):"
+REPORT_FP_LINE = "   - %s: expected '%s', wrongly detected '%s'"
+REPORT_QUALITY_HEAD = "QUALITATIVE ANALYSIS"
+REPORT_SECTION_RULE = "-" * 40
+REPORT_CONFIDENCE = "  Avg Confidence: %.1f (min: %.0f, max: %.0f)"
+REPORT_ADHERENCE = "  Avg Adherence:  %.1f (min: %.0f, max: %.0f)"
+REPORT_RESPONSE_TIME = "  Avg Response Time: %.2fs (total: %.1fs)"
+REPORT_SOURCE_HEAD = "BREAKDOWN BY SOURCE"
+REPORT_SOURCE_LINE = "   %-8s: %d/%d correct (%.1f%%)"
+REPORT_COMPARISON_HEAD = "MODEL COMPARISON"
+REPORT_COMPARISON_COLUMNS = ("Model", "Precision", "Recall", "F1-Score")
+REPORT_COMPARISON_HEAD_FORMAT = "%-25s %-12s %-12s %-12s"
+REPORT_COMPARISON_ROW_FORMAT = "%-25s %-12.3f %-12.3f %-12.3f"
+REPORT_BEST = "[1st] Best Model: %s (F1 = %.3f)"
+REPORT_PUBLISHED_HEAD = "PUBLISHED RESULTS"

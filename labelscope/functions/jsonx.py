@@ -15,11 +15,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelscope.functions.fixed_values import PY_WHITESPACE_CLASS
+from labelscope.functions.fixed_values import BRACE_PATTERN, FENCE_PATTERN, PY_WHITESPACE_CLASS
 
-_WS = PY_WHITESPACE_CLASS
-FENCE_RE = r"(?s)```json" + _WS + r"*(\{.*?\})" + _WS + r"*```"
-BRACE_RE = r"(?s)(\{.*\})"
+
+def _for_spark(pattern: str) -> str:
+    """A pattern with Python semantics for Java regex and RE2: ``\\s`` is
+    Python white space and ``.`` also matches new lines."""
+    return "(?s)" + pattern.replace(r"\s", PY_WHITESPACE_CLASS)
+
+
+FENCE_RE = _for_spark(FENCE_PATTERN)
+BRACE_RE = _for_spark(BRACE_PATTERN)
 _SENTINEL = '"__end_of_text__"'
 _JSON_OBJECT_START = r"^[ \t\n\r]*\{"
 

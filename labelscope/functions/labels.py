@@ -7,7 +7,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelscope.functions.fixed_values import DEFAULT_SYNONYMS, DEFAULT_TARGETS, ORIGINS
+from labelscope.functions.fixed_values import (
+    DEFAULT_SYNONYMS, DEFAULT_TARGETS, NONE_MARKERS, ORIGINS,
+)
 from labelscope.functions.text import py_strip
 
 # Literal synonym maps above this size should be given as a DataFrame and
@@ -22,7 +24,7 @@ def _col(c: Column | str) -> Column:
 def clean_label(c: Column | str) -> Column:
     """to text -> strip -> lower; NULL for missing, 'none' and ''."""
     low = F.lower(py_strip(_col(c).cast("string")))
-    return F.when(low.isin("none", ""), F.lit(None).cast("string")).otherwise(low)
+    return F.when(low.isin(*NONE_MARKERS), F.lit(None).cast("string")).otherwise(low)
 
 
 def synonym_lookup(low: Column, synonyms: Mapping[str, str] | None) -> Column:
@@ -55,7 +57,7 @@ def is_ignored_label(raw: Column | str, norm: Column | str) -> Column:
     """Out-of-scope detection: text, not 'none'/'' (lower-cased, no strip),
     and not normalised to a target."""
     raw = _col(raw)
-    return (raw.isNotNull() & ~F.lower(raw).isin("none", "") & _col(norm).isNull())
+    return (raw.isNotNull() & ~F.lower(raw).isin(*NONE_MARKERS) & _col(norm).isNull())
 
 
 def origin_of(filename: Column | str, origins: Iterable[str] = ORIGINS) -> Column:

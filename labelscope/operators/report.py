@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.functions import fixed_values as FV
 from labelscope.functions.fixed_values import DEFAULT_TARGETS
 from labelscope.functions.scores import with_prf
 from labelscope.operators import metrics as M
@@ -115,7 +116,7 @@ def _lines(df: DataFrame, section: int, lines) -> DataFrame:
 
 
 def _fmt_table_row(name, tp, fp, fn, p, r, f1):
-    return F.format_string("%-20s %-6d %-6d %-6d %-8.3f %-8.3f %-8.3f", name, tp, fp, fn, p, r, f1)
+    return F.format_string(FV.REPORT_TABLE_ROW_FORMAT, name, tp, fp, fn, p, r, f1)
 
 
 def report_lines(summary: DataFrame, stats: DataFrame | None = None,
@@ -128,65 +129,65 @@ def report_lines(summary: DataFrame, stats: DataFrame | None = None,
     breakdown by origin. Optional inputs add their sections. Numbers use
     Java's formatter (half-up rounding); keep them out of compared columns.
     """
-    head = F.format_string("%-20s %-6s %-6s %-6s %-8s %-8s %-8s",
-                           F.lit("Pattern"), F.lit("TP"), F.lit("FP"), F.lit("FN"),
-                           F.lit("Prec"), F.lit("Recall"), F.lit("F1"))
-    rule70, rule40 = F.lit("=" * 70), F.lit("-" * 40)
+    head = F.format_string(FV.REPORT_TABLE_HEAD_FORMAT, *[F.lit(x) for x in FV.REPORT_TABLE_HEAD])
+    rule70, rule40 = F.lit(FV.REPORT_RULE), F.lit(FV.REPORT_SECTION_RULE)
     parts = [_lines(summary, 0, F.array(
-        rule70, F.concat(F.lit("ANALYSIS: "), F.upper("model")), rule70,
-        F.format_string("Files processed: %d", F.col("debug_info.files_processed"))))]
+        rule70, F.concat(F.lit(FV.REPORT_TITLE), F.upper("model")), rule70,
+        F.format_string(FV.REPORT_FILES, F.col("debug_info.files_processed"))))]
     if top_ignored is not None:
         ti = (top_ignored.groupBy(F.col("model_name").alias("model"))
               .agg(F.array_sort(F.collect_list(F.struct("rank", "raw_label", "n"))).alias("t")))
         parts.append(_lines(ti, 1, F.concat(
-            F.array(F.lit("[!] OUT-OF-SCOPE PATTERNS DETECTED (ignored in metrics):")),
-            F.transform("t", lambda x: F.format_string("   - %s: %dx", x["raw_label"], x["n"])))))
+            F.array(F.lit(FV.REPORT_IGNORED_HEAD)),
+            F.transform("t", lambda x: F.format_string(FV.REPORT_IGNORED_LINE, x["raw_label"],
+                                                       x["n"])))))
     per_label = F.transform("pattern_scores", lambda s: _fmt_table_row(
         s["pattern"], s["tp"], s["fp"], s["fn"], s["precision"], s["recall"], s["f1"]))
-    overall = _fmt_table_row(F.lit("OVERALL"), F.col("total_tp"), F.col("total_fp"),
+    overall = _fmt_table_row(F.lit(FV.REPORT_OVERALL), F.col("total_tp"), F.col("total_fp"),
                              F.col("total_fn"), F.col("precision"), F.col("recall"), F.col("f1"))
-    parts.append(_lines(summary, 2, F.concat(F.array(head, F.lit("-" * 70)), per_label,
-                                             F.array(F.lit("-" * 70), overall))))
+    trule = F.lit(FV.REPORT_TABLE_RULE)
+    parts.append(_lines(summary, 2, F.concat(F.array(head, trule), per_label,
+                                             F.array(trule, overall))))
     if missed is not None:
         m = (missed.groupBy(F.col("model_name").alias("model"))
              .agg(F.array_sort(F.collect_list(F.struct("rank", "filename", "expected",
                                                        "detected"))).alias("t")))
         parts.append(_lines(m, 3, F.concat(
-            F.array(F.lit("[X] MISSED DETECTIONS (sample of 5):")),
+            F.array(F.lit(FV.REPORT_MISSED_HEAD)),
             F.transform("t", lambda x: F.format_string(
-                "   - %s: expected '%s', got ['%s']", x["filename"], x["expected"],
+                FV.REPORT_MISSED_LINE, x["filename"], x["expected"],
                 F.array_join(F.split(x["detected"], ","), "', '"))))))
     if fps is not None:
         fpl = (fps.groupBy(F.col("model_name").alias("model"))
                .agg(F.array_sort(F.collect_list(F.struct("rank", "filename", "expected",
                                                          "wrong_detection"))).alias("t")))
         parts.append(_lines(fpl, 4, F.concat(
-            F.array(F.lit("[!] FALSE POSITIVES (sample of 5):")),
+            F.array(F.lit(FV.REPORT_FP_HEAD)),
             F.transform("t", lambda x: F.format_string(
-                "   - %s: expected '%s', wrongly detected '%s'", x["filename"], x["expected"],
+                FV.REPORT_FP_LINE, x["filename"], x["expected"],
                 x["wrong_detection"])))))
     if stats is not None or durations is not None:
         q = summary.select("model")
-        lines = [F.lit("QUALITATIVE ANALYSIS"), rule40]
+        lines = [F.lit(FV.REPORT_QUALITY_HEAD), rule40]
         if stats is not None:
             q = q.join(stats.withColumnRenamed("model_name", "model"), "model", "left")
             lines += [
                 F.when(F.col("confidence_n") > 0, F.format_string(
-                    "  Avg Confidence: %.1f (min: %.0f, max: %.0f)", "confidence_mean",
+                    FV.REPORT_CONFIDENCE, "confidence_mean",
                     "confidence_min", "confidence_max")),
                 F.when(F.col("adherence_n") > 0, F.format_string(
-                    "  Avg Adherence:  %.1f (min: %.0f, max: %.0f)", "adherence_mean",
+                    FV.REPORT_ADHERENCE, "adherence_mean",
                     "adherence_min", "adherence_max"))]
         if durations is not None:
             q = q.join(durations.withColumnRenamed("model_name", "model"), "model", "left")
             lines.append(F.when(F.col("n_rows") > 0, F.format_string(
-                "  Avg Response Time: %.2fs (total: %.1fs)", "duration_mean_by_row",
+                FV.REPORT_RESPONSE_TIME, "duration_mean_by_row",
                 "duration_total_by_row")))
         parts.append(_lines(q, 5, F.filter(F.array(*lines), lambda x: x.isNotNull())))
     src = F.transform(F.map_entries("breakdown_by_source"), lambda e: F.format_string(
-        "   %-8s: %d/%d correct (%.1f%%)", e["key"], e["value"]["correct"], e["value"]["total"],
+        FV.REPORT_SOURCE_LINE, e["key"], e["value"]["correct"], e["value"]["total"],
         e["value"]["accuracy"] * 100))
-    parts.append(_lines(summary, 6, F.concat(F.array(F.lit("BREAKDOWN BY SOURCE"), rule40), src)))
+    parts.append(_lines(summary, 6, F.concat(F.array(F.lit(FV.REPORT_SOURCE_HEAD), rule40), src)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -197,25 +198,25 @@ def comparison_lines(micro: DataFrame, published: DataFrame | None = None) -> Da
     """Model comparison (F1 descending, first seen wins ties), best model,
     and the published scores: (section, line_no, line). Input is one row
     per model."""
-    head = F.format_string("%-25s %-12s %-12s %-12s", F.lit("Model"), F.lit("Precision"),
-                           F.lit("Recall"), F.lit("F1-Score"))
+    head = F.format_string(FV.REPORT_COMPARISON_HEAD_FORMAT,
+                           *[F.lit(x) for x in FV.REPORT_COMPARISON_COLUMNS])
+    row = FV.REPORT_COMPARISON_ROW_FORMAT
+    trule = F.lit(FV.REPORT_TABLE_RULE)
     rows = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("k"), F.col("first_row"),
                                              "model_name", "precision", "recall", "f1"))),
-        lambda x: F.format_string("%-25s %-12.3f %-12.3f %-12.3f", x["model_name"],
-                                  x["precision"], x["recall"], x["f1"]))
+        lambda x: F.format_string(row, x["model_name"], x["precision"], x["recall"], x["f1"]))
     best = F.max_by(F.struct("model_name", "f1"), F.struct(F.col("f1"), -F.col("first_row")))
     board = micro.agg(F.concat(
-        F.array(F.lit("MODEL COMPARISON"), head, F.lit("-" * 70)), rows,
-        F.array(F.format_string("[1st] Best Model: %s (F1 = %.3f)", best["model_name"],
-                                best["f1"]))).alias("l"))
+        F.array(F.lit(FV.REPORT_COMPARISON_HEAD), head, trule), rows,
+        F.array(F.format_string(FV.REPORT_BEST, best["model_name"], best["f1"]))).alias("l"))
     pub = published if published is not None else M.published_scores(micro.sparkSession)
     pub_lines = pub.agg(F.concat(
-        F.array(F.lit("PUBLISHED RESULTS"), head, F.lit("-" * 70)),
+        F.array(F.lit(FV.REPORT_PUBLISHED_HEAD), head, trule),
         F.transform(F.array_sort(F.collect_list(F.struct("model_name", "precision", "recall",
                                                          "f1"))),
-                    lambda x: F.format_string("%-25s %-12.3f %-12.3f %-12.3f", x["model_name"],
-                                              x["precision"], x["recall"], x["f1"]))).alias("l"))
+                    lambda x: F.format_string(row, x["model_name"], x["precision"],
+                                              x["recall"], x["f1"]))).alias("l"))
     return (board.select(F.lit(0).alias("section"), F.posexplode("l").alias("line_no", "line"))
             .unionByName(pub_lines.select(F.lit(1).alias("section"),
                                           F.posexplode("l").alias("line_no", "line"))))

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.functions.fixed_values import ORIGINS
+from labelscope.functions.fixed_values import ORIGINS, RUN_ID_FORMAT
 from labelscope.functions.labels import origin_of
 
-RUN_ID_FORMAT = "yyyy-MM-dd_HH-mm-ss"
 
 
 def new_run_id():
