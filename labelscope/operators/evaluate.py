@@ -72,3 +72,15 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
         f"{out_dir}/summary_json")
     out["verdicts"] = spark.read.parquet(f"{out_dir}/verdicts")
     return out
+
+
+def evaluate_latest(spark: SparkSession, runs_base: str, out_dir: str,
+                    **kwargs) -> dict[str, DataFrame]:
+    """Score the latest run (with rows) of a table written by
+    ``runs.write_run``; only that run's partitions are read."""
+    from labelscope.operators.runs import latest_run_in
+    latest = latest_run_in(spark, runs_base).first()
+    if latest is None or latest["run_id"] is None:
+        raise ValueError(f"no run with rows under {runs_base}")
+    det = spark.read.parquet(runs_base).where(F.col("run_id") == latest["run_id"])
+    return evaluate(det, out_dir, **kwargs)

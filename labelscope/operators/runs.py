@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import ORIGINS, RUN_ID_FORMAT
@@ -75,13 +75,14 @@ def _models_in_order(rows: DataFrame):
 
 
 def run_metadata(det: DataFrame, source_dir: str, origins: Sequence[str] = ORIGINS,
-                 items: DataFrame | None = None) -> DataFrame:
+                 items: DataFrame | None = None, timestamp=None) -> DataFrame:
     """One row: source_dir, files_processed, models_used (first-seen order),
     total_results, and distinct files per origin (``<origin>_files``).
 
     With ``items`` (the listed corpus, ``content`` NULL when unreadable),
     files_processed counts every listed item and files_read the readable
-    ones; otherwise both count the items present in the detections."""
+    ones; otherwise both count the items present in the detections.
+    ``timestamp`` (a value or column) adds the run's time stamp."""
     fm = _files_and_models(det).withColumn("origin", origin_of("filename", origins))
     file_rows = F.col("__by_model") == 0
     out = fm.agg(
@@ -97,8 +98,15 @@ def run_metadata(det: DataFrame, source_dir: str, origins: Sequence[str] = ORIGI
         out = out.withColumn("files_processed", F.col("__listed")).drop("__listed")
     else:
         out = out.withColumn("files_read", F.col("files_processed"))
-    return out.select(F.lit(source_dir).alias("source_dir"), "files_processed", "models_used",
-                      "total_results", *[f"{o.lower()}_files" for o in origins], "files_read")
+    cols = [F.lit(source_dir).alias("source_dir")]
+    if isinstance(timestamp, str):
+        cols.append(F.to_timestamp_ntz(F.lit(timestamp), F.lit(RUN_ID_FORMAT)).alias("timestamp"))
+    elif isinstance(timestamp, Column):
+        cols.append(timestamp.alias("timestamp"))
+    elif timestamp is not None:
+        cols.append(F.lit(timestamp).alias("timestamp"))
+    return out.select(*cols, "files_processed", "models_used", "total_results",
+                      *[f"{o.lower()}_files" for o in origins], "files_read")
 
 
 def run_summary(det: DataFrame) -> DataFrame:

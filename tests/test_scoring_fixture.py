@@ -198,3 +198,16 @@ def test_key_cols_keep_same_names_apart(spark):
     paths = df.withColumn("path", F.concat(F.col("ground_truth_label"), F.lit("/"), F.col("filename")))
     apart = file_verdicts(paths, key_cols=("path",)).collect()
     assert len(apart) == 2 and all(r["correct"] and r["origin"] == "DPD" for r in apart)
+
+
+def test_evaluate_latest_run(spark, det):
+    from labelscope.operators import runs as RU
+    from labelscope.operators.evaluate import evaluate_latest
+    from labelscope.session import scratch_path
+    base = scratch_path(spark, "runs_eval")
+    RU.write_run(det.where("model_name = 'm1'"), base, "2025-12-09_08-56-29")
+    RU.write_run(det, base, "2025-12-11_20-22-44")
+    out = evaluate_latest(spark, base, scratch_path(spark, "eval_latest"))
+    assert {r["model_name"] for r in out["micro_scores"].collect()} == {"m1", "m2"}
+    md = RU.run_metadata(det, "src", timestamp="2025-12-11_20-22-44").collect()[0]
+    assert str(md["timestamp"]) == "2025-12-11 20:22:44"
