@@ -115,12 +115,11 @@ CSV_NA_TOKENS = (
     "nan", "null",
 )
 
-# Characters Python's str.strip() removes (str.isspace), as a regex class
-# that Java regex and RE2 both accept.
-PY_WHITESPACE_CLASS = (
-    r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# Characters Python's str.strip() removes: every character for which
+# str.isspace() holds (built from that rule), and the same set as a regex
+# class that Java regex and RE2 both accept.
+PY_WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+PY_WHITESPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in PY_WHITESPACE_CHARS) + "]"
 
 # Report texts, in the order they are printed.
 REPORT_RULE = "=" * 70

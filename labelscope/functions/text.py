@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelscope.functions.fixed_values import PY_WHITESPACE_CLASS
+from labelscope.functions.fixed_values import PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS
 
 _WS = PY_WHITESPACE_CLASS
 _STRIP_RE = f"^{_WS}+|{_WS}+$"
@@ -18,9 +18,11 @@ def _col(c: Column | str) -> Column:
 def py_strip(c: Column | str) -> Column:
     """Remove leading and trailing white space the way ``str.strip()`` does.
 
-    ``trim`` removes spaces only; this uses the full Python white-space set.
+    Plain ``trim`` removes spaces only; ``trim`` with a character set removes
+    any of the Python white-space characters from both ends, natively (no
+    regular expression).
     """
-    return F.regexp_replace(_col(c), _STRIP_RE, "")
+    return F.trim(_col(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def py_split_first(c: Column | str) -> Column:

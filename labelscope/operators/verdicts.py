@@ -87,38 +87,60 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
                   targets: Sequence[str] = DEFAULT_TARGETS,
                   key_cols: Sequence[str] = ("filename",),
                   origins: Sequence[str] = ORIGINS,
-                  exclude_errors: bool = False) -> DataFrame:
+                  exclude_errors: bool = False,
+                  keep_gold_raw: bool = False) -> DataFrame:
     """One row per (model_name, item) with the gold label and detected set.
 
-    Columns: model_name, <key_cols>, gold_raw (gold of the item's first row),
-    gold_label (normalised gold, NULL when out of scope), detected (sorted
-    distinct normalised labels), n_rows, call_duration, first_row, origin,
-    in_scope, correct. ``exclude_errors`` leaves failed calls out instead
-    of counting them as misses.
+    Columns: model_name, <key_cols>, gold_label (normalised gold of the
+    item's first row, NULL when out of scope), detected (sorted distinct
+    normalised labels), n_rows, call_duration, dur_sum, dur_n, first_row,
+    origin, in_scope, correct, and gold_raw with ``keep_gold_raw``.
+    ``exclude_errors`` leaves failed calls out instead of counting them as
+    misses.
+
+    Every aggregate has a fixed-width buffer, so Spark runs a plain
+    ``HashAggregate`` with map-side partial aggregation: the detected set is
+    one ``max`` flag per target, and the first row's gold is packed into
+    ``min(row_no * 2^bits + gold code)`` (row numbers must be non-negative
+    and below 2^(63 - bits), bits = bit length of the number of targets).
+    ``keep_gold_raw`` adds ``min_by`` over the raw text, which needs a
+    sort-based aggregate.
     """
     if exclude_errors:
         det = drop_error_rows(det)
+    targets = list(targets)
     keys = ["model_name", *key_cols]
     # The origin prefix is read from the file name even when items are keyed
     # by something longer (e.g. the full path).
     origin_src = "filename" if "filename" in det.columns else key_cols[0]
     extra = [F.min(origin_src).alias("__origin_src")] if origin_src not in keys else []
+    if keep_gold_raw:
+        extra.append(F.min_by("ground_truth_label", "row_no").alias("gold_raw"))
+    bits = max(1, len(targets).bit_length())
+    tarr = F.array(*[F.lit(t) for t in targets])
+    gold_code = F.coalesce(F.array_position(
+        tarr, normalize_label("ground_truth_label", synonyms, targets)), F.lit(0))
     normed = normalize_detections(det, synonyms, targets)
-    agg = (normed.groupBy(*keys).agg(
+    agg = normed.groupBy(*keys).agg(
         *extra,
-        F.min_by("ground_truth_label", "row_no").alias("gold_raw"),
-        F.array_sort(F.collect_set("norm_label")).alias("detected"),
+        *[F.max(F.when(F.col("norm_label") == t, 1).otherwise(0)).alias(f"__hit{i}")
+          for i, t in enumerate(targets)],
+        F.min(F.shiftleft(F.col("row_no").cast("long"), bits) + gold_code).alias("__first"),
         F.count(F.lit(1)).alias("n_rows"),
         F.max("duration_seconds").alias("call_duration"),
         F.sum(_duration()).alias("dur_sum"),
         F.count(_duration()).alias("dur_n"),
-        F.min("row_no").alias("first_row"),
-    ))
-    gold = normalize_label("gold_raw", synonyms, targets)
-    return (agg.withColumn("gold_label", gold)
-               .withColumn("origin", origin_of(origin_src if not extra else "__origin_src",
-                                               origins))
-               .drop("__origin_src")
-               .withColumn("in_scope", F.col("gold_label").isNotNull())
-               .withColumn("correct", F.coalesce(
-                   F.array_contains("detected", F.col("gold_label")), F.lit(False))))
+    )
+    code = (F.col("__first") % F.lit(1 << bits)).cast("int")
+    detected = F.array_sort(F.filter(F.array(*[
+        F.when(F.col(f"__hit{i}") == 1, F.lit(t)) for i, t in enumerate(targets)]),
+        lambda x: x.isNotNull()))
+    out = (agg.withColumn("gold_label", F.when(code > 0, F.element_at(tarr, code)))
+              .withColumn("detected", detected)
+              .withColumn("first_row", F.shiftright("__first", bits))
+              .withColumn("origin", origin_of(origin_src if origin_src in keys
+                                              else "__origin_src", origins))
+              .withColumn("in_scope", F.col("gold_label").isNotNull())
+              .withColumn("correct", F.coalesce(
+                  F.array_contains("detected", F.col("gold_label")), F.lit(False))))
+    return out.drop("__first", "__origin_src", *[f"__hit{i}" for i in range(len(targets))])

@@ -41,7 +41,8 @@ def q_normalize_label(spark, sf_dir):
 
 
 def q_file_verdict(spark, sf_dir):
-    _, v = _verdicts(spark, sf_dir)
+    det = D.detections(spark, sf_dir)
+    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS, keep_gold_raw=True)
     return v.select("model_name", "filename", "gold_raw", "gold_label",
                     F.array_join("detected", ",").alias("detected"), "n_rows", "origin",
                     "in_scope", "correct")

@@ -187,7 +187,8 @@ def test_hot_item_is_pre_aggregated_before_the_shuffle(spark):
         F.lit(1.0).alias("duration_seconds"), F.col("id").alias("row_no"))
     v = file_verdicts(base)
     plan = v._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("partial_collect_set") > plan.index("Exchange hashpartitioning")
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert plan.index("partial_max") > plan.index("Exchange hashpartitioning")
     hot = v.where("filename = 'DPD-hot.java'").collect()[0]
     assert hot["n_rows"] == n // 3 and hot["detected"] == ["observer", "singleton"]
     counts = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in confusion_counts(v).collect()}
