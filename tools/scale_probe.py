@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from labelscope.operators import metrics as M  # noqa: E402
 from labelscope.operators.verdicts import file_verdicts  # noqa: E402
-from labelscope.session import get_spark  # noqa: E402
+from labelscope.session import get_spark, scratch_path  # noqa: E402
 
 LABELS = ["Singleton", "Factory Method", "observer pattern", "Wrapper", "None", "Strategy"]
 GOLDS = ["singleton", "factory", "observer", "decorator"]
@@ -49,14 +49,18 @@ def main():
     hot = float(sys.argv[2]) if len(sys.argv) > 2 else 1 / 3
     spark = get_spark(shuffle_partitions=32)
     det = detections(spark, rows, hot)
+    path = scratch_path(spark, "scale_verdicts")
     t0 = time.perf_counter()
-    v = file_verdicts(det)
+    file_verdicts(det).write.parquet(path)          # the one pass over detection rows
+    t1 = time.perf_counter()
+    v = spark.read.parquet(path)
     for df in (M.micro_scores(v), M.label_scores(v), M.scores_by_scope(v), M.source_accuracy(v)):
         df.write.format("noop").mode("overwrite").save()
-    secs = time.perf_counter() - t0
+    t2 = time.perf_counter()
     hot_rows = v.where("filename = 'DPD-hot.java'").agg(F.sum("n_rows")).first()[0]
     print(json.dumps({"rows": rows, "hot_share": hot, "hot_rows": hot_rows,
-                      "seconds": round(secs, 2), "rows_per_sec": round(rows / secs)}))
+                      "verdict_pass_sec": round(t1 - t0, 2), "tables_sec": round(t2 - t1, 2),
+                      "rows_per_sec": round(rows / (t2 - t0))}))
 
 
 if __name__ == "__main__":
