@@ -1,10 +1,10 @@
 """Detection rows -> normalised rows -> one verdict per (model, item).
 
 This is the only shuffle over detection rows in scoring: a hash aggregate on
-(model_name, key columns). Every aggregate in it (collect_set over labels
-already restricted to the targets, min_by, max, count) is partial, so a hot
-item with a very large number of rows is collapsed map-side before the
-exchange and its buffer stays bounded by the number of targets.
+(model_name, key columns). Every aggregate in it has a fixed-width buffer
+(one flag per target, a packed first-row gold, counts and sums) and is
+partial, so a hot item with a very large number of rows is collapsed
+map-side before the exchange, and its state is a handful of numbers.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def normalize_column(df: DataFrame, raw_col: str, out_col: str,
         return (out.withColumn(out_col, mapped.cast("string"))
                    .drop("__clean", "__syn_raw", "__syn_label", "__mapped"))
     # Two projections: the cleaned text is computed once (Catalyst does not
-    # collapse a projection that would repeat the regular expression).
+    # collapse a projection that would repeat a non-trivial expression).
     from labelscope.functions.labels import synonym_lookup
     mapped = synonym_lookup(F.col("__clean"), synonyms)
     if targets is not None:
@@ -118,9 +118,9 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
         extra.append(F.min_by("ground_truth_label", "row_no").alias("gold_raw"))
     bits = max(1, len(targets).bit_length())
     tarr = F.array(*[F.lit(t) for t in targets])
-    gold_code = F.coalesce(F.array_position(
-        tarr, normalize_label("ground_truth_label", synonyms, targets)), F.lit(0))
-    normed = normalize_detections(det, synonyms, targets)
+    normed = normalize_column(normalize_detections(det, synonyms, targets),
+                              "ground_truth_label", "__gold_norm", synonyms, targets)
+    gold_code = F.coalesce(F.array_position(tarr, F.col("__gold_norm")), F.lit(0))
     agg = normed.groupBy(*keys).agg(
         *extra,
         *[F.max(F.when(F.col("norm_label") == t, 1).otherwise(0)).alias(f"__hit{i}")

@@ -211,3 +211,12 @@ def test_evaluate_latest_run(spark, det):
     assert {r["model_name"] for r in out["micro_scores"].collect()} == {"m1", "m2"}
     md = RU.run_metadata(det, "src", timestamp="2025-12-11_20-22-44").collect()[0]
     assert str(md["timestamp"]) == "2025-12-11 20:22:44"
+
+
+def test_synonyms_as_a_table(spark, det, verdicts):
+    from labelscope.functions.fixed_values import DEFAULT_SYNONYMS
+    syn = spark.createDataFrame(sorted(DEFAULT_SYNONYMS.items()), "raw string, label string")
+    v2 = file_verdicts(det, synonyms=syn)
+    key = lambda df: sorted((r["model_name"], r["filename"], r["gold_label"], tuple(r["detected"]))
+                            for r in df.collect())
+    assert key(v2) == key(verdicts)
