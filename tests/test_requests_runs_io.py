@@ -228,3 +228,20 @@ def test_write_run_is_idempotent(spark):
     RU.write_run(det, base, "r1")   # retried run replaces only its own partitions
     counts = {r["run_id"]: r["count"] for r in spark.read.parquet(base).groupBy("run_id").count().collect()}
     assert counts == {"r1": 2, "r2": 2}
+
+
+def test_scoring_reads_only_needed_columns(spark):
+    from labelscope.operators.metrics import micro_scores
+    from labelscope.operators.verdicts import DETECTION_SCHEMA, file_verdicts
+    det = spark.createDataFrame([
+        ("DPD-a.java", "singleton", "m1", "Singleton", "1", "1", "long reasoning", "big text",
+         1.0, 1)], DETECTION_SCHEMA)
+    path = scratch_path(spark, "det_prune")
+    det.write.parquet(path)
+    q = micro_scores(file_verdicts(spark.read.parquet(path).where("model_name = 'm1'")))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema: "):].split("\n")[0]
+    assert "raw_response" not in schema and "reasoning" not in schema
+    assert "confidence" not in schema
+    assert "EqualTo(model_name,m1)" in plan
+    assert q.collect()[0]["total_tp"] == 1
