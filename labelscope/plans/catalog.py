@@ -236,6 +236,17 @@ def q_csv_roundtrip(spark, sf_dir):
     return csv_io.read_csv(spark, path, schema)
 
 
+def q_csv_scores(spark, sf_dir):
+    """Detection rows exported as CSV, re-read (NA tokens, file-order row
+    numbers) and scored, as the detection run and the scoring job exchange
+    them."""
+    path = scratch_path(spark, "det_csv")
+    csv_io.write_csv(D.detections(spark, sf_dir).drop("row_no"), path)
+    det = csv_io.read_detections_csv(spark, path)
+    return M.micro_scores(file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS),
+                          D.DET_TARGETS).drop("first_row")
+
+
 def q_detection_stream(spark, sf_dir):
     from labelscope.streaming.responses import stream_detections
     src = scratch_path(spark, "responses_in")
@@ -356,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "keyword_label_join": q_keyword_label_join,
     "item_index": q_item_index,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_scores": q_csv_scores,
     "source_split": q_source_split,
     "run_metadata": q_run_metadata,
     "run_summary": q_run_summary,

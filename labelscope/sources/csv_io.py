@@ -49,9 +49,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
 
 def read_detections_csv(spark: SparkSession, path: str,
                         na_tokens: Sequence[str] | None = CSV_NA_TOKENS) -> DataFrame:
-    """Detection CSV -> table with ``row_no`` in file order (multi-line CSV
-    is read one file per task, so ids increase with the position)."""
+    """Detection CSV -> table, columns matched by header name (any order;
+    missing ones are NULL), typed with safe casts, ``row_no`` in file order
+    (multi-line CSV is read one file per task, so ids grow with position)."""
     from labelscope.operators.verdicts import DETECTION_SCHEMA
-    schema = T.StructType([f for f in DETECTION_SCHEMA.fields if f.name != "row_no"])
-    df = read_csv(spark, path, schema, na_tokens)
-    return df.withColumn("row_no", F.monotonically_increasing_id())
+    raw = (spark.read.option("header", True).option("multiLine", True)
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .csv(path))
+    if na_tokens is not None:
+        raw = na_to_null(raw, na_tokens)
+    present = set(raw.columns)
+    cols = [(F.col(f.name).try_cast(f.dataType) if f.name in present
+             else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in DETECTION_SCHEMA.fields if f.name != "row_no"]
+    return raw.select(*cols, F.monotonically_increasing_id().alias("row_no"))

@@ -40,3 +40,14 @@ def test_csv_detections_score_like_the_table(spark):
     assert a == b
     # 'None' cells come back missing, as a pandas reader would give them
     assert back.where("detected_pattern IS NULL").count() == 1
+
+
+def test_csv_columns_matched_by_name(spark):
+    path = scratch_path(spark, "det_csv_names")
+    df = spark.createDataFrame([(2.5, "m1", "DPD-a.java", "singleton", "Singleton")],
+                               "duration_seconds double, model_name string, filename string, "
+                               "ground_truth_label string, detected_pattern string")
+    csv_io.write_csv(df.coalesce(1), path)
+    r = csv_io.read_detections_csv(spark, path).collect()[0]
+    assert (r["filename"], r["model_name"], r["duration_seconds"], r["raw_response"]) == \
+        ("DPD-a.java", "m1", 2.5, None)
