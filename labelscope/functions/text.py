@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from labelscope.functions.fixed_values import PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS
 
 _WS = PY_WHITESPACE_CLASS
-_STRIP_RE = f"^{_WS}+|{_WS}+$"
 
 
 def _col(c: Column | str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.functions.fixed_values import DEFAULT_TARGETS, ORIGINS
-from labelscope.functions.labels import clean_label, normalize_label, origin_of  # noqa: F401
+from labelscope.functions.labels import clean_label, origin_of
 
 DETECTION_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()),
