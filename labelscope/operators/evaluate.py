@@ -2,9 +2,9 @@
 
 The one shuffle over detection rows (the verdicts) is written once as a
 table in the output folder and read back, which cuts the lineage: every
-result table is computed from that table, and a lost executor never forces
-the detection rows to be re-shuffled. Only the out-of-scope histogram reads
-detection rows again (a pruned columnar scan).
+result table is computed from that table (score statistics included), and a
+lost executor never forces the detection rows to be re-shuffled. Only the
+out-of-scope histogram reads detection rows again (a pruned columnar scan).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
     all_targets = list(targets)
     if scopes:
         all_targets = sorted({t for ts in scopes.values() for t in ts} | set(targets))
-    v = file_verdicts(det, synonyms, all_targets, origins=origins)
+    v = file_verdicts(det, synonyms, all_targets, origins=origins, with_scores=True)
     v.write.mode("overwrite").parquet(f"{out_dir}/verdicts")
     v = spark.read.parquet(f"{out_dir}/verdicts")
     if scopes:
@@ -54,7 +54,7 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
         "ignored_histogram": hist.select("model_name", "raw_label", "n"),
         "missed_sample": M.missed_sample(v),
         "fp_sample": M.fp_sample(v),
-        "score_stats": M.score_stats(det),
+        "score_stats": M.score_stats_from_verdicts(v),
         "duration_stats": M.duration_stats(v),
         "source_accuracy": M.source_accuracy(v),
         "scopes": M.scores_by_scope(spark.read.parquet(f"{out_dir}/verdicts"),

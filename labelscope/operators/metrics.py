@@ -158,6 +158,21 @@ def score_stats(det: DataFrame) -> DataFrame:
         F.max(adh).alias("adherence_max"), F.count(adh).alias("adherence_n"))
 
 
+def score_stats_from_verdicts(verdicts: DataFrame) -> DataFrame:
+    """``score_stats`` from verdicts built with ``with_scores=True`` (same
+    per-row statistics, no second read of detection rows)."""
+    aggs = []
+    for prefix, name in (("conf", "confidence"), ("adh", "adherence")):
+        aggs += [(F.sum(f"{prefix}_sum") / F.sum(f"{prefix}_n")).alias(f"{name}_mean"),
+                 F.min(f"{prefix}_min").alias(f"{name}_min"),
+                 F.max(f"{prefix}_max").alias(f"{name}_max"),
+                 F.sum(f"{prefix}_n").alias(f"{name}_n")]
+    out = verdicts.groupBy("model_name").agg(*aggs)
+    return out.select("model_name", "confidence_mean", "confidence_min", "confidence_max",
+                      "confidence_n", "adherence_mean", "adherence_min", "adherence_max",
+                      "adherence_n")
+
+
 def duration_stats(verdicts: DataFrame) -> DataFrame:
     """Response time per model: per row (a call with k detections counts k
     times, as reported by the reference) and per call, from the per-item

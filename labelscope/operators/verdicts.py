@@ -34,6 +34,16 @@ DETECTION_SCHEMA = T.StructType([
 SynonymsArg = Mapping[str, str] | DataFrame | None
 
 
+def _score_aggs():
+    from labelscope.functions.numeric import strict_number
+    out = []
+    for prefix, col in (("conf", "confidence"), ("adh", "adherence")):
+        x = strict_number(col)
+        out += [F.sum(x).alias(f"{prefix}_sum"), F.count(x).alias(f"{prefix}_n"),
+                F.min(x).alias(f"{prefix}_min"), F.max(x).alias(f"{prefix}_max")]
+    return out
+
+
 def _duration():
     d = F.col("duration_seconds").cast("double")
     return F.when(~F.isnan(d), d)
@@ -88,7 +98,8 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
                   key_cols: Sequence[str] = ("filename",),
                   origins: Sequence[str] = ORIGINS,
                   exclude_errors: bool = False,
-                  keep_gold_raw: bool = False) -> DataFrame:
+                  keep_gold_raw: bool = False,
+                  with_scores: bool = False) -> DataFrame:
     """One row per (model_name, item) with the gold label and detected set.
 
     Columns: model_name, <key_cols>, gold_label (normalised gold of the
@@ -104,7 +115,9 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     ``min(row_no * 2^bits + gold code)`` (row numbers must be non-negative
     and below 2^(63 - bits), bits = bit length of the number of targets).
     ``keep_gold_raw`` adds ``min_by`` over the raw text, which needs a
-    sort-based aggregate.
+    sort-based aggregate. ``with_scores`` adds per-item sums, counts and
+    extremes of the numeric confidence and adherence (``conf_*``, ``adh_*``),
+    so score statistics can be computed from the verdicts alone.
     """
     if exclude_errors:
         det = drop_error_rows(det)
@@ -130,6 +143,7 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
         F.max("duration_seconds").alias("call_duration"),
         F.sum(_duration()).alias("dur_sum"),
         F.count(_duration()).alias("dur_n"),
+        *(_score_aggs() if with_scores else []),
     )
     code = (F.col("__first") % F.lit(1 << bits)).cast("int")
     detected = F.array_sort(F.filter(F.array(*[

@@ -335,9 +335,10 @@ def q_summary_json(spark, sf_dir):
 def q_report_lines(spark, sf_dir):
     det = D.detections(spark, sf_dir)
     normed = normalize_detections(det, D.DET_SYNONYMS, D.DET_TARGETS)
-    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS)
+    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS, with_scores=True)
     summary = R.summary_table(det, normed, v, D.DET_TARGETS)
-    lines = R.report_lines(summary, stats=M.score_stats(det), durations=M.duration_stats(v),
+    lines = R.report_lines(summary, stats=M.score_stats_from_verdicts(v),
+                           durations=M.duration_stats(v),
                            missed=M.missed_sample(v), fps=M.fp_sample(v),
                            top_ignored=M.top_ignored(M.ignored_histogram(normed, v)))
     board = R.comparison_lines(M.micro_scores(v, D.DET_TARGETS)).select(

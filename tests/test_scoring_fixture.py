@@ -220,3 +220,13 @@ def test_synonyms_as_a_table(spark, det, verdicts):
     key = lambda df: sorted((r["model_name"], r["filename"], r["gold_label"], tuple(r["detected"]))
                             for r in df.collect())
     assert key(v2) == key(verdicts)
+
+
+def test_score_stats_from_verdicts(det):
+    v = file_verdicts(det, with_scores=True)
+    a = {r["model_name"]: r.asDict() for r in M.score_stats(det).collect()}
+    b = {r["model_name"]: r.asDict() for r in M.score_stats_from_verdicts(v).collect()}
+    assert a.keys() == b.keys()
+    for m in a:
+        for k, x in a[m].items():
+            assert b[m][k] == pytest.approx(x), (m, k)
