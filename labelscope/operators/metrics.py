@@ -210,6 +210,8 @@ def scores_by_scope(verdicts: DataFrame,
     per (scope, model, label) plus one micro row per (scope, model) with
     ``label`` NULL and ``level`` = 'micro'.
     """
+    if isinstance(targets_by_scope, DataFrame):
+        targets_by_scope = targets_table(targets_by_scope, all_scope)
     if isinstance(targets_by_scope, Mapping):
         scoped = dict(targets_by_scope)
         default = scoped.get(all_scope)
@@ -247,6 +249,22 @@ def scores_by_scope(verdicts: DataFrame,
                                 "precision", "recall", "f1")
 
 
+MAX_TARGET_ROWS = 10_000
+
+
+def targets_table(targets: DataFrame, all_scope: str = "ALL") -> dict[str, list[str]]:
+    """A targets table ``(label, scope)`` as scope -> labels; a NULL scope
+    means every scope. Configuration-sized: more than ``MAX_TARGET_ROWS``
+    rows are refused."""
+    rows = targets.select("label", "scope").limit(MAX_TARGET_ROWS + 1).collect()
+    if len(rows) > MAX_TARGET_ROWS:
+        raise ValueError(f"more than {MAX_TARGET_ROWS} target rows")
+    common = [r["label"] for r in rows if r["scope"] is None]
+    scopes = {r["scope"] for r in rows if r["scope"] is not None} | {all_scope}
+    return {s: sorted(set(common) | {r["label"] for r in rows if r["scope"] == s})
+            for s in scopes}
+
+
 def _contrib_from_exploded(df: DataFrame, extra: Sequence[str]) -> DataFrame:
     gold, lab = F.col("gold_label"), F.col("label")
     hit = F.array_contains("detected", lab)

@@ -21,6 +21,21 @@ MAX_MODELS = 10_000
 MODEL_FIELDS = ("name", "provider", "model_id", "api_key_env", "endpoint_url")
 
 
+def providers_table(providers: DataFrame) -> dict:
+    """A provider dimension ``(provider, message_style, temperature,
+    max_tokens)`` as the mapping used here (configuration-sized)."""
+    rows = providers.select("provider", "message_style", "temperature", "max_tokens") \
+        .limit(MAX_MODELS + 1).collect()
+    if len(rows) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} providers")
+    return {str(r["provider"]).lower(): (r["message_style"], r["temperature"], r["max_tokens"])
+            for r in rows}
+
+
+def _providers(providers) -> Mapping:
+    return providers_table(providers) if isinstance(providers, DataFrame) else providers
+
+
 def split_models(models: Sequence[Mapping], providers: Mapping = PROVIDERS):
     """Models whose provider is known, and rejects (unknown provider).
 
@@ -29,6 +44,7 @@ def split_models(models: Sequence[Mapping], providers: Mapping = PROVIDERS):
     """
     if len(models) > MAX_MODELS:
         raise ValueError(f"{len(models)} models exceed the inline limit {MAX_MODELS}")
+    providers = _providers(providers)
     ok, bad = [], []
     for i, m in enumerate(models):
         prov = str(m.get("provider", "") or "").lower()
@@ -72,6 +88,7 @@ def build_requests(items: DataFrame, models: Sequence[Mapping], instruction: str
     Chat providers get (system, user) messages; a joined-prompt provider gets
     one user message with instruction + separator + content.
     """
+    providers = _providers(providers)
     ok, _ = split_models(models, providers)
     if not ok:
         raise ValueError("no model with a known provider")

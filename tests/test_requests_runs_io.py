@@ -245,3 +245,19 @@ def test_scoring_reads_only_needed_columns(spark):
     assert "confidence" not in schema
     assert "EqualTo(model_name,m1)" in plan
     assert q.collect()[0]["total_tp"] == 1
+
+
+def test_config_tables(spark):
+    from labelscope.operators.metrics import targets_table
+    prov = spark.createDataFrame([("openai", "chat", 0.2, None), ("acme", "joined", None, 64)],
+                                 "provider string, message_style string, temperature double, "
+                                 "max_tokens int")
+    models = [{"name": "a", "provider": "acme", "model_id": "x"}]
+    items = spark.createDataFrame([("f.java", "singleton", "c")],
+                                  "filename string, gold_label string, content string")
+    r = build_requests(items, models, "i", providers=prov).collect()[0]
+    assert r["max_tokens"] == 64 and len(r["messages"]) == 1
+    t = spark.createDataFrame([("singleton", None), ("factory", None), ("decorator", "PMART")],
+                              "label string, scope string")
+    assert targets_table(t) == {"ALL": ["factory", "singleton"],
+                                "PMART": ["decorator", "factory", "singleton"]}
