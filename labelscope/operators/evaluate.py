@@ -22,14 +22,17 @@ from labelscope.operators.verdicts import SynonymsArg, file_verdicts, normalize_
 
 def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARGETS,
              synonyms: SynonymsArg = None, origins: Sequence[str] = ORIGINS,
-             scopes: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+             scopes: Mapping[str, Sequence[str]] | DataFrame | None = None
+             ) -> dict[str, DataFrame]:
     """Score ``det`` and write every table under ``out_dir``.
 
     Returns the tables read back from ``out_dir`` (parquet; the summary also
     as JSON lines). ``scopes`` maps scope names ('ALL' and origins) to target
-    lists when they differ.
+    lists when they differ, or is a targets table ``(label, scope)``.
     """
     spark: SparkSession = det.sparkSession
+    if isinstance(scopes, DataFrame):
+        scopes = M.targets_table(scopes)
     all_targets = list(targets)
     if scopes:
         all_targets = sorted({t for ts in scopes.values() for t in ts} | set(targets))

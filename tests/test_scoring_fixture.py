@@ -230,3 +230,15 @@ def test_score_stats_from_verdicts(det):
     for m in a:
         for k, x in a[m].items():
             assert b[m][k] == pytest.approx(x), (m, k)
+
+
+def test_evaluate_with_targets_table(spark, det):
+    from labelscope.operators.evaluate import evaluate
+    from labelscope.session import scratch_path
+    t = spark.createDataFrame(
+        [("singleton", None), ("factory", None), ("observer", None),
+         ("decorator", "DPD"), ("decorator", "PMART")], "label string, scope string")
+    out = evaluate(det, scratch_path(spark, "evaluate_tt"), scopes=t)
+    lab = {(r["scope"], r["model_name"], r["label"]) for r in
+           out["scopes"].where("level = 'label'").collect()}
+    assert ("PMART", "m1", "decorator") in lab and ("ALL", "m1", "decorator") not in lab
