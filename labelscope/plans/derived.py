@@ -158,8 +158,10 @@ REQUEST_INSTRUCTION = (
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``det``: detection rows of two marker-word detectors over documents.
 
-    The text is read once and reduced to eight hit flags in the scan stage;
-    it never reaches a shuffle.
+    The text is read once and reduced to eight hit flags right after the
+    scan (one ``regexp_extract_all`` pass per text); only the flags go on.
+    ``spread`` moves the text only when the scan has fewer partitions than
+    the cluster runs at once (single-row-group test files).
     """
     docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id")
     found = F.array_distinct(F.transform(
