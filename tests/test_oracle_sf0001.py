@@ -52,3 +52,14 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
+
+
+def test_contract_shape(spark):
+    qs, sql = E.queries(), E.oracle_sql()
+    assert set(sql) <= set(qs)
+    assert E.FLAGSHIP in qs and E.FLAGSHIP in sql
+    for name, fn in qs.items():
+        if name in ("csv_roundtrip", "csv_scores", "detection_stream"):
+            continue   # these write scratch data; their columns are checked above
+        cols = fn(spark, SF).columns
+        assert len({c.lower() for c in cols}) == len(cols), name
