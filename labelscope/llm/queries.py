@@ -62,14 +62,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op6_levenshtein_toxicity, op7_line_join, op8_trie_token_counts, op9_weak_rules, op10_recompression)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_odd_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w
                      FROM documents),
 s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4
-        THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+        THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s)
@@ -86,7 +86,7 @@ WITH u AS (SELECT page_id, html, coalesce(url, '') LIKE '%://%' AS ok,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
     array_to_string(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '&'),
-        x -> NOT regexp_matches(x, '^(utm_[^&=]*|ref|fbclid|gclid)(=[^&]*)?$')), '&') AS query FROM pages),
+        lambda x: NOT regexp_matches(x, '^(utm_[^&=]*|ref|fbclid|gclid)(=[^&]*)?$')), '&') AS query FROM pages),
 c AS (SELECT *, CASE WHEN ok THEN regexp_replace(host, '^www\\.', '')
         || regexp_replace(regexp_replace(path, '\\.html?$', ''), '/+$', '')
         || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical,

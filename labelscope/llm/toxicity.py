@@ -172,7 +172,7 @@ class Model:
             abuse[entry, e] = max(abuse.get((entry, e), 0), w)
         for w in abuse.values():
             clean *= 1 - w
-        return 1 - clean
+        return 1 - clean if abuse else BASE
 
 
 def _inside(before: str, after: str) -> bool:
