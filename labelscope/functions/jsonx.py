@@ -37,7 +37,8 @@ def _col(c: Column | str) -> Column:
 def strict_json(c: Column | str) -> Column:
     """VARIANT of the text if the whole text is one JSON value, else NULL."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("," + _SENTINEL + "]")))
-    single = (F.try_variant_get(wrapped, "$[1]", "variant").isNotNull()
+    # The second element must be the sentinel itself: in `{..}, 1] tail` it is 1.
+    single = ((F.try_variant_get(wrapped, "$[1]", "string") == F.lit(_SENTINEL.strip('"')))
               & F.try_variant_get(wrapped, "$[2]", "variant").isNull())
     return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
 

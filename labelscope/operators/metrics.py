@@ -109,12 +109,13 @@ def ignored_histogram(normed: DataFrame, verdicts: DataFrame,
                                 F.col("first_row").alias("row"))).alias("first_seen")))
 
 
-def top_ignored(hist: DataFrame, k: int = TOP_IGNORED) -> DataFrame:
-    """Top-k out-of-scope labels per model, by count, ties in first-seen order."""
+def top_ignored(hist: DataFrame, k: int | None = TOP_IGNORED) -> DataFrame:
+    """Top-k (None: all) out-of-scope labels per model, by count, ties in first-seen order."""
     w = Window.partitionBy("model_name").orderBy(
         F.col("n").desc(), F.col("first_seen"), F.col("raw_label"))
-    return (hist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                .select("model_name", "rank", "raw_label", "n"))
+    ranked = hist.withColumn("rank", F.row_number().over(w))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)) \
+        .select("model_name", "rank", "raw_label", "n")
 
 
 def missed_sample(verdicts: DataFrame, k: int = EVIDENCE_SAMPLE,

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelscope.session import scratch_path
+
 
 def dense_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "row_no",
                 start: int = 0) -> DataFrame:
@@ -22,9 +24,13 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], out_col: str = "row_no
     ``order_cols`` for full determinism.
     """
     pid = "__pid"
-    ordered = (df.repartitionByRange(*order_cols)
-                 .sortWithinPartitions(*order_cols)
-                 .withColumn(pid, F.spark_partition_id()))
+    # Stored, so that the row counts and the numbering see one and the same
+    # partitioning: a second range exchange would draw its own bounds.
+    path = scratch_path(df.sparkSession, "ordered")
+    (df.repartitionByRange(*order_cols)
+       .sortWithinPartitions(*order_cols)
+       .withColumn(pid, F.spark_partition_id()).write.parquet(path))
+    ordered = df.sparkSession.read.parquet(path)
     counts = ordered.groupBy(pid).agg(F.count(F.lit(1)).alias("__n"))
     # One row per partition: the running total is computed over a tiny table.
     offsets = counts.select(

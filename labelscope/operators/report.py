@@ -13,12 +13,8 @@ from labelscope.functions.scores import with_prf
 from labelscope.operators import metrics as M
 
 
-SUMMARY_IGNORED = 100
-
-
 def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
-                  targets: Sequence[str] = DEFAULT_TARGETS,
-                  ignored_top: int = SUMMARY_IGNORED) -> DataFrame:
+                  targets: Sequence[str] = DEFAULT_TARGETS) -> DataFrame:
     """One row per model with the nested summary: model, precision, recall,
     f1, total_tp/fp/fn, pattern_scores (target order), ignored_detections
     (raw label -> rows), breakdown_by_source (origin -> correct/total/
@@ -76,7 +72,7 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
     full = M.ignored_histogram(normed, verdicts)
     totals = full.groupBy("model_name").agg(F.count(F.lit(1)).alias("ignored_distinct"),
                                              F.sum("n").alias("ignored_rows"))
-    top = (M.top_ignored(full, ignored_top)
+    top = (M.top_ignored(full, None)
            .groupBy("model_name")
            .agg(F.map_from_entries(F.transform(
                F.array_sort(F.collect_list(F.struct("rank", "raw_label", "n"))),

@@ -112,8 +112,9 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     Every aggregate has a fixed-width buffer, so Spark runs a plain
     ``HashAggregate`` with map-side partial aggregation: the detected set is
     one ``max`` flag per target, and the first row's gold is packed into
-    ``min(row_no * 2^bits + gold code)`` (row numbers must be non-negative
-    and below 2^(63 - bits), bits = bit length of the number of targets).
+    ``min(row_no * 2^bits + gold code)`` (a
+    decimal, so no row number overflows; bits = bit length of the number of
+    targets). Rows whose item key is NULL belong to no item and are left out.
     ``keep_gold_raw`` adds ``min_by`` over the raw text, which needs a
     sort-based aggregate. ``with_scores`` adds per-item sums, counts and
     extremes of the numeric confidence and adherence (``conf_*``, ``adh_*``),
@@ -134,13 +135,15 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     normed = normalize_column(normalize_detections(det, synonyms, targets),
                               "ground_truth_label", "__gold_norm", synonyms, targets)
     gold_code = F.coalesce(F.array_position(tarr, F.col("__gold_norm")), F.lit(0))
+    normed = normed.dropna(subset=list(key_cols))
     agg = normed.groupBy(*keys).agg(
         *extra,
         *[F.max(F.when(F.col("norm_label") == t, 1).otherwise(0)).alias(f"__hit{i}")
           for i, t in enumerate(targets)],
-        F.min(F.shiftleft(F.col("row_no").cast("long"), bits) + gold_code).alias("__first"),
+        F.min(F.col("row_no").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)")
+              + gold_code.cast("decimal(10,0)")).alias("__first"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.max("duration_seconds").alias("call_duration"),
+        F.max(_duration()).alias("call_duration"),
         F.sum(_duration()).alias("dur_sum"),
         F.count(_duration()).alias("dur_n"),
         *(_score_aggs() if with_scores else []),
@@ -151,7 +154,7 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
         lambda x: x.isNotNull()))
     out = (agg.withColumn("gold_label", F.when(code > 0, F.element_at(tarr, code)))
               .withColumn("detected", detected)
-              .withColumn("first_row", F.shiftright("__first", bits))
+              .withColumn("first_row", F.expr(f"__first div {1 << bits}"))
               .withColumn("origin", origin_of(origin_src if origin_src in keys
                                               else "__origin_src", origins))
               .withColumn("in_scope", F.col("gold_label").isNotNull())

@@ -193,8 +193,7 @@ def q_dedup_keep_first(spark, sf_dir):
 def q_corpus_summary(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("lang").alias("gold_label"), F.expr(D.DOC_ORIGIN).alias("origin"))
-    # both origins sampled in one pass: per (origin, label) groups
-    return C.corpus_summary(C.stratified_sample(docs, ["origin", "gold_label"], "doc_id", n=50))
+    return C.corpus_summary(docs)
 
 
 # -- requests and responses ---------------------------------------------------------

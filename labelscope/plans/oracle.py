@@ -361,9 +361,7 @@ SELECT p_type, p_name, p_partkey, CAST(sample_rank AS INTEGER) AS sample_rank FR
   SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY {porder}) AS sample_rank FROM kept)
 WHERE sample_rank <= 10"""
     out["corpus_summary"] = f"""
-WITH d AS (SELECT doc_id, lang AS gold_label, {D.DOC_ORIGIN} AS origin FROM documents),
-s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin, gold_label ORDER BY {order}) AS r
-                     FROM d) WHERE r <= 50)
+WITH s AS (SELECT doc_id, lang AS gold_label, {D.DOC_ORIGIN} AS origin FROM documents)
 SELECT coalesce(gold_label, 'TOTAL') AS gold_label,
        CAST(count(*) FILTER (WHERE origin = 'DPD') AS BIGINT) AS dpd,
        CAST(count(*) FILTER (WHERE origin = 'PMART') AS BIGINT) AS pmart,
