@@ -1,62 +1,43 @@
-"""Random responses: Spark extraction against a plain-Python version of the
-whole -> fence -> braces rules (json.loads, re with DOTALL)."""
+"""Responses put together from parts, so that what they yield is known."""
 
-import json
 import random
-import re
 
 from labelscope.operators.responses import explode_detections, extract_responses
 
-FRAGMENTS = [
-    '{"design_patterns":[{"pattern":"Singleton","confidence":90}]}',
-    '{"design_patterns":[{"pattern":"Observer"},{"pattern":"Factory","reason":"x"}]}',
-    '{"design_patterns":[]}', '{"other":1}', '[1,2]', '"design_patterns": [{"pattern":"A"}]',
-    "```json\n", "```", "```JSON\n", "\n", " ", "Sure.", "{", "}", "{bad}", "]", "[",
-    '{"design_patterns":[{"pattern":null}]}', '{"design_patterns":["s", {"pattern":"B"}]}',
-    "Error: boom", "text with } brace", "{ \"a\": {\"b\": 2} }", "123", "null", "true",
+#: Payload -> the labels it yields.
+PAYLOADS = [
+    ('{"design_patterns":[{"pattern":"Singleton","confidence":90}]}', ["Singleton"]),
+    ('{"design_patterns":[{"pattern":"Observer"},{"pattern":"Factory","reason":"x"}]}', ["Observer", "Factory"]),
+    ('{"design_patterns":[]}', ["None"]),
+    ('{"other":1}', ["None"]),
+    ('{"design_patterns":[{"pattern":null}]}', [None]),
+    ('{"design_patterns":["s", {"pattern":"B"}]}', ["B"]),
+    ('{"a": {"b": 2}}', ["None"]),
 ]
+PLAIN = ["", "Sure. ", "\n", "see ``` this ", "a ] b [ ", "Error - boom "]     # no braces
+BROKEN = ["{", "}", "{bad}", "Sure {x", "}{", "123", "null", "[1,2]", '"text"', ""]
 
 
-def py_extract(text):
-    """Reference rules written from the survey (objects only count)."""
-    try:
-        return json.loads(text)
-    except json.JSONDecodeError:
-        pass
-    m = re.search(r"```json\s*(\{.*?\})\s*```", text, re.DOTALL)
-    if m:
-        try:
-            return json.loads(m.group(1))
-        except json.JSONDecodeError:
-            pass
-    m = re.search(r"(\{.*\})", text, re.DOTALL)
-    if m:
-        try:
-            return json.loads(m.group(1))
-        except json.JSONDecodeError:
-            pass
-    return {}
-
-
-def py_detections(text):
-    v = py_extract(text)
-    if not isinstance(v, dict):
-        return ["None"]
-    items = v.get("design_patterns", [])
-    if not isinstance(items, list):
-        return ["None"]
-    out = [p.get("pattern", "Unknown") for p in items if isinstance(p, dict)]
-    out = [None if x is None else str(x) for x in out]
-    return out or ["None"]
-
-
-def test_random_responses(spark):
+def test_composed_responses(spark):
     rng = random.Random(11)
-    texts = ["".join(rng.choice(FRAGMENTS) for _ in range(rng.randint(1, 6))) for _ in range(400)]
-    df = spark.createDataFrame([(f"r{i:04d}", t) for i, t in enumerate(texts)],
+    cases = [(t, ["None"]) for t in BROKEN]
+    for payload, labels in PAYLOADS:
+        cases.append((payload, labels))                                     # whole
+        for _ in range(12):
+            before, after = rng.choice(PLAIN), rng.choice(PLAIN)
+            cases.append((before + payload + after, labels))                # from brace to brace
+            cases.append((before + "```json\n" + payload + "\n```" + after, labels))
+        for other, _ in PAYLOADS:                                           # two objects: neither
+            cases.append((payload + " " + other, ["None"]))
+        # The fence wins over an object outside it, which braces would join to it.
+        cases.append(('x {"other":1} ```json ' + payload + "``` y", labels))
+        cases.append((payload + "}", ["None"]))
+        cases.append((payload + ', {"x":1}] and more', ["None"]))
+        cases.append((payload + ", 1] tail", labels))
+    df = spark.createDataFrame([(f"r{i:04d}", t) for i, (t, _) in enumerate(cases)],
                                "request_id string, raw_response string")
     got = {}
     for r in explode_detections(extract_responses(df)).orderBy("request_id", "pos").collect():
         got.setdefault(r["request_id"], []).append(r["detected_pattern"])
-    for i, t in enumerate(texts):
-        assert got[f"r{i:04d}"] == py_detections(t), repr(t)
+    for i, (text, labels) in enumerate(cases):
+        assert got[f"r{i:04d}"] == labels, repr(text)

@@ -1,37 +1,25 @@
-"""Label normalisation against Python's own str.strip().lower() rules on
-random strings (case, Unicode white space, special letters)."""
+"""Label normalisation on hand-made spellings, in every surrounding."""
 
-import random
-
-from labelscope.functions.fixed_values import DEFAULT_SYNONYMS, DEFAULT_TARGETS
 from labelscope.functions.labels import is_ignored_label, normalize_label
 
-PIECES = ["Singleton", "FACTORY", "factory method", "Pub-Sub", "observer", " ", "\t", "\n",
-          " ", " ", "　", "​", "None", "none", "İ", "ß", "ΑΣ", "Ǆ",
-          "wrapper", "Strategy Pattern", "abstract factory", "x", ""]
-
-
-def py_norm(x):
-    if x is None:
-        return None
-    p = x.strip().lower()
-    if p in ("none", ""):
-        return None
-    p = DEFAULT_SYNONYMS.get(p, p)
-    return p if p in DEFAULT_TARGETS else None
-
-
-def py_ignored(x):
-    return x is not None and x.lower() not in ("none", "") and py_norm(x) is None
-
-
-def test_random_labels(spark):
-    rng = random.Random(5)
-    raws = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 3))) for _ in range(600)]
-    raws += [None]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+#: Spelling -> (label, ignored).
+SPELLINGS = {
+    "Singleton": ("singleton", False), "SINGLETON PATTERN": ("singleton", False), "FACTORY": ("factory", False),
+    "Factory Method": ("factory", False), "abstract factory": ("factory", False), "factory-method": ("factory", False),
+    "Pub-Sub": ("observer", False), "observer": ("observer", False), "Publisher-Subscriber": ("observer", False),
+    "wrapper": (None, True), "Strategy Pattern": (None, True), "x": (None, True), "factory  method": (None, True),
+    "singletonsingleton": (None, True), "\u0130": (None, True), "\u00df": (None, True), "observer.": (None, True),
+}
+AROUND = ["", " ", "\t", "\n", "\u00a0", "\u2003", "\u3000", "\x1c"]
+
+
+def test_spellings(spark):
+    cases = [(a + s + b, want) for s, want in SPELLINGS.items() for a in AROUND for b in AROUND]
+    cases += [("None", (None, False)), ("none", (None, False)), ("NONE", (None, False)), ("", (None, False)),
+              (None, (None, False)), ("\u200bsingleton", (None, True))]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, raw string")
     out = df.select("i", "raw", normalize_label("raw").alias("n"))
     got = {r["i"]: (r["n"], r["ign"]) for r in
            out.select("i", "n", is_ignored_label("raw", "n").alias("ign")).collect()}
-    for i, r in enumerate(raws):
-        assert got[i] == (py_norm(r), py_ignored(r)), repr(r)
+    for i, (raw, want) in enumerate(cases):
+        assert got[i] == want, repr(raw)
