@@ -156,4 +156,7 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the input's columns. The texts are
     measured twice, once for the counts, rather than stored or shuffled."""
     counts = _counted(with_measures(docs.select("text")))
-    return _verdict(with_measures(docs), counts).filter(_c("kept")).select(*docs.columns)
+    # The row number keeps the optimizer from pushing the filter below the
+    # measures, which would write their expressions out again and again.
+    d = with_measures(docs).withColumn(_P + "id", F.monotonically_increasing_id())
+    return _verdict(d, counts).filter(_c("kept") & (_c("id") >= 0)).select(*docs.columns)
