@@ -22,10 +22,9 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
 
     Label, origin and micro figures come from one grouping-sets aggregation
     over the verdicts; only the out-of-scope histogram reads detection rows.
-    A model's distinct out-of-scope spellings are not bounded, so the summary
-    holds its ``ignored_top`` most frequent ones plus ``ignored_distinct`` and
-    ``ignored_rows`` totals; the whole histogram is its own table
-    (``metrics.ignored_histogram``).
+    The summary holds all of a model's out-of-scope spellings, the most frequent
+    first, with ``ignored_distinct`` and ``ignored_rows`` totals; as rows the
+    histogram is its own table (``metrics.ignored_histogram``).
     ``det`` is accepted for symmetry with the other report inputs.
     """
     del det
