@@ -123,7 +123,7 @@ def anchors(names: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds:
 
 
 class Group:
-    """Texts parsed together: words, windows and their anchors."""
+    """Texts parsed together: names of the words, and the windows."""
 
     def __init__(self, texts: list[list[bytes]], ids: WordIds, window: int = WINDOW):
         self.sizes = np.array([len(t) for t in texts])
@@ -134,35 +134,30 @@ class Group:
         count = np.maximum(self.sizes - window + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), count)           # of each window
         self.start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        begin = self.first[self.doc] + self.start
         self.window = window
-        if len(begin):
-            self.position, self.words, self.anchor = anchors(self.names, begin, window)
-        else:
-            self.position = self.words = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, _U)
-        #: Place of each window's anchor in its text: word * 64 + words.
-        self.at = (self.position - self.first[self.doc]) * 64 + self.words
 
     def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, at, name, context) of the distinct anchors."""
-        new = np.ones(len(self.at), bool)
-        new[1:] = (self.at[1:] != self.at[:-1]) | (self.doc[1:] != self.doc[:-1])
-        # An anchor's windows are neighbours but for ties; the rest goes here.
-        key = self.doc[new] * (1 << 40) + self.at[new]
-        _, one = np.unique(key, return_index=True)
-        pick = np.flatnonzero(new)[one]
-        doc, pos, words = self.doc[pick], self.position[pick], self.words[pick]
+        """(doc, at, name, context) of the distinct anchors; ``at`` packs the
+        anchor's first window and how many windows lie from it to the last
+        one. Ties can put another anchor's window between them: that one is
+        inside the context too, so what holds for the context holds for it."""
+        if not len(self.doc):
+            return self.doc, self.start, np.zeros(0, _U), np.zeros(0, _U)
+        position, words, anchor = anchors(self.names, self.first[self.doc] + self.start, self.window)
+        new = np.ones(len(position), bool)
+        new[1:] = (position[1:] != position[:-1]) | (words[1:] != words[:-1]) | (self.doc[1:] != self.doc[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(position)) - 1
+        _, one, which = np.unique(position[first] * 64 + words[first], return_index=True, return_inverse=True)
+        end = np.zeros(len(one), np.int64)
+        np.maximum.at(end, which, self.start[last])
+        pick = first[one]
+        doc, pos, words = self.doc[pick], position[pick], words[pick]
         low, high = self.first[doc], self.first[doc] + self.sizes[doc]
         a, b = np.maximum(pos + words - self.window, low), np.minimum(pos + self.window, high)
         p = Prefix(self.names, _BASE)
         context = mix(p.range(a, pos) * _PAIR + p.range(pos, b))
-        return doc, self.at[pick], self.anchor[pick], context
-
-    def of_places(self, marked: list[np.ndarray]) -> np.ndarray:
-        """Windows whose anchor is at one of the places marked in their text."""
-        keys = [m + d * (1 << 40) for d, m in enumerate(marked) if len(m)]
-        return np.isin(self.doc * (1 << 40) + self.at, np.concatenate(keys)) if keys else np.zeros(len(self.doc), bool)
+        return doc, self.start[pick] * 64 + end - self.start[pick] + 1, anchor[pick], context
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.first[self.doc[which]] + self.start[which]
@@ -170,6 +165,14 @@ class Group:
         return one.view(np.int64), (two >> _U(32)).astype(np.uint32).view(np.int32)
 
 
+def _inside(at: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` positions, whether a window of the places ``at`` starts there."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, at // 64, 1)
+    np.add.at(change, at // 64 + at % 64, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches with their words, about GROUP_WORDS at a time."""
     for batch in batches:
@@ -197,7 +200,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = in_worker("word names", WordIds)
     for part, texts in _grouped(batches, 1):
         group = Group(texts, ids)
-        which = np.flatnonzero(group.of_places([np.asarray(x, np.int64) for x in part.column(2).to_pylist()]))
+        marked = [_inside(np.asarray(at, np.int64), max(len(t) - WINDOW + 1, 0))
+                  for t, at in zip(texts, part.column(2).to_pylist())]
+        which = np.flatnonzero(np.concatenate(marked))
         h, g = group.windows(which)
         order = np.lexsort((g, h))
         h, g, which = h[order], g[order], which[order]
@@ -220,19 +225,14 @@ _RESULT = ["row", "n_removed", "kept_sha256", "kept"]
 
 def _results(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = in_worker("word names", WordIds)
         for part, texts in _grouped(batches, 1):
-            group = Group(texts, ids)
-            whole = [np.asarray(x or [], np.int64) for x in part.column(2).to_pylist()]
-            starts = [np.asarray(x or [], np.int64) for x in part.column(3).to_pylist()]
-            hit = group.of_places(whole)
             removed, digest, kept = [], [], []
-            for d, words in enumerate(texts):
+            for words, whole, starts in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+                whole, starts = (np.asarray(x or [], np.int64) for x in (whole, starts))
                 change = np.zeros(len(words) + 1, np.int64)
-                lo, hi = np.searchsorted(group.doc, [d, d + 1])
-                for at in (group.start[lo:hi][hit[lo:hi]], starts[d]):
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
+                for begin, n in ((whole // 64, whole % 64), (starts, 1)):
+                    np.add.at(change, begin, 1)
+                    np.add.at(change, begin + n + WINDOW - 1, -1)
                 covered = np.cumsum(change[:-1]) > 0
                 left = [w for w, c in zip(words, covered.tolist()) if not c]
                 removed.append(int(covered.sum()))
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     joined by spaces, or null without ``with_text`` or if all stay)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                     text_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text"))
-    found = d.select("row", "text").mapInArrow(_places, "name long, row long, at long, context long")
+    found = stored(d.select("row", "text").mapInArrow(_places, "name long, row long, at long, context long"), "found")
     shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("name")
     alive = stored(found.join(shared, "name"), "anchors")
     contexts = alive.groupBy("name", "context").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("low"))
