@@ -3,11 +3,11 @@ row keys, intermediate tables in the shared folder, connected components."""
 
 from __future__ import annotations
 
+import functools
 import sys
 import types
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +47,6 @@ def in_worker(name: str, make):
     return getattr(home, name)
 
 
-class WordIds(Remembered):
-    """word (bytes) -> 64-bit name."""
-
-    def __init__(self):
-        super().__init__(xxhash.xxh64_intdigest)
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        self.trim()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(31))
@@ -67,6 +56,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
+_BYTE = np.random.default_rng(64).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95
+#: Bytes that are named at once, unless one word has more.
+NAMED_BYTES = 1 << 17
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    base, inverse = (np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    base[0] = inverse[0] = 1
+    return np.cumprod(base), np.cumprod(inverse)
+
+
+def word_names(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit name of each word of a text, and where each begins. A name is a
+    polynomial in the word's bytes, so all words are named at once."""
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+    begin, end = edges[::2], edges[1::2]
+    out, at = np.zeros(len(begin), np.uint64), 0
+    while at < len(begin):
+        low = begin[at]
+        to = max(at + 1, int(np.searchsorted(end, low + NAMED_BYTES, "right")))
+        size = int(end[to - 1] - low)
+        power, inverse = _powers(max(NAMED_BYTES, 1 << size.bit_length()))
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[low:low + size]] * power[:size], out=total[1:])
+        a, b = begin[at:to] - low, end[at:to] - low
+        out[at:to] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        at = to
+    return out, begin
+
+
+def names_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words of all texts, and how many words each text has."""
+    names, begin = word_names(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return names, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
 def shingles(ids: np.ndarray, k: int) -> np.ndarray:
     """Names of the k-word shingles in order; fewer words: the sequence as one."""
     n = len(ids)

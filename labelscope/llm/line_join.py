@@ -35,18 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import WordIds, blocked_bloom, in_worker, likely, maybe_in, mix, stored, text_key
+from labelscope.llm.common import blocked_bloom, likely, maybe_in, mix, names_of, stored, text_key
 
 PERCENT = 80
-CELLS = 1 << 18
+CELLS = 1 << 18                      # a cell is the low 18 bits of a name
 BUCKETS = 3
 _SALT = np.array([0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x5851F42D4C957F2D], np.uint64)
 
 
-def line_words(text: bytes) -> list[list[bytes]]:
-    return [line.split() for line in text.lower().split(b"\n")]
-
-
 def _cells(ids: np.ndarray) -> np.ndarray:
     return (ids % np.uint64(CELLS)).astype(np.int64)
 
@@ -57,14 +53,14 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Words of all texts counted by hash cell."""
+    """The place of each hash cell when they are ordered by their counts of
+    the words of all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, count = in_worker("word names", WordIds), np.zeros(CELLS, np.int64)
+        count = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                words = (text.as_py() or b"").lower().split()
-                cell, n = np.unique(_cells(ids.array(words)), return_counts=True)
-                count[cell] += n
+            for at in range(0, batch.num_rows, 500):
+                ids, _ = names_of([(t or b"").lower() for t in batch.column(0).slice(at, 500).to_pylist()])
+                count += np.bincount(_cells(ids), minlength=CELLS)
         cell = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(count[cell], pa.int64())],
                                          names=["cell", "n"])
@@ -74,15 +70,18 @@ def rarity(docs: DataFrame) -> np.ndarray:
     out = np.zeros(CELLS, np.int64)
     for cell, n in counted.collect():             # at most CELLS rows
         out[cell] = n
-    return out
+    place = np.zeros(CELLS, np.uint64)
+    place[np.argsort(out, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    return place
 
 
-def line_sets(counts: list[int], ids: np.ndarray, rank: np.ndarray, percent: int) -> tuple:
+def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: int) -> tuple:
     """For each line that has words: (line, node, size, bitmap, three bucket
     tokens, prefix tokens, where each line's prefix ends). ``counts`` are the
     words of each line, ``ids`` all their names."""
     line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((ids, rank[_cells(ids)], line))
+    # The cell's place in the order of rarity, then the rest of the name.
+    order = np.lexsort((rank[_cells(ids)] << np.uint64(46) | ids >> np.uint64(18), line))
     ids, line = ids[order], line[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])
@@ -109,15 +108,14 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
     where = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, given = in_worker("word names", WordIds), set()
+        given = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                texts = [line_words(t or b"") for t in part.column(2).to_pylist()]
-                counts = [len(x) for t in texts for x in t]
-                if not sum(counts):
+                texts = [(t or b"").lower().split(b"\n") for t in part.column(2).to_pylist()]
+                ids, counts = names_of([x for t in texts for x in t])
+                if not len(ids):
                     continue
-                ids = names.array([w for t in texts for x in t for w in x])
                 got, node, n, bitmap, buckets, prefix, ends = line_sets(counts, ids, where.value, percent)
                 per_doc = np.array([len(t) for t in texts])
                 doc = np.repeat(np.arange(len(texts)), per_doc)[got]

@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import (WordIds, blocked_bloom, components, in_worker, likely, maybe_in, mix, shingles,
-                                   stored, text_key)
+from labelscope.llm.common import (blocked_bloom, components, likely, maybe_in, mix, names_of, shingles, stored,
+                                   text_key)
 
 BANDS, ROWS = 32, 5
 BITS = 1024                          # of an odd sketch
@@ -51,9 +51,10 @@ _MUL = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.ui
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingle_set(text: bytes, k: int, ids: WordIds) -> np.ndarray:
-    """Sorted names of the distinct shingles of the lower-cased text."""
-    return np.unique(shingles(ids.array(text.lower().split()), k))
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """Sorted names of the distinct shingles of each lower-cased text."""
+    names, counts = names_of([(t or b"").lower() for t in texts])
+    return [np.unique(shingles(part, k)) for part in np.split(names, np.cumsum(counts)[:-1])]
 
 
 def samples(names: np.ndarray, step: int = 2048) -> np.ndarray:
@@ -85,13 +86,11 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                         ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = in_worker("word names", WordIds)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 out: list[list] = [[], [], [], []]
-                for text in part.column(2):
-                    names = shingle_set(text.as_py() or b"", k, ids)
+                for names in shingle_sets(part.column(2).to_pylist(), k):
                     row = [len(names), None, None, None]
                     if len(names):
                         low = samples(names)
@@ -119,13 +118,13 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, last, known = in_worker("word names", WordIds), None, None
+        last, known = None, None
         for batch in batches:
             keep = []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != last:                     # rows come sorted by a after the join
-                    last, known = a, shingle_set(ta.as_py(), k, ids)
-                other = shingle_set(tb.as_py(), k, ids)
+                    last, known = a, shingle_sets([ta.as_py()], k)[0]
+                other = shingle_sets([tb.as_py()], k)[0]
                 common = len(np.intersect1d(known, other, assume_unique=True))
                 keep.append(100 * common >= percent * (len(known) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]) \

@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import WordIds, in_worker, likely, mix, stored, text_key
+from labelscope.llm.common import likely, mix, names_of, stored, text_key
 
 WINDOW = 35
 ROUNDS = 4
-GROUP_WORDS = 30_000                 # texts that are parsed together in a task, at least one
+GROUP_BYTES = 200_000                # of texts that are parsed together in a task, at least one
 _U = np.uint64
 _RUN, _PAIR = _U(0x8CB92BA72F3D8DD7), _U(0xABC98388FB8FAC03)
 _SIDES = np.random.default_rng(35).integers(0, 1 << 63, 64, np.uint64)
@@ -125,11 +125,10 @@ def anchors(names: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds:
 class Group:
     """Texts parsed together: names of the words, and the windows."""
 
-    def __init__(self, texts: list[list[bytes]], ids: WordIds, window: int = WINDOW):
-        self.sizes = np.array([len(t) for t in texts])
+    def __init__(self, texts: list[bytes], window: int = WINDOW):
+        names, self.sizes = names_of(texts)
         # A name of its own after each text; no window reaches over it.
-        parts = [p for t in texts for p in (ids.array(t), np.array([_END], _U))]
-        self.names = np.concatenate(parts) if parts else np.zeros(0, _U)
+        self.names = np.insert(names, np.cumsum(self.sizes), _END)
         self.first = np.cumsum(self.sizes + 1) - self.sizes - 1      # where each text begins
         count = np.maximum(self.sizes - window + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), count)           # of each window
@@ -173,22 +172,21 @@ def _inside(at: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of the batches with their words, about GROUP_WORDS at a time."""
+def _grouped(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts, about GROUP_BYTES at a time."""
     for batch in batches:
         begin, size, held = 0, 0, []
         for i, t in enumerate(batch.column(text)):
-            held.append((t.as_py() or b"").split())
+            held.append(t.as_py() or b"")
             size += len(held[-1]) + 1
-            if size >= GROUP_WORDS or i + 1 == batch.num_rows:
+            if size >= GROUP_BYTES or i + 1 == batch.num_rows:
                 yield batch.slice(begin, i + 1 - begin), held
                 begin, size, held = i + 1, 0, []
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = in_worker("word names", WordIds)
     for part, texts in _grouped(batches, 1):
-        doc, at, name, context = Group(texts, ids).places()
+        doc, at, name, context = Group(texts).places()
         yield pa.RecordBatch.from_arrays(
             [pa.array(name.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(at),
              pa.array(context.view(np.int64))], names=["name", "row", "at", "context"])
@@ -197,11 +195,10 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, g, row, start, n): n occurrences in the group under one row; the
     others of a window found twice in a group have n = 0: they are settled."""
-    ids = in_worker("word names", WordIds)
     for part, texts in _grouped(batches, 1):
-        group = Group(texts, ids)
-        marked = [_inside(np.asarray(at, np.int64), max(len(t) - WINDOW + 1, 0))
-                  for t, at in zip(texts, part.column(2).to_pylist())]
+        group = Group(texts)
+        marked = [_inside(np.asarray(at, np.int64), max(n - WINDOW + 1, 0))
+                  for n, at in zip(group.sizes.tolist(), part.column(2).to_pylist())]
         which = np.flatnonzero(np.concatenate(marked))
         h, g = group.windows(which)
         order = np.lexsort((g, h))
@@ -227,7 +224,8 @@ def _results(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _grouped(batches, 1):
             removed, digest, kept = [], [], []
-            for words, whole, starts in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+            for text, whole, starts in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+                words = text.split()
                 whole, starts = (np.asarray(x or [], np.int64) for x in (whole, starts))
                 change = np.zeros(len(words) + 1, np.int64)
                 for begin, n in ((whole // 64, whole % 64), (starts, 1)):
