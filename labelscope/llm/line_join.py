@@ -155,10 +155,11 @@ def _may_match(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Co
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose words are similar enough."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b") \
-        .join(texts.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.filter((100 + percent) * common >= percent * (F.size("wa") + F.size("wb"))).select("a", "b")
+    side = lambda s: texts.select(*(F.col(c).alias(c if c == "node" else c + s) for c in texts.columns)) \
+        .withColumnRenamed("node", s)
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    common = F.size(F.array_intersect(F.split("wordsa", " "), F.split("wordsb", " ")))
+    return both.filter((100 + percent) * common >= percent * (F.col("ka") + F.col("kb"))).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -213,14 +214,16 @@ def _later(pairs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, words (distinct) of the nodes in the pairs, from their first line."""
+    """node, words (distinct, joined by spaces: a shuffle moves them for each
+    pair), k (how many) of the nodes in the pairs, from their first line."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(first.join(asked, "node").select("node", "at.row", "at.line"), "lines_wanted")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     found = likely(docs.select(text_key(F.col("doc_id"), F.col("text")).alias("row"), "text"), "row", wanted)
     line = F.get(F.split("text", "\n"), F.col("line"))
     words = F.array_distinct(F.array_remove(F.split(F.translate(line, upper + "\t\x0b\x0c\r", lower + "    "), " "), ""))
-    return stored(found.join(wanted, "row").select("node", words.alias("words")).dropDuplicates(["node"]), "lines_texts")
+    return stored(found.join(wanted, "row").select("node", words.alias("words")).dropDuplicates(["node"])
+                  .select("node", F.array_join("words", " ").alias("words"), F.size("words").alias("k")), "lines_texts")
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT, empty: bool = False) -> DataFrame:
