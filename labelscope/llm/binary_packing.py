@@ -55,7 +55,8 @@ class WordTokens(Remembered):
 
     Letters with marks after them are cut here, as the file's pre-tokenizer
     cuts them, and only new letter runs are merged by the model; any other
-    word, and any letter above Latin Extended-B, takes the whole tokenizer."""
+    word, any letter above Latin Extended-B, and letters whose lower case is
+    not letters only (capital dotted I), take the whole tokenizer."""
 
     def __init__(self, path: str):
         super().__init__(self._word, 500_000)
@@ -74,8 +75,9 @@ class WordTokens(Remembered):
         text = word.decode("utf-8", "replace")
         plain = text if word.isascii() else unicodedata.normalize("NFC", text)
         body = plain.rstrip(MARKS)
-        if body.isalpha() and max(body) < "\u0250":
-            return self.parts[body.lower()] + self.parts[plain[len(body):]]
+        low = body.lower()
+        if body.isalpha() and max(body) < "\u0250" and low.isalpha():
+            return self.parts[low] + self.parts[plain[len(body):]]
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def trim(self) -> None:

@@ -104,6 +104,17 @@ def test_packing(docs, none, texts):
     assert binary_packing.piece_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
 
 
+def test_packing_shortcut_letters():
+    from tokenizers import Tokenizer
+    path = binary_packing.tokenizer_path()
+    tk, known = Tokenizer.from_file(path), binary_packing.WordTokens(path)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    assert "\u0130" in letters
+    for c in letters:
+        for word in (c, f"{c}stanbul,", f"D{c}YARB{c}", f"ab{c}!?"):
+            assert np.frombuffer(known[word.encode()], "<u4").tolist() == tk.encode(word, add_special_tokens=False).ids, word
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/1?b=2&utm_source=x#f", "https://example.com/en/", "http://www.example.com/en/q",
             "http://x.net/es/1", "http://x.org/p.html", "http://www.x.org/p/?ref=1", "http://x.org/q", None, "nothing",
