@@ -187,12 +187,31 @@ def _inside(before: str, after: str) -> bool:
     return False
 
 
+def _lowest(known: DataFrame) -> DataFrame:
+    """The rows whose hash lies in the lowest ranges that hold each label
+    value's sample, so that ranking never sorts all rows of a label in one
+    task: it gets the sample and what else lies in its last range."""
+    part = F.shiftright(F.xxhash64("doc_id"), 52)             # 4,096 ranges in the order of the hash
+    counts = known.groupBy("toxic", part.alias("part")).count().collect()     # two rows a range at most
+    keep = F.lit(False)
+    for toxic, most in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC)):
+        found = 0
+        for last, n in sorted((r["part"], r["count"]) for r in counts if r["toxic"] == toxic):
+            found += n
+            if found >= most:
+                keep = keep | ((F.col("toxic") == toxic) & (part <= last))
+                break
+        else:
+            keep = keep | (F.col("toxic") == toxic)
+    return known.filter(keep)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of the sampled training rows, one for each distinct text."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic") \
         .filter(~held_out(F.col("doc_id"))).distinct()
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)) \
+    chosen = _lowest(known).withColumn("r", F.row_number().over(order)) \
         .filter((F.col("r") <= SAMPLE_CLEAN) & ((F.col("toxic") == 0) | (F.col("r") <= SAMPLE_TOXIC))) \
         .select("doc_id", "toxic")
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows.

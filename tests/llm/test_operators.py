@@ -242,6 +242,21 @@ def test_toxicity(spark, none):
     assert toxicity.train(docs.limit(0), labels) is None and toxicity.train(docs, labels.limit(0)) is None
 
 
+def test_toxicity_sample_ranks_few_rows(spark):
+    labels = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, 1)
+                                         .when(F.col("id") % 50_000 == 1, None).otherwise(0).alias("toxic"))
+    docs = labels.select("doc_id", F.col("doc_id").cast("string").alias("text"))
+    used = labels.filter(~toxicity.held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
+    rows = used.select("toxic", F.xxhash64("doc_id"), "doc_id").collect()
+    want = {(str(i), x) for x, most in ((0, toxicity.SAMPLE_CLEAN), (1, toxicity.SAMPLE_TOXIC))
+            for _, _, i in sorted(r for r in rows if r[0] == x)[:most]}
+    got = toxicity.training_sample(docs, labels.unionByName(labels.limit(1000))).collect()
+    assert len(got) == len(want) and {(r.text, r.toxic) for r in got} == want
+    ranked = toxicity._lowest(used)
+    assert len(rows) > 100_000 and ranked.count() < 1.1 * len(want)
+    assert toxicity._lowest(used.filter("doc_id < 500")).count() == sum(r[2] < 500 for r in rows)
+
+
 def test_line_join_against_all_pairs(spark, docs, none):
     more = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100)
     d = docs.select("doc_id", "text").unionByName(more)
