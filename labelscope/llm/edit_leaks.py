@@ -7,8 +7,10 @@ the documents; around each piece that is found, Myers' bit-parallel distance
 says how many edits the item needs there.
 
 Texts and items are compared in lower case with runs of white space as one
-space. The items go out in blocks of at most ``BLOCK_CHARS`` characters (or one
-item), each block over all documents, so what an executor holds is bounded.
+space. The items go through the driver in blocks of at most ``BLOCK_CHARS``
+characters (or one item), each block over all documents. A block's result is
+written before the next one is searched, and a Python worker keeps the latest
+block's automaton only, so the driver holds two blocks and a worker one.
 Items shorter than ``SHORTEST`` characters identify no document and are left
 out. Equal items are all reported.
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import in_worker
+from labelscope.llm.common import in_worker, stored
 
 ERRORS = 0.06
 SHORTEST = 24
@@ -133,11 +135,29 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield block
 
 
+def _with_next(found: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether another one follows."""
+    block = next(found, None)
+    while block is not None:
+        after = next(found, None)
+        yield block, after is not None
+        block = after
+
+
 def _name(items: list[tuple[int, str]], errors: float) -> str:
-    return "leaks " + hashlib.sha256(repr((items, errors)).encode()).hexdigest()
+    return hashlib.sha256(repr((items, errors)).encode()).hexdigest()
+
 
+def _latest(name: str, make) -> Block:
+    """The worker's block; the one before it is forgotten first."""
+    held = in_worker("leaks", dict)
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
 
-def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+
+def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, most: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits, allowed, found_to: a row for each document and
     item that it holds."""
     out = "doc_id long, item_id long, edits long, allowed long, found_to long"
@@ -150,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
         name = _name(items, errors)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = in_worker(name, lambda: Block(items, errors))
+            block = _latest(name, lambda: Block(items, errors))
             for batch in batches:
                 rows = [(doc, item, edits, allowed[item], to) for doc, text in
                         zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid
@@ -159,23 +179,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
                                                   for j in range(5)], schema=schema)
         return run
 
-    found = [d.mapInArrow(search(items), out) for items in blocks(benchmark)]
-    result = found[0] if found else d.sparkSession.createDataFrame([], out)
-    for more in found[1:]:
-        result = result.unionByName(more)
+    result = d.sparkSession.createDataFrame([], out)
+    for n, (items, more) in enumerate(_with_next(blocks(benchmark, most))):
+        found = d.mapInArrow(search(items), out)
+        found = stored(found, "leaks") if more else found
+        result = result.unionByName(found) if n else found
     return result
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The documents without a leak, with the input's columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, most: int = BLOCK_CHARS) -> DataFrame:
+    """The documents without a leak, with the input's columns. Of all blocks
+    but the last, the names of the leaking texts are written."""
     def leaky(items: list[tuple[int, str]]):
         name = _name(items, errors)
 
         def run(texts: pd.Series) -> pd.Series:
-            block = in_worker(name, lambda: Block(items, errors))
+            block = _latest(name, lambda: Block(items, errors))
             return texts.map(lambda x: x is not None and bool(block.leaks(x))).astype(bool)
-        return F.pandas_udf(run, "boolean")
-
-    for items in blocks(benchmark):
-        docs = docs.filter(~leaky(items)("text"))
-    return docs
+        return F.pandas_udf(run, "boolean")("text")
+
+    key, gone, left = "__llm_text", None, docs
+    for items, more in _with_next(blocks(benchmark, most)):
+        if more:
+            now = stored(docs.filter(leaky(items)).select(F.xxhash64("text").alias(key)).distinct(), "leaky_texts")
+            gone = now if gone is None else gone.unionByName(now)
+        else:
+            left = docs.filter(~leaky(items))
+    if gone is None:
+        return left
+    return left.withColumn(key, F.xxhash64("text")).join(gone, key, "left_anti").select(*docs.columns)

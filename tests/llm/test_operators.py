@@ -171,6 +171,33 @@ def test_edit_leaks(spark, none):
         assert edit_leaks.least_edits(p, t)[0] == min(row)
 
 
+def test_edit_leaks_block_after_block(spark, monkeypatch):
+    rnd = random.Random(8)
+    items = [(i, " ".join(words(12, 50 + i, 900))) for i in range(5)]
+    d = spark.createDataFrame([(i, f"so {' '.join(t for _, t in rnd.sample(items, i % 4))} it is") for i in range(16)]
+                              + [(99, None)], "doc_id long, text string").repartition(1)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, j) for i, t in d.collect() for j, x in items if t and x in t}
+    written = []
+
+    def stored(df, name):
+        written.append((name, common.stored(df, name)))
+        return written[-1][1]
+    monkeypatch.setattr(edit_leaks, "stored", stored)
+    assert len(list(edit_leaks.blocks(b, 60))) == 5
+    found = edit_leaks.leaks(d, b, most=60)
+    assert [n for n, _ in written] == ["leaks"] * 4 and all(x.count() for _, x in written)
+    assert str(found._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1      # one block is left to search
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and found.count() == len(want)
+    kept = edit_leaks.clean(d, b, most=60)
+    assert str(kept._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+    assert kept.columns == d.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in d.collect()} - {i for i, _ in want}
+    for name in "ab":
+        edit_leaks._latest(name, lambda: edit_leaks.Block(items))
+    assert list(common.in_worker("leaks", dict)) == ["b"]
+
+
 def test_language_codes_and_accuracy(spark, docs, none):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     trees = ppm_language.train(d)
