@@ -11,17 +11,20 @@ space. The items go through the driver in blocks of at most ``BLOCK_CHARS``
 characters (or one item), each block over all documents. A block's result is
 written before the next one is searched, and a Python worker keeps the latest
 block's automaton only, so the driver holds two blocks and a worker one.
-Items shorter than ``SHORTEST`` characters identify no document and are left
-out. Equal items are all reported.
+Items shorter than ``SHORTEST`` characters must occur unchanged and as whole
+words: no letter, mark or digit goes on at either end (in scripts written
+without spaces any place will do). Equal items are all reported.
 
-Null and empty texts have no leaks; null items and ids are left out of the
-items, a null doc_id is reported as such. Repeated rows give rows each. Empty
+Null and empty texts have no leaks; null items and ids, and items of white space
+only, are left out of the items, a null doc_id is reported as such. Repeated rows give rows each. Empty
 tables give no rows. Other columns are ignored; ``clean`` returns the input's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +37,8 @@ from labelscope.llm.common import in_worker, stored
 ERRORS = 0.06
 SHORTEST = 24
 BLOCK_CHARS = 4_000_000
+#: Thai to Myanmar, Khmer, kana, Han: words follow each other without spaces.
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
@@ -41,7 +46,7 @@ def normal(text: str) -> str:
 
 
 def budget(item: str, errors: float = ERRORS) -> int:
-    return int(len(item) * errors)
+    return int(len(item) * errors) if len(item) >= SHORTEST else 0
 
 
 def pieces(item: str, errors: float = ERRORS) -> list[tuple[int, str]]:
@@ -77,6 +82,11 @@ def least_edits(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def goes_on(a: str, b: str) -> bool:
+    """Both characters (or none) belong to one word."""
+    return all(c and unicodedata.category(c)[0] in "LMN" and not UNSPACED.match(c) for c in (a, b))
+
+
 class Block:
     """Items and the automaton of their pieces."""
 
@@ -106,6 +116,10 @@ class Block:
                 k, start = budget(item, self.errors), end - length + 1 - offset
                 if best.get(i, (1,))[0] == 0 or (i, start) in seen:
                     continue
+                if len(item) < SHORTEST:
+                    if not (goes_on(text[start - 1:start], item[0]) or goes_on(item[-1], text[end + 1:end + 2])):
+                        best[i] = (0, end + 1)
+                    continue
                 seen.add((i, start))
                 low = max(0, start - k)
                 if text.startswith(item, max(0, start)):
@@ -124,7 +138,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
     rows = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
     for item_id, text in rows.sort("item_id", "text").toLocalIterator():
         text = normal(text)
-        if len(text) < SHORTEST:
+        if not text:
             continue
         if block and size + len(text) > most:
             yield block

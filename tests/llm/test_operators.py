@@ -171,6 +171,18 @@ def test_edit_leaks(spark, none):
         assert edit_leaks.least_edits(p, t)[0] == min(row)
 
 
+def test_edit_leaks_short_items(spark):
+    b = spark.createDataFrame([(1, "Capital of  Peru"), (2, "lima"), (3, "1,024"), (4, " \n"), (5, "リマ"), (6, "exactly 23 characters x")],
+                              "item_id long, text string")
+    rows = ["the capital\nof peru is", "a capital of perugia, then the capital of peru", "Lima", "limas, colima, lima\u0301",
+            "(lima)", "it is 1,024.", "11,024 1,0240", "", "首都はリマです", "xx exactly 23 characters x", "exactly 23 character x"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.allowed, r.found_to) for r in edit_leaks.leaks(d, b).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (4, 2), (5, 3), (8, 5), (9, 6)}
+    assert got[1, 1] == (0, 0, len(rows[1])) and got[4, 2] == (0, 0, 5)
+    assert sorted(r.doc_id for r in edit_leaks.clean(d, b).collect()) == [3, 6, 7, 10]
+
+
 def test_edit_leaks_block_after_block(spark, monkeypatch):
     rnd = random.Random(8)
     items = [(i, " ".join(words(12, 50 + i, 900))) for i in range(5)]
