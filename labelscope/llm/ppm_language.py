@@ -10,7 +10,10 @@ the shortest code names the language.
 
 Symbols are the 63 bytes that are commonest in the training texts (A-Z as
 a-z, white space as one) and one for all others, so a context with its symbol
-is a 24-bit number.
+is a 24-bit number. Which of the others a byte is costs its own code, after up
+to three whole bytes and with the same escapes, down to equal shares of the
+others: sorted tables of 32-bit runs, empty for texts of the 63 bytes. Both
+together are the exact code length of the bytes.
 
 Training takes at most ``SAMPLE_DOCS`` documents for each language, of at
 most ``SAMPLE_CHARS`` characters each, those whose ids hash lowest. Every
@@ -38,6 +41,8 @@ ORDER = 3
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 20_000
 UNKNOWN = "und"
 _BITS, _SYMBOLS, _REST = 6, 64, 63
+#: The last order + 1 bytes of a 32-bit run.
+_LAST = [np.uint32((1 << 8 * (order + 1)) - 1) for order in range(ORDER + 1)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,7 +68,8 @@ def _folded(text: bytes) -> np.ndarray:
 
 
 class Trees:
-    """The languages' context trees, as counts of 4-symbol runs."""
+    """The languages' context trees, as counts of 4-symbol runs, and of
+    4-byte runs that end in a byte without a symbol of its own."""
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.langs = sorted(texts)
@@ -76,8 +82,13 @@ class Trees:
         for lang, parts in joined.items():
             code, n = np.unique(np.concatenate([self.codes(p) for p in parts]), return_counts=True)
             self.runs[lang] = (code.astype(np.uint32), n.astype(np.int32))
+        self.others = {}
+        for lang, parts in joined.items():
+            code, n = np.unique(np.concatenate([self.other_codes(p) for p in parts]), return_counts=True)
+            self.others[lang] = (code, n.astype(np.int32))
         self.name = hashlib.sha256(self.symbol.tobytes() + b"".join(
-            k.encode() + c.tobytes() + n.tobytes() for k, (c, n) in sorted(self.runs.items()))).hexdigest()
+            k.encode() + c.tobytes() + n.tobytes() for of in (self.runs, self.others)
+            for k, (c, n) in sorted(of.items()))).hexdigest()
 
     def codes(self, folded: np.ndarray) -> np.ndarray:
         """Each symbol with the three before it, as 24-bit numbers; three
@@ -86,9 +97,51 @@ class Trees:
         n = len(s) - ORDER
         return s[:n] << 18 | s[1:n + 1] << 12 | s[2:n + 2] << 6 | s[3:]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def other_codes(self, folded: np.ndarray) -> np.ndarray:
+        """Each byte without a symbol of its own, with the three bytes before
+        it, as 32-bit numbers."""
+        at = np.flatnonzero(self.symbol[folded] == _REST)
+        s = np.concatenate([np.full(ORDER, 32, np.uint8), folded])
+        out = np.zeros(len(at), np.uint32)
+        for j in range(ORDER + 1):
+            out = out << np.uint32(8) | s[at + j]
+        return out
+
+    def other_tables(self, lang: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each order: (runs, their bits, contexts, bits of an escape)."""
+        code, n = self.others[lang]
+        out = []
+        for order in range(ORDER + 1):
+            run, which = np.unique(code & _LAST[order], return_inverse=True)
+            count = np.bincount(which, n, minlength=len(run))
+            context, of = np.unique(run >> np.uint32(8), return_inverse=True)
+            total, kinds = np.bincount(of, count, minlength=len(context)), np.bincount(of, minlength=len(context))
+            out.append((run, -np.log2(count / (total + kinds)[of]), context, -np.log2(kinds / (total + kinds))))
+        return out
+
+    @staticmethod
+    def other_bits(code: np.ndarray, orders: list[tuple]) -> np.ndarray:
+        """Bits of each run's last byte, given that it has no symbol."""
+        bits, todo = np.zeros(len(code)), np.arange(len(code))
+        for order in range(ORDER, -1, -1):
+            run, own, context, escape = orders[order]
+            if not len(run):                                  # no such byte in training
+                continue
+            asked = code[todo] & _LAST[order]
+            at = np.minimum(np.searchsorted(run, asked), len(run) - 1)
+            hit = run[at] == asked
+            bits[todo[hit]] += own[at[hit]]
+            todo, asked = todo[~hit], asked[~hit] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(context, asked), len(context) - 1)
+            hit = context[at] == asked
+            bits[todo[hit]] += escape[at[hit]]
+        bits[todo] += np.log2(256 - _REST)
+        return bits
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
         """(row of each 24-bit run or -1; bits of the runs seen; bits of an
-        escape from each 3-symbol context; bits of a symbol after two)."""
+        escape from each 3-symbol context; bits of a symbol after two; each
+        language's ``other_tables``)."""
         union = np.unique(np.concatenate([c for c, _ in self.runs.values()]))
         row = np.full(1 << 4 * _BITS, -1, np.int32)
         row[union] = np.arange(len(union), dtype=np.int32)
@@ -113,7 +166,7 @@ class Trees:
                 leave[:, j] = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0)
             bits[:, j] = leave[union >> _BITS, j] + short[union & ((1 << 3 * _BITS) - 1), j]
             bits[row[code], j] = -np.log2(n / (total + kinds)[context])
-        return row, bits, leave, short
+        return row, bits, leave, short, [self.other_tables(lang) for lang in self.langs]
 
     @staticmethod
     def _context(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +177,18 @@ class Trees:
 
     def lengths(self, text: bytes, tables: tuple, step: int = 1 << 19) -> np.ndarray:
         """Code length of the text in bits under each language."""
-        row, bits, leave, short = tables
-        code, out = self.codes(_folded(text)), np.zeros(len(self.langs))
+        row, bits, leave, short, others = tables
+        folded = _folded(text)
+        code, out = self.codes(folded), np.zeros(len(self.langs))
         for at in range(0, len(code), step):
             c = code[at:at + step]
             r = row[c]
             out += bits[r[r >= 0]].sum(0, dtype=np.float64)
             c = c[r < 0]
             out += (leave[c >> _BITS] + short[c & ((1 << 3 * _BITS) - 1)]).sum(0, dtype=np.float64)
+        code, n = np.unique(self.other_codes(folded), return_counts=True)
+        if len(code):
+            out += [self.other_bits(code, orders) @ n for orders in others]
         return out
 
 

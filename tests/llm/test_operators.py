@@ -245,6 +245,45 @@ def test_language_codes_and_accuracy(spark, docs, none):
     assert {r.lang_pred for r in ppm_language.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_bytes_beyond_the_common_ones():
+    rnd = random.Random(4)
+    speak = lambda letters, n: " ".join("".join(rnd.choices(letters, k=5)) for _ in range(n)).encode()
+    letters = {"a": "абвгд", "b": "ежзик", "c": "शषसहळ", "d": "रलवयम"}
+    ascii_ = bytes(c for c in range(32, 127) if not 65 <= c <= 90)           # 69 bytes, the commonest
+    trees = ppm_language.Trees({"_": [ascii_ * 5000], **{k: [speak(v, 200)] for k, v in letters.items()}})
+    assert all(trees.symbol[x] == 63 for v in letters.values() for x in v.encode())
+    tables = trees.tables()
+    for k, v in letters.items():
+        for _ in range(5):
+            assert trees.langs[int(np.argmin(trees.lengths(speak(v, 3), tables)))] == k
+    # The bits of the bytes without a symbol, one by one with explicit escapes.
+    text = ppm_language._folded("абж ख ह~ é".encode())
+    plain = [32] * 3 + [int(x) for x in text]
+    code = trees.other_codes(text)
+    assert len(code) == sum(trees.symbol[x] == 63 for x in text)
+    for j, lang in enumerate(trees.langs):
+        seen, bits = {}, 0.0
+        for run, n in zip(*trees.others[lang]):
+            run = int(run).to_bytes(4, "big")
+            for order in range(4):
+                follow = seen.setdefault(run[3 - order:3], {})
+                follow[run[3]] = follow.get(run[3], 0) + int(n)
+        for at in range(3, len(plain)):
+            if trees.symbol[plain[at]] != 63:
+                continue
+            for order in (3, 2, 1, 0, -1):
+                if order < 0:
+                    bits += np.log2(193)
+                    break
+                follow = seen.get(bytes(plain[at - order:at]), {})
+                total = sum(follow.values()) + len(follow)
+                if plain[at] in follow:
+                    bits -= np.log2(follow[plain[at]] / total)
+                    break
+                bits -= np.log2(len(follow) / total) if follow else 0
+        assert abs(trees.other_bits(code, tables[4][j]).sum() - bits) < 1e-6
+
+
 def test_automaton_against_distances():
     rnd = random.Random(3)
     lexicon = [toxicity.Entry(t, s) for t, s in (("abc", False), ("abcab", False), ("bacab", False), ("cabcabcab", False),
