@@ -245,6 +245,19 @@ def test_language_codes_and_accuracy(spark, docs, none):
     assert {r.lang_pred for r in ppm_language.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_of_long_texts_only(spark):
+    speak = lambda letters, n: " ".join(random.Random(n).choices([a + b for a in letters for b in letters], k=n))
+    rows = [(i, "long" if i % 2 else "short", speak("abcde" if i % 2 else "vwxyz", 9000 + i if i % 2 else 50 + i))
+            for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert min(len(t) for _, k, t in rows if k == "long") > ppm_language.SAMPLE_CHARS
+    sample = ppm_language.training_sample(d).collect()
+    assert max(len(r.text) for r in sample) == ppm_language.SAMPLE_CHARS
+    trees = ppm_language.train(d)
+    assert trees.langs == ["long", "short"]
+    assert ppm_language.predict(d, trees).join(d, "doc_id").filter("lang_pred <> lang").count() == 0
+
+
 def test_language_bytes_beyond_the_common_ones():
     rnd = random.Random(4)
     speak = lambda letters, n: " ".join("".join(rnd.choices(letters, k=5)) for _ in range(n)).encode()
