@@ -16,8 +16,8 @@ others: sorted tables of 32-bit runs, empty for texts of the 63 bytes. Both
 together are the exact code length of the bytes.
 
 Training takes at most ``SAMPLE_DOCS`` documents for each language, those
-whose ids hash lowest, and of each at most its first ``SAMPLE_CHARS``
-characters. Every whole text is scored.
+whose ids hash lowest. Where fewer have at most ``SAMPLE_CHARS`` characters,
+longer ones follow with their first ``SAMPLE_CHARS``. Every whole text is scored.
 
 A null text, or one without a letter, is ``und`` with score 0. Without
 training rows every language is ``und``. Rows with null or empty language
@@ -54,8 +54,8 @@ def training_sample(docs: DataFrame) -> DataFrame:
     each language before the shuffle), then their texts are read."""
     known = docs.filter((F.length("lang") > 0) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
                         & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)) \
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("doc_id", "lang", (F.length("text") > SAMPLE_CHARS).alias("long")).withColumn("r", F.row_number().over(order)) \
         .filter(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
     # At most SAMPLE_DOCS rows for each language.
     return known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]) \
