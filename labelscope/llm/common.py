@@ -3,7 +3,6 @@ row keys, intermediate tables in the shared folder, connected components."""
 
 from __future__ import annotations
 
-import functools
 import sys
 import types
 
@@ -63,9 +62,14 @@ _BASE = 0xD1342543DE82EF95
 NAMED_BYTES = 1 << 17
 
 
-@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
+    """The first n powers of the base and of its inverse, kept in the worker
+    where n is the usual one. (A function wrapped by functools.lru_cache would
+    be pickled by reference, which a worker without this folder can't load.)"""
+    return in_worker("powers", lambda: _make_powers(n)) if n == NAMED_BYTES else _make_powers(n)
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = (np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     base[0] = inverse[0] = 1
     return np.cumprod(base), np.cumprod(inverse)
