@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import (binary_packing, edit_leaks, line_join, odd_minhash, ppm_language, recompression,
+from labelscope.llm import (binary_packing, edit_leaks, filter_audit, line_join, odd_minhash, ppm_language, recompression,
                             token_counts, toxicity, url_filter, weak_rules)
 from labelscope.sources.tables import load_table
 
@@ -57,9 +57,14 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_odd_minhash, op2_binary_packing, op3_blocked_bloom_urls, op4_edit_leaks, op5_ppm_language,
-    op6_levenshtein_toxicity, op7_line_join, op8_trie_token_counts, op9_weak_rules, op10_recompression)}
+    op6_levenshtein_toxicity, op7_line_join, op8_trie_token_counts, op9_weak_rules, op10_recompression,
+    op11_filter_audit)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -114,4 +119,34 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(any_value(r.n), 0)::BIGINT
        sha256(coalesce(any_value(k.kept), '')) AS kept_sha256
 FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY 1) r USING (doc_id) LEFT JOIN k USING (doc_id)
 GROUP BY w.doc_id, w.w""",
+    "op11_filter_audit": rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                  {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS e
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+f AS (SELECT *, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x:
+        CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails FROM m),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM f GROUP BY ALL),
+x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t
+      WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (SELECT o, k::INTEGER AS step, o[k] AS letter, string_split(o[:k - 1], '') AS before
+      FROM o, range(1, 6) r(k)),
+z AS (SELECT part, o AS filter_order, step, letter,
+        coalesce(sum(n) FILTER (NOT list_has_any(fails, before) AND NOT list_contains(fails, letter)), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, letter)), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (list_has_any(fails, before) AND list_contains(fails, letter)), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = [letter]), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, letter)), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (NOT list_has_any(fails, before) AND list_contains(fails, letter)), 0)::BIGINT AS toxic_lost
+      FROM g, k GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM z""",
 }
