@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import (binary_packing, edit_leaks, filter_audit, line_join, odd_minhash, ppm_language, recompression,
-                            token_counts, toxicity, url_filter, weak_rules)
+from labelscope.llm import (binary_packing, conversation_repair, edit_leaks, filter_audit, line_join, odd_minhash,
+                            ppm_language, pu_quality, recompression, token_counts, toxicity, url_filter, weak_rules)
 from labelscope.sources.tables import load_table
 
 
@@ -61,13 +61,25 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(load_table(spark, sf_dir, "conversations"))
+
+
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_odd_minhash, op2_binary_packing, op3_blocked_bloom_urls, op4_edit_leaks, op5_ppm_language,
     op6_levenshtein_toxicity, op7_line_join, op8_trie_token_counts, op9_weak_rules, op10_recompression,
-    op11_filter_audit)}
+    op11_filter_audit, op12_conversation_repair, op13_pu_quality)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: CRC-32 of a short ASCII text before its last inversion, bit by bit.
+_CRC = """list_reduce([4294967295::UBIGINT] || list_transform(string_split({}, ''), lambda x: ascii(x)::UBIGINT),
+    lambda h, b: list_reduce([xor(h, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END))"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_odd_minhash": f"""
@@ -149,4 +161,52 @@ z AS (SELECT part, o AS filter_order, step, letter,
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM z""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor({_CRC.format('key')}, 4294967295::UBIGINT) % 20 AS kind FROM k),
+dmg AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE kind <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS cut FROM dmg),
+f AS (SELECT *, CASE WHEN cut = '' THEN 'blank'
+                     WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+                     WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             left(role, 1) AS c, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS c0 FROM r),
+mv(c, p, q) AS (VALUES ('s', '', 's'), ('u', '', 'u'), ('u', 's', 'u'), ('u', 'a', 'u'), ('a', 'u', 'a')),
+ins(p, q, c, t) AS (VALUES ('', '', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('', 'u', 3, 'I'),
+  ('', 'a', 6, 'II'), ('s', 'u', 3, 'I'), ('s', 'a', 6, 'II'), ('u', 'a', 3, 'I'), ('a', 'u', 3, 'I')),
+ed AS (SELECT p, q, c AS c, 0 AS cost, 'K' AS t FROM mv UNION ALL
+       SELECT m.p, m.q, x.c, 3, 'R' FROM mv m, (SELECT DISTINCT c FROM f) x WHERE m.c <> 's'),
+e AS (SELECT conv_id, i, p, q, cost + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cost, t
+      FROM f JOIN ed USING (c) WHERE fault IN ('', 'truncated')
+      UNION ALL SELECT conv_id, i, p, p, 4, 'D' FROM f, (VALUES (''), ('s'), ('u'), ('a')) s(p)),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '' AS s, {{'c': 0, 'a': ''}} AS b FROM conversations GROUP BY conv_id
+       UNION ALL
+       SELECT dp.conv_id, e.i, e.q, min({{'c': dp.b.c + ins.c + e.cost, 'a': dp.b.a || ins.t || e.t}})
+       FROM dp JOIN ins ON ins.p = dp.s JOIN e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1 AND e.p = ins.q
+       GROUP BY dp.conv_id, e.i, e.q),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND c0 || c NOT IN ('su', 'ua', 'au')) AS illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+b AS (SELECT dp.conv_id, min({{'c': dp.b.c + ins.c, 'a': dp.b.a || ins.t}}) AS b
+      FROM dp LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id JOIN ins ON ins.p = dp.s
+      WHERE dp.i = coalesce(n.n, 0) AND ins.q IN ('', 'a') GROUP BY dp.conv_id),
+x AS (SELECT conv_id, z, substr(b.a, z, 1) AS t, length(regexp_replace(substr(b.a, 1, z), 'I', '', 'g')) AS i,
+             length(regexp_replace(substr(b.a, 1, z), 'D', '', 'g')) AS o
+      FROM (SELECT conv_id, b, unnest(range(1, length(b.a) + 1)) AS z FROM b)),
+y AS (SELECT x.conv_id, x.o, x.t, CASE WHEN x.t = 'I' THEN '' ELSE f.text END AS text, f.role
+      FROM x LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i WHERE x.t <> 'D'),
+z AS (SELECT *, max(CASE WHEN o = 1 AND t = 'K' AND role LIKE 's%' THEN 1 ELSE 0 END)
+        OVER (PARTITION BY conv_id) AS sys FROM y),
+g AS (SELECT conv_id, string_agg(CASE WHEN t = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END
+               || ':' || text, chr(10) ORDER BY o) AS fixed FROM z GROUP BY conv_id)
+SELECT b.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank,
+       coalesce(n.duplicate, 0)::BIGINT AS duplicate, coalesce(n.truncated, 0)::BIGINT AS truncated,
+       coalesce(n.illegal, 0)::BIGINT AS illegal, b.b.c::BIGINT AS cost, b.b.a AS audit,
+       sha256(coalesce(g.fixed, '')) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id""",
 }
