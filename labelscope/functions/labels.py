@@ -12,8 +12,8 @@ from labelscope.functions.fixed_values import (
 )
 from labelscope.functions.text import py_strip
 
-# Literal synonym maps above this size should be given as a DataFrame and
-# joined (see operators.verdicts.normalize_detections), not inlined.
+# Synonym maps above this size are joined as a table, not inlined (see
+# operators.verdicts.normalize_column).
 MAX_INLINE_SYNONYMS = 4096
 
 
@@ -32,10 +32,6 @@ def synonym_lookup(low: Column, synonyms: Mapping[str, str] | None) -> Column:
     synonyms = DEFAULT_SYNONYMS if synonyms is None else synonyms
     if not synonyms:
         return low
-    if len(synonyms) > MAX_INLINE_SYNONYMS:
-        raise ValueError(
-            f"{len(synonyms)} synonyms: pass them as a DataFrame(raw, label) to "
-            "normalize_detections so they are joined, not inlined")
     m = F.create_map(*[F.lit(x) for kv in sorted(synonyms.items()) for x in kv])
     return F.coalesce(F.try_element_at(m, low), low)
 

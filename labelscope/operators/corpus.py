@@ -196,6 +196,70 @@ def corpus_summary(corpus: DataFrame, label_col: str = "gold_label",
                       *[o.lower() for o in origins], "total")
 
 
-def materialize_corpus(corpus: DataFrame, path: str, label_col: str = "gold_label") -> None:
-    """Write the corpus, one folder per label (replaces any earlier build)."""
-    corpus.write.mode("overwrite").partitionBy(label_col).parquet(path)
+# -- building a corpus from collections -------------------------------------------------
+
+CORPUS_COLUMNS = ("gold_label", "filename", "origin", "path")
+
+
+def index_collection(index: DataFrame, files: DataFrame, label_map: Mapping[str, str] | DataFrame = RAW_LABEL_MAP,
+                     n: int = SAMPLES_PER_LABEL, seed: int = SEED, origin: str = "DPD", ext: str = ".java",
+                     exists_first: bool = False) -> DataFrame:
+    """Items of a collection with an index (raw_label, Project, Class): index
+    rows whose label maps, at most ``n`` sampled for each label, of which those
+    whose file ``<Project>-<Class><ext>`` is listed in ``files`` (path,
+    filename) stay. Columns ``CORPUS_COLUMNS``; the name gets the origin."""
+    named = label_map_join(index, label_map, "raw_label", "gold_label").withColumn(
+        "name", F.concat("Project", F.lit("-"), "Class", F.lit(ext)))
+    listed = files.select(F.col("filename").alias("name"), "path")
+    sample = sample_then_exists(named.select("gold_label", "name").distinct(), listed, "gold_label", "name", n, seed,
+                                exists_first)
+    return sample.join(listed, "name").select(
+        "gold_label", F.concat(F.lit(f"{origin}-"), "name").alias("filename"), F.lit(origin).alias("origin"), "path")
+
+
+def tree_collection(files: DataFrame, root: str = "", n: int = SAMPLES_PER_LABEL, seed: int = SEED,
+                    origin: str = "PMART", keywords: Sequence[tuple[str, Sequence[str]]] | DataFrame = LABEL_KEYWORDS,
+                    existing: DataFrame | None = None) -> DataFrame:
+    """Items of a collection without an index: the label is the first whose
+    keyword is in the file's stem, the name is composed of origin, project and
+    stem; of equal names the first of the pseudo-random order stays, at most
+    ``n`` for each label. ``existing`` (gold_label, filename) is left out.
+    Columns ``CORPUS_COLUMNS``."""
+    found = files.select("path", stem("filename").alias("stem"))
+    found = (keyword_labels_join(found, keywords) if isinstance(keywords, DataFrame)
+             else keyword_labels(found, keywords=keywords))
+    named = project_names(found, root=root, origin=origin).select(
+        F.col("label").alias("gold_label"), F.col("item_name").alias("filename"), "path")
+    # The order goes by the path below the root: the same wherever the collection lies.
+    below = F.substring("path", len(root.rstrip("/")) + 1, 1 << 30) if root else F.col("path")
+    kept = dedup_keep_first(named.withColumn("__key", below), "gold_label", "filename", "__key", n, seed, existing)
+    return kept.select("gold_label", "filename", F.lit(origin).alias("origin"), "path")
+
+
+def build_corpus(parts: Sequence[DataFrame], contents: Sequence[DataFrame], out: str, clear: bool = True,
+                 label_col: str = "gold_label") -> DataFrame:
+    """One call from collections to a corpus: the union of ``parts``
+    (``index_collection``, ``tree_collection``) with the texts of ``contents``
+    (``sources.corpus.read_items`` of each collection), written with a folder
+    for each label. ``clear`` removes what an earlier build left; without it
+    only the labels of this build are replaced. Returns the corpus as written:
+    the label, filename, origin, path, content (NULL if unreadable)."""
+    items = _union(parts)
+    texts = _union([c.select("path", "content") for c in contents])
+    corpus = items.join(texts, "path", "left").select(label_col, "filename", "origin", "path", "content")
+    materialize_corpus(corpus, out, label_col, clear)
+    return corpus.sparkSession.read.parquet(out).select(corpus.columns)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def materialize_corpus(corpus: DataFrame, path: str, label_col: str = "gold_label", clear: bool = True) -> None:
+    """Write the corpus, one folder per label, replacing any earlier build
+    (``clear=False``: only the labels of this one)."""
+    (corpus.write.mode("overwrite").option("partitionOverwriteMode", "static" if clear else "dynamic")
+        .partitionBy(label_col).parquet(path))

@@ -5,13 +5,21 @@ with columns (request_id, raw_response, started_at, ended_at). It runs per
 partition through ``mapInPandas`` (Arrow batches), so requests are spread
 over the cluster and never pass through the driver. A failing call should be
 returned as an 'Error: ...' response, which scoring counts as a miss.
+
+A run can stop and go on: ``run_pending`` asks only what the response table
+does not answer yet and appends, in waves of bounded size that are committed
+one by one, so a run that dies loses one wave.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from labelscope.functions.fixed_values import ERROR_PREFIX
+from labelscope.sources.paths import exists
 
 RESPONSE_SCHEMA = ("request_id string, raw_response string, "
                    "started_at timestamp_ntz, ended_at timestamp_ntz")
@@ -51,3 +59,49 @@ def run_detector(requests: DataFrame, detector: Detector,
             yield res
 
     return requests.select(*cols).mapInPandas(apply, out_schema)
+
+
+def read_answers(spark: SparkSession, path: str, schema: str = RESPONSE_SCHEMA) -> DataFrame:
+    """The response table under ``path`` (empty if there is none): one answer
+    for each request, the earliest, should two runs at once have asked the
+    same."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    w = Window.partitionBy("request_id").orderBy("ended_at", F.xxhash64("raw_response"))
+    rows = spark.read.parquet(path)
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def pending(requests: DataFrame, path: str) -> DataFrame:
+    """Requests without an answer under ``path``. Only the ids of the answers
+    are read."""
+    spark = requests.sparkSession
+    if not exists(spark, path):
+        return requests
+    return requests.join(spark.read.parquet(path).select("request_id"), "request_id", "left_anti")
+
+
+def run_pending(requests: DataFrame, detector: Detector, path: str, waves: int = 1,
+                retry_errors: bool = False, **options) -> DataFrame:
+    """Run ``detector`` on the requests that ``path`` has no answer to, append
+    the answers and return the whole table (``read_answers``).
+
+    ``waves`` splits the work by a hash of the request id; each wave is one
+    committed append, found as answered when the run is started again.
+    ``retry_errors`` asks failed calls ('Error: ...') again, and their new
+    answers take the old ones' place. Further options go to ``run_detector``."""
+    spark = requests.sparkSession
+    for wave in range(waves):
+        part = requests.where(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == wave) if waves > 1 else requests
+        run_detector(pending(part, path), detector, **options).write.mode("append").parquet(path)
+    if retry_errors:
+        failed = read_answers(spark, path).where(F.col("raw_response").startswith(ERROR_PREFIX)).select("request_id")
+        again = run_detector(requests.join(failed, "request_id", "left_semi"), detector, **options)
+        again.write.mode("overwrite").parquet(f"{path}.retried")
+        return replaced(read_answers(spark, path), spark.read.parquet(f"{path}.retried"))
+    return read_answers(spark, path)
+
+
+def replaced(answers: DataFrame, newer: DataFrame) -> DataFrame:
+    """``answers`` with those of ``newer`` in the place of the same request's."""
+    return answers.join(newer.select("request_id"), "request_id", "left_anti").unionByName(newer)

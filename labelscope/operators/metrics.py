@@ -2,9 +2,9 @@
 
 Verdicts hold one row per (model, item); everything here reduces them to
 tables with one row per model, per (model, label) or per (model, origin),
-with partial aggregation, so no step moves more than the verdicts once.
-Zero-filled (model x target) grids are produced by exploding the target list
-on every verdict row, not by a join.
+with partial aggregation, so no step moves more than the verdicts once. A
+verdict gives a row for each label it holds, not for each target; the zeros of
+the (model x target) grid are filled in afterwards, on one row per model.
 """
 
 from __future__ import annotations
@@ -26,28 +26,65 @@ def _target_array(targets: Sequence[str]):
     return F.array(*[F.lit(t) for t in targets])
 
 
-def _label_contributions(verdicts: DataFrame, targets: Sequence[str],
-                         extra_keys: Sequence[str] = (),
-                         count_fp_out_of_scope: bool = False) -> DataFrame:
-    """(keys, label, tp, fp, fn, file_one, first_row): one row per verdict x
-    target. ``file_one`` is 1 on the first target row of each verdict, so
-    item counts come out of the same aggregation."""
-    gold = F.col("gold_label")
-    lab = F.col("label")
-    hit = F.array_contains("detected", lab)
-    counted = gold.isNotNull() if not count_fp_out_of_scope else F.lit(True)
-    return (verdicts
-            .select("model_name", *extra_keys, "gold_label", "detected", "first_row",
-                    F.posexplode(_target_array(targets)).alias("__ti", "label"))
-            .select("model_name", *extra_keys, "label",
-                    F.when(gold.isNotNull() & (lab == gold) & hit, 1).otherwise(0).alias("tp"),
-                    F.when(counted & ((lab != gold) | gold.isNull()) & hit, 1).otherwise(0).alias("fp"),
-                    F.when(gold.isNotNull() & (lab == gold) & ~hit, 1).otherwise(0).alias("fn"),
-                    F.when(F.col("__ti") == 0, 1).otherwise(0).alias("file_one"),
-                    "first_row"))
-
-
-def confusion_counts(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
+COUNTS = ("tp", "fp", "fn")
+
+
+def label_rows(verdicts: DataFrame, targets: Sequence[str] | None, extra_keys: Sequence[str] = (),
+               count_fp_out_of_scope: bool = False) -> DataFrame:
+    """(model_name, <extra_keys>, label, tp, fp, fn, file_one, first_row): one
+    row for each detected label of a verdict and for its gold label, whatever
+    the number of targets. A verdict without any has one row with a NULL label;
+    ``file_one`` is 1 on the first row of each verdict, so item counts come
+    out of the same aggregation. ``targets`` limits the counted labels (None:
+    the verdicts hold only targets)."""
+    gold, lab = F.col("gold_label"), F.col("label")
+    known = (lambda c: c.isin(*targets)) if targets is not None else (lambda c: c.isNotNull())
+    scoped = F.when(known(gold), gold)
+    none = F.array().cast("array<string>")
+    labels = F.when(F.col("gold_label").isNotNull(), F.array_union("detected", F.array("gold_label"))) \
+        .otherwise(F.col("detected") if count_fp_out_of_scope else none)
+    v = verdicts.withColumn("gold_label", scoped).select(
+        "model_name", *extra_keys, "gold_label", "first_row",
+        F.array_contains("detected", F.col("gold_label")).alias("__hit"),
+        F.posexplode_outer(labels).alias("__i", "label"))
+    is_gold = F.coalesce(lab == gold, F.lit(False))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return v.select(
+        "model_name", *extra_keys, F.when(known(lab), lab).alias("label"),
+        one(is_gold & F.col("__hit")).alias("tp"), one(~is_gold & known(lab)).alias("fp"),
+        one(is_gold & ~F.col("__hit")).alias("fn"), one(F.coalesce(F.col("__i"), F.lit(0)) == 0).alias("file_one"),
+        "first_row")
+
+
+def zero_filled(counts: DataFrame, targets: Sequence[str] | DataFrame, keys: Sequence[str] = ("model_name",)) -> DataFrame:
+    """(keys, label, tp, fp, fn) for every key and target: ``counts`` has a row
+    for each label that occurs, and at least one (of a NULL label) for each
+    key. Each key's counts are one map of at most as many labels as targets;
+    the targets, exploded, look theirs up."""
+    entry = F.struct(*COUNTS)
+    by_key = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("label").isNotNull(), F.struct("label", entry)))).alias("__found"))
+    if isinstance(targets, DataFrame):
+        # The whole list as one row, joined by a constant: as long as the table of targets.
+        one = targets.select("label").distinct().agg(F.collect_list("label").alias("__targets"), F.lit(1).alias("__k"))
+        by_key = by_key.withColumn("__k", F.lit(1)).join(one, "__k").drop("__k")
+    else:
+        by_key = by_key.withColumn("__targets", _target_array(targets))
+    zero = F.lit(0).cast("long")
+    return by_key.select(*keys, "__found", F.explode("__targets").alias("label")) \
+        .withColumn("__c", F.try_element_at("__found", F.col("label"))) \
+        .select(*keys, "label", *[F.coalesce(F.col(f"__c.{c}"), zero).alias(c) for c in COUNTS])
+
+
+def _literal(targets) -> Sequence[str] | None:
+    return None if isinstance(targets, DataFrame) else list(targets)
+
+
+def _sums():
+    return [F.sum(c).alias(c) for c in COUNTS]
+
+
+def confusion_counts(verdicts: DataFrame, targets: Sequence[str] | DataFrame = DEFAULT_TARGETS,
                      count_fp_out_of_scope: bool = False) -> DataFrame:
     """(model_name, label, tp, fp, fn) for every model and every target.
 
@@ -56,18 +93,17 @@ def confusion_counts(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGE
     out of scope are skipped (their false positives too, unless
     ``count_fp_out_of_scope``).
     """
-    return (_label_contributions(verdicts, targets, (), count_fp_out_of_scope)
-            .groupBy("model_name", "label")
-            .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")))
+    rows = label_rows(verdicts, _literal(targets), (), count_fp_out_of_scope)
+    return zero_filled(rows.groupBy("model_name", "label").agg(*_sums()), targets)
 
 
-def label_scores(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
+def label_scores(verdicts: DataFrame, targets: Sequence[str] | DataFrame = DEFAULT_TARGETS,
                  count_fp_out_of_scope: bool = False) -> DataFrame:
     """Per-label precision, recall, F1 (zero-guarded)."""
     return with_prf(confusion_counts(verdicts, targets, count_fp_out_of_scope))
 
 
-def micro_scores(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
+def micro_scores(verdicts: DataFrame, targets: Sequence[str] | DataFrame = DEFAULT_TARGETS,
                  count_fp_out_of_scope: bool = False) -> DataFrame:
     """Micro-averaged scores per model, in one aggregation over the verdicts.
 
@@ -75,7 +111,7 @@ def micro_scores(verdicts: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS,
     gold is out of scope; correct/missed/fp counts equal the totals;
     first_row is the model's first detection row (tie order).
     """
-    out = (_label_contributions(verdicts, targets, (), count_fp_out_of_scope)
+    out = (label_rows(verdicts, _literal(targets), (), count_fp_out_of_scope)
            .groupBy("model_name")
            .agg(F.sum("tp").alias("total_tp"), F.sum("fp").alias("total_fp"),
                 F.sum("fn").alias("total_fn"), F.sum("file_one").alias("files_processed"),
@@ -219,70 +255,65 @@ def scores_by_scope(verdicts: DataFrame,
     else:
         scoped, default = {}, list(targets_by_scope)
     union = sorted({t for ts in scoped.values() for t in ts} | set(default or []))
+    of_scope = {name: list(ts) for name, ts in scoped.items()}
+
+    def tset(scope):
+        out = None
+        for name, ts in of_scope.items():
+            out = F.when(scope == name, _target_array(ts)) if out is None else out.when(scope == name, _target_array(ts))
+        rest = _target_array(default or union)
+        return rest if out is None else out.otherwise(rest)
+
     scope = F.explode(F.filter(F.array(F.lit(all_scope), F.col("origin")),
                                lambda s: s.isNotNull())).alias("scope")
     v = verdicts.select("model_name", "gold_label", "detected", "first_row", scope)
     if scoped:
-        def tset(s):
-            cases = None
-            for name, ts in scoped.items():
-                arr = _target_array(ts)
-                cases = F.when(s == name, arr) if cases is None else cases.when(s == name, arr)
-            return cases.otherwise(_target_array(default or union))
         ts = tset(F.col("scope"))
-        v = v.select("model_name", "scope",
-                     F.when(F.array_contains(ts, F.col("gold_label")), F.col("gold_label"))
-                      .alias("gold_label"),
-                     F.array_intersect("detected", ts).alias("detected"),
-                     ts.alias("targets"))
-        contrib = v.select("model_name", "scope", "gold_label", "detected",
-                           F.explode("targets").alias("label"))
-        contrib = _contrib_from_exploded(contrib, ["scope"])
-    else:
-        contrib = _label_contributions(v, default, ["scope"])
+        v = v.select("model_name", "scope", "first_row",
+                     F.when(F.array_contains(ts, F.col("gold_label")), F.col("gold_label")).alias("gold_label"),
+                     F.array_intersect("detected", ts).alias("detected"))
+    rows = label_rows(v, union if not scoped else None, ["scope"])
     # Per-label and micro rows in one aggregation (grouping sets).
-    sums = [F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")]
-    out = (contrib.groupingSets([["scope", "model_name", "label"], ["scope", "model_name"]],
-                                "scope", "model_name", "label")
-           .agg(*sums, F.grouping("label").alias("__gl"))
-           .withColumn("level", F.when(F.col("__gl") == 1, F.lit("micro")).otherwise(F.lit("label"))))
+    keys = ["scope", "model_name"]
+    both = (rows.groupingSets([[*keys, "label"], keys], *keys, "label")
+            .agg(*_sums(), F.grouping("label").alias("__micro")))
+    is_label = (F.col("__micro") == 0) & F.col("label").isNotNull()
+    entry = F.struct(*COUNTS)
+    one = both.groupBy(*keys).agg(
+        F.max(F.when(F.col("__micro") == 1, entry)).alias("__all"),
+        F.map_from_entries(F.collect_list(F.when(is_label, F.struct("label", entry)))).alias("__found"))
+    zero = F.lit(0).cast("long")
+    each = F.transform(tset(F.col("scope")), lambda t: F.struct(
+        t.alias("label"), F.coalesce(F.try_element_at("__found", t),
+                                     F.struct(*[zero.alias(c) for c in COUNTS])).alias("n")))
+    micro = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.col("__all").alias("n")))
+    out = one.select(*keys, F.explode(F.concat(micro, each)).alias("x")).select(
+        *keys, F.when(F.col("x.label").isNull(), F.lit("micro")).otherwise(F.lit("label")).alias("level"),
+        "x.label", "x.n.*")
     return with_prf(out).select("scope", "model_name", "level", "label", "tp", "fp", "fn",
                                 "precision", "recall", "f1")
 
 
-MAX_TARGET_ROWS = 10_000
-
-
 def targets_table(targets: DataFrame, all_scope: str = "ALL") -> dict[str, list[str]]:
     """A targets table ``(label, scope)`` as scope -> labels; a NULL scope
-    means every scope. Configuration-sized: more than ``MAX_TARGET_ROWS``
-    rows are refused."""
-    rows = targets.select("label", "scope").limit(MAX_TARGET_ROWS + 1).collect()
-    if len(rows) > MAX_TARGET_ROWS:
-        raise ValueError(f"more than {MAX_TARGET_ROWS} target rows")
+    means every scope. It becomes part of the plan, so it is as small as a
+    configuration is; ``file_verdicts`` takes label tables of any size."""
+    rows = targets.select("label", "scope").distinct().collect()     # the labels that are scored
     common = [r["label"] for r in rows if r["scope"] is None]
     scopes = {r["scope"] for r in rows if r["scope"] is not None} | {all_scope}
     return {s: sorted(set(common) | {r["label"] for r in rows if r["scope"] == s})
             for s in scopes}
 
 
-def _contrib_from_exploded(df: DataFrame, extra: Sequence[str]) -> DataFrame:
-    gold, lab = F.col("gold_label"), F.col("label")
-    hit = F.array_contains("detected", lab)
-    return df.select("model_name", *extra, "label",
-                     F.when(gold.isNotNull() & (lab == gold) & hit, 1).otherwise(0).alias("tp"),
-                     F.when(gold.isNotNull() & (lab != gold) & hit, 1).otherwise(0).alias("fp"),
-                     F.when(gold.isNotNull() & (lab == gold) & ~hit, 1).otherwise(0).alias("fn"))
-
-
-def leaderboard(micro: DataFrame) -> DataFrame:
-    """Models by F1 descending; ties keep first-seen order.
+def leaderboard(micro: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Models by F1 descending; ties keep first-seen order. ``keep`` names
+    further columns of ``micro``.
 
     The input is one row per model (tiny); the global sort gathers only those
     rows."""
     w = Window.orderBy(F.col("f1").desc(), F.col("first_row"))
     return (micro.withColumn("rank", F.row_number().over(w))
-            .select("rank", "model_name", "precision", "recall", "f1"))
+            .select("rank", "model_name", "precision", "recall", "f1", *keep))
 
 
 def best_model(micro: DataFrame) -> DataFrame:

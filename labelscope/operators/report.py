@@ -28,46 +28,40 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
     ``det`` is accepted for symmetry with the other report inputs.
     """
     del det
-    gold, lab = F.col("gold_label"), F.col("label")
-    hit = F.array_contains("detected", lab)
-    first = F.col("__ti") == 0
-    contrib = (verdicts
-               .select("model_name", "origin", "gold_label", "detected", "first_row", "correct",
-                       F.posexplode(F.array(*[F.lit(t) for t in targets])).alias("__ti", "label"))
-               .select("model_name", "origin", "label", "__ti", "first_row",
-                       F.when(gold.isNotNull() & (lab == gold) & hit, 1).otherwise(0).alias("tp"),
-                       F.when(gold.isNotNull() & (lab != gold) & hit, 1).otherwise(0).alias("fp"),
-                       F.when(gold.isNotNull() & (lab == gold) & ~hit, 1).otherwise(0).alias("fn"),
-                       F.when(first, 1).otherwise(0).alias("file_one"),
-                       F.when(first & F.col("correct"), 1).otherwise(0).alias("correct_one")))
-    g = (contrib.groupingSets([["model_name", "__ti", "label"], ["model_name", "origin"],
-                               ["model_name"]], "model_name", "__ti", "label", "origin")
+    rows = M.label_rows(verdicts, targets, ["origin", "correct"]).withColumn(
+        "correct_one", F.when((F.col("file_one") == 1) & F.col("correct"), 1).otherwise(0))
+    g = (rows.groupingSets([["model_name", "label"], ["model_name", "origin"],
+                            ["model_name"]], "model_name", "label", "origin")
          .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
               F.sum("file_one").alias("files"), F.sum("correct_one").alias("correct"),
               F.min("first_row").alias("first_row"),
               F.grouping("label").alias("__gl"), F.grouping("origin").alias("__go")))
     g = with_prf(g)
-    is_label = F.col("__gl") == 0
+    is_label = (F.col("__gl") == 0) & F.col("label").isNotNull()
     is_origin = (F.col("__go") == 0) & F.col("origin").isNotNull()
     is_micro = (F.col("__gl") == 1) & (F.col("__go") == 1)
 
     def micro(c):
         return F.max(F.when(is_micro, F.col(c)))
 
+    score = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in score[:3]], *[F.lit(0.0).alias(c) for c in score[3:]])
     per_model = g.groupBy("model_name").agg(
         micro("precision").alias("precision"), micro("recall").alias("recall"),
         micro("f1").alias("f1"), micro("tp").alias("total_tp"), micro("fp").alias("total_fp"),
         micro("fn").alias("total_fn"), micro("files").alias("files_processed"),
         micro("first_row").alias("first_row"),
-        F.transform(F.array_sort(F.collect_list(F.when(is_label, F.struct(
-            "__ti", F.col("label").alias("pattern"), "tp", "fp", "fn",
-            "precision", "recall", "f1")))), lambda x: x.dropFields("__ti"))
-         .alias("pattern_scores"),
+        F.map_from_entries(F.collect_list(F.when(is_label, F.struct("label", F.struct(*score))))).alias("__found"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(is_origin, F.struct(
             "origin", F.struct("correct", F.col("files").alias("total"),
                                F.when(F.col("files") > 0, F.col("correct") / F.col("files"))
                                 .otherwise(0.0).alias("accuracy")))))))
          .alias("breakdown_by_source"))
+    # One entry for every target, in their order.
+    found = lambda t: F.coalesce(F.try_element_at("__found", t), zero)
+    per_model = per_model.withColumn("pattern_scores", F.transform(
+        F.array(*[F.lit(t) for t in targets]),
+        lambda t: F.struct(t.alias("pattern"), *[found(t)[c].alias(c) for c in score])))
     full = M.ignored_histogram(normed, verdicts)
     totals = full.groupBy("model_name").agg(F.count(F.lit(1)).alias("ignored_distinct"),
                                              F.sum("n").alias("ignored_rows"))

@@ -2,16 +2,22 @@
 
 All of it is column expressions over the response table (VARIANT parsing,
 regular expressions, higher-order array functions); nothing leaves the JVM
-and nothing shuffles. A response that cannot be read never fails the job:
-it gets a status and a fallback detection row, and malformed list elements
-go to a reject table.
+and extraction shuffles nothing. A response that cannot be read never fails
+the job: it gets a status and a fallback detection row, and malformed list
+elements go to a reject table.
+
+Responses meet their requests after extraction: a response is by then a short
+array of detections, so its text is in no exchange. Every request keeps its
+place: one without a response is a failed call (``missing``), one answered
+twice has its latest answer. Responses that belong to no request, or were
+answered again later, are the rejects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import (
@@ -115,6 +121,24 @@ def _field(e: Column, key: str, default: str) -> Column:
             .otherwise(F.try_variant_get(e, p, "string"))
 
 
+def _fallback() -> Column:
+    return F.struct(
+        F.lit(-1).alias("pos"), F.lit(FALLBACK_LABEL).alias("detected_pattern"),
+        F.lit(FALLBACK_SCORE).alias("confidence"), F.lit(FALLBACK_SCORE).alias("adherence"),
+        F.lit(FALLBACK_REASON).alias("reasoning"), F.lit(True).alias("is_fallback"))
+
+
+def detection_array(payload_key: str = PAYLOAD_KEY) -> Column:
+    """The valid elements of an extracted response as structs, or the one
+    fallback struct."""
+    valid = F.filter(_elements(payload_key), lambda s: s["is_object"])
+    rows = F.transform(valid, lambda s: F.struct(
+        s["pos"].alias("pos"),
+        *[_field(s["element"], k, d).alias(n) for n, k, d in ELEMENT_FIELDS],
+        F.lit(False).alias("is_fallback")))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(F.array(_fallback()))
+
+
 def explode_detections(extracted: DataFrame, keep: Sequence[str] = ("request_id",),
                        payload_key: str = PAYLOAD_KEY) -> DataFrame:
     """One row per valid detected element, or one fallback row per response.
@@ -123,17 +147,7 @@ def explode_detections(extracted: DataFrame, keep: Sequence[str] = ("request_id"
     detected_pattern, confidence, adherence, reasoning (text; a missing field
     takes its default, a JSON null stays NULL), is_fallback.
     """
-    valid = F.filter(_elements(payload_key), lambda s: s["is_object"])
-    rows = F.transform(valid, lambda s: F.struct(
-        s["pos"].alias("pos"),
-        *[_field(s["element"], k, d).alias(n) for n, k, d in ELEMENT_FIELDS],
-        F.lit(False).alias("is_fallback")))
-    fallback = F.array(F.struct(
-        F.lit(-1).alias("pos"), F.lit(FALLBACK_LABEL).alias("detected_pattern"),
-        F.lit(FALLBACK_SCORE).alias("confidence"), F.lit(FALLBACK_SCORE).alias("adherence"),
-        F.lit(FALLBACK_REASON).alias("reasoning"), F.lit(True).alias("is_fallback")))
-    chosen = F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(fallback)
-    return (extracted.select(*keep, F.explode(chosen).alias("d"))
+    return (extracted.select(*keep, F.explode(detection_array(payload_key)).alias("d"))
             .select(*keep, "d.*"))
 
 
@@ -168,36 +182,103 @@ def attach_durations(responses: DataFrame, start_col: str = "started_at",
     return responses.withColumn(out_col, micros.cast("double") / F.lit(1_000_000.0))
 
 
+REQUEST_COLUMNS = ("request_id", "filename", "gold_label", "model_name", "item_no", "model_no")
+
+
+def compact_answers(responses: DataFrame, payload_key: str = PAYLOAD_KEY,
+                    repair_unwrapped: bool = False) -> DataFrame:
+    """Responses without their text: request_id, response_status,
+    parse_status, duration_seconds, ended_at and ``detections`` (the array of
+    ``detection_array``). Write it with ``sources.bucketed.write_bucketed``,
+    like the requests, and their join needs no exchange."""
+    resp = responses if "duration_seconds" in responses.columns else attach_durations(responses)
+    if "ended_at" not in resp.columns:
+        resp = resp.withColumn("ended_at", F.lit(None).cast("timestamp_ntz"))
+    ex = extract_responses(resp, payload_key=payload_key, repair_unwrapped=repair_unwrapped)
+    return ex.select("request_id", "response_status", "parse_status", "duration_seconds", "ended_at",
+                     detection_array(payload_key).alias("detections"))
+
+
+def _numbered(answers: DataFrame) -> DataFrame:
+    """``answer_no`` 1 for a request's latest answer, 2 and on for earlier
+    ones. Answers without a request id are numbered 1 each."""
+    w = Window.partitionBy("request_id").orderBy(F.col("ended_at").desc_nulls_last(),
+                                                 F.xxhash64("response_status", "parse_status", "detections"))
+    known = answers.filter("request_id is not null").withColumn("answer_no", F.row_number().over(w))
+    return known.unionByName(answers.filter("request_id is null").withColumn("answer_no", F.lit(1)))
+
+
+def match_answers(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Full outer join of requests and answers (``compact_answers``): all
+    columns of both and ``match``: answered, missing (a request without an
+    answer), orphan (an answer without a request) or repeated (answered again
+    later)."""
+    asked = requests.select(*REQUEST_COLUMNS).withColumn("__asked", F.lit(True))
+    told = _numbered(answers)
+    both = asked.join(told, "request_id", "full_outer")
+    match = (F.when(F.col("__asked").isNull(), F.lit("orphan"))
+             .when(F.col("answer_no").isNull(), F.lit("missing"))
+             .when(F.col("answer_no") > 1, F.lit("repeated")).otherwise(F.lit("answered")))
+    return both.withColumn("match", match).drop("__asked")
+
+
+def rejected_answers(matched: DataFrame) -> DataFrame:
+    """Reject table of ``match_answers``: request_id, response_status,
+    parse_status, n_detections (fallback rows not counted), reason."""
+    found = F.filter("detections", lambda d: ~d["is_fallback"])
+    return matched.where(F.col("match").isin("orphan", "repeated")).select(
+        "request_id", "response_status", "parse_status", F.size(found).alias("n_detections"),
+        F.col("match").alias("reason"))
+
+
+#: ``row_no`` holds the item in 35 bits, the model in 16 and the element in 12.
+_MODEL_BITS, _POS_BITS = 16, 12
+
+
+def row_number(item_no: Column, model_no: Column, pos: Column) -> Column:
+    """Orders rows by item, model and element whatever their partitions.
+    Elements from 4,094 on share the last number of their response: they have
+    its gold label, and only ties between them lose their order."""
+    last = (1 << _POS_BITS) - 1
+    model = F.when(model_no < (1 << _MODEL_BITS), model_no).otherwise(
+        F.raise_error(F.lit("model_no beyond 16 bits")).cast("int"))
+    return (item_no.cast("long") * F.lit(1 << (_MODEL_BITS + _POS_BITS)) + model * F.lit(1 << _POS_BITS)
+            + F.least(pos + 1, F.lit(last)))
+
+
+def matched_rows(matched: DataFrame) -> DataFrame:
+    """The detection table of ``match_answers``: every request's rows; a
+    missing one is a failed call, with the fallback row, status ``missing``
+    and no duration."""
+    chosen = F.when(F.col("match") == "missing", F.array(_fallback())).otherwise(F.col("detections"))
+    return _detection_table(matched.where(F.col("match").isin("answered", "missing")).select(
+        *REQUEST_COLUMNS, F.coalesce("response_status", F.lit("missing")).alias("response_status"),
+        "duration_seconds", F.explode(chosen).alias("d")))
+
+
+def _detection_table(rows: DataFrame, *text: str) -> DataFrame:
+    return rows.select(
+        "filename", F.col("gold_label").alias("ground_truth_label"), "model_name",
+        "d.detected_pattern", "d.confidence", "d.adherence", "d.reasoning", *text, "response_status",
+        "duration_seconds", row_number(F.col("item_no"), F.col("model_no"), F.col("d.pos")).alias("row_no"))
+
+
 def detection_rows(requests: DataFrame | None, responses: DataFrame,
                    payload_key: str = PAYLOAD_KEY,
                    repair_unwrapped: bool = False) -> DataFrame:
-    """Join responses back to their requests and emit the detection table
-    (filename, ground_truth_label, model_name, detected_pattern, confidence,
-    adherence, reasoning, raw_response, duration_seconds, row_no).
-
-    ``requests=None`` reads those columns from the responses themselves
-    (no join). ``requests`` needs ``item_no`` (see ``operators.ordering.dense_index``)
-    and ``model_no``. ``row_no`` orders rows by (item, model, element) so
-    "first row" rules do not depend on partitioning (limits: 2^35 items,
-    4,096 models, 65,535 elements per response).
+    """Responses with their requests as the detection table (filename,
+    ground_truth_label, model_name, detected_pattern, confidence, adherence,
+    reasoning, response_status, duration_seconds, row_no).
+
+    Every request gives rows (see ``match_answers``, ``matched_rows``).
+    ``requests=None`` reads the request's columns from the responses
+    themselves (no join) and keeps ``raw_response``. ``requests`` needs
+    ``item_no`` (see ``operators.ordering.dense_index``) and ``model_no``.
     """
-    resp = responses
-    if "duration_seconds" not in resp.columns:
-        resp = attach_durations(resp)
-    if requests is None:
-        # responses already carry the request columns (run_detector carry=...)
-        joined = resp
-    else:
-        req = requests.select("request_id", "filename", "gold_label", "model_name", "item_no",
-                              "model_no")
-        joined = resp.join(req, "request_id")
-    ex = extract_responses(joined, payload_key=payload_key, repair_unwrapped=repair_unwrapped)
-    keep = ("request_id", "filename", "gold_label", "model_name", "raw_response",
-            "duration_seconds", "item_no", "model_no")
-    det = explode_detections(ex, keep, payload_key)
-    return det.select(
-        "filename", F.col("gold_label").alias("ground_truth_label"), "model_name",
-        "detected_pattern", "confidence", "adherence", "reasoning", "raw_response",
-        "duration_seconds",
-        (F.col("item_no").cast("long") * F.lit(1 << 28) + F.col("model_no") * F.lit(1 << 16)
-         + (F.col("pos") + 1)).alias("row_no"))
+    if requests is not None:
+        return matched_rows(match_answers(requests, compact_answers(responses, payload_key, repair_unwrapped)))
+    # responses already carry the request columns (run_detector carry=...)
+    resp = responses if "duration_seconds" in responses.columns else attach_durations(responses)
+    ex = extract_responses(resp, payload_key=payload_key, repair_unwrapped=repair_unwrapped)
+    return _detection_table(ex.select(*REQUEST_COLUMNS, "raw_response", "response_status", "duration_seconds",
+                                      F.explode(detection_array(payload_key)).alias("d")), "raw_response")

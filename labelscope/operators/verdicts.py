@@ -2,7 +2,7 @@
 
 This is the only shuffle over detection rows in scoring: a hash aggregate on
 (model_name, key columns). Every aggregate in it has a fixed-width buffer
-(one flag per target, a packed first-row gold, counts and sums) and is
+(a bit for each target, a packed first-row gold, counts and sums) and is
 partial, so a hot item with a very large number of rows is collapsed
 map-side before the exchange, and its state is a handful of numbers.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.functions.fixed_values import DEFAULT_TARGETS, ORIGINS
-from labelscope.functions.labels import clean_label, origin_of
+from labelscope.functions.labels import MAX_INLINE_SYNONYMS, clean_label, origin_of, synonym_lookup
 
 DETECTION_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()),
@@ -32,6 +32,7 @@ DETECTION_SCHEMA = T.StructType([
 ])
 
 SynonymsArg = Mapping[str, str] | DataFrame | None
+TargetsArg = Sequence[str] | DataFrame
 
 
 def _score_aggs():
@@ -51,50 +52,71 @@ def _duration():
 
 def normalize_column(df: DataFrame, raw_col: str, out_col: str,
                      synonyms: SynonymsArg = None,
-                     targets: Sequence[str] | None = DEFAULT_TARGETS) -> DataFrame:
+                     targets: TargetsArg | None = DEFAULT_TARGETS) -> DataFrame:
     """Add ``out_col`` = canonical target label of ``raw_col`` (or NULL).
 
-    ``synonyms`` is a dict (inlined as a literal map, size-checked) or a
-    DataFrame ``(raw, label)`` with lower-case ``raw``; the DataFrame form is
-    a left equi-join whose strategy Spark picks from the table's size.
+    ``synonyms`` is a dict or a DataFrame ``(raw, label)`` with lower-case
+    ``raw``; ``targets`` a sequence or a DataFrame ``(label)``. Dicts of at
+    most ``MAX_INLINE_SYNONYMS`` entries are inlined as a literal map, larger
+    ones become a table; tables are left equi-joins whose strategy Spark picks
+    from their size.
     """
-    if isinstance(synonyms, DataFrame):
-        syn = synonyms.select(F.col("raw").alias("__syn_raw"),
-                              F.col("label").alias("__syn_label"))
-        out = (df.withColumn("__clean", clean_label(raw_col))
-                 .join(syn, F.col("__clean") == F.col("__syn_raw"), "left")
-                 .withColumn("__mapped", F.coalesce("__syn_label", "__clean")))
-        mapped = F.col("__mapped")
-        if targets is not None:
-            mapped = F.when(mapped.isin(*targets), mapped)
-        return (out.withColumn(out_col, mapped.cast("string"))
-                   .drop("__clean", "__syn_raw", "__syn_label", "__mapped"))
+    spark = df.sparkSession
+    if isinstance(synonyms, Mapping) and len(synonyms) > MAX_INLINE_SYNONYMS:
+        synonyms = spark.createDataFrame(sorted(synonyms.items()), "raw string, label string")
     # Two projections: the cleaned text is computed once (Catalyst does not
     # collapse a projection that would repeat a non-trivial expression).
-    from labelscope.functions.labels import synonym_lookup
-    mapped = synonym_lookup(F.col("__clean"), synonyms)
+    out = df.withColumn("__clean", clean_label(raw_col))
+    if isinstance(synonyms, DataFrame):
+        syn = synonyms.select(F.col("raw").alias("__syn_raw"), F.col("label").alias("__syn_label")) \
+            .dropDuplicates(["__syn_raw"])
+        out = out.join(syn, F.col("__clean") == F.col("__syn_raw"), "left") \
+            .withColumn("__clean", F.coalesce("__syn_label", "__clean")).drop("__syn_raw", "__syn_label")
+        mapped = F.col("__clean")
+    else:
+        mapped = synonym_lookup(F.col("__clean"), synonyms)
+    if isinstance(targets, DataFrame):
+        known = targets.select(F.col("label").alias("__target")).distinct()
+        out = out.withColumn("__clean", mapped).join(known, F.col("__clean") == F.col("__target"), "left")
+        return out.withColumn(out_col, F.col("__target").cast("string")).drop("__clean", "__target")
     if targets is not None:
         mapped = F.when(mapped.isin(*targets), mapped).otherwise(F.lit(None).cast("string"))
-    return (df.withColumn("__clean", clean_label(raw_col))
-              .withColumn(out_col, mapped).drop("__clean"))
+    return out.withColumn(out_col, mapped.cast("string")).drop("__clean")
 
 
 def normalize_detections(det: DataFrame, synonyms: SynonymsArg = None,
-                         targets: Sequence[str] | None = DEFAULT_TARGETS) -> DataFrame:
+                         targets: TargetsArg | None = DEFAULT_TARGETS) -> DataFrame:
     """Detection rows plus ``norm_label`` (canonical target label or NULL)."""
     return normalize_column(det, "detected_pattern", "norm_label", synonyms, targets)
 
 
 def drop_error_rows(det: DataFrame) -> DataFrame:
-    """Detection rows of failed calls (response text 'Error: ...') removed."""
+    """Detection rows of failed calls (status error or missing, or response
+    text 'Error: ...') removed."""
     from labelscope.functions.fixed_values import ERROR_PREFIX
+    if "response_status" in det.columns:
+        return det.where(~F.coalesce(F.col("response_status").isin("error", "missing"), F.lit(False)))
     if "raw_response" not in det.columns:
         return det
     return det.where(~F.coalesce(F.col("raw_response").startswith(ERROR_PREFIX), F.lit(False)))
 
 
+WORD = 63                            # targets whose hits one long holds beside its sign
+
+
+def _labels_of(word, first: int, targets: Sequence[str]):
+    """Labels of the set bits of a word; most words have one bit or none."""
+    one = F.bit_count(word - F.lit(1).cast("long"))          # number of the only bit that is set
+    here = F.array(*[F.lit(t) for t in targets[first:first + WORD]])
+    bits = F.filter(F.sequence(F.lit(0), F.lit(min(WORD, len(targets) - first) - 1)),
+                    lambda i: F.getbit(word, i) == 1)
+    return (F.when(word == 0, F.array().cast("array<string>"))
+            .when(F.bit_count(word) == 1, F.array(F.get(here, one.cast("int"))))
+            .otherwise(F.transform(bits, lambda i: F.get(here, i))))
+
+
 def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
-                  targets: Sequence[str] = DEFAULT_TARGETS,
+                  targets: TargetsArg = DEFAULT_TARGETS,
                   key_cols: Sequence[str] = ("filename",),
                   origins: Sequence[str] = ORIGINS,
                   exclude_errors: bool = False,
@@ -109,12 +131,16 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     ``exclude_errors`` leaves failed calls out instead of counting them as
     misses.
 
-    Every aggregate has a fixed-width buffer, so Spark runs a plain
-    ``HashAggregate`` with map-side partial aggregation: the detected set is
-    one ``max`` flag per target, and the first row's gold is packed into
+    With a sequence of targets every aggregate has a fixed-width buffer, so
+    Spark runs a plain ``HashAggregate`` with map-side partial aggregation:
+    the detected set is a bit for each target in longs merged by
+    ``bit_or``, and the first row's gold is packed into
     ``min(row_no * 2^bits + gold code)`` (a
     decimal, so no row number overflows; bits = bit length of the number of
-    targets). Rows whose item key is NULL belong to no item and are left out.
+    targets). Targets of any number can be a DataFrame ``(label)``: labels are
+    then joined, and an item's are a set of texts.
+    Rows whose item key is NULL belong to no item and are left out (see
+    ``unkeyed_rows``).
     ``keep_gold_raw`` adds ``min_by`` over the raw text, which needs a
     sort-based aggregate. ``with_scores`` adds per-item sums, counts and
     extremes of the numeric confidence and adherence (``conf_*``, ``adh_*``),
@@ -122,7 +148,6 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     """
     if exclude_errors:
         det = drop_error_rows(det)
-    targets = list(targets)
     keys = ["model_name", *key_cols]
     # The origin prefix is read from the file name even when items are keyed
     # by something longer (e.g. the full path).
@@ -130,34 +155,49 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     extra = [F.min(origin_src).alias("__origin_src")] if origin_src not in keys else []
     if keep_gold_raw:
         extra.append(F.min_by("ground_truth_label", "row_no").alias("gold_raw"))
-    bits = max(1, len(targets).bit_length())
-    tarr = F.array(*[F.lit(t) for t in targets])
     normed = normalize_column(normalize_detections(det, synonyms, targets),
                               "ground_truth_label", "__gold_norm", synonyms, targets)
-    gold_code = F.coalesce(F.array_position(tarr, F.col("__gold_norm")), F.lit(0))
     normed = normed.dropna(subset=list(key_cols))
-    agg = normed.groupBy(*keys).agg(
-        *extra,
-        *[F.max(F.when(F.col("norm_label") == t, 1).otherwise(0)).alias(f"__hit{i}")
-          for i, t in enumerate(targets)],
-        F.min(F.col("row_no").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)")
-              + gold_code.cast("decimal(10,0)")).alias("__first"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max(_duration()).alias("call_duration"),
-        F.sum(_duration()).alias("dur_sum"),
-        F.count(_duration()).alias("dur_n"),
-        *(_score_aggs() if with_scores else []),
-    )
-    code = (F.col("__first") % F.lit(1 << bits)).cast("int")
-    detected = F.array_sort(F.filter(F.array(*[
-        F.when(F.col(f"__hit{i}") == 1, F.lit(t)) for i, t in enumerate(targets)]),
-        lambda x: x.isNotNull()))
-    out = (agg.withColumn("gold_label", F.when(code > 0, F.element_at(tarr, code)))
-              .withColumn("detected", detected)
-              .withColumn("first_row", F.expr(f"__first div {1 << bits}"))
-              .withColumn("origin", origin_of(origin_src if origin_src in keys
-                                              else "__origin_src", origins))
-              .withColumn("in_scope", F.col("gold_label").isNotNull())
-              .withColumn("correct", F.coalesce(
-                  F.array_contains("detected", F.col("gold_label")), F.lit(False))))
-    return out.drop("__first", "__origin_src", *[f"__hit{i}" for i in range(len(targets))])
+    common = [F.count(F.lit(1)).alias("n_rows"),
+              F.max(_duration()).alias("call_duration"),
+              F.sum(_duration()).alias("dur_sum"),
+              F.count(_duration()).alias("dur_n"),
+              *(_score_aggs() if with_scores else [])]
+    if isinstance(targets, DataFrame):
+        out = normed.groupBy(*keys).agg(
+            *extra, F.min_by("__gold_norm", "row_no").alias("gold_label"), F.min("row_no").alias("first_row"),
+            F.array_sort(F.collect_set("norm_label")).alias("detected"), *common)
+    else:
+        targets = list(targets)
+        bits = max(1, len(targets).bit_length())
+        tarr = F.array(*[F.lit(t) for t in targets])
+        gold_code = F.coalesce(F.array_position(tarr, F.col("__gold_norm")), F.lit(0))
+        normed = normed.withColumn("__bit", F.array_position(tarr, F.col("norm_label")).cast("int") - 1)
+        firsts = range(0, len(targets), WORD)
+        one, bit = F.lit(1).cast("long"), F.col("__bit")
+        agg = normed.groupBy(*keys).agg(
+            *extra,
+            *[F.bit_or(F.when((bit >= f) & (bit < f + WORD), F.call_function("shiftleft", one, bit - f))
+                       .otherwise(F.lit(0).cast("long"))).alias(f"__w{f}") for f in firsts],
+            F.min(F.col("row_no").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)")
+                  + gold_code.cast("decimal(10,0)")).alias("__first"), *common)
+        code = (F.col("__first") % F.lit(1 << bits)).cast("int")
+        found = [_labels_of(F.col(f"__w{f}"), f, targets) for f in firsts] or [F.array().cast("array<string>")]
+        out = (agg.withColumn("gold_label", F.when(code > 0, F.get(tarr, code - 1)))
+                  .withColumn("detected", F.array_sort(F.concat(*found)))
+                  .withColumn("first_row", F.expr(f"__first div {1 << bits}"))
+                  .drop("__first", *[f"__w{f}" for f in firsts]))
+    return (out.withColumn("origin", origin_of(origin_src if origin_src in keys
+                                               else "__origin_src", origins))
+               .withColumn("in_scope", F.col("gold_label").isNotNull())
+               .withColumn("correct", F.coalesce(
+                   F.array_contains("detected", F.col("gold_label")), F.lit(False)))
+               .drop("__origin_src"))
+
+
+def unkeyed_rows(det: DataFrame, key_cols: Sequence[str] = ("filename",)) -> DataFrame:
+    """Reject table of ``file_verdicts``: detection rows with a NULL item key."""
+    missing = F.lit(False)
+    for c in key_cols:
+        missing = missing | F.col(c).isNull()
+    return det.where(missing)

@@ -17,14 +17,19 @@ from labelscope.operators import corpus as C
 from labelscope.operators import metrics as M
 from labelscope.operators import report as R
 from labelscope.operators import runs as RU
+from labelscope.operators.detector import run_pending
 from labelscope.operators.requests import build_requests, prompt_chars, prompt_text
-from labelscope.operators.responses import explode_detections, extract_responses
+from labelscope.operators.responses import (
+    compact_answers, detection_rows, explode_detections, extract_responses, match_answers, matched_rows,
+    rejected_answers,
+)
 from labelscope.operators.verdicts import file_verdicts, normalize_detections
 from labelscope.plans import derived as D
 from labelscope.session import scratch_path
 from labelscope.sources import csv_io
+from labelscope.sources.bucketed import write_bucketed
 from labelscope.sources.corpus import scan_files
-from labelscope.sources.tables import load_table
+from labelscope.sources.tables import load_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,6 +215,53 @@ def q_request_build(spark, sf_dir):
                       "temperature", "max_tokens")
 
 
+def _detector_requests(spark, sf_dir):
+    """Two requests for each document."""
+    docs = load_table(spark, sf_dir, "documents").select(
+        F.expr(D.DET_FILENAME).alias("filename"), F.col("lang").alias("gold_label"), F.col("text").alias("content"),
+        F.col("doc_id").alias("item_no"))
+    return build_requests(spread(docs, "item_no"), D.REQUEST_MODELS[:2], D.REQUEST_INSTRUCTION,
+                          keep=("filename", "gold_label", "item_no"))
+
+
+def _keyword_detector(started: str):
+    """A detector that answers from the text alone; its calls start at ``started``."""
+    keywords = dict(D.DETECTOR_KEYWORDS)
+
+    def detector(pdf):
+        import pandas as pd
+        text = pdf["messages"].map(lambda m: m[-1]["content"].lower())
+        answer = text.map(lambda t: next((f'{{"design_patterns": [{{"pattern": "{k}", "confidence": {len(t) % 101}}}]}}'
+                                          for k, w in keywords.items() if w in t), "Error: no keyword"))
+        start = pd.Timestamp(started)
+        return pd.DataFrame({"request_id": pdf["request_id"], "raw_response": answer, "started_at": start,
+                             "ended_at": start + pd.to_timedelta(text.str.len() % 60, unit="s")})
+
+    return detector
+
+
+_CARRIED = ("filename", "gold_label", "model_name", "item_no", "model_no")
+
+
+def _resumed(spark, sf_dir):
+    requests = _detector_requests(spark, sf_dir)
+    path = scratch_path(spark, "answers")
+    run_pending(requests.where("item_no % 2 = 0"), _keyword_detector("2025-01-01"), path, carry=_CARRIED)
+    return run_pending(requests, _keyword_detector("2025-01-02"), path, waves=2, carry=_CARRIED)
+
+
+def q_detector_resume(spark, sf_dir):
+    """A detector run over half of the requests, then over all: the second
+    asks only what the first did not."""
+    return _resumed(spark, sf_dir).select("request_id", "raw_response", "started_at", "ended_at")
+
+
+def q_detector_scores(spark, sf_dir):
+    """The resumed run's answers, scored without a join back to the requests."""
+    v = file_verdicts(detection_rows(None, _resumed(spark, sf_dir)), D.DET_SYNONYMS, D.DET_TARGETS)
+    return M.micro_scores(v, D.DET_TARGETS).drop("first_row")
+
+
 def _extracted(spark, sf_dir):
     return extract_responses(D.responses(spark, sf_dir))
 
@@ -240,12 +292,28 @@ def q_csv_scores(spark, sf_dir):
     numbers) and scored, as the detection run and the scoring job exchange
     them."""
     path = scratch_path(spark, "det_csv")
-    csv_io.write_csv(D.detections(spark, sf_dir).drop("row_no"), path)
+    csv_io.write_detections_csv(D.detections(spark, sf_dir), path, max_records=5_000)
     det = csv_io.read_detections_csv(spark, path)
     return M.micro_scores(file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS),
                           D.DET_TARGETS).drop("first_row")
 
 
+def q_csv_leaderboard(spark, sf_dir):
+    """Leaderboard of two pairs of equal models, whose order is that of their
+    first rows in many CSV files without row numbers."""
+    path = scratch_path(spark, "det_csv_order")
+    csv_io.write_detections_csv(D.paired_models(spark, sf_dir), path, export_row_no=False, max_records=2_000)
+    det = csv_io.read_detections_csv(spark, path)
+    return M.leaderboard(M.micro_scores(file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS), D.DET_TARGETS),
+                         keep=("first_row",))
+
+
+def q_csv_rejects(spark, sf_dir):
+    path = scratch_path(spark, "event_lines")
+    D.event_lines(spark, sf_dir).write.text(path)
+    return csv_io.csv_rejects(spark, path, D.EVENT_LINE_SCHEMA, header=False).select("record")
+
+
 def q_detection_stream(spark, sf_dir):
     from labelscope.streaming.responses import stream_detections
     src = scratch_path(spark, "responses_in")
@@ -256,10 +324,27 @@ def q_detection_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def _matched(spark, sf_dir):
+    """Requests and extracted answers, both written bucketed by request_id:
+    their join has no exchange, and no response text moves."""
+    answers = compact_answers(D.responses(spark, sf_dir).unionByName(D.late_responses(spark, sf_dir)))
+    return match_answers(write_bucketed(D.response_requests(spark, sf_dir), "request_id"),
+                         write_bucketed(answers, "request_id"))
+
+
 def _response_detections(spark, sf_dir):
-    from labelscope.operators.responses import detection_rows
-    return detection_rows(D.response_requests(spark, sf_dir),
-                          D.responses(spark, sf_dir).drop("model_name", "filename"))
+    return matched_rows(_matched(spark, sf_dir))
+
+
+def q_response_orphans(spark, sf_dir):
+    return rejected_answers(_matched(spark, sf_dir))
+
+
+def q_response_matches(spark, sf_dir):
+    """How many requests and answers of each model met, are missing or are
+    left over."""
+    return (_matched(spark, sf_dir).groupBy(F.coalesce("model_name", F.lit("")).alias("model_name"), "match")
+            .agg(F.count(F.lit(1)).alias("n"), F.count("detections").alias("n_answers")))
 
 
 def q_response_scores(spark, sf_dir):
@@ -299,17 +384,50 @@ def q_item_index(spark, sf_dir):
 
 # -- runs --------------------------------------------------------------------
 
+def _joined(df, name):
+    """A list column as one text, for comparison."""
+    return df.withColumn(name, F.array_join(name, ","))
+
+
 def q_source_split(spark, sf_dir):
     return RU.split_by_origin(D.detections(spark, sf_dir)).select(
         "filename", "model_name", "row_no", "origin")
 
 
 def q_run_metadata(spark, sf_dir):
-    return RU.run_metadata(D.detections(spark, sf_dir), "documents")
+    return _joined(RU.run_metadata(D.detections(spark, sf_dir), "documents"), "models_used")
 
 
 def q_run_summary(spark, sf_dir):
-    return RU.run_summary(D.detections(spark, sf_dir))
+    return _joined(RU.run_summary(D.detections(spark, sf_dir)), "models")
+
+
+def q_run_write(spark, sf_dir):
+    """Two runs and one that died before its marker, written as files and
+    read back: rows by run and origin beside the run's metadata."""
+    base = scratch_path(spark, "runs")
+    det = D.detections(spark, sf_dir)
+    first, second, died = D.RUN_IDS
+    RU.commit_run(det.where("model_name = 'strict'"), base, first, "documents")
+    RU.write_attempt(det.where("model_name = 'loose'"), base, second)     # a first attempt that died
+    RU.commit_run(det, base, second, "documents")
+    RU.write_attempt(det, base, died)
+    rows = RU.read_runs(spark, base).groupBy("run_id", F.coalesce("origin", F.lit("")).alias("origin")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("filename").alias("n_files"),
+        F.sum("row_no").alias("row_no_sum"))
+    return rows.join(_joined(RU.read_metadata(spark, base), "models_used"), "run_id")
+
+
+def q_latest_committed(spark, sf_dir):
+    """Scores of the latest committed run, though a later one has begun."""
+    base = scratch_path(spark, "runs")
+    det = D.detections(spark, sf_dir)
+    first, second, died = D.RUN_IDS
+    RU.commit_run(det, base, first, "documents")
+    RU.commit_run(det.where("row_no % 32 < 16"), base, second)
+    RU.write_attempt(det, base, died)
+    return M.micro_scores(file_verdicts(RU.read_run(spark, base), D.DET_SYNONYMS, D.DET_TARGETS),
+                          D.DET_TARGETS).drop("first_row")
 
 
 def q_latest_run(spark, sf_dir):
@@ -357,6 +475,8 @@ QUERIES: dict[str, Query] = {
     "dedup_keep_first": q_dedup_keep_first,
     "corpus_summary": q_corpus_summary,
     "request_build": q_request_build,
+    "detector_resume": q_detector_resume,
+    "detector_scores": q_detector_scores,
     "response_extract": q_response_extract,
     "detection_explode": q_detection_explode,
     "detection_stream": q_detection_stream,
@@ -364,14 +484,20 @@ QUERIES: dict[str, Query] = {
     "response_scores": q_response_scores,
     "response_label_scores": q_response_label_scores,
     "response_durations": q_response_durations,
+    "response_orphans": q_response_orphans,
+    "response_matches": q_response_matches,
     "keyword_label_join": q_keyword_label_join,
     "item_index": q_item_index,
     "csv_roundtrip": q_csv_roundtrip,
     "csv_scores": q_csv_scores,
+    "csv_leaderboard": q_csv_leaderboard,
+    "csv_rejects": q_csv_rejects,
     "source_split": q_source_split,
     "run_metadata": q_run_metadata,
     "run_summary": q_run_summary,
     "latest_run": q_latest_run,
+    "run_write": q_run_write,
+    "latest_committed": q_latest_committed,
     "summary_json": q_summary_json,
     "report_lines": q_report_lines,
     "normalize_label": q_normalize_label,

@@ -118,6 +118,13 @@ RESP_COLUMNS = (
     ("started_at", "ts"),
 )
 
+# Some requests have no response, some responses no request.
+RESP_ABSENT = "event_id % 89 = 5"
+REQUEST_ABSENT = "event_id % 83 = 7"
+# Some requests are answered twice; the second answer, a minute later, holds.
+RESP_AGAIN = "event_id % 71 = 3"
+RESP_AGAIN_TEXT = "'{\"design_patterns\": [{\"pattern\": \"Observer\"}]}'"
+
 PATH_PROJECT = ("CASE CAST(substr(source, 4) AS INT) % 10 WHEN 0 THEN 'Ant 1.7' "
                 "WHEN 1 THEN 'ArgoUML' WHEN 2 THEN 'Azureus 3.0' WHEN 3 THEN 'JHotDraw' "
                 "WHEN 4 THEN 'DrJava' WHEN 5 THEN 'Eclipse JDT' WHEN 6 THEN 'Xerces' "
@@ -140,8 +147,12 @@ INDEX_PROJECT = "'proj' || CAST(user_id % 17 AS STRING)"
 INDEX_CLASS = "'C' || CAST(event_id AS STRING)"
 INDEX_LABEL_MAP = {"Click": "navigation", "View": "navigation", "Purchase": "commerce",
                    "Signup": "account"}
+RUN_IDS = ("2025-12-09_08-56-29", "2025-12-11_20-22-44", "2025-12-12_00-00-00")
 EVENT_RUN_ID = "date_format(ts, 'yyyy-MM-dd_HH') || '-00-00'"
 
+# The detector of ``detector_resume`` looks for these texts in this order.
+DETECTOR_KEYWORDS = (("English", " the "), ("French", " le "), ("German", " der "), ("Spanish", " el "))
+
 # request-side configuration for ``request_build``
 REQUEST_MODELS = (
     {"name": "gpt-5", "provider": "openai", "model_id": "gpt-5"},
@@ -203,19 +214,27 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``resp``: one free-text response per event."""
+    """``resp``: one free-text response per event (none for some)."""
     ev = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
-                                                    "value")
+                                                    "value").where(f"NOT ({RESP_ABSENT})")
     out = spread(ev, "event_id").select(*[F.expr(e).alias(n) for n, e in RESP_COLUMNS])
     # the call took (event_id % 60) seconds
     return out.withColumn("ended_at", F.col("started_at") + F.make_interval(
         secs=(F.col("event_id") % 60).cast("decimal(18,6)")))
 
 
+def late_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second answers to some requests, a minute after the first."""
+    resp = responses(spark, sf_dir).where(RESP_AGAIN)
+    minute = F.expr("INTERVAL 1 MINUTE")
+    return resp.withColumns({"raw_response": F.expr(RESP_AGAIN_TEXT), "started_at": F.col("started_at") + minute,
+                             "ended_at": F.col("ended_at") + minute})
+
+
 def response_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request behind each ``resp`` row: request_id, filename,
-    gold_label, model_name, item_no, model_no."""
-    ev = load_table(spark, sf_dir, "events")
+    """The requests of ``resp`` (some responses have none): request_id,
+    filename, gold_label, model_name, item_no, model_no."""
+    ev = load_table(spark, sf_dir, "events").where(f"NOT ({REQUEST_ABSENT})")
     return ev.select(F.expr(RESP_REQUEST_ID).alias("request_id"),
                      F.expr(RESP_FILENAME).alias("filename"), F.expr(RESP_GOLD).alias("gold_label"),
                      F.expr(RESP_MODEL).alias("model_name"), F.col("event_id").alias("item_no"),
@@ -226,3 +245,59 @@ def corpus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``paths``: one corpus path per document (doc_id, path)."""
     docs = load_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.expr(PATH_EXPR).alias("path"))
+
+
+def paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``det`` with a twin of each model that has the same rows, each just
+    before the original's; ``row_no`` orders them all."""
+    twin = F.explode(F.array(F.lit(0), F.lit(1))).alias("twin")
+    det = detections(spark, sf_dir).select("*", twin)
+    return det.withColumns({
+        "model_name": F.when(F.col("twin") == 0, F.concat(F.lit("z-"), "model_name")).otherwise(F.col("model_name")),
+        "row_no": F.col("row_no") * 2 + F.col("twin")}).drop("twin")
+
+
+# Event records as text lines; some lack a cell, have one too many or no number.
+EVENT_LINE = ("CASE event_id % 50 WHEN 1 THEN CAST(event_id AS STRING) || ',' || event_type "
+              "WHEN 2 THEN CAST(event_id AS STRING) || ',\"' || event_type || '\",1,2' "
+              "WHEN 3 THEN 'no ' || CAST(event_id AS STRING) || ',' || event_type || ',1' "
+              "ELSE CAST(event_id AS STRING) || ',\"' || event_type || '\",' || CAST(user_id AS STRING) END")
+EVENT_LINE_SCHEMA = "event_id long, event_type string, user_id long"
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, sf_dir, "events").select(F.expr(EVENT_LINE).alias("line"))
+
+
+# Two collections of source files: documents of even ids with an index, of odd
+# ids as a tree of projects. Some indexed files are not there.
+SOURCE_NAME = "'proj' || CAST(doc_id % 17 AS STRING) || '-C' || CAST(doc_id AS STRING) || '.java'"
+SOURCE_LABEL = ("CASE doc_id % 14 WHEN 0 THEN 'Factory' WHEN 2 THEN 'Singleton' WHEN 4 THEN 'Observer' "
+                "WHEN 6 THEN 'Decorator' WHEN 8 THEN 'None' WHEN 10 THEN 'NA' ELSE 'Bridge' END")
+INDEXED = "doc_id % 2 = 0"
+LISTED = "doc_id % 2 = 0 AND doc_id % 5 <> 0"
+IN_TREE = "doc_id % 2 = 1 AND doc_id % 3 = 0"
+TREE_PROJECT = ("CASE doc_id % 5 WHEN 0 THEN 'ArgoUML' WHEN 1 THEN 'JHotDraw 5.1' WHEN 2 THEN 'Xerces' "
+                "WHEN 3 THEN 'misc' ELSE 'Antlr2' END")
+TREE_NAME = ("CASE doc_id % 7 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'FactoryImpl' WHEN 2 THEN 'Observer' "
+             "WHEN 3 THEN 'EventListener' WHEN 4 THEN 'Wrapper' WHEN 5 THEN 'WrapperObserver' ELSE 'Plain' END "
+             "|| CAST(doc_id % 100 AS STRING) || CASE WHEN doc_id % 11 = 0 THEN '.txt' ELSE '.java' END")
+
+
+def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the first collection: raw_label, Project, Class."""
+    docs = load_table(spark, sf_dir, "documents").where(INDEXED)
+    return docs.select(F.expr(SOURCE_LABEL).alias("raw_label"),
+                       F.expr("'proj' || CAST(doc_id % 17 AS STRING)").alias("Project"),
+                       F.expr("'C' || CAST(doc_id AS STRING)").alias("Class"))
+
+
+def source_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The files of both collections: folder(s), filename, content."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = spread(docs, "doc_id")
+    first = docs.where(LISTED).select(F.lit("src").alias("gold_label"), F.expr(SOURCE_NAME).alias("filename"), "content")
+    second = docs.where(IN_TREE).select(F.expr(TREE_PROJECT).alias("project"),
+                                        F.concat(F.lit("d"), "doc_id").alias("gold_label"),
+                                        F.expr(TREE_NAME).alias("filename"), "content")
+    return first, second

@@ -227,6 +227,14 @@ SELECT scope, model_name, level, label, tp, fp, fn, {sql_prf('tp', 'fp', 'fn')}
     out["leaderboard"] = scoring_sql("""
 SELECT CAST(row_number() OVER (ORDER BY f1 DESC, first_row) AS INTEGER) AS rank,
        model_name, precision, recall, f1 FROM micro_s""")
+    out["csv_leaderboard"] = scoring_sql("""
+, places AS (SELECT model_name, min(place) AS first_row FROM (
+    SELECT model_name, row_number() OVER (ORDER BY row_no) AS place FROM (
+      SELECT model_name, row_no * 2 + 1 AS row_no FROM det
+      UNION ALL SELECT 'z-' || model_name, row_no * 2 FROM det)) GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY f1 DESC, p.first_row) AS INTEGER) AS rank, p.model_name,
+       precision, recall, f1, p.first_row - 1 AS first_row
+FROM micro_s m JOIN places p ON p.model_name IN (m.model_name, 'z-' || m.model_name)""")
     out["best_model"] = scoring_sql("""
 SELECT model_name, f1, precision, recall FROM micro_s ORDER BY f1 DESC, first_row LIMIT 1""")
     pub = ", ".join(f"({q(m)}, {p!r}, {r!r}, {f!r})" for m, p, r, f in PUBLISHED_SCORES)
@@ -263,11 +271,18 @@ p2 AS (SELECT doc_id, path, filename,
        FROM p1 WHERE {kept})"""
 
 
-def _resp_ctes() -> str:
-    cols = ", ".join(f"{e} AS {n}" for n, e in D.RESP_COLUMNS)
+def _resp_ctes(late: bool = False) -> str:
+    """``late``: where a request was answered again, only that answer."""
+    told = f"FROM events WHERE NOT ({D.RESP_ABSENT})"
+    select = lambda cols: "SELECT " + ", ".join(f"{e} AS {n}" for n, e in cols.items()) + f" {told}"
+    cols = dict(D.RESP_COLUMNS)
+    resp = select(cols)
+    if late:
+        again = select({**cols, "raw_response": D.RESP_AGAIN_TEXT})
+        resp = f"{resp} AND NOT ({D.RESP_AGAIN}) UNION ALL {again} AND {D.RESP_AGAIN}"
     falsy = r'^(null|false|""|\{\}|-?0(\.0*)?([eE][-+]?[0-9]+)?)$'
     return f"""
-resp AS (SELECT {cols} FROM events),
+resp AS ({resp}),
 rx AS (SELECT *, regexp_extract(raw_response, {q(FENCE_RE)}, 1) AS fence_txt,
               regexp_extract(raw_response, {q(BRACE_RE)}, 1) AS brace_txt FROM resp),
 ry AS (SELECT *, CASE WHEN raw_response IS NULL THEN NULL
@@ -389,6 +404,26 @@ SELECT model_name || '/' || filename AS request_id, filename, model_name, provid
            ELSE 'system:' || {instr} || chr(10) || 'user:' || text END) AS prompt_md5,
   CAST(temperature AS DOUBLE) AS temperature, CAST(max_tokens AS INTEGER) AS max_tokens
 FROM items CROSS JOIN models"""
+    styles = {m["name"]: PROVIDERS[m["provider"]][0] for m in ok[:2]}
+    sent = " ".join(f"WHEN {q(m)} THEN {instr + ' || ' + sep + ' || text' if style == 'joined' else 'text'}"
+                    for m, style in styles.items())
+    found = " ".join(f"WHEN contains(t, {q(w)}) THEN {q(k)}" for k, w in D.DETECTOR_KEYWORDS)
+    asked = f"""
+rq AS (SELECT *, lower(CASE m {sent} END) AS t FROM
+  (SELECT *, {D.DET_FILENAME} AS filename FROM documents), (VALUES {', '.join(f'({q(m)})' for m in styles)}) x(m)),
+an AS (SELECT m || '/' || filename AS request_id, doc_id, m, filename, lang, length(t) AS n, CASE {found} END AS k,
+         CAST(CASE WHEN doc_id % 2 = 0 THEN '2025-01-01' ELSE '2025-01-02' END AS TIMESTAMP) AS started_at FROM rq)"""
+    out["detector_resume"] = "WITH " + asked + """
+SELECT request_id, CASE WHEN k IS NULL THEN 'Error: no keyword' ELSE '{"design_patterns": [{"pattern": "' || k
+         || '", "confidence": ' || n % 101 || '}]}' END AS raw_response,
+       started_at, started_at + to_seconds(n % 60) AS ended_at FROM an"""
+    out["detector_scores"] = "WITH " + _scoring_ctes(asked.replace("\nrq AS", "rq AS", 1) + """,
+det AS (SELECT filename, lang AS ground_truth_label, m AS model_name, coalesce(k, 'None') AS detected_pattern,
+          0.0 AS duration_seconds, doc_id AS row_no FROM an)""") + """
+SELECT model_name, CAST(files_processed AS BIGINT) AS files_processed, total_tp, total_fp,
+       total_fn, precision, recall, f1, total_tp AS correct_count, total_fn AS missed_count,
+       total_fp AS fp_count
+FROM micro_s"""
     out["response_extract"] = "WITH " + _resp_ctes() + """
 SELECT request_id, model_name, response_status, parse_step, parse_status,
        CAST(CASE WHEN json_type(kv) = 'ARRAY' THEN json_array_length(kv) END AS INTEGER) AS n_elements
@@ -418,6 +453,30 @@ SELECT CAST(count(*) AS BIGINT) AS rows_loaded,
        CAST((SELECT count(*) FROM (SELECT DISTINCT filename, model_name FROM det)) AS BIGINT) AS file_model_groups,
        CAST(count(DISTINCT filename) AS BIGINT) AS unique_files, {models_first} AS models
 FROM det""")
+    first, second, _ = D.RUN_IDS
+    out["run_write"] = det_sql(f"""
+, runs AS (SELECT {q(first)} AS run_id, * FROM det WHERE model_name = 'strict'
+           UNION ALL SELECT {q(second)}, * FROM det),
+meta AS (SELECT r.run_id, 'documents' AS source_dir, strptime(r.run_id, '%Y-%m-%d_%H-%M-%S') AS timestamp,
+  count(DISTINCT filename) AS files_processed, count(DISTINCT filename) AS files_read, count(*) AS total_results,
+  (SELECT string_agg(model_name, ',' ORDER BY f) FROM (SELECT model_name, min(row_no) AS f FROM runs x
+     WHERE x.run_id = r.run_id GROUP BY 1)) AS models_used,
+  count(DISTINCT filename) FILTER (filename LIKE 'DPD-%') AS dpd_files,
+  count(DISTINCT filename) FILTER (filename LIKE 'PMART-%') AS pmart_files FROM runs r GROUP BY r.run_id)
+SELECT run_id, coalesce({sql_origin('filename')}, '') AS origin, count(*) AS n_rows,
+       count(DISTINCT filename) AS n_files, sum(row_no)::BIGINT AS row_no_sum, any_value(meta.source_dir) AS source_dir,
+       any_value(meta.timestamp) AS timestamp, any_value(meta.files_processed) AS files_processed,
+       any_value(meta.models_used) AS models_used, any_value(meta.total_results) AS total_results,
+       any_value(meta.dpd_files) AS dpd_files, any_value(meta.pmart_files) AS pmart_files,
+       any_value(meta.files_read) AS files_read
+FROM runs JOIN meta USING (run_id) GROUP BY ALL""")
+    out["latest_committed"] = "WITH " + _scoring_ctes(_det_cte().replace(
+        "\ndet AS (", "\ndet_all AS (") + ", det AS (FROM det_all WHERE row_no % 32 < 16)") + """
+SELECT model_name, CAST(files_processed AS BIGINT) AS files_processed, total_tp, total_fp,
+       total_fn, precision, recall, f1, total_tp AS correct_count, total_fn AS missed_count,
+       total_fp AS fp_count
+FROM micro_s"""
+    out["csv_rejects"] = f"SELECT {D.EVENT_LINE} AS record FROM events WHERE event_id % 50 IN (1, 2, 3)"
     out["latest_run"] = """
 WITH runs AS (SELECT strftime(ts, '%Y-%m-%d_%H') || '-00-00' AS run_id, count(*) AS n
               FROM events GROUP BY 1)
@@ -443,17 +502,20 @@ def _chunks(s: str):
 
 
 def _resp_det_block() -> str:
-    """``det`` built from the response relation joined back to its requests."""
-    return _resp_ctes() + f""",
+    """``det`` built from the response relation joined back to its requests:
+    the latest answers, and the fallback row of requests without one."""
+    return _resp_ctes(late=True) + f""",
 rq AS (SELECT {D.RESP_REQUEST_ID} AS request_id, {D.RESP_FILENAME} AS filename,
               {D.RESP_GOLD} AS gold_label, {D.RESP_MODEL} AS model_name,
-              event_id AS item_no, {D.RESP_MODEL_NO} AS model_no, event_id FROM events),
+              event_id AS item_no, {D.RESP_MODEL_NO} AS model_no, event_id FROM events
+       WHERE NOT ({D.REQUEST_ABSENT})),
 det AS (
-  SELECT r.filename, r.gold_label AS ground_truth_label, r.model_name, d.detected_pattern,
-         d.confidence, d.adherence, d.reasoning, d.raw_response,
-         CAST(r.event_id % 60 AS DOUBLE) AS duration_seconds,
-         CAST(r.item_no * 268435456 + r.model_no * 65536 + d.pos + 1 AS BIGINT) AS row_no
-  FROM dets d JOIN rq r USING (request_id))"""
+  SELECT r.filename, r.gold_label AS ground_truth_label, r.model_name,
+         coalesce(d.detected_pattern, CASE WHEN d.request_id IS NULL THEN 'None' END) AS detected_pattern,
+         d.confidence, d.adherence,
+         CASE WHEN d.request_id IS NOT NULL THEN CAST(r.event_id % 60 AS DOUBLE) END AS duration_seconds,
+         CAST((r.item_no * 3 + r.model_no) * 1000 + coalesce(d.pos, -1) AS BIGINT) AS row_no
+  FROM rq r LEFT JOIN dets d USING (request_id))"""
 
 
 def response_oracle_queries() -> dict[str, str]:
@@ -478,6 +540,24 @@ SELECT model_name, round(sum(duration_seconds) / count(duration_seconds), 6) AS
        (SELECT CAST(count(call_duration) AS BIGINT) FROM verdict_x v
          WHERE v.model_name = det.model_name) AS n_calls
 FROM det GROUP BY model_name""",
+        "response_orphans": "WITH " + _resp_ctes() + f""",
+late AS (SELECT {D.RESP_REQUEST_ID} AS request_id, 1 AS n FROM events
+         WHERE {D.RESP_AGAIN} AND NOT ({D.RESP_ABSENT})),
+found AS (SELECT request_id, CAST(count(*) FILTER (NOT is_fallback) AS INTEGER) AS n FROM dets GROUP BY request_id),
+gone AS (SELECT {D.RESP_REQUEST_ID} AS request_id FROM events WHERE {D.REQUEST_ABSENT})
+SELECT request_id, response_status, parse_status, n AS n_detections, 'orphan' AS reason
+FROM rt JOIN found USING (request_id) WHERE request_id IN (FROM gone)
+UNION ALL SELECT request_id, 'ok', 'ok', 1, 'orphan' FROM late WHERE request_id IN (FROM gone)
+UNION ALL SELECT request_id, response_status, parse_status, f.n, 'repeated'
+FROM rt JOIN found f USING (request_id) JOIN late USING (request_id) WHERE request_id NOT IN (FROM gone)""",
+        "response_matches": f"""
+WITH a AS (SELECT *, {D.RESP_MODEL} AS m, NOT ({D.REQUEST_ABSENT}) AS asked, NOT ({D.RESP_ABSENT}) AS told,
+             NOT ({D.RESP_ABSENT}) AND {D.RESP_AGAIN} AS again FROM events),
+x AS (SELECT m AS model_name, CASE WHEN told THEN 'answered' ELSE 'missing' END AS match, told FROM a WHERE asked
+      UNION ALL SELECT m, 'repeated', true FROM a WHERE asked AND again
+      UNION ALL SELECT '', 'orphan', true FROM a WHERE NOT asked AND told
+      UNION ALL SELECT '', 'orphan', true FROM a WHERE NOT asked AND again)
+SELECT model_name, match, count(*) AS n, count(*) FILTER (told) AS n_answers FROM x GROUP BY ALL""",
         "response_rejects": "WITH " + _resp_ctes() + """
 SELECT request_id, pos, CAST(e AS VARCHAR) AS element, 'element_not_object' AS reason
 FROM el WHERE json_type(e) <> 'OBJECT'""",

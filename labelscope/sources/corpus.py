@@ -1,4 +1,10 @@
-"""Corpus file scans (binaryFile source)."""
+"""Corpus file scans and layouts (binaryFile source, text sink).
+
+A collection is a tree of files. Usually an item is a file and its label the
+folder it lies in. Spark names its output files itself, so items that Spark
+writes lie in a folder each, ``label=<label>/name=<file name>/``; with
+``layout="folder"`` the scans take such folders for the files.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelscope.functions.fixed_values import SOURCE_EXTENSIONS
-from labelscope.functions.text import basename, decode_source_bytes, parent_dir
+from labelscope.functions.text import basename, decode_source_bytes, ends_with_any, parent_dir
+from labelscope.sources.paths import exists
 
-_EMPTY = T.StructType([T.StructField("path", T.StringType()),
-                       T.StructField("filename", T.StringType()),
-                       T.StructField("gold_label", T.StringType()),
-                       T.StructField("length", T.LongType())])
+_FILES = "path string, filename string, gold_label string, length long"
 
 
 def _glob(extensions: Sequence[str]) -> str:
@@ -22,43 +25,53 @@ def _glob(extensions: Sequence[str]) -> str:
     return "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    """Whether the root exists (file-system metadata only)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(root)
-        return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-    except Exception:  # noqa: BLE001 - no JVM access (Spark Connect): probe with a listing
-        try:
-            spark.read.format("binaryFile").load(root).select("path").limit(1).collect()
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+def _scan(spark: SparkSession, root: str, extensions: Sequence[str], layout: str) -> DataFrame:
+    """path (of the item), filename, gold_label and binaryFile's columns."""
+    if layout not in ("file", "folder"):
+        raise ValueError(f"unknown layout {layout}")
+    # Unreadable files lose their content, not the job.
+    read = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True))
+    if layout == "file":
+        df = read.option("pathGlobFilter", _glob(extensions)).load(root).withColumn("item", F.col("path"))
+    else:
+        df = read.option("pathGlobFilter", "part-*").load(root) \
+            .withColumn("item", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    value = lambda c: F.regexp_replace(c, r"^[^=/]*=", "") if layout == "folder" else c
+    df = df.select(F.col("item").alias("path"), value(basename("item")).alias("filename"),
+                   value(parent_dir("item")).alias("gold_label"), "length", "content")
+    return df if layout == "file" else df.where(ends_with_any("filename", extensions))
 
 
 def scan_files(spark: SparkSession, root: str,
-               extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
+               extensions: Sequence[str] = SOURCE_EXTENSIONS, layout: str = "file") -> DataFrame:
     """Recursive listing of files with a kept extension (case-sensitive):
     path, filename, gold_label (parent folder), length. File bytes are not
-    read (the scan is pruned to metadata). A missing root gives no rows."""
-    if not _exists(spark, root):
-        return spark.createDataFrame([], _EMPTY)
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-          .option("pathGlobFilter", _glob(extensions)).load(root))
-    return df.select(F.col("path"), basename("path").alias("filename"),
-                     parent_dir("path").alias("gold_label"), F.col("length"))
+    read (the scan is pruned to metadata). A missing root gives no rows; one
+    that can't be looked at is an error."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], _FILES)
+    return _scan(spark, root, extensions, layout).drop("content")
 
 
 def read_items(spark: SparkSession, root: str,
-               extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
+               extensions: Sequence[str] = SOURCE_EXTENSIONS, layout: str = "file") -> DataFrame:
     """Items with decoded text: path, filename, gold_label, content. A file
-    that cannot be read is skipped (``ignoreCorruptFiles``)."""
-    if not _exists(spark, root):
-        return spark.createDataFrame([], "path string, filename string, gold_label string, "
-                                         "content string")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-          .option("pathGlobFilter", _glob(extensions))
-          .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root))
-    return df.select("path", basename("path").alias("filename"),
-                     parent_dir("path").alias("gold_label"),
-                     decode_source_bytes("content").alias("content"))
+    that is listed but cannot be read keeps its row, with NULL content, so
+    that it is counted (``run_metadata`` with ``items``) and can be reported.
+
+    The listing reads no bytes; the texts are joined to it by path (a hash of
+    64 bits is not enough to tell files apart)."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, filename string, gold_label string, content string")
+    texts = _scan(spark, root, extensions, layout).select("path", decode_source_bytes("content").alias("content"))
+    return scan_files(spark, root, extensions, layout).drop("length").join(texts, "path", "left")
+
+
+def write_items(items: DataFrame, root: str, name_col: str = "filename", label_cols: Sequence[str] = ("gold_label",),
+                content_col: str = "content", mode: str = "overwrite") -> str:
+    """Write each item as a text file in a folder of its own below its label's
+    (``layout="folder"``). The writer ends each text with a new line."""
+    (items.select(*label_cols, F.col(name_col).alias("name"), F.col(content_col).alias("value"))
+        .write.mode(mode).partitionBy(*label_cols, "name").text(root))
+    return root

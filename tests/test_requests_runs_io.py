@@ -81,7 +81,7 @@ def test_runs(spark):
     md = RU.run_metadata(det, "src").collect()[0]
     assert (md["files_processed"], md["total_results"], md["dpd_files"], md["pmart_files"]) == \
         (3, 4, 1, 1)
-    assert md["models_used"] == "m2,m1"
+    assert md["models_used"] == ["m2", "m1"]
     rs = RU.run_summary(det).collect()[0]
     assert (rs["rows_loaded"], rs["file_model_groups"], rs["unique_files"]) == (4, 4, 3)
     assert RU.split_by_origin(det).count() == 3
