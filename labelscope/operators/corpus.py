@@ -217,22 +217,22 @@ def index_collection(index: DataFrame, files: DataFrame, label_map: Mapping[str,
         "gold_label", F.concat(F.lit(f"{origin}-"), "name").alias("filename"), F.lit(origin).alias("origin"), "path")
 
 
-def tree_collection(files: DataFrame, root: str = "", n: int = SAMPLES_PER_LABEL, seed: int = SEED,
+def tree_collection(files: DataFrame, n: int = SAMPLES_PER_LABEL, seed: int = SEED,
                     origin: str = "PMART", keywords: Sequence[tuple[str, Sequence[str]]] | DataFrame = LABEL_KEYWORDS,
                     existing: DataFrame | None = None) -> DataFrame:
-    """Items of a collection without an index: the label is the first whose
-    keyword is in the file's stem, the name is composed of origin, project and
-    stem; of equal names the first of the pseudo-random order stays, at most
-    ``n`` for each label. ``existing`` (gold_label, filename) is left out.
-    Columns ``CORPUS_COLUMNS``."""
-    found = files.select("path", stem("filename").alias("stem"))
+    """Items of a collection without an index (``files``: path, below,
+    filename): the label is the first whose keyword is in the file's stem, the
+    name is composed of origin, project (a folder below the root) and stem; of
+    equal names the first of the pseudo-random order stays, at most ``n`` for
+    each label. ``existing`` (gold_label, filename) is left out. The order goes
+    by the path below the root, so it is the same wherever the collection
+    lies. Columns ``CORPUS_COLUMNS``."""
+    found = files.select("path", "below", stem("filename").alias("stem"))
     found = (keyword_labels_join(found, keywords) if isinstance(keywords, DataFrame)
              else keyword_labels(found, keywords=keywords))
-    named = project_names(found, root=root, origin=origin).select(
-        F.col("label").alias("gold_label"), F.col("item_name").alias("filename"), "path")
-    # The order goes by the path below the root: the same wherever the collection lies.
-    below = F.substring("path", len(root.rstrip("/")) + 1, 1 << 30) if root else F.col("path")
-    kept = dedup_keep_first(named.withColumn("__key", below), "gold_label", "filename", "__key", n, seed, existing)
+    named = project_names(found, path_col="below", origin=origin).select(
+        F.col("label").alias("gold_label"), F.col("item_name").alias("filename"), "path", "below")
+    kept = dedup_keep_first(named, "gold_label", "filename", "below", n, seed, existing)
     return kept.select("gold_label", "filename", F.lit(origin).alias("origin"), "path")
 
 
@@ -240,7 +240,7 @@ def build_corpus(parts: Sequence[DataFrame], contents: Sequence[DataFrame], out:
                  label_col: str = "gold_label") -> DataFrame:
     """One call from collections to a corpus: the union of ``parts``
     (``index_collection``, ``tree_collection``) with the texts of ``contents``
-    (``sources.corpus.read_items`` of each collection), written with a folder
+    (``sources.corpus.read_texts`` of each collection), written with a folder
     for each label. ``clear`` removes what an earlier build left; without it
     only the labels of this build are replaced. Returns the corpus as written:
     the label, filename, origin, path, content (NULL if unreadable)."""

@@ -28,7 +28,7 @@ from labelscope.plans import derived as D
 from labelscope.session import scratch_path
 from labelscope.sources import csv_io
 from labelscope.sources.bucketed import write_bucketed
-from labelscope.sources.corpus import scan_files
+from labelscope.sources.corpus import read_items, read_texts, scan_files, write_items
 from labelscope.sources.tables import load_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,8 +136,40 @@ def q_baseline_compare(spark, sf_dir):
 
 # -- corpus ------------------------------------------------------------------
 
+def _collections(spark, sf_dir):
+    """Both collections of source files, laid out as a folder for each file."""
+    first, second = D.source_items(spark, sf_dir)
+    roots = scratch_path(spark, "collection1"), scratch_path(spark, "collection2")
+    return write_items(first, roots[0]), write_items(second, roots[1], label_cols=("project", "gold_label"))
+
+
 def q_corpus_scan(spark, sf_dir):
-    return scan_files(spark, sf_dir, extensions=(".parquet",))
+    """Listing of the second collection's files."""
+    _, root = _collections(spark, sf_dir)
+    return scan_files(spark, root, layout="folder").select("filename", "gold_label", "length")
+
+
+def q_corpus_read(spark, sf_dir):
+    """The first collection's files with their decoded texts."""
+    root, _ = _collections(spark, sf_dir)
+    return read_items(spark, root, layout="folder").select(
+        "filename", "gold_label", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+def q_corpus_build(spark, sf_dir):
+    """From both collections to one written corpus, read back. An earlier,
+    larger build lies there before."""
+    roots = _collections(spark, sf_dir)
+    path = f"{scratch_path(spark, 'index')}/index.csv"
+    csv_io.write_csv(D.source_index(spark, sf_dir), path)
+    index = csv_io.read_csv(spark, path, "raw_label string, Project string, Class string", na_tokens=None)
+    listed = [scan_files(spark, r, (".java",), layout="folder") for r in roots]
+    texts = [read_texts(spark, r, (".java",), layout="folder") for r in roots]
+    out = scratch_path(spark, "corpus")
+    for n in (D.CORPUS_SAMPLES + 5, D.CORPUS_SAMPLES):
+        parts = [C.index_collection(index, listed[0], n=n), C.tree_collection(listed[1], n=n)]
+        corpus = C.build_corpus(parts, texts, out)
+    return corpus.select("gold_label", "filename", "origin", F.md5("content").alias("content_md5"))
 
 
 def q_path_label(spark, sf_dir):
@@ -465,6 +497,8 @@ def q_report_lines(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "corpus_scan": q_corpus_scan,
+    "corpus_read": q_corpus_read,
+    "corpus_build": q_corpus_build,
     "path_label": q_path_label,
     "text_decode": q_text_decode,
     "label_map_join": q_label_map_join,

@@ -272,6 +272,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Two collections of source files: documents of even ids with an index, of odd
 # ids as a tree of projects. Some indexed files are not there.
 SOURCE_NAME = "'proj' || CAST(doc_id % 17 AS STRING) || '-C' || CAST(doc_id AS STRING) || '.java'"
+CORPUS_SAMPLES = 20
 SOURCE_LABEL = ("CASE doc_id % 14 WHEN 0 THEN 'Factory' WHEN 2 THEN 'Singleton' WHEN 4 THEN 'Observer' "
                 "WHEN 6 THEN 'Decorator' WHEN 8 THEN 'None' WHEN 10 THEN 'NA' ELSE 'Bridge' END")
 INDEXED = "doc_id % 2 = 0"

@@ -250,7 +250,7 @@ FROM (VALUES {pub}) AS t(model_name, p, r, f)""")
 
 from labelscope.functions.fixed_values import (  # noqa: E402
     CSV_NA_TOKENS, DEFAULT_PROJECT, JOINED_PROMPT_SEPARATOR, LABEL_KEYWORDS, PROJECT_PREFIXES,
-    SOURCE_EXTENSIONS,
+    RAW_LABEL_MAP, SOURCE_EXTENSIONS,
 )
 from labelscope.functions.jsonx import BRACE_RE, FENCE_RE  # noqa: E402
 from labelscope.operators.requests import split_models  # noqa: E402
@@ -375,6 +375,32 @@ kept AS (SELECT f.* FROM firsts f WHERE NOT EXISTS (
 SELECT p_type, p_name, p_partkey, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY {porder}) AS sample_rank FROM kept)
 WHERE sample_rank <= 10"""
+    tree = f"""
+tree AS (SELECT {D.TREE_PROJECT} AS project, 'd' || CAST(doc_id AS VARCHAR) AS folder, {D.TREE_NAME} AS filename, text || chr(10) AS t
+         FROM documents WHERE {D.IN_TREE})"""
+    out["corpus_scan"] = f"WITH {tree}" + """
+SELECT filename, folder AS gold_label, CAST(strlen(t) AS BIGINT) AS length FROM tree WHERE ends_with(filename, '.java')"""
+    text = lambda t: f"regexp_replace(replace({t}, chr(65533), ''), '\\r\\n?', chr(10), 'g')"
+    out["corpus_read"] = f"""
+SELECT {D.SOURCE_NAME} AS filename, 'src' AS gold_label, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS content_md5
+FROM (SELECT doc_id, {text("text || chr(10)")} AS t FROM documents WHERE {D.LISTED})"""
+    n = D.CORPUS_SAMPLES
+    of_label = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in RAW_LABEL_MAP.items())
+    seeded = lambda key: f"md5('42-' || {key}), {key}"
+    out["corpus_build"] = f"WITH {tree}" + f""",
+idx AS (SELECT doc_id, {D.SOURCE_NAME} AS name, CASE {D.SOURCE_LABEL} {of_label} END AS label, text || chr(10) AS t,
+          {D.LISTED} AS listed FROM documents WHERE {D.INDEXED}),
+one AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {seeded('name')}) AS k FROM idx WHERE label IS NOT NULL),
+stems AS (SELECT '/' || project || '/' || folder || '/' || filename AS below, project, t,
+            regexp_extract(filename, '^(.+)\\.java$', 1) AS stem FROM tree WHERE ends_with(filename, '.java')),
+named AS (SELECT *, {kw_case} AS label, 'PMART-' || CASE WHEN {' OR '.join(f"starts_with(project, {q(x)})" for x in PROJECT_PREFIXES)}
+            THEN string_split(project, ' ')[1] ELSE {q(DEFAULT_PROJECT)} END || '-' || stem || '.java' AS name FROM stems),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label, name ORDER BY {seeded('below')}) AS r
+           FROM named WHERE label IS NOT NULL) WHERE r = 1),
+two AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {seeded('below')}) AS k FROM firsts)
+SELECT label AS gold_label, 'DPD-' || name AS filename, 'DPD' AS origin, md5({text('t')}) AS content_md5
+FROM one WHERE k <= {n} AND listed
+UNION ALL SELECT label, name, 'PMART', md5({text('t')}) FROM two WHERE k <= {n}"""
     out["corpus_summary"] = f"""
 WITH s AS (SELECT doc_id, lang AS gold_label, {D.DOC_ORIGIN} AS origin FROM documents)
 SELECT coalesce(gold_label, 'TOTAL') AS gold_label,

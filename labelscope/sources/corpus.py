@@ -8,16 +8,17 @@ writes lie in a folder each, ``label=<label>/name=<file name>/``; with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import SOURCE_EXTENSIONS
 from labelscope.functions.text import basename, decode_source_bytes, ends_with_any, parent_dir
 from labelscope.sources.paths import exists
 
-_FILES = "path string, filename string, gold_label string, length long"
+_FILES = "path string, below string, filename string, gold_label string, length long"
 
 
 def _glob(extensions: Sequence[str]) -> str:
@@ -25,28 +26,37 @@ def _glob(extensions: Sequence[str]) -> str:
     return "*." + (exts[0] if len(exts) == 1 else "{" + ",".join(exts) + "}")
 
 
+def _below(path: Column, root: str) -> Column:
+    """The part of a path below the root, with its leading '/'."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/")
+    return F.substring(path, F.instr(path, plain) + len(plain), F.lit(1 << 30))
+
+
 def _scan(spark: SparkSession, root: str, extensions: Sequence[str], layout: str) -> DataFrame:
-    """path (of the item), filename, gold_label and binaryFile's columns."""
+    """path (of the item), below, filename, gold_label and binaryFile's columns."""
     if layout not in ("file", "folder"):
         raise ValueError(f"unknown layout {layout}")
     # Unreadable files lose their content, not the job.
     read = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
             .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True))
     if layout == "file":
-        df = read.option("pathGlobFilter", _glob(extensions)).load(root).withColumn("item", F.col("path"))
+        df = read.option("pathGlobFilter", _glob(extensions)).load(root)
+        below = _below(F.col("path"), root)
     else:
-        df = read.option("pathGlobFilter", "part-*").load(root) \
-            .withColumn("item", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    value = lambda c: F.regexp_replace(c, r"^[^=/]*=", "") if layout == "folder" else c
-    df = df.select(F.col("item").alias("path"), value(basename("item")).alias("filename"),
-                   value(parent_dir("item")).alias("gold_label"), "length", "content")
+        df = read.option("pathGlobFilter", "part-*").load(root).withColumn("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+        # Folders are named key=value, the value with %XX for some characters.
+        values = F.regexp_replace(_below(F.col("path"), root), r"/[^=/]*=", "/")
+        below = F.url_decode(F.replace(values, F.lit("+"), F.lit("%2B")))
+    df = df.withColumn("below", below).select(
+        "path", "below", basename("below").alias("filename"), parent_dir("below").alias("gold_label"), "length", "content")
     return df if layout == "file" else df.where(ends_with_any("filename", extensions))
 
 
 def scan_files(spark: SparkSession, root: str,
                extensions: Sequence[str] = SOURCE_EXTENSIONS, layout: str = "file") -> DataFrame:
     """Recursive listing of files with a kept extension (case-sensitive):
-    path, filename, gold_label (parent folder), length. File bytes are not
+    path, below (the path below the root), filename, gold_label (parent
+    folder), length. File bytes are not
     read (the scan is pruned to metadata). A missing root gives no rows; one
     that can't be looked at is an error."""
     if not exists(spark, root):
@@ -56,16 +66,24 @@ def scan_files(spark: SparkSession, root: str,
 
 def read_items(spark: SparkSession, root: str,
                extensions: Sequence[str] = SOURCE_EXTENSIONS, layout: str = "file") -> DataFrame:
-    """Items with decoded text: path, filename, gold_label, content. A file
+    """Items with decoded text: path, below, filename, gold_label, content. A file
     that is listed but cannot be read keeps its row, with NULL content, so
     that it is counted (``run_metadata`` with ``items``) and can be reported.
+    The listing reads no bytes; the texts are joined to it by path."""
+    if not exists(spark, root):
+        return spark.createDataFrame([], "path string, below string, filename string, gold_label string, content string")
+    return scan_files(spark, root, extensions, layout).drop("length").join(
+        read_texts(spark, root, extensions, layout), "path", "left")
 
-    The listing reads no bytes; the texts are joined to it by path (a hash of
-    64 bits is not enough to tell files apart)."""
+
+def read_texts(spark: SparkSession, root: str,
+               extensions: Sequence[str] = SOURCE_EXTENSIONS, layout: str = "file") -> DataFrame:
+    """path and decoded content of the files that can be read, in one scan.
+    Files longer than a binary value may be are not opened."""
     if not exists(spark, root):
-        return spark.createDataFrame([], "path string, filename string, gold_label string, content string")
-    texts = _scan(spark, root, extensions, layout).select("path", decode_source_bytes("content").alias("content"))
-    return scan_files(spark, root, extensions, layout).drop("length").join(texts, "path", "left")
+        return spark.createDataFrame([], "path string, content string")
+    most = spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))
+    return _scan(spark, root, extensions, layout).where(F.col("length") <= int(most)).select("path", decode_source_bytes("content").alias("content"))
 
 
 def write_items(items: DataFrame, root: str, name_col: str = "filename", label_cols: Sequence[str] = ("gold_label",),
