@@ -121,6 +121,11 @@ CSV_NA_TOKENS = (
 PY_WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 PY_WHITESPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in PY_WHITESPACE_CHARS) + "]"
 
+# Decimals of the report's numbers: scores, means, extremes, seconds a call,
+# total seconds, percentages.
+SCORE_DIGITS, MEAN_DIGITS, EXTREME_DIGITS = 3, 1, 0
+CALL_DIGITS, TOTAL_DIGITS, PERCENT_DIGITS = 2, 1, 1
+
 # Report texts, in the order they are printed.
 REPORT_RULE = "=" * 70
 REPORT_TITLE = "ANALYSIS: "
@@ -129,7 +134,7 @@ REPORT_IGNORED_HEAD = "[!] OUT-OF-SCOPE PATTERNS DETECTED (ignored in metrics):"
 REPORT_IGNORED_LINE = "   - %s: %dx"
 REPORT_TABLE_HEAD = ("Pattern", "TP", "FP", "FN", "Prec", "Recall", "F1")
 REPORT_TABLE_HEAD_FORMAT = "%-20s %-6s %-6s %-6s %-8s %-8s %-8s"
-REPORT_TABLE_ROW_FORMAT = "%-20s %-6d %-6d %-6d %-8.3f %-8.3f %-8.3f"
+REPORT_TABLE_ROW_FORMAT = "%-20s %-6d %-6d %-6d %-8s %-8s %-8s"
 REPORT_TABLE_RULE = "-" * 70
 REPORT_OVERALL = "OVERALL"
 REPORT_MISSED_HEAD = "[X] MISSED DETECTIONS (sample of 5):"
@@ -138,14 +143,14 @@ REPORT_FP_HEAD = "[!] FALSE POSITIVES (sample of 5):"
 REPORT_FP_LINE = "   - %s: expected '%s', wrongly detected '%s'"
 REPORT_QUALITY_HEAD = "QUALITATIVE ANALYSIS"
 REPORT_SECTION_RULE = "-" * 40
-REPORT_CONFIDENCE = "  Avg Confidence: %.1f (min: %.0f, max: %.0f)"
-REPORT_ADHERENCE = "  Avg Adherence:  %.1f (min: %.0f, max: %.0f)"
-REPORT_RESPONSE_TIME = "  Avg Response Time: %.2fs (total: %.1fs)"
+REPORT_CONFIDENCE = "  Avg Confidence: %s (min: %s, max: %s)"
+REPORT_ADHERENCE = "  Avg Adherence:  %s (min: %s, max: %s)"
+REPORT_RESPONSE_TIME = "  Avg Response Time: %ss (total: %ss)"
 REPORT_SOURCE_HEAD = "BREAKDOWN BY SOURCE"
-REPORT_SOURCE_LINE = "   %-8s: %d/%d correct (%.1f%%)"
+REPORT_SOURCE_LINE = "   %-8s: %d/%d correct (%s%%)"
 REPORT_COMPARISON_HEAD = "MODEL COMPARISON"
 REPORT_COMPARISON_COLUMNS = ("Model", "Precision", "Recall", "F1-Score")
 REPORT_COMPARISON_HEAD_FORMAT = "%-25s %-12s %-12s %-12s"
-REPORT_COMPARISON_ROW_FORMAT = "%-25s %-12.3f %-12.3f %-12.3f"
-REPORT_BEST = "[1st] Best Model: %s (F1 = %.3f)"
+REPORT_COMPARISON_ROW_FORMAT = "%-25s %-12s %-12s %-12s"
+REPORT_BEST = "[1st] Best Model: %s (F1 = %s)"
 REPORT_PUBLISHED_HEAD = "PUBLISHED RESULTS"

@@ -1,10 +1,10 @@
 """A whole scoring run: detection rows -> every result table.
 
-The one shuffle over detection rows (the verdicts) is written once as a
-table in the output folder and read back, which cuts the lineage: every
-result table is computed from that table (score statistics included), and a
-lost executor never forces the detection rows to be re-shuffled. Only the
-out-of-scope histogram reads detection rows again (a pruned columnar scan).
+Detection rows are read once, into a row for each item and out-of-scope
+spelling (``verdicts.item_labels``), written in the output folder and read
+back, and so are the verdicts. That cuts the lineage: every result table is
+computed from these two, and a lost executor never forces the detection rows
+to be re-shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from labelscope.functions.fixed_values import DEFAULT_TARGETS, ORIGINS
 from labelscope.operators import metrics as M
 from labelscope.operators import report as R
-from labelscope.operators.verdicts import SynonymsArg, file_verdicts, normalize_detections
+from labelscope.operators.verdicts import SynonymsArg, item_labels, verdicts_of
 
 
 def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARGETS,
@@ -36,8 +36,10 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
     all_targets = list(targets)
     if scopes:
         all_targets = sorted({t for ts in scopes.values() for t in ts} | set(targets))
-    v = file_verdicts(det, synonyms, all_targets, origins=origins, with_scores=True)
-    v.write.mode("overwrite").parquet(f"{out_dir}/verdicts")
+    labels = item_labels(det, synonyms, all_targets, with_scores=True, scored=targets if scopes else None)
+    labels.write.mode("overwrite").parquet(f"{out_dir}/item_labels")
+    labels = spark.read.parquet(f"{out_dir}/item_labels")
+    verdicts_of(labels, all_targets, origins=origins).write.mode("overwrite").parquet(f"{out_dir}/verdicts")
     v = spark.read.parquet(f"{out_dir}/verdicts")
     if scopes:
         v = v.withColumn("gold_label", F.when(F.col("gold_label").isin(*targets),
@@ -47,9 +49,10 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
               .withColumn("in_scope", F.col("gold_label").isNotNull())
               .withColumn("correct", F.coalesce(F.array_contains("detected", F.col("gold_label")),
                                                 F.lit(False))))
-    normed = normalize_detections(det, synonyms, targets)
     micro = M.micro_scores(v, targets)
-    hist = M.ignored_histogram(normed, v)
+    hist = M.ignored_histogram(labels, all_targets, scored=targets if scopes else None)
+    hist.write.mode("overwrite").parquet(f"{out_dir}/histogram")
+    hist = spark.read.parquet(f"{out_dir}/histogram")
     tables = {
         "label_scores": M.label_scores(v, targets),
         "micro_scores": micro.drop("first_row"),
@@ -69,8 +72,8 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
         out[name] = spark.read.parquet(f"{out_dir}/{name}")
-    summary = R.summary_table(det, normed, v, targets)
-    R.write_summary_json(summary, f"{out_dir}/summary_json")
+    summary = R.summary_table(v, hist, targets)
+    R.write_summary_json(summary, f"{out_dir}/summary_json", hist)
     out["summary"] = spark.read.schema(summary.drop("first_row").schema).json(
         f"{out_dir}/summary_json")
     out["verdicts"] = spark.read.parquet(f"{out_dir}/verdicts")

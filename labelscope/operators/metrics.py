@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from labelscope.functions.fixed_values import (
     DEFAULT_TARGETS, EVIDENCE_SAMPLE, PUBLISHED_SCORES, TOP_IGNORED,
 )
-from labelscope.functions.labels import is_ignored_label
 from labelscope.functions.numeric import strict_number
 from labelscope.functions.scores import with_prf
+from labelscope.operators.verdicts import gold_of_first
 
 
 def _target_array(targets: Sequence[str]):
@@ -124,25 +124,25 @@ def micro_scores(verdicts: DataFrame, targets: Sequence[str] | DataFrame = DEFAU
         F.col("total_fp").alias("fp_count"), "first_row")
 
 
-def ignored_histogram(normed: DataFrame, verdicts: DataFrame,
-                      key_cols: Sequence[str] = ("filename",)) -> DataFrame:
-    """Out-of-scope detections per model, counted per row, raw spelling.
+def ignored_histogram(labels: DataFrame, targets: Sequence[str] | DataFrame = DEFAULT_TARGETS,
+                      key_cols: Sequence[str] = ("filename",), scored: Sequence[str] | None = None) -> DataFrame:
+    """Out-of-scope detections per model, counted per row, raw spelling, from
+    ``verdicts.item_labels`` (built with the same targets).
 
-    Only rows of items whose gold label is a target count. Rows are first
-    reduced to (model, item, raw) counts, then joined to the in-scope items
-    (an equi-join on the item key; AQE splits a skewed key).
-    """
+    Only rows of items whose gold label is a target count: an item's gold is
+    that of its first row over all its spellings, a window over rows that are
+    already reduced to one for each spelling; no join and no second look at
+    the detections."""
     keys = ["model_name", *key_cols]
-    per_item = (normed
-                .where(is_ignored_label("detected_pattern", "norm_label"))
-                .groupBy(*keys, F.col("detected_pattern").alias("raw_label"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first_row")))
-    kept = verdicts.where("in_scope").select(*keys)
-    return (per_item.join(kept, keys, "left_semi")
-            .groupBy("model_name", "raw_label")
-            .agg(F.sum("n").alias("n"),
+    first = F.min("__first").over(Window.partitionBy(*keys))
+    found = labels.select(*keys, "ignored_label", "n_rows", "label_first_row", first.alias("__item_first"))
+    gold = gold_of_first(targets if isinstance(targets, DataFrame) else list(targets), F.col("__item_first"))
+    in_scope = gold.isNotNull() if scored is None else gold.isin(*scored)
+    return (found.where(in_scope & F.col("ignored_label").isNotNull())
+            .groupBy("model_name", F.col("ignored_label").alias("raw_label"))
+            .agg(F.sum("n_rows").alias("n"),
                  F.min(F.struct(F.col(key_cols[0]).alias("item"),
-                                F.col("first_row").alias("row"))).alias("first_seen")))
+                                F.col("label_first_row").alias("row"))).alias("first_seen")))
 
 
 def top_ignored(hist: DataFrame, k: int | None = TOP_IGNORED) -> DataFrame:

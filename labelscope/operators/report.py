@@ -9,25 +9,23 @@ from pyspark.sql import functions as F
 
 from labelscope.functions import fixed_values as FV
 from labelscope.functions.fixed_values import DEFAULT_TARGETS
+from labelscope.functions.numeric import fixed
 from labelscope.functions.scores import with_prf
 from labelscope.operators import metrics as M
 
 
-def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
-                  targets: Sequence[str] = DEFAULT_TARGETS) -> DataFrame:
+def summary_table(verdicts: DataFrame, hist: DataFrame, targets: Sequence[str] = DEFAULT_TARGETS) -> DataFrame:
     """One row per model with the nested summary: model, precision, recall,
-    f1, total_tp/fp/fn, pattern_scores (target order), ignored_detections
-    (raw label -> rows), breakdown_by_source (origin -> correct/total/
-    accuracy), debug_info.
+    f1, total_tp/fp/fn, pattern_scores (target order), ignored_detections (the
+    most frequent raw labels -> rows), breakdown_by_source (origin ->
+    correct/total/accuracy), debug_info.
 
     Label, origin and micro figures come from one grouping-sets aggregation
-    over the verdicts; only the out-of-scope histogram reads detection rows.
-    The summary holds all of a model's out-of-scope spellings, the most frequent
-    first, with ``ignored_distinct`` and ``ignored_rows`` totals; as rows the
-    histogram is its own table (``metrics.ignored_histogram``).
-    ``det`` is accepted for symmetry with the other report inputs.
+    over the verdicts. ``hist`` is ``metrics.ignored_histogram``: of a model's
+    spellings, however many, only the top ones meet in its row, with the totals
+    ``ignored_distinct`` and ``ignored_rows``; ``summary_ignored`` has them all
+    as rows of a table beside it.
     """
-    del det
     rows = M.label_rows(verdicts, targets, ["origin", "correct"]).withColumn(
         "correct_one", F.when((F.col("file_one") == 1) & F.col("correct"), 1).otherwise(0))
     g = (rows.groupingSets([["model_name", "label"], ["model_name", "origin"],
@@ -62,10 +60,9 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
     per_model = per_model.withColumn("pattern_scores", F.transform(
         F.array(*[F.lit(t) for t in targets]),
         lambda t: F.struct(t.alias("pattern"), *[found(t)[c].alias(c) for c in score])))
-    full = M.ignored_histogram(normed, verdicts)
-    totals = full.groupBy("model_name").agg(F.count(F.lit(1)).alias("ignored_distinct"),
-                                             F.sum("n").alias("ignored_rows"))
-    top = (M.top_ignored(full, None)
+    totals = hist.groupBy("model_name").agg(F.count(F.lit(1)).alias("ignored_distinct"),
+                                            F.sum("n").alias("ignored_rows"))
+    top = (M.top_ignored(hist)
            .groupBy("model_name")
            .agg(F.map_from_entries(F.transform(
                F.array_sort(F.collect_list(F.struct("rank", "raw_label", "n"))),
@@ -86,15 +83,48 @@ def summary_table(det: DataFrame, normed: DataFrame, verdicts: DataFrame,
         "first_row")
 
 
+def summary_ignored(hist: DataFrame) -> DataFrame:
+    """All out-of-scope spellings of all models as rows: model, raw_label, n,
+    share (of the model's out-of-scope rows)."""
+    total = hist.groupBy("model_name").agg(F.sum("n").alias("__all"))
+    return hist.join(total, "model_name").select(
+        F.col("model_name").alias("model"), "raw_label", "n", (F.col("n") / F.col("__all")).alias("share"))
+
+
+def summary_rows(summary: DataFrame) -> DataFrame:
+    """The nested summary as flat rows: model, section (overall, pattern,
+    source), name, and the figures that the section has."""
+    null = lambda kind: F.lit(None).cast(kind)
+    counts, scores = ("tp", "fp", "fn"), ("precision", "recall", "f1")
+
+    def row(section, name, n, of, correct, total, accuracy):
+        return F.struct(F.lit(section).alias("section"), name.alias("name"),
+                        *[(n(c) if n else null("long")).alias(c) for c in counts],
+                        *[(of(c) if of else null("double")).alias(c) for c in scores],
+                        correct.alias("correct"), total.alias("total"), accuracy.alias("accuracy"))
+
+    overall = row("overall", null("string"), lambda c: F.col(f"total_{c}"), F.col, F.col("debug_info.correct_count"),
+                  F.col("debug_info.files_processed"), null("double"))
+    patterns = F.transform("pattern_scores", lambda x: row("pattern", x["pattern"], lambda c: x[c], lambda c: x[c],
+                                                           null("long"), null("long"), null("double")))
+    sources = F.transform(F.map_entries("breakdown_by_source"), lambda x: row(
+        "source", x["key"], None, None, x["value"]["correct"], x["value"]["total"], x["value"]["accuracy"]))
+    return summary.select("model", F.explode(F.concat(F.array(overall), patterns, sources)).alias("r")) \
+        .select("model", "r.*")
+
+
 def summary_json(summary: DataFrame) -> DataFrame:
     """(model, summary_json) with one JSON object per model."""
     cols = [c for c in summary.columns if c != "first_row"]
     return summary.select("model", F.to_json(F.struct(*cols)).alias("summary_json"))
 
 
-def write_summary_json(summary: DataFrame, path: str) -> str:
-    """JSON lines, one nested summary per model (non-ASCII kept)."""
+def write_summary_json(summary: DataFrame, path: str, hist: DataFrame | None = None) -> str:
+    """JSON lines, one nested summary per model (non-ASCII kept); ``hist``
+    goes beside it, to ``<path>_ignored``, a line for each spelling."""
     summary.drop("first_row").write.mode("overwrite").json(path)
+    if hist is not None:
+        summary_ignored(hist).write.mode("overwrite").json(f"{path}_ignored")
     return path
 
 
@@ -105,7 +135,16 @@ def _lines(df: DataFrame, section: int, lines) -> DataFrame:
 
 
 def _fmt_table_row(name, tp, fp, fn, p, r, f1):
-    return F.format_string(FV.REPORT_TABLE_ROW_FORMAT, name, tp, fp, fn, p, r, f1)
+    return F.format_string(FV.REPORT_TABLE_ROW_FORMAT, name, tp, fp, fn, *[fixed(x, FV.SCORE_DIGITS) for x in (p, r, f1)])
+
+
+def _scores(x):
+    return [fixed(x[c], FV.SCORE_DIGITS) for c in ("precision", "recall", "f1")]
+
+
+def _spread(name):
+    return [fixed(f"{name}_mean", FV.MEAN_DIGITS), fixed(f"{name}_min", FV.EXTREME_DIGITS),
+            fixed(f"{name}_max", FV.EXTREME_DIGITS)]
 
 
 def report_lines(summary: DataFrame, stats: DataFrame | None = None,
@@ -115,8 +154,8 @@ def report_lines(summary: DataFrame, stats: DataFrame | None = None,
 
     Sections: header, out-of-scope top list, label table with the overall
     row, missed and false-positive samples, qualitative statistics, and the
-    breakdown by origin. Optional inputs add their sections. Numbers use
-    Java's formatter (half-up rounding); keep them out of compared columns.
+    breakdown by origin. Optional inputs add their sections. Numbers are
+    rounded as Python prints them (``functions.numeric.fixed``).
     """
     head = F.format_string(FV.REPORT_TABLE_HEAD_FORMAT, *[F.lit(x) for x in FV.REPORT_TABLE_HEAD])
     rule70, rule40 = F.lit(FV.REPORT_RULE), F.lit(FV.REPORT_SECTION_RULE)
@@ -162,20 +201,18 @@ def report_lines(summary: DataFrame, stats: DataFrame | None = None,
             q = q.join(stats.withColumnRenamed("model_name", "model"), "model", "left")
             lines += [
                 F.when(F.col("confidence_n") > 0, F.format_string(
-                    FV.REPORT_CONFIDENCE, "confidence_mean",
-                    "confidence_min", "confidence_max")),
+                    FV.REPORT_CONFIDENCE, *_spread("confidence"))),
                 F.when(F.col("adherence_n") > 0, F.format_string(
-                    FV.REPORT_ADHERENCE, "adherence_mean",
-                    "adherence_min", "adherence_max"))]
+                    FV.REPORT_ADHERENCE, *_spread("adherence")))]
         if durations is not None:
             q = q.join(durations.withColumnRenamed("model_name", "model"), "model", "left")
             lines.append(F.when(F.col("n_rows") > 0, F.format_string(
-                FV.REPORT_RESPONSE_TIME, "duration_mean_by_row",
-                "duration_total_by_row")))
+                FV.REPORT_RESPONSE_TIME, fixed("duration_mean_by_row", FV.CALL_DIGITS),
+                fixed("duration_total_by_row", FV.TOTAL_DIGITS))))
         parts.append(_lines(q, 5, F.filter(F.array(*lines), lambda x: x.isNotNull())))
     src = F.transform(F.map_entries("breakdown_by_source"), lambda e: F.format_string(
         FV.REPORT_SOURCE_LINE, e["key"], e["value"]["correct"], e["value"]["total"],
-        e["value"]["accuracy"] * 100))
+        fixed(e["value"]["accuracy"] * 100, FV.PERCENT_DIGITS)))
     parts.append(_lines(summary, 6, F.concat(F.array(F.lit(FV.REPORT_SOURCE_HEAD), rule40), src)))
     out = parts[0]
     for p in parts[1:]:
@@ -194,18 +231,17 @@ def comparison_lines(micro: DataFrame, published: DataFrame | None = None) -> Da
     rows = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("k"), F.col("first_row"),
                                              "model_name", "precision", "recall", "f1"))),
-        lambda x: F.format_string(row, x["model_name"], x["precision"], x["recall"], x["f1"]))
+        lambda x: F.format_string(row, x["model_name"], *_scores(x)))
     best = F.max_by(F.struct("model_name", "f1"), F.struct(F.col("f1"), -F.col("first_row")))
     board = micro.agg(F.concat(
         F.array(F.lit(FV.REPORT_COMPARISON_HEAD), head, trule), rows,
-        F.array(F.format_string(FV.REPORT_BEST, best["model_name"], best["f1"]))).alias("l"))
+        F.array(F.format_string(FV.REPORT_BEST, best["model_name"], fixed(best["f1"], FV.SCORE_DIGITS)))).alias("l"))
     pub = published if published is not None else M.published_scores(micro.sparkSession)
     pub_lines = pub.agg(F.concat(
         F.array(F.lit(FV.REPORT_PUBLISHED_HEAD), head, trule),
         F.transform(F.array_sort(F.collect_list(F.struct("model_name", "precision", "recall",
                                                          "f1"))),
-                    lambda x: F.format_string(row, x["model_name"], x["precision"],
-                                              x["recall"], x["f1"]))).alias("l"))
+                    lambda x: F.format_string(row, x["model_name"], *_scores(x)))).alias("l"))
     return (board.select(F.lit(0).alias("section"), F.posexplode("l").alias("line_no", "line"))
             .unionByName(pub_lines.select(F.lit(1).alias("section"),
                                           F.posexplode("l").alias("line_no", "line"))))

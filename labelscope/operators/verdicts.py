@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.functions.fixed_values import DEFAULT_TARGETS, ORIGINS
-from labelscope.functions.labels import MAX_INLINE_SYNONYMS, clean_label, origin_of, synonym_lookup
+from labelscope.functions.labels import (
+    MAX_INLINE_SYNONYMS, clean_label, is_ignored_label, origin_of, synonym_lookup,
+)
 
 DETECTION_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()),
@@ -40,8 +42,8 @@ def _score_aggs():
     out = []
     for prefix, col in (("conf", "confidence"), ("adh", "adherence")):
         x = strict_number(col)
-        out += [F.sum(x).alias(f"{prefix}_sum"), F.count(x).alias(f"{prefix}_n"),
-                F.min(x).alias(f"{prefix}_min"), F.max(x).alias(f"{prefix}_max")]
+        out += [(f"{prefix}_sum", F.sum(x)), (f"{prefix}_n", F.count(x)),
+                (f"{prefix}_min", F.min(x)), (f"{prefix}_max", F.max(x))]
     return out
 
 
@@ -115,6 +117,79 @@ def _labels_of(word, first: int, targets: Sequence[str]):
             .otherwise(F.transform(bits, lambda i: F.get(here, i))))
 
 
+def _measures(targets: TargetsArg, with_scores: bool) -> list:
+    """(name, aggregate over detection rows, aggregate of partial results)."""
+    d = _duration()
+    out = [("n_rows", F.count(F.lit(1)), F.sum), ("call_duration", F.max(d), F.max), ("dur_sum", F.sum(d), F.sum),
+           ("dur_n", F.count(d), F.sum)]
+    if with_scores:
+        merge = {"sum": F.sum, "n": F.sum, "min": F.min, "max": F.max}
+        out += [(name, agg, merge[name.split("_")[1]]) for name, agg in _score_aggs()]
+    if isinstance(targets, DataFrame):
+        out += [("__first", F.min(F.struct("row_no", "__gold_norm")), F.min),
+                ("__found", F.collect_set("norm_label"), lambda c: F.array_distinct(F.flatten(F.collect_list(c))))]
+        return out
+    bits, tarr = _gold_bits(targets), F.array(*[F.lit(t) for t in targets])
+    gold_code = F.coalesce(F.array_position(tarr, F.col("__gold_norm")), F.lit(0))
+    one, bit = F.lit(1).cast("long"), F.array_position(tarr, F.col("norm_label")).cast("int") - 1
+    out.append(("__first", F.min(F.col("row_no").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)")
+                                 + gold_code.cast("decimal(10,0)")), F.min))
+    for f in range(0, len(targets), WORD):
+        word = F.when((F.col("__bit") >= f) & (F.col("__bit") < f + WORD),
+                      F.call_function("shiftleft", one, F.col("__bit") - f)).otherwise(F.lit(0).cast("long"))
+        out.append((f"__w{f}", F.bit_or(word), F.bit_or))
+    return [("__bit", bit, None), *out]
+
+
+def _gold_bits(targets: Sequence[str]) -> int:
+    return max(1, len(targets).bit_length())
+
+
+def _normed(det: DataFrame, synonyms: SynonymsArg, targets: TargetsArg, key_cols: Sequence[str],
+            exclude_errors: bool) -> DataFrame:
+    det = drop_error_rows(det) if exclude_errors else det
+    return normalize_column(normalize_detections(det, synonyms, targets), "ground_truth_label", "__gold_norm",
+                            synonyms, targets).dropna(subset=list(key_cols))
+
+
+def _origin_source(columns: Sequence[str], key_cols: Sequence[str]) -> str:
+    """The origin prefix is read from the file name even when items are keyed
+    by something longer (e.g. the full path)."""
+    return "filename" if "filename" in columns else key_cols[0]
+
+
+def _aggregated(normed: DataFrame, keys: Sequence[str], targets: TargetsArg, with_scores: bool, extra: Sequence = ()):
+    measures = _measures(targets, with_scores)
+    for name, expr, merge in measures:
+        if merge is None:                                     # a column that the aggregates share
+            normed = normed.withColumn(name, expr)
+    return normed.groupBy(*keys).agg(*extra, *[agg.alias(name) for name, agg, merge in measures if merge is not None])
+
+
+def gold_of_first(targets: TargetsArg, first=None):
+    """The gold label that the packed first row holds."""
+    first = F.col("__first") if first is None else first
+    if isinstance(targets, DataFrame):
+        return first["__gold_norm"]
+    code = (first % F.lit(1 << _gold_bits(targets))).cast("int")
+    return F.when(code > 0, F.get(F.array(*[F.lit(t) for t in targets]), code - 1))
+
+
+def _finished(agg: DataFrame, targets: TargetsArg, origin_src: str, origins: Sequence[str]) -> DataFrame:
+    if isinstance(targets, DataFrame):
+        detected, first_row, gone = F.array_sort("__found"), F.col("__first.row_no"), ["__found"]
+    else:
+        firsts = range(0, len(targets), WORD)
+        found = [_labels_of(F.col(f"__w{f}"), f, targets) for f in firsts] or [F.array().cast("array<string>")]
+        detected, gone = F.array_sort(F.concat(*found)), [f"__w{f}" for f in firsts]
+        first_row = F.expr(f"__first div {1 << _gold_bits(targets)}")
+    return (agg.withColumn("gold_label", gold_of_first(targets)).withColumn("detected", detected)
+               .withColumn("first_row", first_row).withColumn("origin", origin_of(origin_src, origins))
+               .withColumn("in_scope", F.col("gold_label").isNotNull())
+               .withColumn("correct", F.coalesce(F.array_contains("detected", F.col("gold_label")), F.lit(False)))
+               .drop("__first", "__origin_src", *gone))
+
+
 def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
                   targets: TargetsArg = DEFAULT_TARGETS,
                   key_cols: Sequence[str] = ("filename",),
@@ -146,53 +221,50 @@ def file_verdicts(det: DataFrame, synonyms: SynonymsArg = None,
     extremes of the numeric confidence and adherence (``conf_*``, ``adh_*``),
     so score statistics can be computed from the verdicts alone.
     """
-    if exclude_errors:
-        det = drop_error_rows(det)
     keys = ["model_name", *key_cols]
-    # The origin prefix is read from the file name even when items are keyed
-    # by something longer (e.g. the full path).
-    origin_src = "filename" if "filename" in det.columns else key_cols[0]
-    extra = [F.min(origin_src).alias("__origin_src")] if origin_src not in keys else []
+    src = _origin_source(det.columns, key_cols)
+    extra = [F.min(src).alias("__origin_src")] if src not in keys else []
     if keep_gold_raw:
         extra.append(F.min_by("ground_truth_label", "row_no").alias("gold_raw"))
-    normed = normalize_column(normalize_detections(det, synonyms, targets),
-                              "ground_truth_label", "__gold_norm", synonyms, targets)
-    normed = normed.dropna(subset=list(key_cols))
-    common = [F.count(F.lit(1)).alias("n_rows"),
-              F.max(_duration()).alias("call_duration"),
-              F.sum(_duration()).alias("dur_sum"),
-              F.count(_duration()).alias("dur_n"),
-              *(_score_aggs() if with_scores else [])]
-    if isinstance(targets, DataFrame):
-        out = normed.groupBy(*keys).agg(
-            *extra, F.min_by("__gold_norm", "row_no").alias("gold_label"), F.min("row_no").alias("first_row"),
-            F.array_sort(F.collect_set("norm_label")).alias("detected"), *common)
-    else:
-        targets = list(targets)
-        bits = max(1, len(targets).bit_length())
-        tarr = F.array(*[F.lit(t) for t in targets])
-        gold_code = F.coalesce(F.array_position(tarr, F.col("__gold_norm")), F.lit(0))
-        normed = normed.withColumn("__bit", F.array_position(tarr, F.col("norm_label")).cast("int") - 1)
-        firsts = range(0, len(targets), WORD)
-        one, bit = F.lit(1).cast("long"), F.col("__bit")
-        agg = normed.groupBy(*keys).agg(
-            *extra,
-            *[F.bit_or(F.when((bit >= f) & (bit < f + WORD), F.call_function("shiftleft", one, bit - f))
-                       .otherwise(F.lit(0).cast("long"))).alias(f"__w{f}") for f in firsts],
-            F.min(F.col("row_no").cast("decimal(20,0)") * F.lit(1 << bits).cast("decimal(10,0)")
-                  + gold_code.cast("decimal(10,0)")).alias("__first"), *common)
-        code = (F.col("__first") % F.lit(1 << bits)).cast("int")
-        found = [_labels_of(F.col(f"__w{f}"), f, targets) for f in firsts] or [F.array().cast("array<string>")]
-        out = (agg.withColumn("gold_label", F.when(code > 0, F.get(tarr, code - 1)))
-                  .withColumn("detected", F.array_sort(F.concat(*found)))
-                  .withColumn("first_row", F.expr(f"__first div {1 << bits}"))
-                  .drop("__first", *[f"__w{f}" for f in firsts]))
-    return (out.withColumn("origin", origin_of(origin_src if origin_src in keys
-                                               else "__origin_src", origins))
-               .withColumn("in_scope", F.col("gold_label").isNotNull())
-               .withColumn("correct", F.coalesce(
-                   F.array_contains("detected", F.col("gold_label")), F.lit(False)))
-               .drop("__origin_src"))
+    targets = targets if isinstance(targets, DataFrame) else list(targets)
+    agg = _aggregated(_normed(det, synonyms, targets, key_cols, exclude_errors), keys, targets, with_scores, extra)
+    return _finished(agg, targets, src if src in keys else "__origin_src", origins)
+
+
+def item_labels(det: DataFrame, synonyms: SynonymsArg = None, targets: TargetsArg = DEFAULT_TARGETS,
+                key_cols: Sequence[str] = ("filename",), exclude_errors: bool = False,
+                with_scores: bool = False, scored: Sequence[str] | None = None) -> DataFrame:
+    """One pass over the detections that both the verdicts and the
+    out-of-scope histogram come from: a row for each (model_name, item) and
+    out-of-scope spelling (``ignored_label``; NULL for all other rows) with
+    partial results. It is as small as the distinct spellings of the items;
+    write it once, then use ``verdicts_of`` and ``metrics.ignored_histogram``.
+
+    ``scored`` limits the labels in scope for the histogram when ``targets``
+    are more (several scopes)."""
+    keys = ["model_name", *key_cols]
+    src = _origin_source(det.columns, key_cols)
+    targets = targets if isinstance(targets, DataFrame) else list(targets)
+    normed = _normed(det, synonyms, targets, key_cols, exclude_errors)
+    in_scope = F.col("norm_label") if scored is None else F.when(F.col("norm_label").isin(*scored), F.col("norm_label"))
+    normed = normed.withColumn("ignored_label", F.when(is_ignored_label("detected_pattern", in_scope),
+                                                       F.col("detected_pattern")))
+    extra = [F.min("row_no").alias("label_first_row")]
+    extra += [F.min(src).alias("__origin_src")] if src not in keys else []
+    return _aggregated(normed, [*keys, "ignored_label"], targets, with_scores, extra)
+
+
+def verdicts_of(labels: DataFrame, targets: TargetsArg = DEFAULT_TARGETS, key_cols: Sequence[str] = ("filename",),
+                origins: Sequence[str] = ORIGINS) -> DataFrame:
+    """``file_verdicts`` from ``item_labels`` of the same targets."""
+    keys = ["model_name", *key_cols]
+    with_scores = "conf_sum" in labels.columns
+    targets = targets if isinstance(targets, DataFrame) else list(targets)
+    src = "__origin_src" if "__origin_src" in labels.columns else _origin_source(labels.columns, key_cols)
+    extra = [F.min("__origin_src").alias("__origin_src")] if src == "__origin_src" else []
+    agg = labels.groupBy(*keys).agg(*extra, *[merge(name).alias(name) for name, _, merge in
+                                              _measures(targets, with_scores) if merge is not None])
+    return _finished(agg, targets, src, origins)
 
 
 def unkeyed_rows(det: DataFrame, key_cols: Sequence[str] = ("filename",)) -> DataFrame:

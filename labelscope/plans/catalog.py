@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelscope.functions.numeric import fixed
 from labelscope.functions.text import decode_source_bytes
 from labelscope.operators import corpus as C
 from labelscope.operators import metrics as M
@@ -23,9 +24,9 @@ from labelscope.operators.responses import (
     compact_answers, detection_rows, explode_detections, extract_responses, match_answers, matched_rows,
     rejected_answers,
 )
-from labelscope.operators.verdicts import file_verdicts, normalize_detections
+from labelscope.operators.verdicts import file_verdicts, item_labels, normalize_detections, verdicts_of
 from labelscope.plans import derived as D
-from labelscope.session import scratch_path
+from labelscope.session import scratch_path, stored
 from labelscope.sources import csv_io
 from labelscope.sources.bucketed import write_bucketed
 from labelscope.sources.corpus import read_items, read_texts, scan_files, write_items
@@ -68,11 +69,14 @@ def q_prf_micro(spark, sf_dir):
     return M.micro_scores(v, D.DET_TARGETS).drop("first_row")
 
 
+def _labels(det, with_scores=False):
+    """The one pass over the detections, written: everything else reads it."""
+    return stored(item_labels(det, D.DET_SYNONYMS, D.DET_TARGETS, with_scores=with_scores), "item_labels")
+
+
 def _hist(spark, sf_dir):
-    det = D.detections(spark, sf_dir)
-    normed = normalize_detections(det, D.DET_SYNONYMS, D.DET_TARGETS)
-    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS)
-    return M.ignored_histogram(normed, v)
+    # One use only: nothing to write.
+    return M.ignored_histogram(item_labels(D.detections(spark, sf_dir), D.DET_SYNONYMS, D.DET_TARGETS), D.DET_TARGETS)
 
 
 def q_ignored_hist(spark, sf_dir):
@@ -471,25 +475,47 @@ def q_latest_run(spark, sf_dir):
 # -- summaries ---------------------------------------------------------------
 
 def _summary(spark, sf_dir):
-    det = D.detections(spark, sf_dir)
-    normed = normalize_detections(det, D.DET_SYNONYMS, D.DET_TARGETS)
-    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS)
-    return R.summary_table(det, normed, v, D.DET_TARGETS)
+    labels = _labels(D.detections(spark, sf_dir))
+    return R.summary_table(verdicts_of(labels, D.DET_TARGETS), M.ignored_histogram(labels, D.DET_TARGETS), D.DET_TARGETS)
 
 
 def q_summary_json(spark, sf_dir):
     return R.summary_json(_summary(spark, sf_dir))
 
 
+def q_summary_rows(spark, sf_dir):
+    """The summary written as JSON lines, read back and laid out as rows."""
+    summary = _summary(spark, sf_dir)
+    path = R.write_summary_json(summary, scratch_path(spark, "summary"))
+    return R.summary_rows(spark.read.schema(summary.drop("first_row").schema).json(path))
+
+
+def q_summary_ignored(spark, sf_dir):
+    """Out-of-scope spellings of models that have very many."""
+    labels = item_labels(D.many_spellings(spark, sf_dir), D.DET_SYNONYMS, D.DET_TARGETS)
+    return R.summary_ignored(M.ignored_histogram(labels, D.DET_TARGETS))
+
+
+def q_report_numbers(spark, sf_dir):
+    """Numbers as the report prints them, of an integer and a decimal column."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    lines = load_table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.col("l_extendedprice").alias("price"))
+    texts = [fixed(F.col("n"), 0).alias("whole"), fixed(F.col("n") / 8, 2).alias("eighths"),
+             fixed(F.col("n") / 1000.0, 1).alias("seconds"), fixed((F.col("n") % 101) / 101, 3).alias("score")]
+    counted = docs.select("doc_id", *texts, F.lit(None).cast("string").alias("price"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("whole", "eighths", "seconds", "score")]
+    return counted.unionByName(lines.select("doc_id", *none, fixed("price", 1).alias("price")))
+
+
 def q_report_lines(spark, sf_dir):
-    det = D.detections(spark, sf_dir)
-    normed = normalize_detections(det, D.DET_SYNONYMS, D.DET_TARGETS)
-    v = file_verdicts(det, D.DET_SYNONYMS, D.DET_TARGETS, with_scores=True)
-    summary = R.summary_table(det, normed, v, D.DET_TARGETS)
-    lines = R.report_lines(summary, stats=M.score_stats_from_verdicts(v),
+    labels = _labels(D.detections(spark, sf_dir), with_scores=True)
+    v = stored(verdicts_of(labels, D.DET_TARGETS), "verdicts")
+    hist = stored(M.ignored_histogram(labels, D.DET_TARGETS), "histogram")
+    lines = R.report_lines(R.summary_table(v, hist, D.DET_TARGETS), stats=M.score_stats_from_verdicts(v),
                            durations=M.duration_stats(v),
                            missed=M.missed_sample(v), fps=M.fp_sample(v),
-                           top_ignored=M.top_ignored(M.ignored_histogram(normed, v)))
+                           top_ignored=M.top_ignored(hist))
     board = R.comparison_lines(M.micro_scores(v, D.DET_TARGETS)).select(
         F.lit("*").alias("model"), (F.col("section") + 10).alias("section"), "line_no", "line")
     return lines.unionByName(board)
@@ -533,6 +559,9 @@ QUERIES: dict[str, Query] = {
     "run_write": q_run_write,
     "latest_committed": q_latest_committed,
     "summary_json": q_summary_json,
+    "summary_rows": q_summary_rows,
+    "summary_ignored": q_summary_ignored,
+    "report_numbers": q_report_numbers,
     "report_lines": q_report_lines,
     "normalize_label": q_normalize_label,
     "file_verdict": q_file_verdict,

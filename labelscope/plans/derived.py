@@ -302,3 +302,11 @@ def source_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
                                         F.concat(F.lit("d"), "doc_id").alias("gold_label"),
                                         F.expr(TREE_NAME).alias("filename"), "content")
     return first, second
+
+
+# Out-of-scope rows (language 3 of LANGS) in 150 further spellings.
+SPELLED = "CASE WHEN row_no % 8 = 3 THEN detected_pattern || '-' || CAST({} % 150 AS STRING) ELSE detected_pattern END"
+
+
+def many_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).withColumn("detected_pattern", F.expr(SPELLED.format("(row_no div 16)")))

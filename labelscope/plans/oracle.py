@@ -227,6 +227,23 @@ SELECT scope, model_name, level, label, tp, fp, fn, {sql_prf('tp', 'fp', 'fn')}
     out["leaderboard"] = scoring_sql("""
 SELECT CAST(row_number() OVER (ORDER BY f1 DESC, first_row) AS INTEGER) AS rank,
        model_name, precision, recall, f1 FROM micro_s""")
+    nul = lambda *c: ", ".join(f"NULL AS {x}" for x in c)
+    out["summary_rows"] = scoring_sql(f"""
+SELECT model_name AS model, 'overall' AS section, CAST(NULL AS VARCHAR) AS name, total_tp AS tp, total_fp AS fp,
+       total_fn AS fn, precision, recall, f1, total_tp AS correct, files_processed::BIGINT AS total,
+       CAST(NULL AS DOUBLE) AS accuracy FROM micro_s
+UNION ALL SELECT model_name, 'pattern', label, tp, fp, fn, {sql_prf('tp', 'fp', 'fn')}, {nul('a', 'b', 'c')} FROM counts
+UNION ALL SELECT model_name, 'source', origin, {nul('a', 'b', 'c', 'd', 'e', 'f')}, count(*) FILTER (correct), count(*),
+       count(*) FILTER (correct) / count(*) FROM verdict_x WHERE origin IS NOT NULL GROUP BY model_name, origin""")
+    spelled = "det AS (SELECT * REPLACE (" + D.SPELLED.format("(row_no // 16)") + " AS detected_pattern) FROM det_all)"
+    out["summary_ignored"] = "WITH " + _scoring_ctes(_det_cte().replace(
+        "\ndet AS (", "\ndet_all AS (") + ", " + spelled) + "," + hist + """
+SELECT model_name AS model, raw_label, n, n / sum(n) OVER (PARTITION BY model_name) AS share FROM hist"""
+    out["report_numbers"] = """
+SELECT doc_id, printf('%.0f', n_chars::DOUBLE) AS whole, printf('%.2f', n_chars / 8::DOUBLE) AS eighths,
+       printf('%.1f', n_chars / 1000::DOUBLE) AS seconds, printf('%.3f', (n_chars % 101) / 101::DOUBLE) AS score, NULL AS price
+FROM documents
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, NULL, NULL, NULL, NULL, printf('%.1f', l_extendedprice::DOUBLE) FROM lineitem"""
     out["csv_leaderboard"] = scoring_sql("""
 , places AS (SELECT model_name, min(place) AS first_row FROM (
     SELECT model_name, row_number() OVER (ORDER BY row_no) AS place FROM (

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a large cluster run should carry (AQE re-plans joins and
 # partition counts from runtime sizes; skew join splits hot keys).
@@ -76,3 +76,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the scratch folder and read back: what follows reads a table,
+    and the lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscope.operators import metrics as M
-from labelscope.operators.verdicts import DETECTION_SCHEMA, file_verdicts, normalize_detections
+from labelscope.operators.verdicts import DETECTION_SCHEMA, file_verdicts, item_labels, verdicts_of
 
 ROWS = [
     (1, "DPD-a.java", "singleton", "m1", "Singleton", "90", "80", 2.0),
@@ -71,11 +71,12 @@ def test_confusion_counts(verdicts):
 
 
 def test_ignored(det, verdicts):
-    normed = normalize_detections(det)
-    h = by_key(M.ignored_histogram(normed, verdicts), "model_name", "raw_label")
+    labels = item_labels(det)
+    h = by_key(M.ignored_histogram(labels), "model_name", "raw_label")
+    assert sorted(map(str, verdicts_of(labels).select(verdicts.columns).collect())) == sorted(map(str, verdicts.collect()))
     assert {k: v["n"] for k, v in h.items()} == {
         ("m1", "Strategy"): 1, ("m1", "strategy"): 1, ("m2", "Observer Design Pattern"): 1}
-    top = M.top_ignored(M.ignored_histogram(normed, verdicts)).where("model_name = 'm1'")
+    top = M.top_ignored(M.ignored_histogram(labels)).where("model_name = 'm1'")
     assert [r["raw_label"] for r in top.orderBy("rank").collect()] == ["Strategy", "strategy"]
 
 
@@ -137,8 +138,8 @@ def test_scopes(verdicts):
 
 def test_summary_and_report(det, verdicts):
     from labelscope.operators.report import report_lines, summary_json, summary_table
-    normed = normalize_detections(det)
-    summ = summary_table(det, normed, verdicts)
+    hist = M.ignored_histogram(item_labels(det))
+    summ = summary_table(verdicts, hist)
     row = summ.where("model = 'm1'").collect()[0]
     assert [p["pattern"] for p in row["pattern_scores"]] == ["singleton", "factory", "observer"]
     assert row["breakdown_by_source"]["DPD"]["correct"] == 2
@@ -148,7 +149,7 @@ def test_summary_and_report(det, verdicts):
     lines = [r["line"] for r in report_lines(
         summ, stats=M.score_stats(det), durations=M.duration_stats(verdicts),
         missed=M.missed_sample(verdicts), fps=M.fp_sample(verdicts),
-        top_ignored=M.top_ignored(M.ignored_histogram(normed, verdicts)))
+        top_ignored=M.top_ignored(hist))
         .where("model = 'm1'").orderBy("section", "line_no").collect()]
     assert lines[1] == "ANALYSIS: M1"
     assert any(l.startswith("OVERALL") for l in lines)
