@@ -22,9 +22,6 @@ from labelscope.functions.text import (
     basename, bind, ends_with_any, extension, parent_dir, py_split_first, stem,
 )
 
-MAX_INLINE_KEYWORDS = 1024
-
-
 def sample_order(key: Column | str, seed: int | str = SEED) -> Column:
     """Pseudo-random but fixed order key for ``key``."""
     k = F.col(key) if isinstance(key, str) else key
@@ -49,11 +46,8 @@ def path_labels(paths: DataFrame, path_col: str = "path",
 def keyword_label_expr(stem_col: Column | str,
                        keywords: Sequence[tuple[str, Sequence[str]]] = LABEL_KEYWORDS) -> Column:
     """First label (in the given order) whose keyword occurs in the
-    lower-cased stem; NULL when none does."""
-    n = sum(len(k) for _, k in keywords)
-    if n > MAX_INLINE_KEYWORDS:
-        raise ValueError(f"{n} keywords: use keyword_labels_join for large keyword tables")
-
+    lower-cased stem; NULL when none does. The keywords are part of the
+    expression; ``keyword_labels_join`` is for tables of any size."""
     def first_label(s):
         out = None
         for label, kws in keywords:
@@ -74,33 +68,41 @@ def keyword_labels(paths: DataFrame, stem_col: str = "stem",
                  .where(F.col("label").isNotNull()))
 
 
+def _grams(text: Column, length: int) -> Column:
+    """Distinct substrings of a length."""
+    at = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - length + 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(length))))
+
+
 def keyword_labels_join(paths: DataFrame, keywords: DataFrame, stem_col: str = "stem",
                         key_col: str = "path") -> DataFrame:
     """``keyword_labels`` for a keyword table (label, keyword, priority) of
-    any size, as an equi-join.
+    any size, by equi-joins; the best priority wins, then the first label.
 
-    Substring containment is turned into equality: every stem emits its
-    substrings of each keyword length present in the table (file stems are
-    short), which are joined to the keywords on the text; the best priority
-    per item wins (partial aggregation). No nested-loop or cartesian join.
-    """
+    Each keyword is listed under the one of its three-character pieces that is
+    rarest among the stems (under itself, if it is shorter). The distinct stems
+    meet, by their pieces, only keywords listed under one of them, which are
+    then looked for in the stem. ``key_col`` is not needed any more."""
+    del key_col
     kw = keywords.select(F.col("label").alias("__label"), F.lower("keyword").alias("__kw"),
-                         F.col("priority").alias("__prio"))
-    # The distinct keyword lengths are few (bounded by the longest keyword).
-    lengths = sorted(r[0] for r in kw.select(F.length("__kw")).distinct().collect() if r[0])
-    if not lengths:
-        return paths.withColumn("label", F.lit(None).cast("string")).limit(0)
-    s = F.lower(F.col(stem_col))
-
-    def grams_of(length: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - length + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(s, i, length))
-
-    subs = F.flatten(F.array(*[grams_of(L) for L in lengths]))
-    grams = paths.select(key_col, F.explode(F.array_distinct(subs)).alias("__kw"))
-    best = (grams.join(kw, "__kw")
-            .groupBy(key_col).agg(F.min_by("__label", "__prio").alias("label")))
-    return paths.join(best, key_col)
+                         F.col("priority").alias("__prio")).where("__kw <> ''").distinct()
+    stems = paths.select(F.lower(F.col(stem_col)).alias("__stem")).distinct()
+    pieces = stems.select("__stem", F.explode(_grams(F.col("__stem"), 3)).alias("__piece"))
+    seen = pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    # A piece that no stem has rules its keyword out: the inner join drops it,
+    # and the keyword is listed under another, where it is not found.
+    listed = (kw.where(F.length("__kw") >= 3)
+              .select("__label", "__kw", "__prio", F.explode(_grams(F.col("__kw"), 3)).alias("__piece"))
+              .join(seen, "__piece")
+              .groupBy("__label", "__kw", "__prio").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece")))
+    found = pieces.join(listed, "__piece").where(F.col("__stem").contains(F.col("__kw")))
+    short = stems.select("__stem", F.explode(F.concat(_grams(F.col("__stem"), 1), _grams(F.col("__stem"), 2))).alias("__kw")) \
+        .join(kw.where(F.length("__kw") < 3), "__kw")
+    cols = ["__stem", "__label", "__prio"]
+    best = found.select(*cols).unionByName(short.select(*cols)).groupBy("__stem").agg(
+        F.min_by("__label", F.struct("__prio", "__label")).alias("label"))
+    return paths.join(best, F.lower(F.col(stem_col)) == F.col("__stem")).drop("__stem")
 
 
 def project_names(paths: DataFrame, path_col: str = "path", root: str = "",

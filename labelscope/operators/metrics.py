@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import (
@@ -64,12 +64,10 @@ def zero_filled(counts: DataFrame, targets: Sequence[str] | DataFrame, keys: Seq
     entry = F.struct(*COUNTS)
     by_key = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
         F.when(F.col("label").isNotNull(), F.struct("label", entry)))).alias("__found"))
-    if isinstance(targets, DataFrame):
-        # The whole list as one row, joined by a constant: as long as the table of targets.
-        one = targets.select("label").distinct().agg(F.collect_list("label").alias("__targets"), F.lit(1).alias("__k"))
-        by_key = by_key.withColumn("__k", F.lit(1)).join(one, "__k").drop("__k")
-    else:
-        by_key = by_key.withColumn("__targets", _target_array(targets))
+    # A table's list is a scalar subquery: a value of the plan, no join.
+    listed = (targets.agg(F.array_sort(F.collect_set("label"))).scalar() if isinstance(targets, DataFrame)
+              else _target_array(targets))
+    by_key = by_key.withColumn("__targets", listed)
     zero = F.lit(0).cast("long")
     return by_key.select(*keys, "__found", F.explode("__targets").alias("label")) \
         .withColumn("__c", F.try_element_at("__found", F.col("label"))) \
@@ -247,32 +245,35 @@ def scores_by_scope(verdicts: DataFrame,
     per (scope, model, label) plus one micro row per (scope, model) with
     ``label`` NULL and ``level`` = 'micro'.
     """
+    scoped = isinstance(targets_by_scope, (DataFrame, Mapping))
     if isinstance(targets_by_scope, DataFrame):
-        targets_by_scope = targets_table(targets_by_scope, all_scope)
-    if isinstance(targets_by_scope, Mapping):
-        scoped = dict(targets_by_scope)
-        default = scoped.get(all_scope)
+        of_scope = scope_targets(targets_by_scope, all_scope)
+
+        def tset(scope):
+            return F.coalesce(F.try_element_at("__scopes", scope), F.try_element_at("__scopes", F.lit(all_scope)))
     else:
-        scoped, default = {}, list(targets_by_scope)
-    union = sorted({t for ts in scoped.values() for t in ts} | set(default or []))
-    of_scope = {name: list(ts) for name, ts in scoped.items()}
+        of_scope = {s: list(ts) for s, ts in targets_by_scope.items()} if scoped else {}
+        default = of_scope.get(all_scope) if scoped else list(targets_by_scope)
+        union = sorted({t for ts in of_scope.values() for t in ts} | set(default or []))
 
-    def tset(scope):
-        out = None
-        for name, ts in of_scope.items():
-            out = F.when(scope == name, _target_array(ts)) if out is None else out.when(scope == name, _target_array(ts))
-        rest = _target_array(default or union)
-        return rest if out is None else out.otherwise(rest)
+        def tset(scope):
+            out = None
+            for name, ts in of_scope.items():
+                out = F.when(scope == name, _target_array(ts)) if out is None else out.when(scope == name, _target_array(ts))
+            rest = _target_array(default or union)
+            return rest if out is None else out.otherwise(rest)
 
     scope = F.explode(F.filter(F.array(F.lit(all_scope), F.col("origin")),
                                lambda s: s.isNotNull())).alias("scope")
     v = verdicts.select("model_name", "gold_label", "detected", "first_row", scope)
+    from_table = isinstance(targets_by_scope, DataFrame)
     if scoped:
+        v = v.withColumn("__scopes", of_scope) if from_table else v
         ts = tset(F.col("scope"))
         v = v.select("model_name", "scope", "first_row",
                      F.when(F.array_contains(ts, F.col("gold_label")), F.col("gold_label")).alias("gold_label"),
                      F.array_intersect("detected", ts).alias("detected"))
-    rows = label_rows(v, union if not scoped else None, ["scope"])
+    rows = label_rows(v, None if scoped else union, ["scope"])
     # Per-label and micro rows in one aggregation (grouping sets).
     keys = ["scope", "model_name"]
     both = (rows.groupingSets([[*keys, "label"], keys], *keys, "label")
@@ -282,6 +283,7 @@ def scores_by_scope(verdicts: DataFrame,
     one = both.groupBy(*keys).agg(
         F.max(F.when(F.col("__micro") == 1, entry)).alias("__all"),
         F.map_from_entries(F.collect_list(F.when(is_label, F.struct("label", entry)))).alias("__found"))
+    one = one.withColumn("__scopes", of_scope) if from_table else one
     zero = F.lit(0).cast("long")
     each = F.transform(tset(F.col("scope")), lambda t: F.struct(
         t.alias("label"), F.coalesce(F.try_element_at("__found", t),
@@ -294,6 +296,17 @@ def scores_by_scope(verdicts: DataFrame,
                                 "precision", "recall", "f1")
 
 
+def scope_targets(targets: DataFrame, all_scope: str = "ALL") -> Column:
+    """A targets table ``(label, scope)`` as a map scope -> sorted labels, a
+    scalar subquery; a NULL scope means every scope."""
+    common = targets.where("scope is null").agg(F.collect_set("label").alias("c")).scalar()
+    named = targets.where("scope is not null").select("label", "scope").unionByName(
+        targets.select(F.lit(None).cast("string").alias("label"), F.lit(all_scope).alias("scope")))
+    by_scope = named.groupBy("scope").agg(F.collect_set("label").alias("own")).withColumn("c", common)
+    entry = F.struct("scope", F.array_sort(F.array_union("own", "c")).alias("labels"))
+    return by_scope.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+
+
 def targets_table(targets: DataFrame, all_scope: str = "ALL") -> dict[str, list[str]]:
     """A targets table ``(label, scope)`` as scope -> labels; a NULL scope
     means every scope. It becomes part of the plan, so it is as small as a

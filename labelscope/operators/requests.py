@@ -1,101 +1,107 @@
 """Items x models -> request table for any offline detector.
 
-The models list is configuration (a handful of rows); it is validated on the
-driver, size-checked, and attached to every item as a literal array that is
-exploded in place, so the item table is never shuffled or joined.
+Models, providers and the instruction are configuration: Python values or
+tables. The accepted models become one array (a literal, or a scalar subquery
+over the tables) that is exploded on each item in place, so the item table is
+never shuffled or joined, and no configuration is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import (
     FIXED_TEMPERATURE, FIXED_TEMPERATURE_MODEL, JOINED_PROMPT_SEPARATOR, PROVIDERS,
 )
 
-MAX_MODELS = 10_000
-
 MODEL_FIELDS = ("name", "provider", "model_id", "api_key_env", "endpoint_url")
+_PROVIDER_FIELDS = "provider string, message_style string, temperature double, max_tokens int"
+
+ModelsArg = Sequence[Mapping] | DataFrame
+ProvidersArg = Mapping[str, tuple] | DataFrame
+
+
+def models_table(spark: SparkSession, models: ModelsArg) -> DataFrame:
+    """(name, provider, model_id, model_no) of a list or table of models;
+    ``model_no`` counts them in their order (a table's own ``model_no`` stays)."""
+    if not isinstance(models, DataFrame):
+        rows = [(i, *(None if m.get(f) is None else str(m[f]) for f in MODEL_FIELDS[:3])) for i, m in enumerate(models)]
+        models = spark.createDataFrame(rows, "model_no int, name string, provider string, model_id string")
+    missing = {"name", "provider"} - set(models.columns)
+    if missing:
+        raise ValueError(f"models table lacks {sorted(missing)}")
+    if "model_no" not in models.columns:
+        # As many rows as a configuration has.
+        models = models.withColumn("__at", F.monotonically_increasing_id()) \
+            .withColumn("model_no", F.row_number().over(Window.orderBy("__at")) - 1)
+    text = lambda c: (F.col(c).cast("string") if c in models.columns else F.lit(None).cast("string")).alias(c)
+    return models.select(text("name"), F.lower(F.coalesce(F.col("provider").cast("string"), F.lit(""))).alias("provider"),
+                         text("model_id"), F.col("model_no").cast("int").alias("model_no"))
+
+
+def providers_table(spark: SparkSession, providers: ProvidersArg = PROVIDERS) -> DataFrame:
+    """(provider, message_style, temperature, max_tokens), lower-case names."""
+    if not isinstance(providers, DataFrame):
+        providers = spark.createDataFrame([(k, *v) for k, v in providers.items()], _PROVIDER_FIELDS)
+    return providers.select(F.lower("provider").alias("provider"), "message_style",
+                            F.col("temperature").cast("double").alias("temperature"),
+                            F.col("max_tokens").cast("int").alias("max_tokens"))
+
+
+def accepted_models(spark: SparkSession, models: ModelsArg, providers: ProvidersArg = PROVIDERS) -> DataFrame:
+    """Models of a known provider, with the provider's request parameters.
 
+    A missing key does not reject a model: its calls just fail later with an
+    'Error:' response, as in the reference run."""
+    fixed = (F.col("provider") == "openai") & F.lower("model_id").contains(FIXED_TEMPERATURE_MODEL)
+    both = models_table(spark, models).join(providers_table(spark, providers), "provider")
+    return both.select("model_no", F.col("name").alias("model_name"), "provider", "model_id", "message_style",
+                       F.when(fixed, F.lit(FIXED_TEMPERATURE)).otherwise(F.col("temperature")).alias("temperature"),
+                       "max_tokens")
 
-def providers_table(providers: DataFrame) -> dict:
-    """A provider dimension ``(provider, message_style, temperature,
-    max_tokens)`` as the mapping used here (configuration-sized)."""
-    rows = providers.select("provider", "message_style", "temperature", "max_tokens") \
-        .limit(MAX_MODELS + 1).collect()
-    if len(rows) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} providers")
-    return {str(r["provider"]).lower(): (r["message_style"], r["temperature"], r["max_tokens"])
-            for r in rows}
 
+def rejected_models(spark: SparkSession, models: ModelsArg, providers: ProvidersArg = PROVIDERS) -> DataFrame:
+    """Reject table: models of an unknown provider."""
+    known = providers_table(spark, providers).select("provider")
+    return models_table(spark, models).join(known, "provider", "left_anti").select(
+        "name", "provider", "model_id", "model_no", F.lit("unknown_provider").alias("reason"))
 
-def _providers(providers) -> Mapping:
-    return providers_table(providers) if isinstance(providers, DataFrame) else providers
 
+def _check_known(models: ModelsArg, providers: ProvidersArg) -> None:
+    """A list without any model of a known provider is a mistake; tables give
+    no requests then."""
+    if not isinstance(models, DataFrame) and not isinstance(providers, DataFrame):
+        known = {k.lower() for k in providers}
+        if not any(str(m.get("provider") or "").lower() in known for m in models):
+            raise ValueError("no model with a known provider")
 
-def split_models(models: Sequence[Mapping], providers: Mapping = PROVIDERS):
-    """Models whose provider is known, and rejects (unknown provider).
 
-    A missing key does not reject a model: its calls just fail later with an
-    'Error:' response, as in the reference run.
-    """
-    if len(models) > MAX_MODELS:
-        raise ValueError(f"{len(models)} models exceed the inline limit {MAX_MODELS}")
-    providers = _providers(providers)
-    ok, bad = [], []
-    for i, m in enumerate(models):
-        prov = str(m.get("provider", "") or "").lower()
-        rec = {f: (None if m.get(f) is None else str(m.get(f))) for f in MODEL_FIELDS}
-        rec["provider"] = prov
-        rec["model_no"] = i
-        (ok if prov in providers else bad).append(rec)
-    return ok, bad
-
-
-def rejected_models(spark: SparkSession, models: Sequence[Mapping],
-                    providers: Mapping = PROVIDERS) -> DataFrame:
-    _, bad = split_models(models, providers)
-    schema = "name string, provider string, model_id string, model_no int, reason string"
-    return spark.createDataFrame(
-        [(b["name"], b["provider"], b["model_id"], b["model_no"], "unknown_provider")
-         for b in bad], schema)
-
-
-def _model_struct(m: Mapping, providers: Mapping) -> Column:
-    style, temp, max_tokens = providers[m["provider"]]
-    if m["provider"] == "openai" and FIXED_TEMPERATURE_MODEL in (m["model_id"] or "").lower():
-        temp = FIXED_TEMPERATURE
-    return F.struct(
-        F.lit(m["model_no"]).alias("model_no"), F.lit(m["name"]).alias("model_name"),
-        F.lit(m["provider"]).alias("provider"), F.lit(m["model_id"]).alias("model_id"),
-        F.lit(style).alias("message_style"),
-        F.lit(temp).cast("double").alias("temperature"),
-        F.lit(max_tokens).cast("int").alias("max_tokens"))
-
-
-def build_requests(items: DataFrame, models: Sequence[Mapping], instruction: str,
+def build_requests(items: DataFrame, models: ModelsArg, instruction: str | DataFrame,
                    content_col: str = "content",
                    keep: Sequence[str] = ("filename", "gold_label"),
                    key_col: str = "filename",
-                   providers: Mapping = PROVIDERS) -> DataFrame:
+                   providers: ProvidersArg = PROVIDERS) -> DataFrame:
     """One request per (item, accepted model).
 
     Columns: request_id, <keep>, model_no, model_name, provider, model_id,
     messages ARRAY<STRUCT<role, content>>, temperature, max_tokens.
     Chat providers get (system, user) messages; a joined-prompt provider gets
-    one user message with instruction + separator + content.
+    one user message with instruction + separator + content. ``instruction``
+    may be a table of one text (``sources.config.instruction_table``).
     """
-    providers = _providers(providers)
-    ok, _ = split_models(models, providers)
-    if not ok:
-        raise ValueError("no model with a known provider")
-    mods = F.array(*[_model_struct(m, providers) for m in ok])
-    x = items.select(*keep, F.col(content_col).alias("__content"),
-                     F.explode(mods).alias("m")).select(*keep, "__content", "m.*")
-    instr = F.lit(instruction)
+    spark = items.sparkSession
+    _check_known(models, providers)
+    config = accepted_models(spark, models, providers)
+    every = config.agg(F.array_sort(F.collect_list(F.struct(*config.columns)))).scalar()
+    instr = F.lit(instruction) if isinstance(instruction, str) else instruction.agg(F.max(instruction.columns[0])).scalar()
+    x = (items.select(*keep, F.col(content_col).alias("__content"))
+              .withColumns({"__models": every, "__instruction": instr})
+              .select(*keep, "__content", "__instruction", F.explode("__models").alias("m"))
+              .select(*keep, "__content", "__instruction", "m.*"))
+    instr = F.col("__instruction")
     chat = F.array(F.struct(F.lit("system").alias("role"), instr.alias("content")),
                    F.struct(F.lit("user").alias("role"), F.col("__content").alias("content")))
     joined = F.array(F.struct(F.lit("user").alias("role"),

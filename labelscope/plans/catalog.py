@@ -7,6 +7,7 @@ the feature itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from labelscope.plans import derived as D
 from labelscope.session import scratch_path, stored
 from labelscope.sources import csv_io
 from labelscope.sources.bucketed import write_bucketed
+from labelscope.sources.config import instruction_table, load_models
 from labelscope.sources.corpus import read_items, read_texts, scan_files, write_items
 from labelscope.sources.tables import load_table, spread
 
@@ -140,39 +142,37 @@ def q_baseline_compare(spark, sf_dir):
 
 # -- corpus ------------------------------------------------------------------
 
-def _collections(spark, sf_dir):
-    """Both collections of source files, laid out as a folder for each file."""
-    first, second = D.source_items(spark, sf_dir)
-    roots = scratch_path(spark, "collection1"), scratch_path(spark, "collection2")
-    return write_items(first, roots[0]), write_items(second, roots[1], label_cols=("project", "gold_label"))
+def _collection(spark, sf_dir, which):
+    """A collection of source files, laid out as a folder for each file."""
+    items = D.source_items(spark, sf_dir)[which]
+    folders = (("gold_label",), ("project", "gold_label"))[which]
+    return write_items(items, scratch_path(spark, f"collection{which + 1}"), label_cols=folders)
 
 
 def q_corpus_scan(spark, sf_dir):
     """Listing of the second collection's files."""
-    _, root = _collections(spark, sf_dir)
-    return scan_files(spark, root, layout="folder").select("filename", "gold_label", "length")
+    return scan_files(spark, _collection(spark, sf_dir, 1), layout="folder").select("filename", "gold_label", "length")
 
 
 def q_corpus_read(spark, sf_dir):
     """The first collection's files with their decoded texts."""
-    root, _ = _collections(spark, sf_dir)
-    return read_items(spark, root, layout="folder").select(
+    return read_items(spark, _collection(spark, sf_dir, 0), layout="folder").select(
         "filename", "gold_label", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 def q_corpus_build(spark, sf_dir):
     """From both collections to one written corpus, read back. An earlier,
     larger build lies there before."""
-    roots = _collections(spark, sf_dir)
+    roots = [_collection(spark, sf_dir, i) for i in range(2)]
     path = f"{scratch_path(spark, 'index')}/index.csv"
     csv_io.write_csv(D.source_index(spark, sf_dir), path)
     index = csv_io.read_csv(spark, path, "raw_label string, Project string, Class string", na_tokens=None)
     listed = [scan_files(spark, r, (".java",), layout="folder") for r in roots]
     texts = [read_texts(spark, r, (".java",), layout="folder") for r in roots]
     out = scratch_path(spark, "corpus")
-    for n in (D.CORPUS_SAMPLES + 5, D.CORPUS_SAMPLES):
-        parts = [C.index_collection(index, listed[0], n=n), C.tree_collection(listed[1], n=n)]
-        corpus = C.build_corpus(parts, texts, out)
+    C.build_corpus([C.index_collection(index, listed[0], n=D.CORPUS_SAMPLES + 5)], texts[:1], out)
+    n = D.CORPUS_SAMPLES
+    corpus = C.build_corpus([C.index_collection(index, listed[0], n=n), C.tree_collection(listed[1], n=n)], texts, out)
     return corpus.select("gold_label", "filename", "origin", F.md5("content").alias("content_md5"))
 
 
@@ -239,11 +239,11 @@ def q_corpus_summary(spark, sf_dir):
 
 # -- requests and responses ---------------------------------------------------------
 
-def q_request_build(spark, sf_dir):
+def _request_digest(spark, sf_dir, models, instruction):
     docs = load_table(spark, sf_dir, "documents")
     items = docs.select(F.expr(D.DET_FILENAME).alias("filename"),
                         F.col("lang").alias("gold_label"), F.col("text").alias("content"))
-    req = build_requests(items, D.REQUEST_MODELS, D.REQUEST_INSTRUCTION)
+    req = build_requests(items, models, instruction)
     return req.select("request_id", "filename", "model_name", "provider",
                       F.size("messages").alias("n_messages"),
                       prompt_chars("messages").alias("prompt_chars"),
@@ -251,6 +251,27 @@ def q_request_build(spark, sf_dir):
                       "temperature", "max_tokens")
 
 
+def q_request_build(spark, sf_dir):
+    return _request_digest(spark, sf_dir, D.REQUEST_MODELS, D.REQUEST_INSTRUCTION)
+
+
+def q_request_files(spark, sf_dir):
+    """The same requests, models and instruction read from files."""
+    base = scratch_path(spark, "config")
+    put = lambda text, name: spark.range(1).select(F.lit(text).alias("value")).write.text(f"{base}/{name}")
+    put(json.dumps(D.REQUEST_MODELS), "models.json")
+    put(f"\n  {D.REQUEST_INSTRUCTION}\n\n", "prompt.txt")
+    return _request_digest(spark, sf_dir, load_models(spark, f"{base}/models.json"),
+                           instruction_table(spark, f"{base}/prompt.txt"))
+
+
+def q_index_csv(spark, sf_dir):
+    """The index of a collection as CSV and back: labels such as NA and None
+    are labels there."""
+    path = csv_io.write_csv(D.source_index(spark, sf_dir), scratch_path(spark, "index"))
+    return csv_io.read_csv(spark, path, "raw_label string, Project string, Class string", na_tokens=None)
+
+
 def _detector_requests(spark, sf_dir):
     """Two requests for each document."""
     docs = load_table(spark, sf_dir, "documents").select(
@@ -535,6 +556,8 @@ QUERIES: dict[str, Query] = {
     "dedup_keep_first": q_dedup_keep_first,
     "corpus_summary": q_corpus_summary,
     "request_build": q_request_build,
+    "request_files": q_request_files,
+    "index_csv": q_index_csv,
     "detector_resume": q_detector_resume,
     "detector_scores": q_detector_scores,
     "response_extract": q_response_extract,

@@ -270,7 +270,6 @@ from labelscope.functions.fixed_values import (  # noqa: E402
     RAW_LABEL_MAP, SOURCE_EXTENSIONS,
 )
 from labelscope.functions.jsonx import BRACE_RE, FENCE_RE  # noqa: E402
-from labelscope.operators.requests import split_models  # noqa: E402
 
 PATHS_CTE = f"paths AS (SELECT doc_id, {D.PATH_EXPR} AS path FROM documents)"
 FN = "regexp_extract(path, '([^/]*)$', 1)"
@@ -425,15 +424,11 @@ SELECT coalesce(gold_label, 'TOTAL') AS gold_label,
        CAST(count(*) FILTER (WHERE origin = 'PMART') AS BIGINT) AS pmart,
        CAST(count(*) AS BIGINT) AS total
 FROM s GROUP BY ROLLUP (gold_label)"""
-    ok, _ = split_models(D.REQUEST_MODELS)
-    from labelscope.functions.fixed_values import PROVIDERS, FIXED_TEMPERATURE, FIXED_TEMPERATURE_MODEL
-    rows = []
-    for m in ok:
-        style, temp, mt = PROVIDERS[m["provider"]]
-        if m["provider"] == "openai" and FIXED_TEMPERATURE_MODEL in m["model_id"].lower():
-            temp = FIXED_TEMPERATURE
-        rows.append(f"({q(m['name'])}, {q(m['provider'])}, {q(style)}, "
-                    f"{'NULL' if temp is None else repr(float(temp))}, {'NULL' if mt is None else mt})")
+    # Written out here: (model, provider, style, temperature, max tokens) of the accepted models.
+    ok = (("gpt-5", "openai", "chat", 1.0, None), ("gemini-3.0-pro", "google", "joined", None, None),
+          ("llama-3.3-70b-groq", "groq", "chat", 0.2, 1024))
+    sql = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else repr(v)
+    rows = ["(" + ", ".join(map(sql, m)) + ")" for m in ok]
     instr = q(D.REQUEST_INSTRUCTION)
     sep = " || ".join(f"chr({ord(c)})" if c == "\n" else q(c) for c in _chunks(JOINED_PROMPT_SEPARATOR))
     out["request_build"] = f"""
@@ -447,7 +442,7 @@ SELECT model_name || '/' || filename AS request_id, filename, model_name, provid
            ELSE 'system:' || {instr} || chr(10) || 'user:' || text END) AS prompt_md5,
   CAST(temperature AS DOUBLE) AS temperature, CAST(max_tokens AS INTEGER) AS max_tokens
 FROM items CROSS JOIN models"""
-    styles = {m["name"]: PROVIDERS[m["provider"]][0] for m in ok[:2]}
+    styles = {m[0]: m[2] for m in ok[:2]}
     sent = " ".join(f"WHEN {q(m)} THEN {instr + ' || ' + sep + ' || text' if style == 'joined' else 'text'}"
                     for m, style in styles.items())
     found = " ".join(f"WHEN contains(t, {q(w)}) THEN {q(k)}" for k, w in D.DETECTOR_KEYWORDS)
@@ -456,6 +451,9 @@ rq AS (SELECT *, lower(CASE m {sent} END) AS t FROM
   (SELECT *, {D.DET_FILENAME} AS filename FROM documents), (VALUES {', '.join(f'({q(m)})' for m in styles)}) x(m)),
 an AS (SELECT m || '/' || filename AS request_id, doc_id, m, filename, lang, length(t) AS n, CASE {found} END AS k,
          CAST(CASE WHEN doc_id % 2 = 0 THEN '2025-01-01' ELSE '2025-01-02' END AS TIMESTAMP) AS started_at FROM rq)"""
+    out["request_files"] = out["request_build"]
+    out["index_csv"] = f"""
+SELECT {D.SOURCE_LABEL} AS raw_label, 'proj' || doc_id % 17 AS Project, 'C' || doc_id AS Class FROM documents WHERE {D.INDEXED}"""
     out["detector_resume"] = "WITH " + asked + """
 SELECT request_id, CASE WHEN k IS NULL THEN 'Error: no keyword' ELSE '{"design_patterns": [{"pattern": "' || k
          || '", "confidence": ' || n % 101 || '}]}' END AS raw_response,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelscope.operators import runs as RU
 from labelscope.operators.ordering import dense_index
-from labelscope.operators.requests import build_requests, rejected_models, split_models
+from labelscope.operators.requests import accepted_models, build_requests, rejected_models
 from labelscope.operators.responses import attach_durations, detection_rows
 from labelscope.session import scratch_path
 from labelscope.sources import csv_io
@@ -31,8 +31,7 @@ def test_requests(spark):
     assert req["g"]["messages"][0]["content"] == \
         "find patterns\n\nSource Code to Analyze:\nclass A {}"
     assert rejected_models(spark, MODELS).collect()[0]["name"] == "bad"
-    ok, bad = split_models(MODELS)
-    assert len(ok) == 4 and len(bad) == 1
+    assert accepted_models(spark, MODELS).count() == 4
 
 
 def test_detection_rows_join(spark):
@@ -101,13 +100,13 @@ def test_detector_hook_end_to_end(spark, tmp_path):
     from labelscope.operators.detector import run_detector
     from labelscope.operators.metrics import micro_scores
     from labelscope.operators.verdicts import file_verdicts
-    from labelscope.sources.config import load_instruction, models_from_table
+    from labelscope.sources.config import load_instruction
 
     (tmp_path / "prompt.txt").write_text("  detect patterns \n")
     instr = load_instruction(spark, str(tmp_path / "prompt.txt"))
     assert instr == "detect patterns"
-    models = models_from_table(spark.createDataFrame(
-        [("m1", "ollama", "x"), ("m2", "groq", "y")], "name string, provider string, model_id string"))
+    models = spark.createDataFrame(
+        [("m1", "ollama", "x"), ("m2", "groq", "y")], "name string, provider string, model_id string")
     items = spark.createDataFrame(
         [("DPD-a.java", "singleton", "class Singleton {}"), ("PMART-b.java", "observer", "x")],
         "filename string, gold_label string, content string")
