@@ -58,6 +58,7 @@ def evaluate(det: DataFrame, out_dir: str, targets: Sequence[str] = DEFAULT_TARG
         "micro_scores": micro.drop("first_row"),
         "ignored_top": M.top_ignored(hist),
         "ignored_histogram": hist.select("model_name", "raw_label", "n"),
+        "evidence": M.evidence(v),
         "missed_sample": M.missed_sample(v),
         "fp_sample": M.fp_sample(v),
         "score_stats": M.score_stats_from_verdicts(v),

@@ -152,6 +152,22 @@ def top_ignored(hist: DataFrame, k: int | None = TOP_IGNORED) -> DataFrame:
         .select("model_name", "rank", "raw_label", "n")
 
 
+def evidence(verdicts: DataFrame, key_col: str = "filename") -> DataFrame:
+    """The items behind the counts, all of them: (model_name, kind, item,
+    expected, label). ``correct`` and ``missed`` have one row for each in-scope
+    item, with what was detected (``none``) as ``label``, comma-joined;
+    ``false_positive`` has one for each wrong label. As many rows as tp + fn +
+    fp; ``missed_sample`` and ``fp_sample`` are its first few."""
+    found = F.when(F.size("detected") > 0, F.array_join("detected", ",")).otherwise(F.lit("none"))
+    one = F.array(F.struct(F.when(F.col("correct"), F.lit("correct")).otherwise(F.lit("missed")).alias("kind"),
+                           found.alias("label")))
+    wrong = F.transform(F.array_except("detected", F.array("gold_label")),
+                        lambda x: F.struct(F.lit("false_positive").alias("kind"), x.alias("label")))
+    return verdicts.where("in_scope").select(
+        "model_name", F.col(key_col).alias("item"), F.col("gold_label").alias("expected"),
+        F.explode(F.concat(one, wrong)).alias("e")).select("model_name", "e.kind", "item", "expected", "e.label")
+
+
 def missed_sample(verdicts: DataFrame, k: int = EVIDENCE_SAMPLE,
                   key_col: str = "filename") -> DataFrame:
     """First k missed items per model in item order, with what was detected."""

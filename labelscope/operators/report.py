@@ -11,6 +11,7 @@ from labelscope.functions import fixed_values as FV
 from labelscope.functions.fixed_values import DEFAULT_TARGETS
 from labelscope.functions.numeric import fixed
 from labelscope.functions.scores import with_prf
+from labelscope.functions.text import bind
 from labelscope.operators import metrics as M
 
 
@@ -134,17 +135,24 @@ def _lines(df: DataFrame, section: int, lines) -> DataFrame:
                      F.posexplode(lines).alias("line_no", "line"))
 
 
+def _with_texts(values, digits, fn):
+    """``fn`` of the numbers as texts; their rounding is written out once."""
+    texts = F.transform(F.array(*[v.cast("double") for v in values]), lambda x: fixed(x, digits))
+    return bind(texts, lambda t: fn([t[i] for i in range(len(values))]))
+
+
 def _fmt_table_row(name, tp, fp, fn, p, r, f1):
-    return F.format_string(FV.REPORT_TABLE_ROW_FORMAT, name, tp, fp, fn, *[fixed(x, FV.SCORE_DIGITS) for x in (p, r, f1)])
+    return _with_texts((p, r, f1), FV.SCORE_DIGITS, lambda t: F.format_string(FV.REPORT_TABLE_ROW_FORMAT, name, tp, fp, fn, *t))
 
 
-def _scores(x):
-    return [fixed(x[c], FV.SCORE_DIGITS) for c in ("precision", "recall", "f1")]
+def _score_row(fmt, x):
+    return _with_texts([x[c] for c in ("precision", "recall", "f1")], FV.SCORE_DIGITS,
+                       lambda t: F.format_string(fmt, x["model_name"], *t))
 
 
-def _spread(name):
-    return [fixed(f"{name}_mean", FV.MEAN_DIGITS), fixed(f"{name}_min", FV.EXTREME_DIGITS),
-            fixed(f"{name}_max", FV.EXTREME_DIGITS)]
+def _spread_line(fmt, name):
+    return _with_texts([F.col(f"{name}_min"), F.col(f"{name}_max")], FV.EXTREME_DIGITS,
+                       lambda t: F.format_string(fmt, fixed(f"{name}_mean", FV.MEAN_DIGITS), *t))
 
 
 def report_lines(summary: DataFrame, stats: DataFrame | None = None,
@@ -200,10 +208,8 @@ def report_lines(summary: DataFrame, stats: DataFrame | None = None,
         if stats is not None:
             q = q.join(stats.withColumnRenamed("model_name", "model"), "model", "left")
             lines += [
-                F.when(F.col("confidence_n") > 0, F.format_string(
-                    FV.REPORT_CONFIDENCE, *_spread("confidence"))),
-                F.when(F.col("adherence_n") > 0, F.format_string(
-                    FV.REPORT_ADHERENCE, *_spread("adherence")))]
+                F.when(F.col("confidence_n") > 0, _spread_line(FV.REPORT_CONFIDENCE, "confidence")),
+                F.when(F.col("adherence_n") > 0, _spread_line(FV.REPORT_ADHERENCE, "adherence"))]
         if durations is not None:
             q = q.join(durations.withColumnRenamed("model_name", "model"), "model", "left")
             lines.append(F.when(F.col("n_rows") > 0, F.format_string(
@@ -231,7 +237,7 @@ def comparison_lines(micro: DataFrame, published: DataFrame | None = None) -> Da
     rows = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("k"), F.col("first_row"),
                                              "model_name", "precision", "recall", "f1"))),
-        lambda x: F.format_string(row, x["model_name"], *_scores(x)))
+        lambda x: _score_row(row, x))
     best = F.max_by(F.struct("model_name", "f1"), F.struct(F.col("f1"), -F.col("first_row")))
     board = micro.agg(F.concat(
         F.array(F.lit(FV.REPORT_COMPARISON_HEAD), head, trule), rows,
@@ -241,7 +247,7 @@ def comparison_lines(micro: DataFrame, published: DataFrame | None = None) -> Da
         F.array(F.lit(FV.REPORT_PUBLISHED_HEAD), head, trule),
         F.transform(F.array_sort(F.collect_list(F.struct("model_name", "precision", "recall",
                                                          "f1"))),
-                    lambda x: F.format_string(row, x["model_name"], *_scores(x)))).alias("l"))
+                    lambda x: _score_row(row, x))).alias("l"))
     return (board.select(F.lit(0).alias("section"), F.posexplode("l").alias("line_no", "line"))
             .unionByName(pub_lines.select(F.lit(1).alias("section"),
                                           F.posexplode("l").alias("line_no", "line"))))

@@ -19,13 +19,14 @@ from labelscope.operators import corpus as C
 from labelscope.operators import metrics as M
 from labelscope.operators import report as R
 from labelscope.operators import runs as RU
+from labelscope.operators.detection_run import detection_run
 from labelscope.operators.detector import run_pending
 from labelscope.operators.requests import build_requests, prompt_chars, prompt_text
 from labelscope.operators.responses import (
     compact_answers, detection_rows, explode_detections, extract_responses, match_answers, matched_rows,
     rejected_answers,
 )
-from labelscope.operators.verdicts import file_verdicts, item_labels, normalize_detections, verdicts_of
+from labelscope.operators.verdicts import file_verdicts, item_labels, normalize_detections, unkeyed_rows, verdicts_of
 from labelscope.plans import derived as D
 from labelscope.session import scratch_path, stored
 from labelscope.sources import csv_io
@@ -319,6 +320,37 @@ def q_detector_scores(spark, sf_dir):
     return M.micro_scores(v, D.DET_TARGETS).drop("first_row")
 
 
+def q_detection_run(spark, sf_dir):
+    """Items to scores in one call, with two models; a first call that asked
+    only some of the requests had died. Scores of the combined scope and of
+    each origin."""
+    docs = load_table(spark, sf_dir, "documents").select(
+        F.expr(D.DET_FILENAME).alias("filename"), F.col("lang").alias("gold_label"), F.col("doc_id").alias("item_no"),
+        F.when(F.expr(f"NOT ({D.UNREADABLE})"), F.col("text")).alias("content"))
+    base, run_id = scratch_path(spark, "run"), D.RUN_IDS[0]
+    first = _detector_requests(spark, sf_dir).where("item_no % 4 = 0").where(f"NOT ({D.UNREADABLE.replace('doc_id', 'item_no')})")
+    run_pending(first, _keyword_detector("2025-01-01"), f"{base}/answers/{run_id}", carry=_CARRIED)
+    return detection_run(spread(docs, "item_no"), D.REQUEST_MODELS[:2], D.REQUEST_INSTRUCTION,
+                         _keyword_detector("2025-01-02"), base, "documents", run_id, targets=D.DET_TARGETS,
+                         synonyms=D.DET_SYNONYMS)["scopes"]
+
+
+def q_evidence(spark, sf_dir):
+    _, v = _verdicts(spark, sf_dir)
+    return M.evidence(v)
+
+
+def q_unkeyed_rows(spark, sf_dir):
+    """Detection rows that belong to no item."""
+    return unkeyed_rows(D.unkeyed_detections(spark, sf_dir)).select("row_no", "model_name", "detected_pattern")
+
+
+def q_unkeyed_scores(spark, sf_dir):
+    """Scores of the rows that do."""
+    v = file_verdicts(D.unkeyed_detections(spark, sf_dir), D.DET_SYNONYMS, D.DET_TARGETS)
+    return M.micro_scores(v, D.DET_TARGETS).drop("first_row")
+
+
 def _extracted(spark, sf_dir):
     return extract_responses(D.responses(spark, sf_dir))
 
@@ -560,6 +592,7 @@ QUERIES: dict[str, Query] = {
     "index_csv": q_index_csv,
     "detector_resume": q_detector_resume,
     "detector_scores": q_detector_scores,
+    "detection_run": q_detection_run,
     "response_extract": q_response_extract,
     "detection_explode": q_detection_explode,
     "detection_stream": q_detection_stream,
@@ -594,6 +627,9 @@ QUERIES: dict[str, Query] = {
     "ignored_hist": q_ignored_hist,
     "ignored_top5": q_ignored_top5,
     "missed_sample": q_missed_sample,
+    "evidence": q_evidence,
+    "unkeyed_rows": q_unkeyed_rows,
+    "unkeyed_scores": q_unkeyed_scores,
     "fp_sample": q_fp_sample,
     "score_stats": q_score_stats,
     "duration_stats": q_duration_stats,

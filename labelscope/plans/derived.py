@@ -69,7 +69,9 @@ DET_CONFIDENCE = ("CASE (doc_id + lang_idx) % 7 "
                   "WHEN 3 THEN '1e' || CAST(n_chars % 3 AS STRING) "
                   "ELSE CAST((n_chars + lang_idx * 13) % 101 AS STRING) END")
 DET_ADHERENCE = "CAST((doc_id * 7 + lang_idx) % 101 AS STRING)"
-DET_DURATION = "CAST(n_chars AS DOUBLE) / 1000.0"
+DET_DURATION = "CASE WHEN doc_id % 37 = 5 THEN CAST('NaN' AS DOUBLE) ELSE CAST(n_chars AS DOUBLE) / 1000.0 END"
+# Documents whose detections have no item name, in ``unkeyed``.
+UNKEYED = "doc_id % 53 = 7"
 DET_ROW_NO = "doc_id * 16 + model_idx * 8 + lang_idx"
 
 RESP_LABEL1 = ("CASE event_type WHEN 'view' THEN 'Observer' WHEN 'click' THEN 'Factory Method' "
@@ -96,7 +98,8 @@ RESP_TEXT = (
     "WHEN 3 THEN '\"design_patterns\": [' || " + RESP_E1 + " || ']' "
     "WHEN 4 THEN '{\"design_patterns\": [' || " + RESP_E1 + " || ', }' "
     "WHEN 5 THEN 'Error: timeout after ' || CAST(event_id % 120 AS STRING) || 's' "
-    "WHEN 6 THEN '{\"design_patterns\": []}' "
+    "WHEN 6 THEN CASE WHEN event_id % 5 = 1 THEN '{\"design_patterns\": []}, {\"x\": 1}] tail' "
+    "ELSE '{\"design_patterns\": []}' END "
     "ELSE '[' || " + RESP_DOC + " || ']' END END")
 RESP_REQUEST_ID = "'req-' || CAST(event_id AS STRING)"
 RESP_MODEL = "CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END"
@@ -273,6 +276,8 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ids as a tree of projects. Some indexed files are not there.
 SOURCE_NAME = "'proj' || CAST(doc_id % 17 AS STRING) || '-C' || CAST(doc_id AS STRING) || '.java'"
 CORPUS_SAMPLES = 20
+# Items that a detection run could not read.
+UNREADABLE = "doc_id % 19 = 4"
 SOURCE_LABEL = ("CASE doc_id % 14 WHEN 0 THEN 'Factory' WHEN 2 THEN 'Singleton' WHEN 4 THEN 'Observer' "
                 "WHEN 6 THEN 'Decorator' WHEN 8 THEN 'None' WHEN 10 THEN 'NA' ELSE 'Bridge' END")
 INDEXED = "doc_id % 2 = 0"
@@ -310,3 +315,9 @@ SPELLED = "CASE WHEN row_no % 8 = 3 THEN detected_pattern || '-' || CAST({} % 15
 
 def many_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).withColumn("detected_pattern", F.expr(SPELLED.format("(row_no div 16)")))
+
+
+def unkeyed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``det`` where some rows have lost their item's name."""
+    lost = F.expr(UNKEYED.replace("doc_id", "(row_no div 16)"))
+    return detections(spark, sf_dir).withColumn("filename", F.when(~lost, F.col("filename")))

@@ -69,11 +69,11 @@ det AS (
   SELECT {D.DET_FILENAME} AS filename, lang AS ground_truth_label, model_name,
          {D.DET_SPELLING} AS detected_pattern, {D.DET_CONFIDENCE} AS confidence,
          {D.DET_ADHERENCE} AS adherence, 'marker hit' AS reasoning,
-         {D.DET_DURATION} AS duration_seconds, CAST({D.DET_ROW_NO} AS BIGINT) AS row_no
+         nullif({D.DET_DURATION}, 'NaN') AS duration_seconds, CAST({D.DET_ROW_NO} AS BIGINT) AS row_no
   FROM det_hits WHERE hit
   UNION ALL
   SELECT {D.DET_FILENAME}, lang, model_name, 'None', '0', '0', {q(FALLBACK_REASON)},
-         {D.DET_DURATION}, CAST(doc_id * 16 + model_idx * 8 + {fb} AS BIGINT)
+         nullif({D.DET_DURATION}, 'NaN'), CAST(doc_id * 16 + model_idx * 8 + {fb} AS BIGINT)
   FROM det_hits WHERE lang_idx = 0 AND none_hit
 )"""
 
@@ -120,6 +120,29 @@ micro AS (
 micro_s AS (SELECT *, {sql_prf('total_tp', 'total_fp', 'total_fn')} FROM micro)"""
 
 
+def scopes_sql() -> str:
+    """Scores of the combined scope and of each origin, after the scoring CTEs."""
+    return f""",
+contrib_s AS (
+  SELECT v.origin, v.model_name, t.label,
+    CASE WHEN v.gold_label IS NOT NULL AND t.label = v.gold_label AND list_contains(v.detected, t.label) THEN 1 ELSE 0 END AS tp,
+    CASE WHEN v.gold_label IS NOT NULL AND t.label <> v.gold_label AND list_contains(v.detected, t.label) THEN 1 ELSE 0 END AS fp,
+    CASE WHEN v.gold_label IS NOT NULL AND t.label = v.gold_label AND NOT list_contains(v.detected, t.label) THEN 1 ELSE 0 END AS fn
+  FROM verdict_x v CROSS JOIN targets t),
+scoped AS (
+  SELECT 'ALL' AS scope, model_name, label, tp, fp, fn FROM contrib_s
+  UNION ALL SELECT origin, model_name, label, tp, fp, fn FROM contrib_s WHERE origin IS NOT NULL),
+per_label AS (
+  SELECT scope, model_name, label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
+         CAST(sum(fn) AS BIGINT) AS fn FROM scoped GROUP BY scope, model_name, label),
+both_levels AS (
+  SELECT scope, model_name, 'label' AS level, label, tp, fp, fn FROM per_label
+  UNION ALL
+  SELECT scope, model_name, 'micro', NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT),
+         CAST(sum(fn) AS BIGINT) FROM per_label GROUP BY scope, model_name)
+SELECT scope, model_name, level, label, tp, fp, fn, {sql_prf('tp', 'fp', 'fn')} FROM both_levels"""
+
+
 def scoring_sql(select: str) -> str:
     return "WITH " + _scoring_ctes() + "\n" + select
 
@@ -205,25 +228,7 @@ SELECT model_name, origin, CAST(sum(CAST(correct AS INTEGER)) AS BIGINT) AS corr
        CAST(sum(CAST(in_scope AS INTEGER)) AS BIGINT) AS total_in_scope,
        sum(CAST(correct AS INTEGER)) / count(*) AS accuracy
 FROM verdict_x WHERE origin IS NOT NULL GROUP BY model_name, origin""")
-    out["metrics_by_scope"] = "WITH " + _scoring_ctes() + f""",
-contrib_s AS (
-  SELECT v.origin, v.model_name, t.label,
-    CASE WHEN v.gold_label IS NOT NULL AND t.label = v.gold_label AND list_contains(v.detected, t.label) THEN 1 ELSE 0 END AS tp,
-    CASE WHEN v.gold_label IS NOT NULL AND t.label <> v.gold_label AND list_contains(v.detected, t.label) THEN 1 ELSE 0 END AS fp,
-    CASE WHEN v.gold_label IS NOT NULL AND t.label = v.gold_label AND NOT list_contains(v.detected, t.label) THEN 1 ELSE 0 END AS fn
-  FROM verdict_x v CROSS JOIN targets t),
-scoped AS (
-  SELECT 'ALL' AS scope, model_name, label, tp, fp, fn FROM contrib_s
-  UNION ALL SELECT origin, model_name, label, tp, fp, fn FROM contrib_s WHERE origin IS NOT NULL),
-per_label AS (
-  SELECT scope, model_name, label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
-         CAST(sum(fn) AS BIGINT) AS fn FROM scoped GROUP BY scope, model_name, label),
-both_levels AS (
-  SELECT scope, model_name, 'label' AS level, label, tp, fp, fn FROM per_label
-  UNION ALL
-  SELECT scope, model_name, 'micro', NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT),
-         CAST(sum(fn) AS BIGINT) FROM per_label GROUP BY scope, model_name)
-SELECT scope, model_name, level, label, tp, fp, fn, {sql_prf('tp', 'fp', 'fn')} FROM both_levels"""
+    out["metrics_by_scope"] = "WITH " + _scoring_ctes() + scopes_sql()
     out["leaderboard"] = scoring_sql("""
 SELECT CAST(row_number() OVER (ORDER BY f1 DESC, first_row) AS INTEGER) AS rank,
        model_name, precision, recall, f1 FROM micro_s""")
@@ -252,6 +257,21 @@ UNION ALL SELECT l_orderkey * 10 + l_linenumber, NULL, NULL, NULL, NULL, printf(
 SELECT CAST(row_number() OVER (ORDER BY f1 DESC, p.first_row) AS INTEGER) AS rank, p.model_name,
        precision, recall, f1, p.first_row - 1 AS first_row
 FROM micro_s m JOIN places p ON p.model_name IN (m.model_name, 'z-' || m.model_name)""")
+    out["evidence"] = scoring_sql("""
+SELECT model_name, CASE WHEN correct THEN 'correct' ELSE 'missed' END AS kind, filename AS item, gold_label AS expected,
+       CASE WHEN len(detected) > 0 THEN array_to_string(detected, ',') ELSE 'none' END AS label
+FROM verdict_x WHERE in_scope
+UNION ALL SELECT model_name, 'false_positive', filename, gold_label, label
+FROM (SELECT *, unnest(detected) AS label FROM verdict_x WHERE in_scope) WHERE label <> gold_label""")
+    lost = D.UNKEYED.replace("doc_id", "(row_no // 16)")
+    out["unkeyed_rows"] = det_sql(f"SELECT row_no, model_name, detected_pattern FROM det WHERE {lost}")
+    out["unkeyed_scores"] = "WITH " + _scoring_ctes(_det_cte().replace(
+        "\ndet AS (", "\ndet_all AS (") + f", det AS (FROM det_all WHERE NOT ({lost}))") + """
+SELECT model_name, CAST(files_processed AS BIGINT) AS files_processed, total_tp, total_fp,
+       total_fn, precision, recall, f1, total_tp AS correct_count, total_fn AS missed_count,
+       total_fp AS fp_count
+FROM micro_s"""
+    out["report_lines"] = report_sql(hist)
     out["best_model"] = scoring_sql("""
 SELECT model_name, f1, precision, recall FROM micro_s ORDER BY f1 DESC, first_row LIMIT 1""")
     pub = ", ".join(f"({q(m)}, {p!r}, {r!r}, {f!r})" for m, p, r, f in PUBLISHED_SCORES)
@@ -266,10 +286,12 @@ FROM (VALUES {pub}) AS t(model_name, p, r, f)""")
 # -- corpus, requests, responses, runs -----------------------------------------
 
 from labelscope.functions.fixed_values import (  # noqa: E402
-    CSV_NA_TOKENS, DEFAULT_PROJECT, JOINED_PROMPT_SEPARATOR, LABEL_KEYWORDS, PROJECT_PREFIXES,
+    BRACE_PATTERN, CSV_NA_TOKENS, DEFAULT_PROJECT, FENCE_PATTERN, JOINED_PROMPT_SEPARATOR, LABEL_KEYWORDS, PROJECT_PREFIXES,
     RAW_LABEL_MAP, SOURCE_EXTENSIONS,
 )
-from labelscope.functions.jsonx import BRACE_RE, FENCE_RE  # noqa: E402
+
+# The extraction patterns as both engines read them: "\\s" is Python white space, "." also matches new lines.
+FENCE_RE, BRACE_RE = (f"(?s){p}".replace(r"\s", PY_WHITESPACE_CLASS) for p in (FENCE_PATTERN, BRACE_PATTERN))
 
 PATHS_CTE = f"paths AS (SELECT doc_id, {D.PATH_EXPR} AS path FROM documents)"
 FN = "regexp_extract(path, '([^/]*)$', 1)"
@@ -465,6 +487,9 @@ SELECT model_name, CAST(files_processed AS BIGINT) AS files_processed, total_tp,
        total_fn, precision, recall, f1, total_tp AS correct_count, total_fn AS missed_count,
        total_fp AS fp_count
 FROM micro_s"""
+    out["detection_run"] = "WITH " + _scoring_ctes(asked.replace("\nrq AS", "rq AS", 1) + f""",
+det AS (SELECT filename, lang AS ground_truth_label, m AS model_name, coalesce(k, 'None') AS detected_pattern,
+          0.0 AS duration_seconds, doc_id AS row_no FROM an WHERE NOT ({D.UNREADABLE}))""") + scopes_sql()
     out["response_extract"] = "WITH " + _resp_ctes() + """
 SELECT request_id, model_name, response_status, parse_step, parse_status,
        CAST(CASE WHEN json_type(kv) = 'ARRAY' THEN json_array_length(kv) END AS INTEGER) AS n_elements
@@ -527,6 +552,64 @@ FROM runs WHERE n > 0"""
     return out
 
 
+def report_sql(hist: str) -> str:
+    """The fixed-width report, line by line; ``hist`` are the histogram's CTEs."""
+    from labelscope.functions import fixed_values as FV
+    head = ", ".join(q(x) for x in FV.REPORT_TABLE_HEAD)
+    columns = ", ".join(q(x) for x in FV.REPORT_COMPARISON_COLUMNS)
+    targets = "[" + ", ".join(q(t) for t in D.DET_TARGETS) + "]"
+    score = lambda *c: ", ".join(f"printf('%.3f', {x})" for x in c)
+    row = f"printf({q(FV.REPORT_TABLE_ROW_FORMAT)}, {{}}, {{}}, {{}}, {{}}, {score('precision', 'recall', 'f1')})"
+    num = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+    value = lambda c: f"CASE WHEN regexp_matches({c}, {q(num)}) THEN TRY_CAST({c} AS DOUBLE) END"
+    board = f"printf({q(FV.REPORT_COMPARISON_ROW_FORMAT)}, model_name, {score('precision', 'recall', 'f1')})"
+    published = ", ".join(f"({q(m)}, {p!r}::DOUBLE, {r!r}::DOUBLE, {f!r}::DOUBLE)" for m, p, r, f in PUBLISHED_SCORES)
+    spread = lambda text, c: (f"printf({q(text)}, printf('%.1f', avg({c})), printf('%.0f', min({c})), "
+                              f"printf('%.0f', max({c})))")
+    table_head = f"printf({q(FV.REPORT_TABLE_HEAD_FORMAT)}, {head})"
+    board_head = f"printf({q(FV.REPORT_COMPARISON_HEAD_FORMAT)}, {columns})"
+    rule, small = q(FV.REPORT_TABLE_RULE), q(FV.REPORT_SECTION_RULE)
+    joined = q("', '")
+    return "WITH " + _scoring_ctes() + "," + hist + f""",
+scored AS (SELECT *, {sql_prf('tp', 'fp', 'fn')} FROM counts),
+top AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY n DESC, first_file, first_row, raw_label) AS k
+        FROM hist_first),
+missed AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY filename) AS k
+           FROM verdict_x WHERE in_scope AND NOT correct),
+wrong AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY filename, label) AS k
+          FROM (SELECT *, unnest(detected) AS label FROM verdict_x WHERE in_scope) WHERE label <> gold_label),
+sources AS (SELECT model_name, origin, count(*) FILTER (correct) AS c, count(*) AS n FROM verdict_x
+            WHERE origin IS NOT NULL GROUP BY ALL),
+stats AS (SELECT model_name, {spread(FV.REPORT_CONFIDENCE, value('confidence'))} AS conf,
+            {spread(FV.REPORT_ADHERENCE, value('adherence'))} AS adh,
+            printf({q(FV.REPORT_RESPONSE_TIME)}, printf('%.2f', sum(duration_seconds) / count(duration_seconds)),
+                   printf('%.1f', sum(duration_seconds))) AS secs FROM det GROUP BY 1),
+labels AS (SELECT model_name, list({row.format('label', 'tp', 'fp', 'fn')} ORDER BY list_position({targets}, label)) AS l
+           FROM scored GROUP BY 1),
+sections AS (
+  SELECT model_name AS model, 0 AS section, [{q(FV.REPORT_RULE)}, {q(FV.REPORT_TITLE)} || upper(model_name),
+    {q(FV.REPORT_RULE)}, printf({q(FV.REPORT_FILES)}, files_processed::BIGINT)] AS lines FROM micro_s
+  UNION ALL SELECT model_name, 1, list_prepend({q(FV.REPORT_IGNORED_HEAD)},
+    list(printf({q(FV.REPORT_IGNORED_LINE)}, raw_label, n) ORDER BY k)) FROM top WHERE k <= 5 GROUP BY 1
+  UNION ALL SELECT model_name, 2, list_concat([{table_head}, {rule}], l,
+    [{rule}, {row.format(q(FV.REPORT_OVERALL), 'total_tp', 'total_fp', 'total_fn')}]) FROM micro_s JOIN labels USING (model_name)
+  UNION ALL SELECT model_name, 3, list_prepend({q(FV.REPORT_MISSED_HEAD)}, list(printf({q(FV.REPORT_MISSED_LINE)}, filename,
+    gold_label, CASE WHEN len(detected) > 0 THEN array_to_string(detected, {joined}) ELSE 'none' END) ORDER BY k))
+    FROM missed WHERE k <= 5 GROUP BY 1
+  UNION ALL SELECT model_name, 4, list_prepend({q(FV.REPORT_FP_HEAD)},
+    list(printf({q(FV.REPORT_FP_LINE)}, filename, gold_label, label) ORDER BY k)) FROM wrong WHERE k <= 5 GROUP BY 1
+  UNION ALL SELECT model_name, 5, [{q(FV.REPORT_QUALITY_HEAD)}, {small}, conf, adh, secs] FROM stats
+  UNION ALL SELECT model_name, 6, list_concat([{q(FV.REPORT_SOURCE_HEAD)}, {small}],
+    list(printf({q(FV.REPORT_SOURCE_LINE)}, origin, c, n, printf('%.1f', c / n * 100)) ORDER BY origin)) FROM sources GROUP BY 1
+  UNION ALL SELECT '*', 10, list_concat([{q(FV.REPORT_COMPARISON_HEAD)}, {board_head}, {rule}],
+    list({board} ORDER BY f1 DESC, first_row), [printf({q(FV.REPORT_BEST)}, first(model_name ORDER BY f1 DESC, first_row),
+    printf('%.3f', max(f1)))]) FROM micro_s
+  UNION ALL SELECT '*', 11, list_concat([{q(FV.REPORT_PUBLISHED_HEAD)}, {board_head}, {rule}],
+    list({board} ORDER BY model_name)) FROM (VALUES {published}) AS t(model_name, precision, recall, f1))
+SELECT model, section, i::INTEGER AS line_no, lines[i + 1] AS line
+FROM (SELECT *, unnest(range(len(lines))) AS i FROM sections)"""
+
+
 def _chunks(s: str):
     """Split text into newline characters and runs of other characters."""
     buf = ""
