@@ -16,8 +16,11 @@ documents are linked if their sets' Jaccard similarity is at least
 Buckets are never expanded into all pairs. First each member meets its
 bucket's least node, then, where a bucket still holds several components, the
 least node outside the first one; last, members of *different* components of
-a bucket meet pair by pair. Pairs inside a component need no test: they
-change no component. A pair at the threshold shares no band with probability
+a bucket meet pair by pair. There a second bitmap, the parities of the whole
+sets, comes before the texts: each shingle in one set only flips one bit, so
+more bits apart than shingles may differ rules a pair out for certain, and
+documents that share a passage but are no copies go without a look at their
+texts. Pairs inside a component need no test: they change no component. A pair at the threshold shares no band with probability
 (1 - 0.8 ** ROWS) ** BANDS, 3e-6.
 
 Nulls and texts without words have empty sets and are linked with nothing.
@@ -41,6 +44,7 @@ from labelscope.llm.common import (blocked_bloom, components, likely, maybe_in,
 
 BANDS, ROWS = 32, 5
 BITS = 1024                          # of an odd sketch
+PARITY_BITS = 4096                   # of a whole set's parities
 PERCENT = 80
 #: Pairs whose sketches say less than this (6 standard deviations below the
 #: threshold) aren't confirmed.
@@ -107,11 +111,28 @@ def features(docs: DataFrame, k: int) -> DataFrame:
 
 def _plausible(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
     """By the sizes and the odd sketches, the pair may reach the threshold."""
-    differ = sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(BITS // 64)), F.lit(0))
+    differ = _differ(a, b, BITS)
     most = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * BANDS * ROWS * (1 - LEAST_ESTIMATE * percent / PERCENT)))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= F.lit(float(most)))
 
 
+def _differ(a: Column, b: Column, bits: int) -> Column:
+    return sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(bits // 64)), F.lit(0))
+
+
+def parities(texts: DataFrame, k: int) -> DataFrame:
+    """node, parity (of how many of its shingles fall on each of the bits)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for names in (shingle_sets([t], k)[0] for t in batch.column(1).to_pylist()):
+                odd = np.bincount((mix(names) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "parity"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, parity array<long>")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the pairs that reach the threshold on their full sets."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b") \
@@ -177,11 +198,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     links = stored(links.unionByName(_confirm(pairs, texts, k, percent)), "minhash_links")
     tested = tested.unionByName(pairs)
 
-    mixed = with_components().join(shape, "node")
-    half = lambda s: mixed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "sketch")))
+    mixed = with_components()
+    parity = stored(parities(texts.join(mixed.select("node").distinct(), "node"), k), "minhash_parities")
+    mixed = mixed.join(shape, "node").join(parity, "node")
+    half = lambda s: mixed.select("bucket", *(F.col(c).alias(f"{c}_{s}")
+                                              for c in ("node", "comp", "n", "sketch", "parity")))
     pairs = half("a").join(half("b"), "bucket").filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & _plausible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)) \
+        & _plausible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
+        & ((100 + percent) * _differ(F.col("parity_a"), F.col("parity_b"), PARITY_BITS)
+           <= (100 - percent) * (F.col("n_a") + F.col("n_b")))) \
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = stored(links.unionByName(_confirm(stored(pairs, "minhash_pairs"), texts, k, percent)), "minhash_links")
 

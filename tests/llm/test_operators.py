@@ -496,3 +496,34 @@ def test_pipeline(spark):
             assert leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0 and not now & leaked & bad
         ids = now
     assert docs.agg(F.sum("length"), F.countDistinct("sequence_id"), F.count(F.lit(1))).first()[1] == docs.count()
+
+
+def test_documents_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    """Unlinked documents with one passage in common: hardly a pair's texts
+    are compared, however many documents there are; the links among them stay."""
+    passage = " ".join(words(60, 77, 5000))
+    tested, real = [], odd_minhash._confirm
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(odd_minhash, "_confirm", counted)
+    for n in (100, 300):
+        own = [f"{passage} {' '.join(words(30, 1000 + i, 5000))}" for i in range(n)]
+        near = [own[i] + " more" for i in range(0, n, 50)]
+        docs = spark.createDataFrame(list(enumerate(own + near)), "doc_id long, text string")
+        tested.clear()
+        got = {r.doc_id: r.component_id for r in odd_minhash.groups(docs).collect()}
+        assert all(got[i] == i for i in range(n)) and all(got[n + j] == 50 * j for j in range(len(near)))
+        assert sum(tested) <= 12 * n, tested
+
+
+def test_parities_never_lose_a_link():
+    rng = np.random.default_rng(4)
+    for n in (3, 40, 400, 9000):
+        a = np.unique(common.mix(rng.integers(0, 1 << 62, n, np.uint64)))
+        b = np.unique(np.concatenate([a[: n * 9 // 10], common.mix(rng.integers(0, 1 << 62, max(1, n // 12), np.uint64))]))
+        bits = [np.bincount((common.mix(x) % np.uint64(odd_minhash.PARITY_BITS)).astype(np.int64),
+                            minlength=odd_minhash.PARITY_BITS) & 1 for x in (a, b)]
+        assert (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))
