@@ -13,7 +13,8 @@ never removed.
    n - ceil(t n) + 1 tokens of each. Pairs that meet on a prefix token must
    pass the length filter, the positional filter, and a 64-bit parity bitmap:
    each token in one set only flips one bit, so more bits apart than tokens
-   may differ rules a pair out.
+   may differ rules a pair out. The distinct pairs that pass meet a second
+   bitmap of ``WIDE`` words, which few pairs pass that aren't similar.
 4. What passes is verified on the lines' words.
 
 Many variants of one line would all pair with each other, so a round before
@@ -40,6 +41,7 @@ from labelscope.llm.common import blocked_bloom, likely, maybe_in, mix, names_of
 PERCENT = 80
 CELLS = 1 << 18                      # a cell is the low 18 bits of a name
 BUCKETS = 3
+WIDE = 4                             # words of 64 bits of the second bitmap
 _SALT = np.array([0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x5851F42D4C957F2D], np.uint64)
 
 
@@ -76,8 +78,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: int) -> tuple:
-    """For each line that has words: (line, node, size, bitmap, three bucket
-    tokens, prefix tokens, where each line's prefix ends). ``counts`` are the
+    """For each line that has words: (line, node, size, bitmap, the words of
+    the wide bitmap, three bucket tokens, prefix tokens, where each line's
+    prefix ends). ``counts`` are the
     words of each line, ``ids`` all their names."""
     line = np.repeat(np.arange(len(counts)), counts)
     # The cell's place in the order of rarity, then the rest of the name.
@@ -90,21 +93,25 @@ def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: in
     mixed = mix(ids)
     node = mix(np.add.reduceat(mixed, begin) + size.astype(np.uint64))
     bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), begin)
+    at = mixed >> np.uint64(48) & np.uint64(64 * WIDE - 1)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    wide = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64)
+            for w in range(WIDE)]
     short = (ids >> np.uint64(16)).astype(np.uint32).view(np.int32)
     buckets = [np.minimum.reduceat(mix(ids ^ s), begin).view(np.int64) for s in _SALT]
     width = size - _need(size, percent) + 1
     inside = np.arange(len(ids)) - np.repeat(begin, size) < np.repeat(width, size)
-    return lines, node.view(np.int64), size, bitmap.view(np.int64), buckets, short[inside], np.cumsum(width)
+    return lines, node.view(np.int64), size, bitmap.view(np.int64), wide, buckets, short[inside], np.cumsum(width)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("node", pa.int64()),
-                     ("n", pa.int32()), ("bitmap", pa.int64()), ("buckets", pa.list_(pa.int64())),
+                     ("n", pa.int32()), ("bitmap", pa.int64()), ("wide", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int64())),
                      ("prefix", pa.list_(pa.int32()))])
 
 
 def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """A row for each line with words; buckets and prefix are null where the
-    worker has given the node before."""
+    """A row for each line with words; the lists are null where the worker has
+    given the node before."""
     where = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +123,7 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 ids, counts = names_of([x for t in texts for x in t])
                 if not len(ids):
                     continue
-                got, node, n, bitmap, buckets, prefix, ends = line_sets(counts, ids, where.value, percent)
+                got, node, n, bitmap, wide, buckets, prefix, ends = line_sets(counts, ids, where.value, percent)
                 per_doc = np.array([len(t) for t in texts])
                 doc = np.repeat(np.arange(len(texts)), per_doc)[got]
                 number = got - (np.cumsum(per_doc) - per_doc)[doc]
@@ -132,19 +139,19 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(np.where(fresh, ends - first, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(prefix[take], pa.int32()),
                                                  mask=pa.array(~fresh))
-                three = np.stack(buckets, 1)[fresh].reshape(-1)
-                edges = np.concatenate([[0], np.cumsum(fresh * BUCKETS)]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(edges), pa.array(three, pa.int64()), mask=pa.array(~fresh))
+                wide, keys = (pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(fresh * len(x))]).astype(np.int32)),
+                    pa.array(np.stack(x, 1)[fresh].reshape(-1), pa.int64()), mask=pa.array(~fresh)) for x in (wide, buckets))
                 doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(1).take(doc), pa.array(number, pa.int32()),
-                     pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bitmap, pa.int64()), keys, lists],
+                     pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bitmap, pa.int64()), wide, keys, lists],
                     schema=_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        text_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text")) \
         .mapInArrow(run, "doc_id long, row long, line int, node long, n int, bitmap long, "
-                         "buckets array<long>, prefix array<int>")
+                         "wide array<long>, buckets array<long>, prefix array<int>")
 
 
 def _may_match(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
@@ -153,6 +160,16 @@ def _may_match(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Co
         & ((100 + percent) * F.bit_count(a.bitwiseXOR(b)) <= (100 - percent) * (na + nb))
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide bitmaps are no more bits apart than tokens may differ."""
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "lines_asked")
+    shape = stored(likely(nodes.select("node", "n", "wide"), "node", asked), "lines_wide")
+    side = lambda s: shape.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"w_{s}"))
+    apart = sum((F.bit_count(F.col("w_a")[j].bitwiseXOR(F.col("w_b")[j])) for j in range(WIDE)), F.lit(0))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(
+        (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose words are similar enough."""
     side = lambda s: texts.select(*(F.col(c).alias(c if c == "node" else c + s) for c in texts.columns)) \
@@ -199,7 +216,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         & _may_match(c("n_a"), c("n_b"), c("bitmap_a"), c("bitmap_b"), percent)
         & ((100 + percent) * most >= percent * (c("n_a") + c("n_b")))) \
         .select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
-    met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_pairs")
+    met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_met")
+    met = stored(_close(met, nodes, percent), "lines_pairs")
     more = _later(_verified(met, _texts(docs, first, met), percent), first)
     similar = done.unionByName(more.select("node")).distinct().withColumn("similar", F.lit(True))
     return all_lines.select("doc_id", "row", "line", "node").join(first, "node").join(similar, "node", "left") \

@@ -527,3 +527,38 @@ def test_parities_never_lose_a_link():
         bits = [np.bincount((common.mix(x) % np.uint64(odd_minhash.PARITY_BITS)).astype(np.int64),
                             minlength=odd_minhash.PARITY_BITS) & 1 for x in (a, b)]
         assert (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_variants_below_the_threshold_are_not_verified(spark, monkeypatch):
+    """Lines made from one template that are no copies: hardly a pair's words
+    are compared, however many lines there are; the copies among them go."""
+    template, tested, real = words(60, 5, 4000), [], line_join._verified
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(line_join, "_verified", counted)
+    for n in (100, 300):
+        r, rows = random.Random(n), []
+        for i in range(n):
+            line = list(template)
+            for at in r.sample(range(60), 14):
+                line[at] = f"own{i}x{at}"
+            rows.append((i, " ".join(line)))
+        rows += [(n + i, rows[i][1] + " more") for i in range(0, n, 50)]
+        tested.clear()
+        got = line_join.line_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {x.doc_id for x in got if x.removed} == {n + i for i in range(0, n, 50)}
+        assert sum(tested) <= 3 * n, tested
+
+
+def test_wide_bitmaps_never_lose_a_pair():
+    r = np.random.default_rng(8)
+    rank = np.arange(line_join.CELLS, dtype=np.uint64)
+    for n in (5, 47, 400):
+        a = common.mix(r.integers(0, 1 << 62, n, np.uint64))
+        b = np.concatenate([a[n // 6:], common.mix(r.integers(0, 1 << 62, n // 8, np.uint64))])
+        *_, wide, _, _, _ = line_join.line_sets(np.array([len(a), len(b)]), np.concatenate([a, b]), rank, 80)
+        apart = sum(bin(int(w[0] ^ w[1]) & (1 << 64) - 1).count("1") for w in wide)
+        assert apart <= len(np.setxor1d(a, b))
