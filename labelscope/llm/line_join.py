@@ -11,10 +11,10 @@ never removed.
 2. Lines with equal sets are one node; all but the first are removed.
 3. Prefix filter: similar sets share one of the rarest
    n - ceil(t n) + 1 tokens of each. Pairs that meet on a prefix token must
-   pass the length filter, the positional filter, and a 64-bit parity bitmap:
-   each token in one set only flips one bit, so more bits apart than tokens
-   may differ rules a pair out. The distinct pairs that pass meet a second
-   bitmap of ``WIDE`` words, which few pairs pass that aren't similar.
+   pass the length filter, the positional filter, and a parity bitmap of
+   64 ``WIDE`` bits: each token in one set only flips one bit, so more bits
+   apart than tokens may differ rules a pair out. Few pairs pass that aren't
+   similar, also where many lines share a passage.
 4. What passes is verified on the lines' words.
 
 Many variants of one line would all pair with each other, so a round before
@@ -41,7 +41,7 @@ from labelscope.llm.common import blocked_bloom, likely, maybe_in, mix, names_of
 PERCENT = 80
 CELLS = 1 << 18                      # a cell is the low 18 bits of a name
 BUCKETS = 3
-WIDE = 4                             # words of 64 bits of the second bitmap
+WIDE = 4                             # words of 64 bits of the bitmap that pairs meet
 _SALT = np.array([0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x5851F42D4C957F2D], np.uint64)
 
 
@@ -154,20 +154,12 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                          "wide array<long>, buckets array<long>, prefix array<int>")
 
 
-def _may_match(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
-    """Length filter, and no more bits apart than tokens may differ."""
+def _may_match(na: Column, nb: Column, a: list[Column], b: list[Column], percent: int) -> Column:
+    """Length filter, and no more bits apart than tokens may differ; the
+    bitmaps are a and b."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) \
-        & ((100 + percent) * F.bit_count(a.bitwiseXOR(b)) <= (100 - percent) * (na + nb))
-
-
-def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose wide bitmaps are no more bits apart than tokens may differ."""
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "lines_asked")
-    shape = stored(likely(nodes.select("node", "n", "wide"), "node", asked), "lines_wide")
-    side = lambda s: shape.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"w_{s}"))
-    apart = sum((F.bit_count(F.col("w_a")[j].bitwiseXOR(F.col("w_b")[j])) for j in range(WIDE)), F.lit(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +189,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lead = held.filter("doc = low").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"),
                                            F.col("bitmap").alias("ba"))
     star = held.join(lead, "bucket").filter(
-        (F.col("a") != F.col("node")) & _may_match(F.col("na"), F.col("n"), F.col("ba"), F.col("bitmap"), percent)) \
+        (F.col("a") != F.col("node")) & _may_match(F.col("na"), F.col("n"), [F.col("ba")], [F.col("bitmap")], percent)) \
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     star = stored(star, "lines_star")
     texts = _texts(docs, first, star)
@@ -206,18 +198,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # All pairs that share a prefix token, but for those both removed already.
     p = nodes.join(done.withColumn("done", F.lit(1)), "node", "left").select(
-        "node", "n", "bitmap", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("p", "token"))
+        "node", "n", *(F.col("wide")[j].alias(f"w{j}") for j in range(WIDE)), F.coalesce("done", F.lit(0)).alias("done"),
+        F.posexplode("prefix").alias("p", "token"))
     x, y = ("a", "b")
     side = lambda s: p.select(*(F.col(c).alias(f"{c}_{s}") for c in p.columns))
     c = lambda name: F.col(name)
     most = F.least(c("p_a"), c("p_b")) + 1 + F.least(c("n_a") - c("p_a"), c("n_b") - c("p_b")) - 1
     met = side(x).join(side(y), c("token_a") == c("token_b")).filter(
         (c("node_a") < c("node_b")) & (c("done_a") + c("done_b") < 2)
-        & _may_match(c("n_a"), c("n_b"), c("bitmap_a"), c("bitmap_b"), percent)
+        & _may_match(c("n_a"), c("n_b"), *([c(f"w{j}_{s}") for j in range(WIDE)] for s in (x, y)), percent)
         & ((100 + percent) * most >= percent * (c("n_a") + c("n_b")))) \
         .select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
-    met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_met")
-    met = stored(_close(met, nodes, percent), "lines_pairs")
+    met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_pairs")
     more = _later(_verified(met, _texts(docs, first, met), percent), first)
     similar = done.unionByName(more.select("node")).distinct().withColumn("similar", F.lit(True))
     return all_lines.select("doc_id", "row", "line", "node").join(first, "node").join(similar, "node", "left") \
