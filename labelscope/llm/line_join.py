@@ -12,9 +12,9 @@ never removed.
 3. Prefix filter: similar sets share one of the rarest
    n - ceil(t n) + 1 tokens of each. Pairs that meet on a prefix token must
    pass the length filter, the positional filter, and a parity bitmap of
-   64 ``WIDE`` bits: each token in one set only flips one bit, so more bits
-   apart than tokens may differ rules a pair out. Few pairs pass that aren't
-   similar, also where many lines share a passage.
+   64 ``WORDS`` bits: each token in one set only flips one bit, so more bits apart than tokens may
+   differ rules a pair out. Few pairs pass that aren't similar, also where
+   many lines share a passage.
 4. What passes is verified on the lines' words.
 
 Many variants of one line would all pair with each other, so a round before
@@ -29,7 +29,7 @@ stay as they are in ``drop_lines``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from labelscope.llm.common import blocked_bloom, likely, maybe_in, mix, names_of
 PERCENT = 80
 CELLS = 1 << 18                      # a cell is the low 18 bits of a name
 BUCKETS = 3
-WIDE = 4                             # words of 64 bits of the bitmap that pairs meet
+WORDS = 2                            # of 64 bits, of a bitmap
 _SALT = np.array([0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x5851F42D4C957F2D], np.uint64)
 
 
@@ -78,9 +78,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: int) -> tuple:
-    """For each line that has words: (line, node, size, bitmap, the words of
-    the wide bitmap, three bucket tokens, prefix tokens, where each line's
-    prefix ends). ``counts`` are the
+    """For each line that has words: (line, node, size, the words of its
+    bitmap, three bucket tokens, prefix tokens, where each line's prefix ends). ``counts`` are the
     words of each line, ``ids`` all their names."""
     line = np.repeat(np.arange(len(counts)), counts)
     # The cell's place in the order of rarity, then the rest of the name.
@@ -92,20 +91,19 @@ def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: in
     lines, begin, size = np.unique(line, return_index=True, return_counts=True)
     mixed = mix(ids)
     node = mix(np.add.reduceat(mixed, begin) + size.astype(np.uint64))
-    bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), begin)
-    at = mixed >> np.uint64(48) & np.uint64(64 * WIDE - 1)
+    at = mixed >> np.uint64(48) & np.uint64(64 * WORDS - 1)
     bit = np.uint64(1) << (at & np.uint64(63))
-    wide = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64)
-            for w in range(WIDE)]
+    bitmap = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64)
+              for w in range(WORDS)]
     short = (ids >> np.uint64(16)).astype(np.uint32).view(np.int32)
     buckets = [np.minimum.reduceat(mix(ids ^ s), begin).view(np.int64) for s in _SALT]
     width = size - _need(size, percent) + 1
     inside = np.arange(len(ids)) - np.repeat(begin, size) < np.repeat(width, size)
-    return lines, node.view(np.int64), size, bitmap.view(np.int64), wide, buckets, short[inside], np.cumsum(width)
+    return lines, node.view(np.int64), size, bitmap, buckets, short[inside], np.cumsum(width)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("node", pa.int64()),
-                     ("n", pa.int32()), ("bitmap", pa.int64()), ("wide", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int64())),
+                     ("n", pa.int32()), ("bitmap", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int64())),
                      ("prefix", pa.list_(pa.int32()))])
 
 
@@ -123,7 +121,7 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 ids, counts = names_of([x for t in texts for x in t])
                 if not len(ids):
                     continue
-                got, node, n, bitmap, wide, buckets, prefix, ends = line_sets(counts, ids, where.value, percent)
+                got, node, n, bitmap, buckets, prefix, ends = line_sets(counts, ids, where.value, percent)
                 per_doc = np.array([len(t) for t in texts])
                 doc = np.repeat(np.arange(len(texts)), per_doc)[got]
                 number = got - (np.cumsum(per_doc) - per_doc)[doc]
@@ -139,22 +137,22 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(np.where(fresh, ends - first, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(prefix[take], pa.int32()),
                                                  mask=pa.array(~fresh))
-                wide, keys = (pa.ListArray.from_arrays(
+                bits, keys = (pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(fresh * len(x))]).astype(np.int32)),
-                    pa.array(np.stack(x, 1)[fresh].reshape(-1), pa.int64()), mask=pa.array(~fresh)) for x in (wide, buckets))
+                    pa.array(np.stack(x, 1)[fresh].reshape(-1), pa.int64()), mask=pa.array(~fresh)) for x in (bitmap, buckets))
                 doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(1).take(doc), pa.array(number, pa.int32()),
-                     pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bitmap, pa.int64()), wide, keys, lists],
+                     pa.array(node, pa.int64()), pa.array(n, pa.int32()), bits, keys, lists],
                     schema=_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        text_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(run, "doc_id long, row long, line int, node long, n int, bitmap long, "
-                         "wide array<long>, buckets array<long>, prefix array<int>")
+        .mapInArrow(run, "doc_id long, row long, line int, node long, n int, "
+                         "bitmap array<long>, buckets array<long>, prefix array<int>")
 
 
-def _may_match(na: Column, nb: Column, a: list[Column], b: list[Column], percent: int) -> Column:
+def _may_match(na: Column, nb: Column, a: Sequence[Column], b: Sequence[Column], percent: int) -> Column:
     """Length filter, and no more bits apart than tokens may differ; the
     bitmaps are a and b."""
     apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
@@ -189,7 +187,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lead = held.filter("doc = low").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"),
                                            F.col("bitmap").alias("ba"))
     star = held.join(lead, "bucket").filter(
-        (F.col("a") != F.col("node")) & _may_match(F.col("na"), F.col("n"), [F.col("ba")], [F.col("bitmap")], percent)) \
+        (F.col("a") != F.col("node")) & _may_match(F.col("na"), F.col("n"), *([F.col(x)[j] for j in range(WORDS)] for x in ("ba", "bitmap")), percent)) \
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     star = stored(star, "lines_star")
     texts = _texts(docs, first, star)
@@ -197,17 +195,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     done = stored(pairs.select("node").distinct(), "lines_done")
 
     # All pairs that share a prefix token, but for those both removed already.
+    # Size, place of the token and done in one long: a row for each prefix token moves.
+    words = [F.col("bitmap")[j].alias(f"w{j}") for j in range(WORDS)]
     p = nodes.join(done.withColumn("done", F.lit(1)), "node", "left").select(
-        "node", "n", *(F.col("wide")[j].alias(f"w{j}") for j in range(WIDE)), F.coalesce("done", F.lit(0)).alias("done"),
-        F.posexplode("prefix").alias("p", "token"))
+        "node", "n", *words, F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("p", "token"))
+    p = p.select("token", "node", *(f"w{j}" for j in range(WORDS)), F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(
+        (F.col("p") * 2 + F.col("done")).cast("long")).alias("m"))
     x, y = ("a", "b")
     side = lambda s: p.select(*(F.col(c).alias(f"{c}_{s}") for c in p.columns))
     c = lambda name: F.col(name)
-    most = F.least(c("p_a"), c("p_b")) + 1 + F.least(c("n_a") - c("p_a"), c("n_b") - c("p_b")) - 1
+    size = lambda s: F.shiftright(c(f"m_{s}"), 32)
+    place = lambda s: F.shiftright(c(f"m_{s}").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    most = F.least(place(x), place(y)) + F.least(size(x) - place(x), size(y) - place(y))
     met = side(x).join(side(y), c("token_a") == c("token_b")).filter(
-        (c("node_a") < c("node_b")) & (c("done_a") + c("done_b") < 2)
-        & _may_match(c("n_a"), c("n_b"), *([c(f"w{j}_{s}") for j in range(WIDE)] for s in (x, y)), percent)
-        & ((100 + percent) * most >= percent * (c("n_a") + c("n_b")))) \
+        (c("node_a") < c("node_b")) & (c("m_a").bitwiseAND(c("m_b")).bitwiseAND(F.lit(1)) == 0)
+        & _may_match(size(x), size(y), *([c(f"w{j}_{s}") for j in range(WORDS)] for s in (x, y)), percent)
+        & ((100 + percent) * most >= percent * (size(x) + size(y)))) \
         .select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
     met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_pairs")
     more = _later(_verified(met, _texts(docs, first, met), percent), first)

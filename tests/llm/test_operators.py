@@ -553,12 +553,12 @@ def test_variants_below_the_threshold_are_not_verified(spark, monkeypatch):
         assert sum(tested) <= 3 * n, tested
 
 
-def test_wide_bitmaps_never_lose_a_pair():
+def test_bitmaps_never_lose_a_pair():
     r = np.random.default_rng(8)
     rank = np.arange(line_join.CELLS, dtype=np.uint64)
     for n in (5, 47, 400):
         a = common.mix(r.integers(0, 1 << 62, n, np.uint64))
         b = np.concatenate([a[n // 6:], common.mix(r.integers(0, 1 << 62, n // 8, np.uint64))])
-        *_, wide, _, _, _ = line_join.line_sets(np.array([len(a), len(b)]), np.concatenate([a, b]), rank, 80)
-        apart = sum(bin(int(w[0] ^ w[1]) & (1 << 64) - 1).count("1") for w in wide)
+        *_, bitmap, _, _, _ = line_join.line_sets(np.array([len(a), len(b)]), np.concatenate([a, b]), rank, 80)
+        apart = sum(bin(int(w[0] ^ w[1]) & (1 << 64) - 1).count("1") for w in bitmap)
         assert apart <= len(np.setxor1d(a, b))
