@@ -363,7 +363,7 @@ def q_response_extract(spark, sf_dir):
 
 
 def q_detection_explode(spark, sf_dir):
-    return explode_detections(_extracted(spark, sf_dir))
+    return explode_detections(extract_responses(D.all_responses(spark, sf_dir)))
 
 
 def q_csv_roundtrip(spark, sf_dir):

@@ -216,10 +216,20 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``resp``: one free-text response per event."""
+    ev = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return _responses(ev)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``resp``: one free-text response per event (none for some)."""
+    """``resp`` as far as it has arrived: some requests have no response."""
     ev = load_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
                                                     "value").where(f"NOT ({RESP_ABSENT})")
+    return _responses(ev)
+
+
+def _responses(ev: DataFrame) -> DataFrame:
     out = spread(ev, "event_id").select(*[F.expr(e).alias(n) for n, e in RESP_COLUMNS])
     # the call took (event_id % 60) seconds
     return out.withColumn("ended_at", F.col("started_at") + F.make_interval(

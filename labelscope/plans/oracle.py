@@ -309,9 +309,10 @@ p2 AS (SELECT doc_id, path, filename,
        FROM p1 WHERE {kept})"""
 
 
-def _resp_ctes(late: bool = False) -> str:
-    """``late``: where a request was answered again, only that answer."""
-    told = f"FROM events WHERE NOT ({D.RESP_ABSENT})"
+def _resp_ctes(late: bool = False, absent: bool = True) -> str:
+    """``late``: where a request was answered again, only that answer.
+    ``absent``: some requests have no response; without it, every event has one."""
+    told = f"FROM events WHERE NOT ({D.RESP_ABSENT})" if absent else "FROM events"
     select = lambda cols: "SELECT " + ", ".join(f"{e} AS {n}" for n, e in cols.items()) + f" {told}"
     cols = dict(D.RESP_COLUMNS)
     resp = select(cols)
@@ -494,9 +495,9 @@ det AS (SELECT filename, lang AS ground_truth_label, m AS model_name, coalesce(k
 SELECT request_id, model_name, response_status, parse_step, parse_status,
        CAST(CASE WHEN json_type(kv) = 'ARRAY' THEN json_array_length(kv) END AS INTEGER) AS n_elements
 FROM rt"""
-    out["detection_explode"] = "WITH " + _resp_ctes() + """
+    out["detection_explode"] = "WITH " + _resp_ctes(absent=False) + """
 SELECT request_id, pos, detected_pattern, confidence, adherence, reasoning, is_fallback FROM dets"""
-    out["detection_stream"] = out["detection_explode"]
+    out["detection_stream"] = out["detection_explode"].replace("FROM events)", f"FROM events WHERE NOT ({D.RESP_ABSENT}))", 1)
     na = ", ".join(q(t) for t in CSV_NA_TOKENS)
     nn = lambda c: f"CASE WHEN {c} IN ({na}) THEN NULL ELSE {c} END AS {c}"
     out["csv_roundtrip"] = "WITH " + _resp_ctes() + f"""
