@@ -406,7 +406,7 @@ def q_csv_rejects(spark, sf_dir):
 def q_detection_stream(spark, sf_dir):
     from labelscope.streaming.responses import stream_detections
     src = scratch_path(spark, "responses_in")
-    D.responses(spark, sf_dir).write.mode("overwrite").parquet(src)
+    D.all_responses(spark, sf_dir).write.mode("overwrite").parquet(src)
     out, ckpt = scratch_path(spark, "detections_out"), scratch_path(spark, "detections_ckpt")
     schema = spark.read.parquet(src).schema
     stream_detections(spark, src, schema, out, ckpt).awaitTermination()
