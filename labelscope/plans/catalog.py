@@ -453,7 +453,7 @@ def q_response_durations(spark, sf_dir):
 
 def q_response_rejects(spark, sf_dir):
     from labelscope.operators.responses import rejected_elements
-    return rejected_elements(_extracted(spark, sf_dir))
+    return rejected_elements(extract_responses(D.all_responses(spark, sf_dir)))
 
 
 def q_keyword_label_join(spark, sf_dir):

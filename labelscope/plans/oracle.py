@@ -683,7 +683,7 @@ x AS (SELECT m AS model_name, CASE WHEN told THEN 'answered' ELSE 'missing' END
       UNION ALL SELECT '', 'orphan', true FROM a WHERE NOT asked AND told
       UNION ALL SELECT '', 'orphan', true FROM a WHERE NOT asked AND again)
 SELECT model_name, match, count(*) AS n, count(*) FILTER (told) AS n_answers FROM x GROUP BY ALL""",
-        "response_rejects": "WITH " + _resp_ctes() + """
+        "response_rejects": "WITH " + _resp_ctes(absent=False) + """
 SELECT request_id, pos, CAST(e AS VARCHAR) AS element, 'element_not_object' AS reason
 FROM el WHERE json_type(e) <> 'OBJECT'""",
         "item_index": f"""

@@ -18,7 +18,7 @@ def events(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["detection_explode", "detection_stream"])
+@pytest.mark.parametrize("name", ["detection_explode", "detection_stream", "response_rejects"])
 def test_every_event_has_its_response(spark, events, name):
     got = E.queries()[name](spark, events)
     con = duckdb.connect()
