@@ -9,14 +9,15 @@ writes lie in a folder each, ``label=<label>/name=<file name>/``; with
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import SOURCE_EXTENSIONS
 from labelscope.functions.text import basename, decode_source_bytes, ends_with_any, parent_dir
-from labelscope.sources.paths import exists
+from labelscope.sources.paths import exists, mounted
 
 _FILES = "path string, below string, filename string, gold_label string, length long"
 
@@ -32,6 +33,24 @@ def _below(path: Column, root: str) -> Column:
     return F.substring(path, F.instr(path, plain) + len(plain), F.lit(1 << 30))
 
 
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _listed(reader: DataFrameReader, spark: SparkSession, root: str) -> DataFrame:
+    """``load``, with the folders listed by a few tasks for each core. Spark
+    alone starts a task for each folder, up to 10,000."""
+    before = spark.conf.get(_LISTING_TASKS, None)
+    try:
+        tasks = 4 * spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        return reader.load(root)
+    spark.conf.set(_LISTING_TASKS, min(tasks, int(before or tasks)))
+    try:
+        return reader.load(root)
+    finally:
+        spark.conf.unset(_LISTING_TASKS) if before is None else spark.conf.set(_LISTING_TASKS, before)
+
+
 def _scan(spark: SparkSession, root: str, extensions: Sequence[str], layout: str) -> DataFrame:
     """path (of the item), below, filename, gold_label and binaryFile's columns."""
     if layout not in ("file", "folder"):
@@ -40,10 +59,11 @@ def _scan(spark: SparkSession, root: str, extensions: Sequence[str], layout: str
     read = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
             .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True))
     if layout == "file":
-        df = read.option("pathGlobFilter", _glob(extensions)).load(root)
+        df = _listed(read.option("pathGlobFilter", _glob(extensions)), spark, root)
         below = _below(F.col("path"), root)
     else:
-        df = read.option("pathGlobFilter", "part-*").load(root).withColumn("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+        df = _listed(read.option("pathGlobFilter", "part-*"), spark, root).withColumn(
+            "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
         # Folders are named key=value, the value with %XX for some characters.
         values = F.regexp_replace(_below(F.col("path"), root), r"/[^=/]*=", "/")
         below = F.url_decode(F.replace(values, F.lit("+"), F.lit("%2B")))
@@ -61,7 +81,11 @@ def scan_files(spark: SparkSession, root: str,
     that can't be looked at is an error."""
     if not exists(spark, root):
         return spark.createDataFrame([], _FILES)
-    return _scan(spark, root, extensions, layout).drop("content")
+    return _files(_scan(spark, root, extensions, layout))
+
+
+def _files(scan: DataFrame) -> DataFrame:
+    return scan.drop("content")
 
 
 def read_items(spark: SparkSession, root: str,
@@ -72,8 +96,8 @@ def read_items(spark: SparkSession, root: str,
     The listing reads no bytes; the texts are joined to it by path."""
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, below string, filename string, gold_label string, content string")
-    return scan_files(spark, root, extensions, layout).drop("length").join(
-        read_texts(spark, root, extensions, layout), "path", "left")
+    scan = _scan(spark, root, extensions, layout)         # one listing serves both
+    return _files(scan).drop("length").join(_texts(scan), "path", "left")
 
 
 def read_texts(spark: SparkSession, root: str,
@@ -82,14 +106,62 @@ def read_texts(spark: SparkSession, root: str,
     Files longer than a binary value may be are not opened."""
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, content string")
-    most = spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))
-    return _scan(spark, root, extensions, layout).where(F.col("length") <= int(most)).select("path", decode_source_bytes("content").alias("content"))
+    return _texts(_scan(spark, root, extensions, layout))
+
+
+def _texts(scan: DataFrame) -> DataFrame:
+    most = scan.sparkSession.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))
+    return scan.where(F.col("length") <= int(most)).select("path", decode_source_bytes("content").alias("content"))
 
 
 def write_items(items: DataFrame, root: str, name_col: str = "filename", label_cols: Sequence[str] = ("gold_label",),
                 content_col: str = "content", mode: str = "overwrite") -> str:
     """Write each item as a text file in a folder of its own below its label's
-    (``layout="folder"``). The writer ends each text with a new line."""
-    (items.select(*label_cols, F.col(name_col).alias("name"), F.col(content_col).alias("value"))
-        .write.mode(mode).partitionBy(*label_cols, "name").text(root))
+    (``layout="folder"``). Each text ends with a new line.
+
+    Where the store is a mounted file system, the tasks write their files
+    themselves; Spark's partitioned writer, used elsewhere, takes many
+    milliseconds there for a folder. The layout is the same."""
+    spark = items.sparkSession
+    folders = [*label_cols, "name"]
+    named = items.select(*label_cols, F.col(name_col).alias("name"), F.col(content_col).alias("value"))
+    base = mounted(spark, root)
+    if base is None:
+        named.write.mode(mode).partitionBy(*folders).text(root)
+        return root
+    if mode == "ignore" and exists(spark, root):
+        return root
+    # No rows: clears, makes or refuses the root, as the mode says.
+    named.limit(0).write.mode(mode).partitionBy(*folders).text(root)
+    (named.select(*[F.col(c).cast("string").alias(c) for c in folders], F.col("value").cast("binary").alias("value"))
+        .sortWithinPartitions(*folders).foreachPartition(_file_writer(base, folders)))
     return root
+
+
+def _file_writer(base: str, folders: Sequence[str]):
+    """Writes the sorted rows of a task: (value of each folder, text). A file
+    gets its name when it is whole, so a task may run again."""
+    job = uuid.uuid4().hex
+
+    def folder(key, value):
+        import re
+        if not value:
+            return f"{key}=__HIVE_DEFAULT_PARTITION__"
+        return key + "=" + re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+    def write(rows):
+        import itertools
+        import os
+        import uuid
+        from pyspark import TaskContext
+        name = f"part-{TaskContext.get().partitionId():05d}-{job}"
+        for values, group in itertools.groupby(rows, key=lambda r: tuple(r)[:-1]):
+            place = "/".join([base, *map(folder, folders, values)])
+            os.makedirs(place, exist_ok=True)
+            unfinished = f"{place}/.{uuid.uuid4().hex}"
+            with open(unfinished, "wb") as f:
+                for row in group:
+                    f.write(bytes(row[-1] or b"") + b"\n")
+            os.replace(unfinished, f"{place}/{name}")
+
+    return write

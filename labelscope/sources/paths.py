@@ -1,4 +1,4 @@
-"""Whether a path exists, in any store that Spark reads."""
+"""Whether a path exists, in any store that Spark reads, and where it is mounted."""
 
 from __future__ import annotations
 
@@ -23,3 +23,15 @@ def exists(spark: SparkSession, path: str) -> bool:
             raise
     p = context._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p))
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The plain path of one in the file system that driver and executors
+    mount (``file:``); None in any other store."""
+    try:
+        context = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        return None
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None

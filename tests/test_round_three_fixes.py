@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from labelscope.sources.corpus import read_items, scan_files, write_items
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +32,29 @@ def test_every_event_has_its_response(spark, events, name):
         assert "req-3120" in ids                   # 3120 % 89 = 5
     else:
         assert ids == {f"req-{i}" for i in range(3200)}
+
+
+def test_collection_of_files_lies_in_its_folders_and_is_listed_by_few_tasks(spark, tmp_path):
+    items = spark.createDataFrame(
+        [("a b", "x'y[1]^.java", "one\r\n"), (None, "n.java", None), ("", "é#.java", ""), ("k=v", "twice.java", "t"), ("k=v", "twice.java", "t")],
+        "gold_label string, filename string, content string").repartition(1)
+    for mode in ("overwrite", "overwrite", "ignore"):
+        root = write_items(items, f"file://{tmp_path}/own", mode=mode)
+    (items.withColumnsRenamed({"filename": "name", "content": "value"}).write.partitionBy("gold_label", "name").text(f"{tmp_path}/spark"))
+    found = lambda r: sorted(tuple(x) for x in read_items(spark, r, layout="folder").drop("path").collect())
+    assert found(root) == found(f"{tmp_path}/spark") and len(found(root)) == 4
+    many = spark.range(300).selectExpr("'l' gold_label", "concat('f', id, '.java') filename", "'x' content")
+    key, tracker = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.statusTracker()
+    before = spark.conf.get(key, None)
+    write_items(many, f"{tmp_path}/many")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        files = scan_files(spark, f"{tmp_path}/many", layout="folder")
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+        stages = [tracker.getStageInfo(i) for j in jobs for i in j.stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert files.count() == 300 and spark.conf.get(key, None) == before
+    assert 0 < max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_items(many, f"{tmp_path}/many", mode="error")
