@@ -3,7 +3,9 @@
 A detector is a function ``pandas.DataFrame(requests) -> pandas.DataFrame``
 with columns (request_id, raw_response, started_at, ended_at). It runs per
 partition through ``mapInPandas`` (Arrow batches), so requests are spread
-over the cluster and never pass through the driver. A failing call should be
+over the cluster and never pass through the driver. ``run_pending`` sends
+``BATCH`` of them at once, so that what a worker holds does not grow with its
+partition. A failing call should be
 returned as an 'Error: ...' response, which scoring counts as a miss.
 
 A run can stop and go on: ``run_pending`` asks only what the response table
@@ -14,6 +16,7 @@ one by one, so a run that dies loses one wave.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +27,10 @@ from labelscope.sources.paths import exists
 RESPONSE_SCHEMA = ("request_id string, raw_response string, "
                    "started_at timestamp_ntz, ended_at timestamp_ntz")
 
+#: Requests that ``run_pending`` gives a detector at once, at most.
+BATCH = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 Detector = Callable[["pandas.DataFrame"], "pandas.DataFrame"]  # noqa: F821
 
 
@@ -61,6 +68,18 @@ def run_detector(requests: DataFrame, detector: Detector,
     return requests.select(*cols).mapInPandas(apply, out_schema)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions within it exchange at most ``BATCH`` rows at once with Python."""
+    before = spark.conf.get(_BATCH_SETTING)
+    limit = int(before)
+    spark.conf.set(_BATCH_SETTING, min(limit, BATCH) if limit > 0 else BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def read_answers(spark: SparkSession, path: str, schema: str = RESPONSE_SCHEMA) -> DataFrame:
     """The response table under ``path`` (empty if there is none): one answer
     for each request, the earliest, should two runs at once have asked the
@@ -93,11 +112,13 @@ def run_pending(requests: DataFrame, detector: Detector, path: str, waves: int =
     spark = requests.sparkSession
     for wave in range(waves):
         part = requests.where(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == wave) if waves > 1 else requests
-        run_detector(pending(part, path), detector, **options).write.mode("append").parquet(path)
+        with _small_batches(spark):
+            run_detector(pending(part, path), detector, **options).write.mode("append").parquet(path)
     if retry_errors:
         failed = read_answers(spark, path).where(F.col("raw_response").startswith(ERROR_PREFIX)).select("request_id")
         again = run_detector(requests.join(failed, "request_id", "left_semi"), detector, **options)
-        again.write.mode("overwrite").parquet(f"{path}.retried")
+        with _small_batches(spark):
+            again.write.mode("overwrite").parquet(f"{path}.retried")
         return replaced(read_answers(spark, path), spark.read.parquet(f"{path}.retried"))
     return read_answers(spark, path)
 
