@@ -45,9 +45,19 @@ def piece_scores(path: str) -> tuple[dict[str, float], float]:
     return {sp.id_to_piece(i): -math.log(r + ZIPF) for r, i in enumerate(plain)}, -math.log(n + ZIPF)
 
 
-def terminal_counts(words: list[str], scores: dict[str, float], byte: float) -> list[tuple[int, float]]:
-    """(tokens, score) of each of the sorted ``words``."""
-    longest = max(map(len, scores))
+def piece_endings(scores: dict[str, float]) -> dict[str, float | None]:
+    """Every ending of a piece, with its score if it is a piece itself."""
+    endings = {p[i:]: None for p in scores for i in range(1, len(p))}
+    endings.update(scores)
+    return endings
+
+
+def terminal_counts(words: list[str], scores: dict[str, float], byte: float,
+                    endings: dict[str, float | None] | None = None) -> list[tuple[int, float]]:
+    """(tokens, score) of each of the sorted ``words``. Pieces that end at a
+    character are looked for from its left on, as long as a piece ends so."""
+    endings = piece_endings(scores) if endings is None else endings
+    ending = endings.get
     best, last, out = [(0.0, 0)], "", []          # best[d]: (score, -tokens) of the prefix of d characters
     for word in words:
         shared = 0
@@ -64,12 +74,15 @@ def terminal_counts(words: list[str], scores: dict[str, float], byte: float) ->
             else:
                 k = len(c.encode("utf-8", "replace"))
                 top = (s + k * byte, t - k)
-            for begin in range(max(0, end - longest), end - 1):
-                p = scores.get(word[begin:end])
-                if p is not None:
-                    s, t = best[begin]
-                    if (s + p, t - 1) > top:
-                        top = (s + p, t - 1)
+            for begin in range(end - 2, -1, -1):
+                p = ending(word[begin:end], 0.0)
+                if p is None:
+                    continue
+                if p == 0.0:                         # no piece ends so: scores are below 0
+                    break
+                s, t = best[begin]
+                if (s + p, t - 1) > top:
+                    top = (s + p, t - 1)
             best.append(top)
         last = word
         out.append((-best[-1][1], best[-1][0]))
@@ -86,6 +99,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, byte = in_worker(f"scores of {path}", lambda: piece_scores(path))
+        endings = in_worker(f"endings of {path}", lambda: piece_endings(scores))
         known = in_worker(f"counts of {path}", Remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -94,7 +108,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 known.trim()
                 new = sorted((MARK + w.decode("utf-8", "replace"), w) for w in set().union(*words)
                              if w not in known and w not in known.old)
-                for (_, w), v in zip(new, terminal_counts([x for x, _ in new], scores, byte)):
+                for (_, w), v in zip(new, terminal_counts([x for x, _ in new], scores, byte, endings)):
                     known[w] = v
                 rows = []
                 for ws in words:
