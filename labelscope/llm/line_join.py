@@ -10,15 +10,18 @@ never removed.
    order gives exact results; rarity keeps candidates few.
 2. Lines with equal sets are one node; all but the first are removed.
 3. Prefix filter: similar sets share one of the rarest
-   n - ceil(t n) + 1 tokens of each. Pairs that meet on a prefix token must
-   pass the length filter, the positional filter, and a parity bitmap of
+   n - ceil(t n) + 1 tokens of each. Spark brings the rows of a prefix token
+   together, ordered by size. The rarest shared token of a pair leaves no more
+   in common than what follows it in either set, so each row meets only the
+   larger sets of its token up to the size that this allows (``candidates``).
+   Pairs must then pass a parity bitmap of
    64 ``WORDS`` bits: each token in one set only flips one bit, so more bits apart than tokens may
    differ rules a pair out. Few pairs pass that aren't similar, also where
    many lines share a passage.
 4. What passes is verified on the lines' words.
 
 Many variants of one line would all pair with each other, so a round before
-the join tests each line only against the lines of the first document in
+the join tests each line only against one line of the first document in
 three small buckets (its least tokens by three hashes). The join then leaves
 out pairs of lines that are both removed already: they decide nothing.
 
@@ -40,8 +43,10 @@ from labelscope.llm.common import blocked_bloom, likely, maybe_in, mix, names_of
 
 PERCENT = 80
 CELLS = 1 << 18                      # a cell is the low 18 bits of a name
+BLOCK = 1 << 10                      # cells whose counts move as one row
 BUCKETS = 3
 WORDS = 2                            # of 64 bits, of a bitmap
+ROWS, PAIRS = 1 << 17, 1 << 18       # of prefix tokens, and pairs of them, that a task looks at together
 _SALT = np.array([0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35, 0x5851F42D4C957F2D], np.uint64)
 
 
@@ -54,6 +59,22 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
+def _block_rows(count: np.ndarray) -> pa.RecordBatch:
+    """The counts of all cells, a row for each block that has any."""
+    rows = count.reshape(-1, BLOCK)
+    block = np.flatnonzero(rows.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([rows[b].tobytes() for b in block], pa.binary())],
+                                      names=["block", "counts"])
+
+
+def _blocks_added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            count[block] += np.frombuffer(counts, np.int64)
+    yield _block_rows(count)
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """The place of each hash cell when they are ordered by their counts of
     the words of all texts."""
@@ -63,17 +84,16 @@ def rarity(docs: DataFrame) -> np.ndarray:
             for at in range(0, batch.num_rows, 500):
                 ids, _ = names_of([(t or b"").lower() for t in batch.column(0).slice(at, 500).to_pylist()])
                 count += np.bincount(_cells(ids), minlength=CELLS)
-        cell = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(count[cell], pa.int64())],
-                                         names=["cell", "n"])
-
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long") \
-        .groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(CELLS, np.int64)
-    for cell, n in counted.collect():             # at most CELLS rows
-        out[cell] = n
+        yield _block_rows(count)
+
+    schema = "block int, counts binary"
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, schema) \
+        .repartition("block").mapInArrow(_blocks_added, schema)
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
+    for block, counts in counted.collect():       # CELLS counts
+        out[block] = np.frombuffer(counts, np.int64)
     place = np.zeros(CELLS, np.uint64)
-    place[np.argsort(out, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
+    place[np.argsort(out.reshape(-1), kind="stable")] = np.arange(CELLS, dtype=np.uint64)
     return place
 
 
@@ -102,14 +122,15 @@ def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: in
     return lines, node.view(np.int64), size, bitmap, buckets, short[inside], np.cumsum(width)
 
 
+_BITS = [f"w{j}" for j in range(WORDS)]
+_KEYS = [f"b{j}" for j in range(BUCKETS)]
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("node", pa.int64()),
-                     ("n", pa.int32()), ("bitmap", pa.list_(pa.int64())), ("buckets", pa.list_(pa.int64())),
-                     ("prefix", pa.list_(pa.int32()))])
+                     ("n", pa.int32()), *((c, pa.int64()) for c in _BITS + _KEYS), ("prefix", pa.list_(pa.int32()))])
 
 
 def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """A row for each line with words; the lists are null where the worker has
-    given the node before."""
+    """A row for each line with words; bitmap (w0, w1), buckets (b0 to b2) and
+    prefix are null where the worker has given the node before."""
     where = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +158,77 @@ def lines(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(np.where(fresh, ends - first, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(prefix[take], pa.int32()),
                                                  mask=pa.array(~fresh))
-                bits, keys = (pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(fresh * len(x))]).astype(np.int32)),
-                    pa.array(np.stack(x, 1)[fresh].reshape(-1), pa.int64()), mask=pa.array(~fresh)) for x in (bitmap, buckets))
+                known = [pa.array(x, mask=~fresh) for x in (*bitmap, *buckets)]
                 doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(doc), part.column(1).take(doc), pa.array(number, pa.int32()),
-                     pa.array(node, pa.int64()), pa.array(n, pa.int32()), bits, keys, lists],
+                     pa.array(node, pa.int64()), pa.array(n, pa.int32()), *known, lists],
                     schema=_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        text_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("text").cast("binary").alias("text")) \
         .mapInArrow(run, "doc_id long, row long, line int, node long, n int, "
-                         "bitmap array<long>, buckets array<long>, prefix array<int>")
+                    + "".join(f"{c} long, " for c in _BITS + _KEYS) + "prefix array<int>")
+
+
+def _met(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(node, node) of the pairs of rows of one token that may be similar.
+    ``rows`` are whole tokens, ordered by ``key`` (the token, then the size)."""
+    key, node, m, bitmap = rows["key"], rows["node"], rows["m"], [rows[w].view(np.uint64) for w in _BITS]
+    token, size, place, done = key >> 32, key & 0xFFFFFFFF, m >> 1, (m & 1).astype(bool)
+    at = np.arange(len(key))
+    most = (100 + percent) * (size - place) // percent - size           # words of the larger set
+    ends = np.searchsorted(key, token << 32 | np.clip(most, 0, (1 << 31) - 1), "right")
+    open_ = np.flatnonzero(~done)
+    # A row of a node that is removed already meets only those that aren't.
+    low = np.where(done, np.searchsorted(open_, at + 1), at + 1)
+    count = np.maximum(np.where(done, np.searchsorted(open_, ends), ends) - low, 0)
+    total = np.cumsum(count)
+    for begin in range(0, int(total[-1]), PAIRS):                       # a row's pairs may be cut here
+        pair = np.arange(begin, min(begin + PAIRS, int(total[-1])))
+        i = np.searchsorted(total, pair, "right")
+        j = low[i] + pair - (total[i] - count[i])
+        d = done[i]
+        j[d] = open_[j[d]]
+        both = size[i] + size[j]
+        may = ((100 + percent) * (size[j] - place[j]) >= percent * both) & (node[i] != node[j])
+        i, j, both = i[may], j[may], both[may]
+        apart = sum(np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64) for bits in bitmap)
+        may = (100 + percent) * apart <= (100 - percent) * both
+        yield node[i[may]], node[j[may]]
+
+
+def candidates(p: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the nodes that may be similar, from a row for each prefix
+    token: token, n, node, w0, w1, m (twice its place, plus 1 if the node is
+    removed already). A task reads its tokens as a stream and holds one of
+    them, or ``ROWS`` rows, at a time."""
+    names = ["key", "node", *_BITS, "m"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+            for x, y in _met({c: np.concatenate([h[c] for h in parts]) for c in names}, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        for batch in batches:
+            part = {c: batch.column(c).to_numpy() for c in names}
+            if n >= ROWS:
+                token = part["key"] >> 32
+                cut = int(np.searchsorted(token, held[-1]["key"][-1] >> 32, "right"))
+                if cut < batch.num_rows:
+                    yield from out([*held, {c: x[:cut] for c, x in part.items()}])
+                    held, n, part = [], 0, {c: x[cut:] for c, x in part.items()}
+            if len(part["key"]):
+                held.append(part)
+                n += len(part["key"])
+        if held:
+            yield from out(held)
+
+    key = F.call_function("shiftleft", F.col("token").cast("long"), F.lit(32)).bitwiseOR(F.col("n").cast("long"))
+    return p.select(key.alias("key"), "node", *_BITS, F.col("m").cast("long").alias("m")) \
+        .repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _may_match(na: Column, nb: Column, a: Sequence[Column], b: Sequence[Column], percent: int) -> Column:
@@ -174,44 +253,28 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     all_lines = stored(lines(docs, rarity(docs), percent), "lines")
     at = F.struct(F.col("doc_id"), F.col("line"), F.col("row"))
-    first = stored(all_lines.groupBy("node").agg(F.min(at).alias("at")), "lines_first")
-    nodes = stored(all_lines.filter("prefix is not null").drop("doc_id", "row", "line")
-                   .dropDuplicates(["node"]).join(first.select("node", F.col("at.doc_id").alias("doc")), "node")
-                   .withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))), "lines_nodes")
-
-    # Each line against the lines of the first document in its buckets.
-    rows = nodes.select("node", "n", "bitmap", "doc", F.explode("buckets").alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("k")) \
-        .filter("k > 1").select("bucket", "low")
-    held = rows.join(least, "bucket")
-    lead = held.filter("doc = low").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"),
-                                           F.col("bitmap").alias("ba"))
-    star = held.join(lead, "bucket").filter(
-        (F.col("a") != F.col("node")) & _may_match(F.col("na"), F.col("n"), *([F.col(x)[j] for j in range(WORDS)] for x in ("ba", "bitmap")), percent)) \
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    nodes = stored(all_lines.groupBy("node").agg(
+        F.min(at).alias("at"), *(F.first(c, ignorenulls=True).alias(c) for c in ("n", *_BITS, *_KEYS, "prefix"))), "lines_nodes")
+    first = nodes.select("node", "at")
+
+    # Each line against one line of the first document in its buckets.
+    rows = nodes.select("node", "n", *_BITS, F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"),
+                        F.explode(F.array(*_KEYS)).alias("bucket"))
+    lead = rows.groupBy("bucket").agg(*(F.min_by(c, "doc").alias(f"{c}_a") for c in ("node", "n", *_BITS)),
+                                      F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    star = rows.drop("doc").join(lead, "bucket").filter(
+        (F.col("node_a") != F.col("node")) & _may_match(
+            F.col("n_a"), F.col("n"), [F.col(f"{c}_a") for c in _BITS], [F.col(c) for c in _BITS], percent)) \
+        .select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
     star = stored(star, "lines_star")
     texts = _texts(docs, first, star)
     pairs = _later(_verified(star, texts, percent), first)
     done = stored(pairs.select("node").distinct(), "lines_done")
 
     # All pairs that share a prefix token, but for those both removed already.
-    # Size, place of the token and done in one long: a row for each prefix token moves.
-    words = [F.col("bitmap")[j].alias(f"w{j}") for j in range(WORDS)]
     p = nodes.join(done.withColumn("done", F.lit(1)), "node", "left").select(
-        "node", "n", *words, F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("p", "token"))
-    p = p.select("token", "node", *(f"w{j}" for j in range(WORDS)), F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)).bitwiseOR(
-        (F.col("p") * 2 + F.col("done")).cast("long")).alias("m"))
-    x, y = ("a", "b")
-    side = lambda s: p.select(*(F.col(c).alias(f"{c}_{s}") for c in p.columns))
-    c = lambda name: F.col(name)
-    size = lambda s: F.shiftright(c(f"m_{s}"), 32)
-    place = lambda s: F.shiftright(c(f"m_{s}").bitwiseAND(F.lit((1 << 32) - 1)), 1)
-    most = F.least(place(x), place(y)) + F.least(size(x) - place(x), size(y) - place(y))
-    met = side(x).join(side(y), c("token_a") == c("token_b")).filter(
-        (c("node_a") < c("node_b")) & (c("m_a").bitwiseAND(c("m_b")).bitwiseAND(F.lit(1)) == 0)
-        & _may_match(size(x), size(y), *([c(f"w{j}_{s}") for j in range(WORDS)] for s in (x, y)), percent)
-        & ((100 + percent) * most >= percent * (size(x) + size(y)))) \
-        .select(c("node_a").alias("a"), c("node_b").alias("b")).distinct()
+        "node", "n", *_BITS, F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("p", "token"))
+    met = candidates(p.withColumn("m", F.col("p") * 2 + F.col("done")), percent).distinct()
     met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_pairs")
     more = _later(_verified(met, _texts(docs, first, met), percent), first)
     similar = done.unionByName(more.select("node")).distinct().withColumn("similar", F.lit(True))
