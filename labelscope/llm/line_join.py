@@ -102,13 +102,22 @@ def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: in
     bitmap, three bucket tokens, prefix tokens, where each line's prefix ends). ``counts`` are the
     words of each line, ``ids`` all their names."""
     line = np.repeat(np.arange(len(counts)), counts)
-    # The cell's place in the order of rarity, then the rest of the name.
-    order = np.lexsort((rank[_cells(ids)] << np.uint64(46) | ids >> np.uint64(18), line))
-    ids, line = ids[order], line[order]
+    # The cell's place in the order of rarity, then the rest of the name. The
+    # line and its first bits are one key, unless two names of a line share it.
+    rare = rank[_cells(ids)] << np.uint64(46) | ids >> np.uint64(18)
+    bits = len(counts).bit_length()
+    key = line.astype(np.uint64) << np.uint64(64 - bits) | rare >> np.uint64(bits)
+    order = np.argsort(key)
+    key, sorted_ids = key[order], ids[order]
+    if ((key[1:] == key[:-1]) & (sorted_ids[1:] != sorted_ids[:-1])).any():
+        order = np.lexsort((rare, line))
+        sorted_ids = ids[order]
+    ids, line = sorted_ids, line[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])
     ids, line = ids[new], line[new]
-    lines, begin, size = np.unique(line, return_index=True, return_counts=True)
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    lines, size = line[begin], np.diff(begin, append=len(line))
     mixed = mix(ids)
     node = mix(np.add.reduceat(mixed, begin) + size.astype(np.uint64))
     at = mixed >> np.uint64(48) & np.uint64(64 * WORDS - 1)
@@ -116,7 +125,7 @@ def line_sets(counts: np.ndarray, ids: np.ndarray, rank: np.ndarray, percent: in
     bitmap = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), begin).view(np.int64)
               for w in range(WORDS)]
     short = (ids >> np.uint64(16)).astype(np.uint32).view(np.int32)
-    buckets = [np.minimum.reduceat(mix(ids ^ s), begin).view(np.int64) for s in _SALT]
+    buckets = [np.minimum.reduceat(mixed * s, begin).view(np.int64) for s in _SALT]
     width = size - _need(size, percent) + 1
     inside = np.arange(len(ids)) - np.repeat(begin, size) < np.repeat(width, size)
     return lines, node.view(np.int64), size, bitmap, buckets, short[inside], np.cumsum(width)
@@ -267,39 +276,44 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.col("n_a"), F.col("n"), [F.col(f"{c}_a") for c in _BITS], [F.col(c) for c in _BITS], percent)) \
         .select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
     star = stored(star, "lines_star")
-    texts = _texts(docs, first, star)
-    pairs = _later(_verified(star, texts, percent), first)
-    done = stored(pairs.select("node").distinct(), "lines_done")
+    texts, at_of = _texts(docs, first, star)
+    done = stored(_later(_verified(star, texts, percent), at_of).distinct(), "lines_done")
 
     # All pairs that share a prefix token, but for those both removed already.
-    p = nodes.join(done.withColumn("done", F.lit(1)), "node", "left").select(
-        "node", "n", *_BITS, F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("p", "token"))
+    d = maybe_in(nodes.select("node", "n", *_BITS, "prefix"), "node", *blocked_bloom(done, "node"), "may")
+    d = d.filter(~F.col("may")).withColumn("done", F.lit(0)).unionByName(      # only nodes that may be removed move
+        d.filter("may").join(done.withColumn("done", F.lit(1)), "node", "left").withColumn("done", F.coalesce("done", F.lit(0))))
+    p = d.select("node", "n", *_BITS, "done", F.posexplode("prefix").alias("p", "token"))
     met = candidates(p.withColumn("m", F.col("p") * 2 + F.col("done")), percent).distinct()
     met = stored(met.join(star, ["a", "b"], "left_anti"), "lines_pairs")
-    more = _later(_verified(met, _texts(docs, first, met), percent), first)
+    texts, at_of = _texts(docs, first, met)
+    more = _later(_verified(met, texts, percent), at_of)
     similar = done.unionByName(more.select("node")).distinct().withColumn("similar", F.lit(True))
     return all_lines.select("doc_id", "row", "line", "node").join(first, "node").join(similar, "node", "left") \
         .filter(F.col("similar") | (at != F.col("at"))).select("doc_id", "row", "line", "node")
 
 
 def _later(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """node: the later of each pair."""
+    """node: the later of each pair; ``first`` has node, at."""
     side = lambda s: first.select(F.col("node").alias(s), F.col("at").alias(f"at_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b") \
         .select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("node"))
 
 
-def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, words (distinct, joined by spaces: a shuffle moves them for each
-    pair), k (how many) of the nodes in the pairs, from their first line."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(first.join(asked, "node").select("node", "at.row", "at.line"), "lines_wanted")
+def _texts(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the nodes in the pairs: node, words (distinct, joined by spaces: a
+    shuffle moves them for each pair), k (how many), from their first line;
+    and node, at."""
+    asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(),
+                   "lines_asked")
+    at_of = stored(likely(first, "node", asked).join(asked, "node"), "lines_wanted")
+    wanted = at_of.select("node", "at.row", "at.line")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     found = likely(docs.select(text_key(F.col("doc_id"), F.col("text")).alias("row"), "text"), "row", wanted)
     line = F.get(F.split("text", "\n"), F.col("line"))
     words = F.array_distinct(F.array_remove(F.split(F.translate(line, upper + "\t\x0b\x0c\r", lower + "    "), " "), ""))
     return stored(found.join(wanted, "row").select("node", words.alias("words")).dropDuplicates(["node"])
-                  .select("node", F.array_join("words", " ").alias("words"), F.size("words").alias("k")), "lines_texts")
+                  .select("node", F.array_join("words", " ").alias("words"), F.size("words").alias("k")), "lines_texts"), at_of
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT, empty: bool = False) -> DataFrame:

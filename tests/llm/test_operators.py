@@ -562,3 +562,51 @@ def test_bitmaps_never_lose_a_pair():
         *_, bitmap, _, _, _ = line_join.line_sets(np.array([len(a), len(b)]), np.concatenate([a, b]), rank, 80)
         apart = sum(bin(int(w[0] ^ w[1]) & (1 << 64) - 1).count("1") for w in bitmap)
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_candidates_hold_every_similar_pair(spark, monkeypatch):
+    """Rows of a token that come in many batches, pairs cut in many parts:
+    each pair of similar sets is among the candidates, few others are."""
+    monkeypatch.setattr(line_join, "ROWS", 30)
+    monkeypatch.setattr(line_join, "PAIRS", 11)
+    r, sets = np.random.default_rng(9), []
+    rank = r.permutation(line_join.CELLS).astype(np.uint64)
+    pool = common.mix(r.integers(0, 1 << 62, 300, np.uint64))
+    for _ in range(40):
+        base = r.choice(pool, r.integers(1, 60), replace=False)
+        sets.append(base)
+        for _ in range(5):
+            sets.append(np.concatenate([base[r.integers(0, len(base) // 4 + 1):], r.choice(pool, r.integers(0, 5))]))
+    sets = [np.unique(s) for s in sets if len(s)]
+    _, node, n, bitmap, _, prefix, ends = line_join.line_sets(
+        np.array([len(s) for s in sets]), np.concatenate(sets), rank, 80)
+    of = {int(x): (set(s.tolist()), i % 3 == 0) for i, (x, s) in enumerate(zip(node, sets))}
+    rows = [(int(t), int(n[i]), int(node[i]), int(bitmap[0][i]), int(bitmap[1][i]), 2 * p + of[int(node[i])][1])
+            for i, begin in enumerate([0, *ends[:-1]]) for p, t in enumerate(prefix[begin:ends[i]])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = line_join.candidates(spark.createDataFrame(
+            sorted(set(rows)), "token int, n int, node long, w0 long, w1 long, m int"), 80).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(a, b) for a, (x, d) in of.items() for b, (y, e) in of.items()
+            if a < b and not (d and e) and 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(want) > 100 and want <= {(x.a, x.b) for x in got}
+    assert not any(of[x.a][1] and of[x.b][1] for x in got)
+    assert len({(x.a, x.b) for x in got}) < 2 * len(want)
+
+
+def test_a_prefix_token_moves_and_is_sorted_once(spark):
+    """Each row of a prefix token goes through one shuffle and one sort, and is joined with no others."""
+    p = spark.createDataFrame([], "token int, n int, node long, w0 long, w1 long, m int")
+    plan = line_join.candidates(p, 80)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Join" not in plan, plan
+
+
+def test_names_of_a_line_that_share_their_first_bits_keep_one_order():
+    """Names that the short sort key can't tell apart: the order is by the whole name."""
+    rank = np.zeros(line_join.CELLS, np.uint64)
+    ids = np.array([7 << 18, 5 << 18, 9 << 18], np.uint64)
+    one = line_join.line_sets(np.array([3]), ids, rank, 1)
+    two = line_join.line_sets(np.array([3, 1]), np.concatenate([ids[::-1], ids[:1]]), rank, 1)
+    assert one[1][0] == two[1][0] and one[5][:3].tolist() == two[5][:3].tolist() == [5 << 2, 7 << 2, 9 << 2]
