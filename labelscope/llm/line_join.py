@@ -270,7 +270,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = nodes.select("node", "n", *_BITS, F.coalesce("at.doc_id", F.lit(-(1 << 63))).alias("doc"),
                         F.explode(F.array(*_KEYS)).alias("bucket"))
     lead = rows.groupBy("bucket").agg(*(F.min_by(c, "doc").alias(f"{c}_a") for c in ("node", "n", *_BITS)),
-                                      F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+                                      F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k").hint("shuffle_hash")       # a row for each bucket
     star = rows.drop("doc").join(lead, "bucket").filter(
         (F.col("node_a") != F.col("node")) & _may_match(
             F.col("n_a"), F.col("n"), [F.col(f"{c}_a") for c in _BITS], [F.col(c) for c in _BITS], percent)) \
