@@ -9,7 +9,8 @@ a bucket, from which batches of equal shape are read.
 A null or empty text is the end id alone. Repeated rows are packed each.
 Empty tables give no pieces. Other columns are ignored. Long texts are
 tokenised word by word (the tokenizer drops white space, so a text's ids are
-its words' ids in order), and workers remember words.
+its words' ids in order), and workers remember words: a bounded number of
+short ones, so that their memory does not grow with what they have read.
 """
 
 from __future__ import annotations
@@ -50,35 +51,66 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip((b for b in range(256) if b not in _SHOWN), map(chr, range(256, 512))))
 
 
+#: Words, and letter runs or marks, after which the older half is forgotten;
+#: longer ones (of so many bytes or characters) are not remembered at all.
+HELD_WORDS, HELD_PARTS, LONGEST = 100_000, 150_000, 64
+
+
 class WordTokens(Remembered):
     """word (bytes) -> its ids as little-endian unsigned 32-bit.
 
     Letters with marks after them are cut here, as the file's pre-tokenizer
     cuts them, and only new letter runs are merged by the model; any other
     word, any letter above Latin Extended-B, and letters whose lower case is
-    not letters only (capital dotted I), take the whole tokenizer."""
+    not letters only (capital dotted I), take the whole tokenizer.
+
+    Most words of a text's tail come once. So a word is remembered from the
+    second time on that its letters are met; the first time, its letters are."""
 
     def __init__(self, path: str):
-        super().__init__(self._word, 500_000)
+        super().__init__(limit=HELD_WORDS)
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
-        self.parts = Remembered(self._part, 500_000)
-
-    def _part(self, part: str) -> bytes:
+        self.parts = Remembered(limit=HELD_PARTS)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids, met = self.old.pop(word, None), True
+        if ids is None:
+            ids, met = self._word(word)
+        if met and len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> tuple[bytes, bool]:
+        """Its ids, and whether they were known."""
         if not part:
-            return b""
+            return b"", True
+        ids = self.parts.get(part)
+        if ids is not None:
+            return ids, True
+        ids = self.parts.old.pop(part, None)
+        met = ids is not None
+        if not met:
+            ids = self._merged(part)
+        if len(part) <= LONGEST:
+            self.parts[part] = ids
+        return ids, met
+
+    def _merged(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> tuple[bytes, bool]:
+        """Its ids, and whether to remember them."""
         text = word.decode("utf-8", "replace")
         plain = text if word.isascii() else unicodedata.normalize("NFC", text)
         body = plain.rstrip(MARKS)
         low = body.lower()
         if body.isalpha() and max(body) < "\u0250" and low.isalpha():
-            return self.parts[low] + self.parts[plain[len(body):]]
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            ids, met = self._part(low)
+            return ids + self._part(plain[len(body):])[0], met
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes(), True
 
     def trim(self) -> None:
         super().trim()
@@ -106,11 +138,10 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, w
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 ids_, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                words = [(t or b"").split() for t in texts]
-                known.trim()
                 rows: list[list] = [[] for _ in schema]
-                for doc, ws in zip(ids_, words):
-                    ids = b"".join(map(known.__getitem__, ws)) + end
+                for doc, text in zip(ids_, texts):
+                    known.trim()
+                    ids = b"".join(map(known.__getitem__, (text or b"").split())) + end
                     total, start = len(ids) // 4, 0
                     for n in piece_lengths(total, sequence):
                         cut = ids[4 * start:4 * (start + n)]

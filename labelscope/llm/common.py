@@ -34,6 +34,7 @@ class Remembered(dict):
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.old.clear()                  # before the copy: two halves are held, not three
             self.old = dict(self)
             self.clear()
 

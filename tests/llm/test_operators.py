@@ -115,6 +115,33 @@ def test_packing_shortcut_letters():
             assert np.frombuffer(known[word.encode()], "<u4").tolist() == tk.encode(word, add_special_tokens=False).ids, word
 
 
+
+def test_packing_holds_a_bounded_number_of_words():
+    """A worker's memory does not grow with the words that it has read."""
+    from tokenizers import Tokenizer
+    path = binary_packing.tokenizer_path()
+    tk, known = Tokenizer.from_file(path), binary_packing.WordTokens(path)
+    want = lambda w: tk.encode(w.decode(), add_special_tokens=False).ids
+    assert 2 * (known.limit + known.parts.limit) <= 500_000
+    rare = [f"Q{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}xw,".encode() for i in range(3000)]
+    for word in rare:
+        known[word]
+    assert len(known) == 0                             # words that came once
+    known = binary_packing.WordTokens(path)
+    known.limit = known.parts.limit = 200
+    for _ in range(2):
+        for i, word in enumerate([*rare, *(w[:-1] for w in rare), *(b"%d" % i for i in range(3000))]):
+            assert i % 7 or np.frombuffer(known[word], "<u4").tolist() == want(word)
+            known[word]
+            if i % 100 == 0:
+                known.trim()
+                assert sum(map(len, (known, known.old, known.parts, known.parts.old))) <= 4 * 300
+    for long in (b"a" * 5000, b"7#" * 3000, b"b" * 5000 + b"!"):
+        for _ in range(3):
+            assert np.frombuffer(known[long], "<u4").tolist() == want(long)
+        assert long not in known and not any(len(p) > binary_packing.LONGEST for p in known.parts)
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/1?b=2&utm_source=x#f", "https://example.com/en/", "http://www.example.com/en/q",
             "http://x.net/es/1", "http://x.org/p.html", "http://www.x.org/p/?ref=1", "http://x.org/q", None, "nothing",
