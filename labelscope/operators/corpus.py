@@ -248,7 +248,8 @@ def build_corpus(parts: Sequence[DataFrame], contents: Sequence[DataFrame], out:
     the label, filename, origin, path, content (NULL if unreadable)."""
     items = _union(parts)
     texts = _union([c.select("path", "content") for c in contents])
-    corpus = items.join(texts, "path", "left").select(label_col, "filename", "origin", "path", "content")
+    # Spark can't tell the size of texts that tasks read, and might broadcast them.
+    corpus = items.join(texts.hint("merge"), "path", "left").select(label_col, "filename", "origin", "path", "content")
     materialize_corpus(corpus, out, label_col, clear)
     return corpus.sparkSession.read.parquet(out).select(corpus.columns)
 

@@ -1,6 +1,8 @@
-"""Corpus file scans and layouts (binaryFile source, text sink).
+"""Corpus file scans and layouts (tasks or the binaryFile source, text sink).
 
-A collection is a tree of files. Usually an item is a file and its label the
+A collection is a tree of files. Where its store is a mounted file system, tasks
+list and read it and the list is a stored table, so the driver holds no names;
+in other stores Spark's binaryFile source does, whose list the driver holds. Usually an item is a file and its label the
 folder it lies in. Spark names its output files itself, so items that Spark
 writes lie in a folder each, ``label=<label>/name=<file name>/``; with
 ``layout="folder"`` the scans take such folders for the files.
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.fixed_values import SOURCE_EXTENSIONS
 from labelscope.functions.text import basename, decode_source_bytes, ends_with_any, parent_dir
+from labelscope.session import scratch_path
 from labelscope.sources.paths import exists, mounted
 
 _FILES = "path string, below string, filename string, gold_label string, length long"
@@ -51,24 +54,177 @@ def _listed(reader: DataFrameReader, spark: SparkSession, root: str) -> DataFram
         spark.conf.unset(_LISTING_TASKS) if before is None else spark.conf.set(_LISTING_TASKS, before)
 
 
+#: Names that a task meets below a folder before it leaves its subfolders to others.
+_MOST_MET = 10_000
+
+
+def _walked(spark: SparkSession, base: str, start: str, ends: Sequence[str]) -> DataFrame:
+    """path and length of the files below a mounted folder, those that Spark
+    finds too, as a stored table. A task goes down from its folder until it has
+    met many names; the folders that it leaves are dealt out in a next round."""
+    store, tasks = scratch_path(spark, "listing"), 4 * spark.sparkContext.defaultParallelism
+    schema, rounds = "path string, length long", []
+    folders = spark.range(0, 1, 1, 1).select(F.lit(base).alias("path"))
+    while True:
+        rounds.append(f"{store}/{len(rounds)}")
+        # Not compressed: joins take the size of the files for that of the rows.
+        folders.mapInArrow(_walker(start, tuple(ends), _MOST_MET), schema).write.option("compression", "none").parquet(rounds[-1])
+        left = spark.read.schema(schema).parquet(rounds[-1]).where("length IS NULL").select("path")
+        if left.isEmpty():
+            break
+        folders = left.repartition(tasks)
+    return spark.read.schema(schema).parquet(*rounds).where("length IS NOT NULL").select(
+        F.concat(F.lit("file:"), "path").alias("path"), "length")
+
+
+def _walker(start: str, ends: tuple[str, ...], most: int):
+    """Folders to the files below them and, without a length, the folders left."""
+    def walk(batches):
+        import errno
+        import os
+        import pyarrow as pa
+
+        def hidden(name):                              # Spark's rule
+            return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+        def kept(name):
+            return name.startswith(start) and name.endswith(ends) and not hidden(name) and not name.endswith("._COPYING_")
+
+        def entered(name):
+            return name.startswith(("_metadata", "_common_metadata")) or not (hidden(name) or name.endswith("._COPYING_"))
+
+        def listing(folder):
+            try:
+                with os.scandir(folder) as entries:
+                    yield from entries
+            except FileNotFoundError:                  # gone meanwhile
+                return
+
+        def below(top):
+            if os.path.isfile(top):
+                if kept(os.path.basename(top)) and os.path.getsize(top):
+                    yield top, os.path.getsize(top)
+                return
+            waiting, met = [top], 0
+            while waiting:
+                folder = waiting.pop()
+                if met > most:
+                    yield folder, None
+                    continue
+                for e in listing(folder):
+                    met += 1
+                    try:
+                        e.name.encode()
+                        if e.is_dir():
+                            if entered(e.name) and met > most:
+                                yield e.path, None
+                            elif entered(e.name):
+                                waiting.append(e.path)
+                        elif kept(e.name) and (length := e.stat().st_size):
+                            yield e.path, length
+                    except UnicodeEncodeError:         # the JVM can't open such names
+                        continue
+                    except OSError as x:
+                        if x.errno not in (errno.ENOENT, errno.ELOOP):
+                            raise
+
+        def table(rows):
+            paths, lengths = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], ["path", "length"])
+
+        rows = []
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                for row in below(top):
+                    rows.append(row)
+                    if len(rows) == 5000:
+                        yield table(rows)
+                        rows = []
+        if rows:
+            yield table(rows)
+
+    return walk
+
+
+def _file_reader(most: int, together: int = 1 << 22):
+    """(path, file) to (path, content); files that can't be read, have grown
+    beyond ``most`` bytes or differ from their checksums are left out."""
+    def read(batches):
+        import os
+        import zlib
+        import pyarrow as pa
+
+        def intact(content, file):
+            """By Hadoop's checksums, which lie beside files that Spark wrote;
+            like there, a damaged list of them counts as none."""
+            folder, name = os.path.split(file)
+            try:
+                with open(f"{folder}/.{name}.crc", "rb") as f:
+                    sums = f.read()
+            except OSError:
+                return True
+            if sums[:4] != b"crc\0" or len(sums) < 8:
+                return True
+            size = int.from_bytes(sums[4:8], "big", signed=True)
+            return size > 0 and len(sums) % 4 == 0 and all(
+                sums[at:at + 4] == zlib.crc32(content[i:i + size]).to_bytes(4, "big")
+                for at, i in zip(range(8, 8 + len(content) * 4, 4), range(0, len(content), size)))
+
+        def opened(file):
+            if ":" in os.path.basename(file):
+                raise OSError("Hadoop can't open such names")
+            return open(file, "rb")
+
+        def table(paths, contents):
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for path, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = file.removeprefix("file:")
+                try:
+                    with opened(file) as f:
+                        content = f.read(most + 1)
+                except OSError:
+                    continue
+                if len(content) > most or not intact(content, file):
+                    continue
+                if paths and held + len(content) > together:
+                    yield table(paths, contents)
+                    paths, contents, held = [], [], 0
+                paths.append(path)
+                contents.append(content)
+                held += len(content)
+        if paths:
+            yield table(paths, contents)
+
+    return read
+
+
 def _scan(spark: SparkSession, root: str, extensions: Sequence[str], layout: str) -> DataFrame:
-    """path (of the item), below, filename, gold_label and binaryFile's columns."""
+    """path (of the item), below, filename, gold_label, length and the file's
+    path (``file``) or, where Spark reads it, its ``content``."""
     if layout not in ("file", "folder"):
         raise ValueError(f"unknown layout {layout}")
-    # Unreadable files lose their content, not the job.
-    read = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True))
+    base = mounted(spark, root)
+    if base is not None:
+        df = _walked(spark, base, *(("", ["." + e.lstrip(".") for e in extensions]) if layout == "file" else ("part-", [""])))
+        df = df.withColumn("file", F.col("path"))
+    else:
+        # Unreadable files lose their content, not the job.
+        df = _listed(spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                     .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+                     .option("pathGlobFilter", _glob(extensions) if layout == "file" else "part-*"), spark, root)
     if layout == "file":
-        df = _listed(read.option("pathGlobFilter", _glob(extensions)), spark, root)
         below = _below(F.col("path"), root)
     else:
-        df = _listed(read.option("pathGlobFilter", "part-*"), spark, root).withColumn(
-            "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+        df = df.withColumn("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
         # Folders are named key=value, the value with %XX for some characters.
         values = F.regexp_replace(_below(F.col("path"), root), r"/[^=/]*=", "/")
         below = F.url_decode(F.replace(values, F.lit("+"), F.lit("%2B")))
     df = df.withColumn("below", below).select(
-        "path", "below", basename("below").alias("filename"), parent_dir("below").alias("gold_label"), "length", "content")
+        "path", "below", basename("below").alias("filename"), parent_dir("below").alias("gold_label"), "length",
+        "content" if base is None else "file")
     return df if layout == "file" else df.where(ends_with_any("filename", extensions))
 
 
@@ -85,7 +241,7 @@ def scan_files(spark: SparkSession, root: str,
 
 
 def _files(scan: DataFrame) -> DataFrame:
-    return scan.drop("content")
+    return scan.drop("content", "file")
 
 
 def read_items(spark: SparkSession, root: str,
@@ -97,7 +253,8 @@ def read_items(spark: SparkSession, root: str,
     if not exists(spark, root):
         return spark.createDataFrame([], "path string, below string, filename string, gold_label string, content string")
     scan = _scan(spark, root, extensions, layout)         # one listing serves both
-    return _files(scan).drop("length").join(_texts(scan), "path", "left")
+    # Spark can't tell the size of texts that tasks read, and might broadcast them.
+    return _files(scan).drop("length").join(_texts(scan).hint("merge"), "path", "left")
 
 
 def read_texts(spark: SparkSession, root: str,
@@ -110,8 +267,13 @@ def read_texts(spark: SparkSession, root: str,
 
 
 def _texts(scan: DataFrame) -> DataFrame:
-    most = scan.sparkSession.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))
-    return scan.where(F.col("length") <= int(most)).select("path", decode_source_bytes("content").alias("content"))
+    spark = scan.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
+    short = scan.where(F.col("length") <= most)
+    if "file" in scan.columns:
+        short = short.select("path", "file").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(
+            _file_reader(most), "path string, content binary")
+    return short.select("path", decode_source_bytes("content").alias("content"))
 
 
 def write_items(items: DataFrame, root: str, name_col: str = "filename", label_cols: Sequence[str] = ("gold_label",),
